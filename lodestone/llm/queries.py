@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.mixing import mix_sources
+from lodestone.llm.packing import pack_documents
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +30,26 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces with their places in sequences."""
+    return pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_mix_sources": op5_mix_sources,
+    "op9_pack_documents": op9_pack_documents,
 }
 
 ORACLES: dict[str, str] = {
