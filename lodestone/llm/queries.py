@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
+from lodestone.llm.quality import quality_rules
+from lodestone.llm.toxicity import toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,17 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted", "offending")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every document, with its counts and distances."""
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -48,6 +61,8 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_rules": op3_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op9_pack_documents": op9_pack_documents,
 }
