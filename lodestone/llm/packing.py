@@ -7,6 +7,7 @@ checksums go on.  Pieces are dealt at random to groups of a bounded size, and ea
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +24,31 @@ _words: dict[str, WordIds] = {}
 
 
 class WordIds(dict):
-    """The ids of a word as little-endian 32-bit integers, from a tokenizer that drops white space and treats words alone.
+    """The ids of a word as little-endian 32-bit integers, from a tokenizer that drops white space, lower-cases and treats words alone.
 
-    Emptied when it holds `most` words.
+    A word's ASCII capitals, and a full stop or comma after an ASCII letter, make no difference to the ids of the rest, so
+    such words are led back to others.  When `most` words are held they become the older half; a word in use comes back
+    from there, and the others are forgotten when the next half is full.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
 
     def __missing__(self, word: bytes) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            if len(word) > 1 and word[-1] in b".," and word[-2:-1].isalpha():
+                out = self[word[:-1]] + self[word[-1:]]
+            elif (lower := word.lower()) != word and b"<|" not in word:  # special tokens have "<|" and keep their case
+                out = self[lower]
+            else:
+                out = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = out
         return out
 
 
