@@ -11,6 +11,7 @@ from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import quality_rules
 from lodestone.llm.toxicity import toxicity
+from lodestone.llm.warc import archive_pages
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from deduplicated archives."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op5_mix_sources": op5_mix_sources,
+    "op6_archive_pages": op6_archive_pages,
     "op9_pack_documents": op9_pack_documents,
 }
 
