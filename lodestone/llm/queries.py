@@ -10,6 +10,7 @@ from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import quality_rules
+from lodestone.llm.secret_scan import scan_secrets
 from lodestone.llm.toxicity import toxicity
 from lodestone.llm.warc import archive_pages
 
@@ -55,6 +56,11 @@ def op6_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document."""
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op6_archive_pages": op6_archive_pages,
+    "op7_scan_secrets": op7_scan_secrets,
     "op9_pack_documents": op9_pack_documents,
 }
 
