@@ -11,6 +11,7 @@ from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import quality_rules
 from lodestone.llm.secret_scan import scan_secrets
+from lodestone.llm.token_counts import token_counts
 from lodestone.llm.toxicity import toxicity
 from lodestone.llm.warc import archive_pages
 
@@ -45,6 +46,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens in every document."""
+    import public_tokenizers
+
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_counts": op4_token_counts,
     "op5_mix_sources": op5_mix_sources,
     "op6_archive_pages": op6_archive_pages,
     "op7_scan_secrets": op7_scan_secrets,
