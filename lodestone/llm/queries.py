@@ -11,6 +11,7 @@ from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import quality_rules
 from lodestone.llm.secret_scan import scan_secrets
+from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.toxicity import toxicity
 from lodestone.llm.warc import archive_pages
@@ -80,6 +81,11 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component."""
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_archive_pages": op6_archive_pages,
     "op7_scan_secrets": op7_scan_secrets,
     "op9_pack_documents": op9_pack_documents,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
