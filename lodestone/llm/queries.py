@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.katz import katz_scores
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import quality_rules
@@ -70,6 +71,11 @@ def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language-model scores of every document."""
+    return katz_scores(documents(spark, sf_dir))[0]
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_archive_pages": op6_archive_pages,
     "op7_scan_secrets": op7_scan_secrets,
+    "op8_katz_scores": op8_katz_scores,
     "op9_pack_documents": op9_pack_documents,
     "op10_near_duplicates": op10_near_duplicates,
 }
