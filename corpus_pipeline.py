@@ -1,16 +1,58 @@
-"""The corpus pipeline over documents."""
+"""The corpus pipeline: from documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lodestone.llm.common import materialize, workspace
+from lodestone.llm.exact_dedup import distinct_documents
+from lodestone.llm.mixing import mixed_documents
+from lodestone.llm.packing import pack_documents
+from lodestone.llm.queries import tokenizer_path
+from lodestone.llm.simhash import without_near_duplicates
+from lodestone.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, trained on these documents' labels, doesn't find toxic."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    return distinct_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near-equal fingerprints the one with the smallest doc_id."""
+    return without_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in their target proportions; documents may come twice or in part."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("SimHash near-dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-ORACLE_SQL: str | None = None
+#: The stages train a model and use tokenizers, which SQL can't express; tests compare them with brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    at = workspace(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"{at}/{i}")
     return docs

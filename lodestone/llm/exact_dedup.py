@@ -210,3 +210,23 @@ def exact_dedup(
         first = F.row_number().over(Window.partitionBy("key", "digest").orderBy("row_no")) == 1
         out = out.where(~tied).withColumn("kept", wins).unionByName(out.where(tied).withColumn("kept", first))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "page", "chain_no")
+
+
+def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that stay, with all their columns.  Of rows with one id and text one stays."""
+    spark = docs.sparkSession
+    found = exact_dedup(docs, id_col=id_col, text_col=text_col, **how).select("doc_id", "keep_id", "kept", "text_sha256")
+    found = materialize(found, workspace(spark, "exact-dedup") + "/found")
+    wins = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+
+    def only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+        return rows.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), how)
+
+    stay = only(docs, found.where("kept"), "left_semi")
+    again = found.where(wins & ~F.col("kept")).select("doc_id", "text_sha256").distinct()
+    if again.isEmpty():
+        return stay
+    one = only(docs, again, "left_semi").dropDuplicates([id_col, text_col])
+    return only(stay, again, "left_anti").unionByName(one)

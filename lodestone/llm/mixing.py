@@ -2,18 +2,21 @@
 
 Words are handed out in blocks of equal size.  Sources get whole blocks by the highest quotients target / (2 k + 1); the
 blocks of a source go to its shards by the same rule, with the shards' own blocks as votes.  A shard is a seeded share of
-the source's documents, small enough for one task; its documents stand in a seeded order, are cut into blocks that differ
-by one word at most, and a seeded choice of blocks is taken once more often than the others.
+the source's documents, small enough for one task; its documents stand in a seeded order and are cut into blocks that
+differ by one word at most.  All blocks are taken equally often, but for a run of blocks from a seeded place on, which is
+taken once more; so nearly all documents are taken whole.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import WORD, materialize, text_of, workspace
@@ -69,32 +72,28 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return out
 
 
+TAKEN = "row long, taken long, copies long, spans array<struct<begin: long, end: long>>"
+
+
 def _select(seed: int):
-    """The words that the mix takes from each document of a shard."""
+    """The words that the mix takes from each document of a shard: whole copies, and ranges of words taken once more."""
 
-    def select(key, rows: pa.Table, quota: pa.Table) -> pa.Table:
-        if rows.num_rows == 0:
-            return pa.table({"row": pa.array([], pa.int64()), "taken": pa.array([], pa.int64())})
+    def select(key, rows, quota):
         rows = rows.sort_by([("deal", "ascending"), ("doc_id", "ascending"), ("tie", "ascending"), ("size", "ascending")])
         sizes = rows["size"].to_numpy()
         ends = np.cumsum(sizes)
-        words, blocks, q = int(ends[-1]), quota["blocks"][0].as_py(), quota["quota"][0].as_py()
-        if blocks == 0:
-            taken = np.zeros(len(sizes), np.int64)
-        else:
-            edges = np.arange(blocks + 1, dtype=object) * words // blocks  # Python's integers: no overflow
-            edges = edges.astype(np.int64)
-            copies = np.full(blocks, q // blocks, np.int64)
-            chosen = np.random.default_rng([seed, key[0].as_py(), key[1].as_py()]).permutation(blocks)[: q % blocks]
-            copies[chosen] += 1
-            before = np.concatenate([[0], np.cumsum(copies * np.diff(edges))])
-
-            def upto(x: np.ndarray) -> np.ndarray:
-                at = np.minimum(np.searchsorted(edges, x, "right") - 1, blocks - 1)
-                return before[at] + copies[at] * (x - edges[at])
-
-            taken = upto(ends) - upto(ends - sizes)
-        return pa.table({"row": rows["row"], "taken": pa.array(taken)})
+        starts = ends - sizes
+        words, blocks, q = int(sizes.sum()), quota["blocks"][0].as_py(), quota["quota"][0].as_py()
+        copies, extra = divmod(q, blocks) if blocks else (0, 0)
+        first = int(np.random.default_rng([seed, key[0].as_py(), key[1].as_py()]).integers(blocks)) if blocks else 0
+        edge = lambda i: i * words // blocks
+        last = first + extra
+        runs = [(edge(first), edge(min(last, blocks))), (0, edge(last - blocks))] if last > blocks else [(edge(first), edge(last))] if extra else []
+        cut = [(np.clip(a, starts, ends) - starts, np.clip(b, starts, ends) - starts) for a, b in sorted(runs)]
+        taken = copies * sizes + sum((b - a for a, b in cut), np.zeros(len(sizes), np.int64))
+        spans = [[{"begin": int(a[i]), "end": int(b[i])} for a, b in cut if b[i] > a[i]] for i in range(len(sizes))]
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        return pa.table({"row": rows["row"], "taken": pa.array(taken, pa.int64()), "copies": pa.array([copies] * len(sizes), pa.int64()), "spans": pa.array(spans, kind)})
 
     return select
 
@@ -113,8 +112,9 @@ def mix_sources(
     max_block: int = 4096,
     shard_docs: int = 16384,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken.
+    """One row per input row: doc_id, tie (xxhash64 of the text), source, size, source_size, target, taken, copies, spans.
 
+    taken words are `copies` times the whole document and the words of the spans (from begin to before end) once more.
     size counts words (null text: none).  Sources in the order of their code points, null last, get the weights in turn.
     Together they get share times all words, and each at most `most` times its own (a whole number); so no document is
     taken more often.  Equal rows are taken as often as each other or once more.  Null ids sort first.  Sources without
@@ -167,5 +167,55 @@ def mix_sources(
         .applyInPandas(quotas, "source_no long, shard long, blocks long, quota long")
     )
     rows = placed.select("source_no", "shard", "row", "doc_id", "tie", "deal", "size")
-    taken = rows.groupBy("source_no", "shard").cogroup(of_shards.groupBy("source_no", "shard")).applyInArrow(_select(seed), "row long, taken long")
-    return placed.select("row", "doc_id", "source", "size", "source_size", "target").join(taken, "row").drop("row")
+    taken = rows.groupBy("source_no", "shard").cogroup(of_shards.groupBy("source_no", "shard")).applyInArrow(_select(seed), TAKEN)
+    return placed.select("row", "doc_id", "tie", "source", "size", "source_size", "target").join(taken, "row").drop("row")
+
+
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _write_out(text_at: int, chars_at: int | None):
+    """Repeats each row as often as the mix takes it whole, and adds a row for each range of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, sizes, copies, spans = batch.columns
+            picks: list[int] = []
+            texts: dict[int, str] = {}
+            for i, (size, n, own) in enumerate(zip(sizes.to_pylist(), copies.to_pylist(), spans.to_pylist())):
+                picks += [i] * n
+                for span in own:
+                    if span["end"] - span["begin"] < size:
+                        raw = columns[text_at][i].as_py().encode()
+                        at = [m.span() for m in _WORDS.finditer(raw)]
+                        texts[len(picks)] = raw[at[span["begin"]][0] : at[span["end"] - 1][1]].decode()
+                    picks.append(i)
+            out = [c.take(pa.array(picks, pa.int64())) for c in columns]
+            if texts:
+                for k, of in ((text_at, lambda t: t), (chars_at, len)):
+                    if k is not None:
+                        values = out[k].to_pylist()
+                        for j, text in texts.items():
+                            values[j] = of(text)
+                        out[k] = pa.array(values, columns[k].type)
+            yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(out))])
+
+    return run
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how) -> DataFrame:
+    """The mix itself, with the columns of docs: whole documents as often as taken, and the ranges of words of the few that are taken in part.
+
+    The count in chars_col, if there is such a column, follows the text.
+    """
+    mix = mix_sources(docs, id_col=id_col, text_col=text_col, **how)
+    same = lambda a, b: Window.partitionBy(a, b).orderBy(F.lit(0))  # noqa: E731  equal rows are interchangeable
+    mix = mix.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "size", "copies", "spans").withColumn("_no", F.row_number().over(same("_id", "_tie")))
+    mix = mix.where((F.col("copies") > 0) | (F.size("spans") > 0))
+    plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs[id_col].cast("long").alias("_own_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_own_tie"))
+    plain = plain.withColumn("_own_no", F.row_number().over(same("_own_id", "_own_tie")))
+    joined = plain.join(mix, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_tie") == F.col("_tie")) & (F.col("_own_no") == F.col("_no")))
+    joined = joined.select(*[f"c{i}" for i in range(len(docs.columns))], "size", "copies", "spans")
+    schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
+    out = joined.mapInArrow(_write_out(docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None), schema)
+    return out.toDF(*docs.columns)

@@ -195,3 +195,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of_print = materialize(join_skewed(linked, least, ["root"], "members", n).select("fp", "n", "component_id"), f"{at}/found")
     out = join_skewed(rows, of_print, ["fp"], "n", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs whose id is their component's smallest, with all their columns.  Rows without id stay."""
+    found = near_duplicates(docs, id_col=id_col, **how)
+    drop = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(drop, docs[id_col].cast("long") == F.col("_id"), "left_anti")

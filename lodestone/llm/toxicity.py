@@ -176,3 +176,19 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
 def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """Trains on the labelled documents that are not held out and scores all."""
     return score_toxicity(docs, train(docs, labels, **how))
+
+
+def _pass_clean(model: Model, text_at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([of((t.as_py() or "").encode())[0] < threshold for t in batch.column(text_at)], pa.bool_()))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns; nothing is shuffled."""
+    model = train(docs, labels, text_col=text_col, **how)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(_pass_clean(model, docs.columns.index(text_col), threshold), plain.schema).toDF(*docs.columns)
