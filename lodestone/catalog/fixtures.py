@@ -1,0 +1 @@
+"""Operators over rows written out in the query."""
