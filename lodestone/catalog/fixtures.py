@@ -1 +1,449 @@
-"""Operators over rows written out in the query."""
+"""Operators whose input the standard tables lack, over rows written out in the query."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone import constants as C
+from lodestone.catalog import Inline, query, strip_sql
+from lodestone.functions import text as T
+from lodestone.operators import cleaning as L
+from lodestone.operators import evaluation as E
+from lodestone.operators import generation as G
+from lodestone.operators import layout as P
+from lodestone.operators import parsing as Q
+from lodestone.operators.tagging import tag_of
+from lodestone.sources import files as S
+
+# --- parsing ----------------------------------------------------------------------------------------------------------
+
+TAGS = ["earthquake", "extreme_heat", "flood", "general", "home_fire", "hurricane", "power_outage", "tornado", "tsunami", "wildfire", "winter_weather"]
+REPLIES = Inline(
+    "id long, query string, raw string",
+    [
+        (1, "erth quake help", '{"normalized": "earthquake help", "disaster_type": "earthquake"}'),
+        (2, "go bag", 'Sure: {"normalized": " go bag ", "disaster_type": null} done'),
+        (3, "zombies", '{"normalized": "zombies", "disaster_type": "zombie"}'),
+        (4, "blank", '{"normalized": "   ", "disaster_type": "flood"}'),
+        (5, "kit", '{"normalized": "kit", "disaster_type": "general"}'),
+        (6, "no braces", "normalized: x"),
+        (7, "broken", '{"normalized": "x", '),
+        (8, "number", '{"normalized": 5, "disaster_type": null}'),
+        (9, "  a twister is coming  ", '{"normalized": "a twister is coming", "disaster_type": null}'),
+        (10, "the lights are out, no power", '{"normalized": "the lights are out, no power"}'),
+        (11, "Flash flood near a house fire", '{"normalized": "Flash flood near a house fire", "disaster_type": null}'),
+        (12, "lost reply", None),
+        (13, "   ", '{"normalized": "x", "disaster_type": "flood"}'),
+        (14, "FLOODING in town", '{"normalized": "FLOODING in town", "disaster_type": "flood"}'),
+        (15, "tag as number", '{"normalized": "x", "disaster_type": 7}'),
+    ],
+)
+_TAG_LIST = ", ".join(f"'{t}'" for t in TAGS)
+_VALID = rf"""
+found AS (SELECT *, TRY_CAST(nullif(regexp_extract(coalesce(raw, ''), '\{{.*\}}', 0, 's'), '') AS JSON) AS j FROM {REPLIES.sql}),
+typed AS (SELECT *, j ->> '$.normalized' AS n, j ->> '$.disaster_type' AS t, coalesce(json_type(j, '$.normalized'), 'NULL') AS nk, coalesce(json_type(j, '$.disaster_type'), 'NULL') AS tk FROM found),
+valid AS (SELECT *, j IS NOT NULL AND nk = 'VARCHAR' AND {strip_sql("coalesce(n, '')")} <> '' AND (tk = 'NULL' OR (tk = 'VARCHAR' AND t IN ({_TAG_LIST}))) AS ok FROM typed)
+"""
+
+
+def _chunks_with_tags(spark):
+    return spark.createDataFrame([(t,) for t in TAGS], "disaster_type string")
+
+
+@query(f"WITH {_VALID} SELECT id, ok, CASE WHEN ok THEN {strip_sql('n')} END AS normalized, CASE WHEN ok AND t <> 'general' THEN t END AS disaster_type FROM valid")
+def parse_json_validate(spark, sf_dir):
+    v = Q.validate(F.coalesce("raw", F.lit("")), F.array(*map(F.lit, TAGS)))
+    return REPLIES.frame(spark).select("id", v.alias("v")).select("id", F.col("v").isNotNull().alias("ok"), "v.normalized", "v.disaster_type")
+
+
+def synonym_sql(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower({column}), {a!r})' for a in alternates)} THEN '{tag}'" for tag, alternates in C.SYNONYMS.items()) + " END"
+
+
+@query(f"SELECT id, {synonym_sql('query')} AS tag FROM {REPLIES.sql}")
+def synonym_tagging(spark, sf_dir):
+    return REPLIES.frame(spark).select("id", T.first_tag(F.col("query"), C.SYNONYMS).alias("tag"))
+
+
+APPENDS = Inline("id long, text string, tag string", [(1, "lights out", "power_outage"), (2, "a FLOOD here", "flood"), (3, "go bag", None), (4, "shaking", "earthquake")])
+
+
+@query(f"SELECT id, CASE WHEN tag IS NULL OR contains(lower(text), lower(tag)) THEN text ELSE text || ' ' || tag END AS text FROM {APPENDS.sql}")
+def canonical_backfill(spark, sf_dir):
+    return APPENDS.frame(spark).select("id", T.append_canonical(F.col("text"), F.col("tag")).alias("text"))
+
+
+@query(
+    f"""WITH {_VALID},
+    texts AS (SELECT *, {strip_sql("query")} AS original, CASE WHEN ok THEN {strip_sql("n")} ELSE {strip_sql("query")} END AS body FROM valid),
+    tagged AS (SELECT *, CASE WHEN ok THEN coalesce(CASE WHEN t <> 'general' THEN t END, {synonym_sql("body")}) END AS tag FROM texts)
+    SELECT id AS query_id, CASE WHEN original = '' THEN query ELSE original END AS original,
+      CASE WHEN original = '' THEN query WHEN tag IS NULL OR contains(lower(body), lower(tag)) THEN body ELSE body || ' ' || tag END AS rewritten,
+      CASE WHEN original <> '' THEN tag END AS disaster_type FROM tagged"""
+)
+def parse_query_rules(spark, sf_dir):
+    return Q.parse_queries(REPLIES.frame(spark).withColumnRenamed("id", "query_id"), _chunks_with_tags(spark))
+
+
+@query(f"SELECT tag FROM (VALUES {', '.join(f'({t!r})' for t in C.SYNONYMS)}) s(tag) WHERE tag NOT IN ({', '.join(repr(t) for t in TAGS if t != 'tsunami')})")
+def synonym_audit(spark, sf_dir):
+    return Q.unknown_synonyms(_chunks_with_tags(spark).where("disaster_type <> 'tsunami'"))
+
+
+LABELLED = Inline("expected string, predicted string", [("earthquake", "earthquake"), ("flood", None), (None, "flood"), ("tornado", "tornado"), ("wildfire", "home_fire")])
+
+
+@query(f"SELECT count(*) AS labelled, round(avg(CASE WHEN expected = predicted THEN 1 ELSE 0 END), 6) AS accuracy FROM {LABELLED.sql} WHERE expected IS NOT NULL")
+def tag_accuracy(spark, sf_dir):
+    return E.accuracy(LABELLED.frame(spark))
+
+
+# --- answers ----------------------------------------------------------------------------------------------------------
+
+ANSWERS = Inline(
+    "id long, text string",
+    [
+        (1, "Stay inside [1]."),
+        (2, "x [42]"),
+        (3, "[1][2][3]"),
+        (4, "none"),
+        (5, "[a] [1.5] [ 1 ]"),
+        (6, ""),
+        (7, f"Drop down [1].  {C.LOW_CONFIDENCE_MESSAGE}\n\n\n\nThen wait [2]."),
+        (8, C.LOW_CONFIDENCE_MESSAGE),
+        (9, "[3][4]\n\nFor two weeks, store water [1]."),
+        (10, "Do this:\n\n- one [1]\n- two [9]\n\n1. first\n2. second\n\n- lonely\n\nplain\nlines [0]"),
+        (11, "  \n"),
+    ],
+)
+_CANNED = C.LOW_CONFIDENCE_MESSAGE
+
+
+@query(f"SELECT id, regexp_matches(text, '\\[[0-9]+\\]') AS cited FROM {ANSWERS.sql}")
+def citation_markers(spark, sf_dir):
+    return ANSWERS.frame(spark).select("id", T.has_citation(F.col("text")).alias("cited"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN regexp_matches(text, '\\[[0-9]+\\]') AND contains(text, '{_CANNED}')
+    THEN {strip_sql(f"regexp_replace(regexp_replace(replace(text, '{_CANNED}', ''), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")} ELSE text END AS text FROM {ANSWERS.sql}"""
+)
+def canned_strip(spark, sf_dir):
+    return ANSWERS.frame(spark).select("id", T.strip_canned(F.col("text")).alias("text"))
+
+
+@query(f"SELECT id, regexp_replace(text, '^\\s*(\\[[0-9]+\\]\\s*)+\\n', '') AS text FROM {ANSWERS.sql}")
+def leading_citation_strip(spark, sf_dir):
+    return ANSWERS.frame(spark).select("id", T.strip_leading_citations(F.col("text")).alias("text"))
+
+
+@query(
+    f"""WITH b AS (SELECT id, unnest(bs) AS block, generate_subscripts(bs, 1) - 1 AS block_no FROM (SELECT id, list_filter(regexp_split_to_array({strip_sql("text")}, '\\n{{2,}}'), lambda x: x <> '') AS bs FROM {ANSWERS.sql})),
+    l AS (SELECT *, list_filter(list_transform(string_split(block, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM b),
+    k AS (SELECT *, CASE WHEN len(ls) > 1 AND len(list_filter(ls, lambda x: regexp_matches(x, '^[-*]\\s+'))) = len(ls) THEN 'bullets'
+                         WHEN len(ls) > 1 AND len(list_filter(ls, lambda x: regexp_matches(x, '^[0-9]+\\.\\s+'))) = len(ls) THEN 'numbered' ELSE 'paragraph' END AS kind FROM l)
+    SELECT id, CAST(block_no AS BIGINT) AS block_no, kind, CASE WHEN kind = 'paragraph' THEN array_to_string(ls, ' ')
+      WHEN kind = 'bullets' THEN array_to_string(list_transform(ls, lambda x: regexp_replace(x, '^[-*]\\s+', '')), '|')
+      ELSE array_to_string(list_transform(ls, lambda x: regexp_replace(x, '^[0-9]+\\.\\s+', '')), '|') END AS items FROM k"""
+)
+def answer_block_types(spark, sf_dir):
+    b = ANSWERS.frame(spark).select("id", F.posexplode(T.answer_blocks(F.col("text"))).alias("block_no", "b"))
+    return b.select("id", F.col("block_no").cast("long").alias("block_no"), "b.kind", F.array_join("b.items", "|").alias("items"))
+
+
+@query(f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda n: n >= 1 AND n <= 3), ',') AS links FROM {ANSWERS.sql}")
+def inline_citation_links(spark, sf_dir):
+    return ANSWERS.frame(spark).select("id", F.array_join(F.transform(T.linked_citations(F.col("text"), F.lit(3)), lambda n: n.cast("string")), ",").alias("links"))
+
+
+PATHS = Inline("id long, path string", [(1, "data/raw/a.pdf"), (2, "C:\\files\\b.txt"), (3, "plain"), (4, ""), (5, None), (6, "dir/")])
+
+
+@query(f"SELECT id, list_last(regexp_split_to_array(coalesce(path, ''), '[\\\\/]')) AS name FROM {PATHS.sql}")
+def basenames(spark, sf_dir):
+    return PATHS.frame(spark).select("id", T.basename(F.col("path")).alias("name"))
+
+
+EVENTS = Inline(
+    "query_id long, seq int, type string, text string, gated boolean, top_score double",
+    [(1, 0, "meta", None, False, 0.75), (1, 1, "token", 'He said "go"', None, None), (1, 2, "token", "line\nbreak", None, None), (1, 3, "done", None, None, None), (2, 0, "meta", None, True, None)],
+)
+
+
+@query(
+    f"""SELECT query_id, seq, 'data: ' || '{{"type":' || to_json(type) || coalesce(',"text":' || to_json(text), '') || coalesce(',"gated":' || to_json(gated), '')
+    || coalesce(',"top_score":' || to_json(top_score), '') || ',"citations":[]}}' || chr(10) || chr(10) AS frame FROM {EVENTS.sql}"""
+)
+def sse_frames(spark, sf_dir):
+    return G.sse_frames(EVENTS.frame(spark).withColumn("citations", F.array().cast("array<string>")))
+
+
+STREAMS = Inline("stream_id long, body string", [(1, 'data: {"type": "meta", "gated": false, "top_score": 0.5}\n\ndata: {"type": "token", "text": "a b"}\n\ndata: {"type": "done"}\n\n'), (2, ': note\ndata: {"type": "token", "text": "x"}\ndata: {"type": "tok'), (3, "")])
+
+
+@query(
+    f"""WITH l AS (SELECT stream_id, unnest(ls[:-2]) AS line, generate_subscripts(ls[:-2], 1) - 1 AS line_no FROM (SELECT stream_id, string_split(body, chr(10)) AS ls FROM {STREAMS.sql}))
+    SELECT stream_id, CAST(line_no AS INTEGER) AS line_no, j ->> '$.type' AS type, j ->> '$.text' AS text, CAST(j ->> '$.gated' AS BOOLEAN) AS gated, CAST(j ->> '$.top_score' AS DOUBLE) AS top_score
+    FROM (SELECT *, CAST(substr(line, 7) AS JSON) AS j FROM l WHERE starts_with(line, 'data: '))"""
+)
+def sse_parse(spark, sf_dir):
+    return G.parse_sse(STREAMS.frame(spark))
+
+
+BODIES = Inline("request_id long, body string", [(1, '{"query": " what now "}'), (2, '{"query": "  "}'), (3, "{}"), (4, "oops"), (5, '{"query": "x", "y": 1}')])
+
+
+@query(
+    f"""SELECT request_id, CASE WHEN error IS NULL THEN q END AS query, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status, error FROM (
+    SELECT *, CASE WHEN j IS NULL THEN 'invalid json' WHEN q = '' THEN 'query required' END AS error FROM (
+    SELECT request_id, j, {strip_sql("coalesce(j ->> '$.query', '')")} AS q FROM (SELECT request_id, TRY_CAST(body AS JSON) AS j FROM {BODIES.sql})))"""
+)
+def request_validation(spark, sf_dir):
+    return G.validate_requests(BODIES.frame(spark))
+
+
+PAYLOADS = Inline("request_id long, body string", [(1, '{"answer": "a", "citations": [1, 2], "gated": true, "confidence": 0.5}'), (2, '{"answer": 5, "citations": "no"}'), (3, "null"), (4, "oops"), (5, '{"answer": "b", "citations": [], "gated": false, "confidence": "high"}')])
+
+
+@query(
+    f"""SELECT request_id, CASE WHEN json_type(j, '$.answer') = 'VARCHAR' THEN j ->> '$.answer' ELSE '' END AS answer,
+    CASE WHEN json_type(j, '$.citations') = 'ARRAY' THEN CAST(json_array_length(j, '$.citations') AS INTEGER) ELSE 0 END AS n_citations,
+    coalesce(CASE WHEN json_type(j, '$.gated') = 'BOOLEAN' THEN CAST(j ->> '$.gated' AS BOOLEAN) END, FALSE) AS gated,
+    CASE WHEN json_type(j, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(j ->> '$.confidence' AS DOUBLE) END AS confidence
+    FROM (SELECT request_id, TRY_CAST(body AS JSON) AS j FROM {PAYLOADS.sql})"""
+)
+def response_normalizer(spark, sf_dir):
+    return G.normalize_response(PAYLOADS.frame(spark))
+
+
+STUB = {"earthquake": "earthquake|quake|shake", "water": "water|drink", "outage": "fridge|food|power|outage"}
+ASKED = Inline("id long, query string", [(1, "Will it SHAKE?"), (2, "how much water"), (3, "fridge food"), (4, "hi"), (5, "movies"), (6, "quake water")])
+
+
+@query(f"SELECT id, CASE WHEN length(query) < 3 THEN NULL {' '.join(f'WHEN regexp_matches(lower(query), {p!r}) THEN {k!r}' for k, p in STUB.items())} END AS route FROM {ASKED.sql}")
+def stub_routing(spark, sf_dir):
+    """Which canned answer a development stub gives; none is gated."""
+    low, out = F.lower("query"), F.when(F.length("query") < 3, F.lit(None).cast("string"))
+    for key, pattern in STUB.items():
+        out = out.when(low.rlike(pattern), key)
+    return ASKED.frame(spark).select("id", out.alias("route"))
+
+
+# --- tags -------------------------------------------------------------------------------------------------------------
+
+FILES = Inline(
+    "id long, source string, text string",
+    [
+        (1, "ready_gov_floods.txt", "drop, cover, and hold"), (2, "ready_gov_unheard.txt", ""), (3, "red_cross_survival_kit.txt", ""), (4, "wa_emd_tsunami.txt", ""),
+        (5, "When-an-Earthquake-Strikes.pdf", "x"), (6, "2-Weeks-Ready-Community-Brochure-Build-Kits.pdf", "What to do During the Shaking"), (7, "other.pdf", "earthquake"), (8, "ready_gov_floods.pdf", "Drop and Cover"),
+    ],
+)
+
+
+def _tag_sql() -> str:
+    out = "CASE "
+    for prefix, table in C.TAGS_BY_SLUG.items():
+        cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())
+        out += f"WHEN starts_with(source, '{prefix}') AND ends_with(source, '.txt') THEN CASE substr(source, {len(prefix) + 1}, length(source) - {len(prefix) + 4}) {cases} ELSE 'general' END "
+    for tag, phrases in C.OVERRIDE_PHRASES.items():
+        out += f"WHEN {' OR '.join(f'contains(lower(text), {p!r})' for p in phrases)} THEN '{tag}' "
+    return out + "ELSE CASE source " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.TAGS_BY_PDF.items()) + " ELSE 'general' END END"
+
+
+@query(f"SELECT id, {_tag_sql()} AS tag FROM {FILES.sql}")
+def source_tagging(spark, sf_dir):
+    return FILES.frame(spark).select("id", tag_of(F.col("source"), F.col("text")).alias("tag"))
+
+
+@query(f"SELECT id, {' OR '.join(f'contains(lower(text), {p!r})' for p in C.OVERRIDE_PHRASES['earthquake'])} AS promoted FROM {FILES.sql}")
+def override_phrases(spark, sf_dir):
+    return FILES.frame(spark).select("id", T.first_tag(F.col("text"), C.OVERRIDE_PHRASES).isNotNull().alias("promoted"))
+
+
+# --- cleaning ---------------------------------------------------------------------------------------------------------
+
+RAW = Inline(
+    "id long, dialect string, source string, text string",
+    [
+        (1, "ready", "a.txt", "Storms\nUnknown\n3 min read\nhttps://example.org/a\n\nBefore\nAfter\n\nKeep away from trees and open fields when a storm is near.\nUnknown\nSee [the plan](http://example.org/p) first.\nhttps://example.org/x\nLast Updated: today\n\nStorm Toolkit\nMore Info\n"),
+        (2, "ready", "b.txt", "One\nTwo\nThree\n"),
+        (3, "ready", "c.txt", "Title\nx\ny\nno address\nWell: this line stays.\nA heading\n"),
+        (4, "cross", "d.txt", 'Plans\nUnknown\n2 min read\nhttps://example.org/d\n\n\nMake a ""plan"" now.\nRed number one\nGet the app at Google PlayTM. Shop for Survival Kits and other first aid supplies at the Red Cross Store.\n#redcross now\n\n\nTo make a financial donation, please visit us.\nDone.\n\n'),
+        (5, "cross", "e.txt", "Plans\nSomeone\n2 min read\nhttps://example.org/d\nText"),
+        (6, "emd", "wa_emd_tsunami.txt", "Waves\nefelle creative\n4 min read\nhttps://example.org/e\nSign up for alerts (Opens in a new window)to be warned .\nPublic Education Materials\nA (PDF)\nB\nMaritime Guidance\nColor graphic showing what to do when on the coast during a large earthquake. First.\n\n\nMove ( quickly ) inland.\nConnect With Us\nSome handle\n"),
+        (7, "emd", "wa_emd_hazard_mitigation_grants.txt", "Grants\nefelle creative\n4 min read\nhttps://example.org/f\nWhat is Hazard Mitigation?\nlink\nWhat is Hazard Mitigation?\nIt lowers risk.\nResources\nx\ny.\n"),
+        (8, "cross", "f.txt", ""),
+    ],
+)
+_RAW_LINES = f"SELECT *, string_split(text, chr(10)) AS parts FROM {RAW.sql}"
+
+
+@query(
+    rf"""WITH l AS (SELECT id, dialect, CASE WHEN list_last(parts) = '' THEN parts[:-2] ELSE parts END AS ls FROM ({_RAW_LINES})),
+    h AS (SELECT *, len(ls) >= 4 AS long, regexp_matches(coalesce(ls[4], ''), '^https?://\S+\s*$') AND (dialect = 'ready' OR
+      (trim(ls[2]) = CASE dialect WHEN 'cross' THEN 'Unknown' ELSE 'efelle creative' END AND regexp_matches(trim(ls[3]), '(?i)^\d+\s+min\s+read$'))) AS header FROM l)
+    SELECT id, CASE WHEN long THEN trim(ls[1]) ELSE '' END AS title, CAST(CASE WHEN long AND header THEN len(ls) - 4 ELSE len(ls) END AS INTEGER) AS n_lines FROM h"""
+)
+def strip_header(spark, sf_dir):
+    rows = RAW.frame(spark).withColumn("_l", L.split_lines(F.col("text")))
+    title, body = None, None
+    for dialect in ("ready", "cross", "emd"):
+        t, b = L.strip_header(F.col("_l"), dialect)
+        title = F.when(F.col("dialect") == dialect, t) if title is None else title.when(F.col("dialect") == dialect, t)
+        body = F.when(F.col("dialect") == dialect, b) if body is None else body.when(F.col("dialect") == dialect, b)
+    return rows.select("id", title.alias("title"), F.size(body).alias("n_lines"))
+
+
+CLEANED = Inline(
+    "id long, text string, in_lines int, out_lines int",
+    [
+        (1, "# Storms\n\nKeep away from trees and open fields when a storm is near.\nSee the plan first.\n\n", 16, 4),
+        (2, "\n", 3, 1),
+        (3, "# Title\n\nWell: this line stays.\n", 6, 3),
+        (4, '# Plans\n\nMake a "plan" now.\nGet the app at Google Play.\n\nDone.\n', 15, 6),
+        (5, "# Plans\n\nPlans\nSomeone\n2 min read\nText\n", 5, 6),
+        (6, f"# Waves\n\nSign up for alerts to be warned.\nMaritime Guidance\n{C.EMD_CAPTIONS[0][1]}\n\nMove (quickly ) inland.\n", 15, 7),
+        (7, "# Grants\n\nWhat is Hazard Mitigation?\nIt lowers risk.\n", 11, 4),
+        (8, "\n", 0, 1),
+    ],
+)
+
+
+@query(f"SELECT id, rtrim(text, chr(10)) || chr(10) AS text, in_lines, length(rtrim(text, chr(10)) || chr(10)) - length(replace(rtrim(text, chr(10)) || chr(10), chr(10), '')) AS out_lines FROM {CLEANED.sql}")
+def clean_scrapes(spark, sf_dir):
+    """All three cleaners against texts worked out by hand."""
+    ids = RAW.frame(spark).select("id", "source")
+    out = None
+    for dialect in ("ready", "cross", "emd"):
+        rows = L.clean_scrapes(RAW.frame(spark).where(F.col("dialect") == dialect).select("source", "text"), dialect)
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(ids, "source").select("id", "text", "in_lines", F.col("out_lines").cast("long").alias("out_lines"))
+
+
+@query(f"SELECT CAST(sum(in_lines) AS BIGINT) AS in_lines, CAST(sum(out_lines) AS BIGINT) AS out_lines, round(100 * (1 - sum(out_lines) / greatest(sum(in_lines), 1)), 6) AS shrink_percent FROM {CLEANED.sql}")
+def shrinkage(spark, sf_dir):
+    return L.shrinkage(CLEANED.frame(spark))
+
+
+@query(f"SELECT id, CAST(len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip_sql('p')} <> '')) AS INTEGER) AS paragraphs FROM {CLEANED.sql} WHERE len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip_sql('p')} <> '')) < 3")
+def thin_files(spark, sf_dir):
+    return L.thin_files(CLEANED.frame(spark).withColumn("source", F.col("id")), 3).withColumnRenamed("source", "id")
+
+
+BLANKS = Inline("id long, lines array<string>", [(1, ["", " ", "a", "", "\t", "b", "c", "", ""]), (2, ["a"]), (3, ["", ""]), (4, ["a", "", "b"])])
+
+
+@query(
+    f"""WITH l AS (SELECT id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM {BLANKS.sql}),
+    m AS (SELECT *, {strip_sql("line")} = '' AS blank FROM l), n AS (SELECT *, lag(blank) OVER (PARTITION BY id ORDER BY k) AS before, min(k) FILTER (NOT blank) OVER (PARTITION BY id) AS a, max(k) FILTER (NOT blank) OVER (PARTITION BY id) AS b FROM m)
+    SELECT i.id, coalesce(string_agg(CASE WHEN blank THEN '' ELSE line END, '|' ORDER BY k), '') AS lines FROM {BLANKS.sql} i LEFT JOIN n ON n.id = i.id AND k BETWEEN a AND b AND NOT (blank AND before) GROUP BY i.id"""
+)
+def collapse_blank_lines(spark, sf_dir):
+    return BLANKS.frame(spark).select("id", F.array_join(L.collapse_blank_lines(F.col("lines")), "|").alias("lines"))
+
+
+_E1, _E2 = C.EMD_SECTIONS["wa_emd_tsunami.txt"][0]
+SECTIONS = Inline("source string, line_no int, line string", [("wa_emd_tsunami.txt", i, x) for i, x in enumerate(["top", _E1, "a", "b", _E2, "mid", _E1, "again"])] + [("wa_emd_hazard_mitigation_grants.txt", i, x) for i, x in enumerate(["x", "Resources", "y", "z"])] + [("other.txt", 0, _E1), ("other.txt", 1, "stays")])
+
+
+@query(
+    f"""WITH l AS (SELECT * FROM {SECTIONS.sql}),
+    s AS (SELECT source, min(line_no) AS a FROM l WHERE (source = 'wa_emd_tsunami.txt' AND line = '{_E1}') OR (source = 'wa_emd_hazard_mitigation_grants.txt' AND line = 'Resources') GROUP BY source),
+    r AS (SELECT s.source, a, coalesce(min(line_no), 1000000) AS b FROM s LEFT JOIN l ON l.source = s.source AND line_no > a AND line = '{_E2}' GROUP BY ALL)
+    SELECT l.source, string_agg(line, '|' ORDER BY line_no) AS lines FROM l LEFT JOIN r ON r.source = l.source WHERE r.a IS NULL OR line_no < a OR line_no >= b GROUP BY l.source"""
+)
+def skip_sections(spark, sf_dir):
+    files = SECTIONS.frame(spark).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"].alias("lines"))
+    return files.select("source", F.array_join(L.skip_sections(F.col("lines"), L.sections_of(F.col("source"))), "|").alias("lines"))
+
+
+# --- sources ----------------------------------------------------------------------------------------------------------
+
+SIDECARS = Inline("source string, text string", [("a.md", "<!-- page: 3 -->\nFirst block\n---\nSecond  block\n\n\n\nend\n---  \n   \n---\n<!-- PAGE: 12 --> Third <!-- page: 4 -->"), ("b.md", ""), ("c.md", "only")])
+
+
+@query(
+    rf"""WITH p AS (SELECT source, unnest(bs) AS block, generate_subscripts(bs, 1) - 1 AS block_no FROM (SELECT source, regexp_split_to_array(text, '(?m)^---\s*$') AS bs FROM {SIDECARS.sql})),
+    m AS (SELECT *, regexp_extract(block, '(?i)<!--\s*page:\s*(\d+)\s*-->', 1) AS mark, regexp_replace(block, '(?i)<!--\s*page:\s*(\d+)\s*-->', '') AS bare FROM p),
+    c AS (SELECT source, CAST(block_no AS INTEGER) AS block_no, CASE WHEN mark = '' THEN 1 ELSE CAST(mark AS INTEGER) END AS page, {strip_sql("regexp_replace(regexp_replace(bare, '[ \t]+', ' ', 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} AS text FROM m)
+    SELECT * FROM c WHERE text <> ''"""
+)
+def sidecar_blocks(spark, sf_dir):
+    return S.sidecar_blocks(SIDECARS.frame(spark), normal_form=False)
+
+
+PDFS = Inline("source string, text string", [("a", "pdf a"), ("b", "pdf b"), ("d", "pdf d")])
+SIDES = Inline("source string, text string", [("b", "side b"), ("c", "side c"), ("b", "side b again")])
+
+
+@query(f"SELECT source, text FROM {PDFS.sql} WHERE source NOT IN (SELECT source FROM {SIDES.sql})")
+def source_precedence_anti(spark, sf_dir):
+    return S.without_sidecar(PDFS.frame(spark), SIDES.frame(spark))
+
+
+FOLDERS = Inline("source string, text string, rank int", [("A.txt", "first", 0), ("a.TXT", "second", 1), ("b.txt", "only", 1), ("C.txt", "late", 1), ("c.txt", "early", 0)])
+
+
+@query(f"SELECT lower(source) AS source, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(source) ORDER BY rank, source) AS k FROM {FOLDERS.sql}) WHERE k = 1")
+def multi_folder_first(spark, sf_dir):
+    return S.first_of(FOLDERS.frame(spark))
+
+
+GEO = Inline(
+    "kind string, json string",
+    [
+        ("shelter", '{"features": [{"geometry": {"coordinates": [-122.3, 47.6]}, "properties": {"OBJECTID": 1, "NAME": "Hall", "ADDRESS": "1 Main St"}}, {"geometry": {"coordinates": [-122.4, 47.7]}, "properties": {"OBJECTID": 2, "NAME": "Gym", "ADDRESS": null}}]}'),
+        ("hospital", '{"features": [{"geometry": {"coordinates": [-121.5, 48.0]}, "properties": {"OBJECTID": 9, "NAME": "Clinic", "ADDRESS": "2 Oak Ave"}}]}'),
+    ],
+)
+
+
+@query(
+    f"""SELECT kind, CAST(f ->> '$.properties.OBJECTID' AS BIGINT) AS object_id, f ->> '$.properties.NAME' AS name, f ->> '$.properties.ADDRESS' AS address,
+    CAST(f ->> '$.geometry.coordinates[1]' AS DOUBLE) AS lat, CAST(f ->> '$.geometry.coordinates[0]' AS DOUBLE) AS lng FROM (SELECT kind, unnest(CAST(CAST(json AS JSON) -> '$.features' AS JSON[])) AS f FROM {GEO.sql})"""
+)
+def geojson_points(spark, sf_dir):
+    return S.geojson_points(GEO.frame(spark))
+
+
+# --- layout -----------------------------------------------------------------------------------------------------------
+
+WORDS = Inline(
+    "page int, text string, x0 double, x1 double, top double, page_left double, page_right double",
+    [(1, "left", 50.0, 90.0, 10.0, 0.0, 600.0), (1, "column", 100.0, 200.0, 12.0, 0.0, 600.0), (1, "right", 300.0, 360.0, 10.0, 0.0, 600.0), (1, "side", 352.0, 450.0, 11.0, 0.0, 600.0),
+     (1, "second", 60.0, 200.0, 30.0, 0.0, 600.0), (1, "7", 560.0, 580.0, 30.0, 0.0, 600.0), (1, "gap", 92.0, 104.0, 30.0, 0.0, 600.0),
+     (2, "one", 10.0, 40.0, 0.0, 0.0, 600.0), (2, "two", 45.0, 80.0, 2.0, 0.0, 600.0), (2, "three", 85.0, 120.0, 4.0, 0.0, 600.0), (2, "below", 10.0, 50.0, 10.0, 0.0, 600.0)],
+)
+
+
+def lines_sql(words: str, by: str) -> str:
+    return f"""(SELECT {by}, CAST(line_no AS INTEGER) AS line_no, string_agg(text, ' ' ORDER BY top, x0, text) AS line FROM (
+      SELECT *, sum(CASE WHEN abs(top - before) >= 3.0 THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY top, x0, text ROWS UNBOUNDED PRECEDING) AS line_no FROM (
+      SELECT *, lag(top) OVER (PARTITION BY {by} ORDER BY top, x0, text) AS before FROM {words})) GROUP BY {by}, line_no)"""
+
+
+@query(f"SELECT * FROM {lines_sql(WORDS.sql, 'page')}")
+def pdf_lines(spark, sf_dir):
+    return P.lines_of_words(WORDS.frame(spark), ["page"])
+
+
+COLUMNS = f"""(WITH bins AS (SELECT DISTINCT page, page_left, unnest(generate_series(greatest(0, CAST(trunc((x0 - page_left) / 4.0) AS BIGINT)), least(greatest(1, CAST(trunc((page_right - page_left) / 4.0) AS BIGINT) + 1) - 1, CAST(trunc((x1 - page_left) / 4.0) AS BIGINT)))) AS bin FROM {WORDS.sql}),
+  runs AS (SELECT *, sum(CASE WHEN (bin - before - 1) * 4.0 >= 12.0 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY bin) AS run FROM (SELECT *, lag(bin) OVER (PARTITION BY page ORDER BY bin) AS before FROM bins)),
+  cols AS (SELECT page, page_left + min(bin) * 4.0 AS x_start, page_left + (max(bin) + 1) * 4.0 AS x_end FROM runs GROUP BY page, page_left, run)
+  SELECT page, x_start, x_end, CAST(row_number() OVER (PARTITION BY page ORDER BY x_start) AS INTEGER) AS column_no FROM cols WHERE x_end - x_start >= 50.0)"""
+
+
+@query(f"SELECT * FROM {COLUMNS}")
+def pdf_columns(spark, sf_dir):
+    return P.column_ranges(WORDS.frame(spark), ["page"])
+
+
+@query(
+    f"""WITH c AS (SELECT * FROM {COLUMNS}), n AS (SELECT page, count(*) AS k FROM c GROUP BY page),
+    w AS (SELECT w.*, 1 AS column_no FROM {WORDS.sql} w LEFT JOIN n USING (page) WHERE coalesce(k, 0) <= 1
+      UNION ALL SELECT w.*, column_no FROM {WORDS.sql} w JOIN n USING (page) JOIN c ON c.page = w.page AND x0 >= x_start AND x0 < x_end WHERE k > 1),
+    p AS (SELECT page, column_no, string_agg(line, chr(10) ORDER BY line_no) AS part FROM {lines_sql("w", "page, column_no")} GROUP BY page, column_no)
+    SELECT page, string_agg(part, chr(10) || chr(10) ORDER BY column_no) AS text FROM p GROUP BY page"""
+)
+def page_texts(spark, sf_dir):
+    return P.page_texts(WORDS.frame(spark), ["page"])
