@@ -18,14 +18,19 @@ from lodestone.operators import index as I
 from lodestone.operators import search as S
 from lodestone.operators.parsing import known_tags
 from lodestone.plans.retrieve import retrieve
+from lodestone.tables import spread, workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.lit(1).alias("page"), F.col("lang").alias("disaster_type"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source", F.lit(1).alias("page"), F.col("lang").alias("disaster_type"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +52,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.build_index(chunks(spark, sf_dir), vectors(spark, sf_dir).select("id", "embedding"))
+    return I.build_index(chunks(spark, sf_dir), vectors(spark, sf_dir).select("id", "embedding"), workspace(spark, "index"))
 
 
 LEXICAL = f"""

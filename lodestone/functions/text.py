@@ -104,15 +104,26 @@ def is_link_fragment(c: Column) -> Column:
     return (s != "") & (s.isin(*C.LINK_EXACT) | any_of([s.contains(m) for m in C.LINK_MARKERS]) | short)
 
 
+def only_line(block: Column) -> Column:
+    """The block's line, stripped, if it has exactly one that isn't blank; else null."""
+    bare = strip(block)
+    lines = F.filter(F.transform(F.split(bare, r"\r\n|[\n\r]", -1), strip), lambda x: x != "")
+    one = F.when(F.size(lines) == 1, F.get(lines, F.lit(0)))
+    return F.when(bare == "", F.lit(None).cast("string")).when(bare.rlike(r"[\n\r]"), one).otherwise(bare)
+
+
 def is_heading(block: Column) -> Column:
     """Whether a block is one line that looks like a heading."""
-    lines = F.filter(F.transform(F.split(block, r"\r\n|[\n\r]", -1), strip), lambda x: x != "")
-    line = F.get(lines, F.lit(0))
-    n = token_count(line)
+    line = only_line(block)
+    return heading_line(line, token_count(line))
+
+
+def heading_line(line: Column, n: Column) -> Column:
+    """Whether a stripped line with n tokens looks like a heading; null doesn't."""
     alpha = F.regexp_extract_all(line, F.lit(r"[A-Za-z][A-Za-z'-]*"), F.lit(0))
     titled = F.size(F.filter(alpha, lambda w: w.rlike(r"^[A-Z]"))) / F.size(alpha)
     return (
-        F.when(F.size(lines) != 1, False)
+        F.when(line.isNull(), False)
         .when(line.rlike(r"^#{1,6}\s+\S"), True)
         .when(line.rlike(r"^[-*•]"), False)
         .when((n == 0) | (n > C.HEADING_MAX_WORDS), False)

@@ -23,8 +23,10 @@ _STRINGS = "array<string>"
 
 def described(paragraphs: Column) -> Column:
     """text, norm, n (tokens) and heading of each paragraph with a token."""
-    d = F.transform(paragraphs, lambda p: F.struct(p.alias("text"), T.normal(p).alias("norm"), T.token_count(p).alias("n"), T.is_heading(p).alias("heading")))
-    return F.filter(d, lambda x: x["norm"] != "")
+    first = F.transform(paragraphs, lambda p: F.struct(p.alias("text"), T.tokens(p).alias("tokens"), T.only_line(p).alias("line")))
+    first = F.filter(first, lambda x: F.size(x["tokens"]) > 0)
+    second = F.transform(first, lambda x: F.struct(x["text"].alias("text"), F.array_join(x["tokens"], " ").alias("norm"), F.size(x["tokens"]).alias("n"), x["line"].alias("line")))
+    return F.transform(second, lambda x: F.struct(x["text"].alias("text"), x["norm"].alias("norm"), x["n"].alias("n"), T.heading_line(x["line"], x["n"]).alias("heading")))
 
 
 def dedupe_paragraphs(paragraphs: Column) -> Column:

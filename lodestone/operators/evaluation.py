@@ -57,21 +57,21 @@ def summary(means: DataFrame) -> DataFrame:
     return out.withColumn("status", status)
 
 
-def length_bucket(n):
-    """The label of the half-open bucket that a token count falls in; null outside all."""
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for low, high in zip(C.LENGTH_EDGES, C.LENGTH_EDGES[1:]):
-        out = out.when((n >= low) & (n < high), f"{low}-{high}")
-    return out
-
-
 def length_histogram(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy(length_bucket(T.token_count(F.col("text"))).alias("bucket")).agg(F.count("*").alias("n")).where("bucket is not null")
+    """bucket, n: chunks by token count, in half-open buckets; empty buckets are left out.
+
+    One sum for each bucket over a count made once: a filter on the bucket would be pushed down, and count tokens again.
+    """
+    pairs = list(zip(C.LENGTH_EDGES, C.LENGTH_EDGES[1:]))
+    n = F.col("_n")
+    counts = chunks.select(T.token_count(F.col("text")).alias("_n")).agg(*[F.count(F.when((n >= a) & (n < b), 1)).alias(f"b{a}") for a, b in pairs])
+    rows = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("bucket"), F.col(f"b{a}").alias("n")) for a, b in pairs]))
+    return counts.select(rows.alias("r")).select("r.*").where("n > 0")
 
 
 def length_summary(chunks: DataFrame) -> DataFrame:
     """n, shortest, longest, mean, median and odd_share (too short or too long) of token counts."""
-    n = T.token_count(F.col("text"))
+    chunks, n = chunks.select(T.token_count(F.col("text")).alias("_n")), F.col("_n")
     odd = ((n < C.MIN_REASONABLE_TOKENS) | (n > C.MAX_REASONABLE_TOKENS)).cast("int")
     return chunks.agg(F.count("*").alias("n"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.round(F.avg(n), 6).alias("mean"), F.round(F.median(n), 6).alias("median"), F.round(F.avg(odd), 6).alias("odd_share"))
 

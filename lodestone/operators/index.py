@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions import text as T
+from lodestone.tables import materialize
 
 
 def postings(chunks: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -43,9 +44,14 @@ class Index:
     vectors: DataFrame
 
 
-def build_index(chunks: DataFrame, vectors: DataFrame) -> Index:
-    """The lexical tables of chunks (id, text, source, page, disaster_type), and given vectors (id, embedding)."""
+def build_index(chunks: DataFrame, vectors: DataFrame, folder: str | None = None) -> Index:
+    """The lexical tables of chunks (id, text, source, page, disaster_type), and given vectors (id, embedding).
+
+    With a folder the postings are written there first, so that term statistics and searches read them instead of the texts.
+    """
     posts, corpus = postings(chunks), corpus_stats(chunks)
+    if folder:
+        posts = materialize(posts, f"{folder}/posts")
     return Index(chunks, posts, term_stats(posts, corpus), corpus, vectors)
 
 

@@ -34,6 +34,12 @@ def materialize(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files make fewer than two tasks for each; larger tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < 2 * n else df
+
+
 def consecutive_ids(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
     """df with 0, 1, 2, ... in the given order, by a range sort and one offset for each partition; no task gets all rows."""
     spark = df.sparkSession
