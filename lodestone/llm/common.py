@@ -1,41 +1,16 @@
-"""What the operators of this subpackage share: shared-folder tables, word splitting, joins on skewed keys."""
+"""What the operators of this subpackage share: shared-folder tables, words, joins on skewed keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the contracts: maximal runs outside space and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_local: dict[str, str] = {}
+from lodestone.tables import materialize, workspace
 
+__all__ = ["HEAVY", "WORD", "join_skewed", "materialize", "numbered", "shuffle_partitions", "text_of", "workspace"]
 
-def workspace(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir.
-
-    The setting is read from the session.  Only a local session without one gets a temporary folder (tests);
-    a cluster without a shared folder is refused, as executors could not see each other's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Writes df as Parquet and reads it back: lineage ends here, and lost executors don't cost the work again."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+#: Words of the contracts: maximal runs outside space and U+0009 to U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -46,6 +21,11 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ..., which clash with no other name; toDF(*docs.columns) brings the names back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 #: A key with more than one row in HEAVY of all is joined by broadcast; there are at most HEAVY such keys.
 HEAVY = 2000
 

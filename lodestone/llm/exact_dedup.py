@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import join_skewed, materialize, shuffle_partitions, text_of, workspace
+from lodestone.llm.common import join_skewed, materialize, numbered, shuffle_partitions, text_of, workspace
 
 
 class ExtendibleHash:
@@ -30,7 +30,7 @@ class ExtendibleHash:
     whose keys agree in all `max_depth` bits is left overfull.
     """
 
-    def __init__(self, capacity: int = 256, max_depth: int = 64) -> None:
+    def __init__(self, capacity: int = 256, max_depth: int = 20) -> None:
         self.capacity, self.max_depth, self.depth = capacity, max_depth, 0
         self.directory: list[dict] = [{}]
         self.depths: dict[int, int] = {id(self.directory[0]): 0}
@@ -218,15 +218,17 @@ def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = exact_dedup(docs, id_col=id_col, text_col=text_col, **how).select("doc_id", "keep_id", "kept", "text_sha256")
     found = materialize(found, workspace(spark, "exact-dedup") + "/found")
     wins = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    plain = numbered(docs)
+    own_id, own_text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    digest = F.sha2(F.coalesce(own_text, F.lit("")), 256)
 
     def only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
         ids = ids.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-        return rows.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), how)
+        return rows.join(ids, F.col(own_id).cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), how)
 
-    stay = only(docs, found.where("kept"), "left_semi")
+    stay = only(plain, found.where("kept"), "left_semi")
     again = found.where(wins & ~F.col("kept")).select("doc_id", "text_sha256").distinct()
     if again.isEmpty():
-        return stay
-    one = only(docs, again, "left_semi").dropDuplicates([id_col, text_col])
-    return only(stay, again, "left_anti").unionByName(one)
+        return stay.toDF(*docs.columns)
+    one = only(plain, again, "left_semi").withColumn("_text", F.coalesce(own_text, F.lit(""))).dropDuplicates([own_id, "_text"]).drop("_text")
+    return only(stay, again, "left_anti").unionByName(one).toDF(*docs.columns)

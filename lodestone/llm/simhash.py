@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import join_skewed, materialize, shuffle_partitions, text_of, workspace
+from lodestone.llm.common import join_skewed, materialize, numbered, shuffle_partitions, text_of, workspace
 from lodestone.llm.components import connected_components
 
 
@@ -201,4 +201,5 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -
     """The rows of docs whose id is their component's smallest, with all their columns.  Rows without id stay."""
     found = near_duplicates(docs, id_col=id_col, **how)
     drop = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == F.col("_id"), "left_anti")
+    own_id = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    return numbered(docs).join(drop, own_id == F.col("_id"), "left_anti").toDF(*docs.columns)

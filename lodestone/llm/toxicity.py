@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence has a logistic score from its words; the document's score is the noisy-or
-of its sentences with a leak, 1 - (1 - leak) * prod(1 - p), so that length alone doesn't make a document toxic.  The
-weights are fitted to document labels only, and the sentence scores then locate the offending sentences.
+of its sentences with a leak, 1 - (1 - leak) * prod(1 - p).  A sentence in which no word is a feature has p = 0, and the
+leak takes up noise in the labels, so that length alone doesn't make a document toxic.  The weights are fitted to document
+labels only, and the sentence scores then locate the offending sentences.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_of
+from lodestone.llm.common import numbered, text_of
 
 #: Lower-cases, makes sentence ends line feeds and all other ASCII but letters and digits spaces.
 _TABLE = bytes(10 if chr(b) in ".!?\n" else b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -58,7 +59,6 @@ class Model:
     def scorer(self):
         """A function from a UTF-8 text to its score and to number and score of each sentence with evidence."""
         of, bias, leak = WordScores(self.weights).__getitem__, self.bias, self.leak
-        blank = math.log1p(math.exp(bias))
 
         def score(raw: bytes) -> tuple[float, list[tuple[int, float]]]:
             found, hidden = [], 0.0
@@ -68,8 +68,6 @@ class Model:
                     z += bias
                     found.append((k, 1 / (1 + math.exp(-z))))
                     hidden += max(z, 0.0) + math.log1p(math.exp(-abs(z)))
-                else:
-                    hidden += blank
             return 1 - (1 - leak) * math.exp(-hidden), found
 
         return score
@@ -93,11 +91,10 @@ def fit(texts: list[bytes], labels: np.ndarray, *, min_df: int = 3, steps: int =
     kept = {t: bool(y) for t, y in zip(texts, labels)}
     texts, y = list(kept), np.array(list(kept.values()), bool)
     vocabulary = screen(texts, y, min_df, most_features) if y.any() else {}
-    words, ends, bags, count = [], [], [], np.zeros(len(texts))
+    words, ends, bags = [], [], []
     for d, text in enumerate(texts):
         for s in sentences(text):
             ids = [i for w in s.split() for i in map(vocabulary.get, features(w)) if i is not None]
-            count[d] += 1
             if ids:
                 words += ids
                 ends.append(len(ids))
@@ -107,7 +104,6 @@ def fit(texts: list[bytes], labels: np.ndarray, *, min_df: int = 3, steps: int =
     flat, bags = np.array(words, np.int32), np.array(bags)
     of = np.repeat(np.arange(len(ends), dtype=np.int32), ends)
     n, size = len(texts), len(vocabulary)
-    blank = count - np.bincount(bags, minlength=n)
     theta = np.zeros(size + 2)
     theta[size], theta[size + 1] = -6.0, -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -115,10 +111,10 @@ def fit(texts: list[bytes], labels: np.ndarray, *, min_df: int = 3, steps: int =
     for step in range(1, steps + 1):
         z = theta[size] + np.bincount(of, theta[flat], len(ends))
         leak = sigmoid(theta[size + 1])
-        hidden = np.bincount(bags, np.logaddexp(0, z), n) + blank * np.logaddexp(0, theta[size]) - np.log1p(-leak)  # -log of P(clean)
+        hidden = np.bincount(bags, np.logaddexp(0, z), n) - np.log1p(-leak)  # -log of P(clean)
         push = np.where(y, -1 / np.expm1(np.clip(hidden, 1e-9, 60)), 1.0)
         dz = push[bags] * sigmoid(z) / n
-        g = np.concatenate([np.bincount(flat, dz[of], size) + ridge * theta[:size] / n, [dz.sum() + (push * blank).sum() * sigmoid(theta[size]) / n, (push * leak).sum() / n]])
+        g = np.concatenate([np.bincount(flat, dz[of], size) + ridge * theta[:size] / n, [dz.sum(), (push * leak).sum() / n]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         theta[size] = min(theta[size], -5.0)
@@ -190,5 +186,5 @@ def _pass_clean(model: Model, text_at: int, threshold: float):
 def without_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
     """The rows of docs whose score is below the threshold, with all their columns; nothing is shuffled."""
     model = train(docs, labels, text_col=text_col, **how)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    plain = numbered(docs)
     return plain.mapInArrow(_pass_clean(model, docs.columns.index(text_col), threshold), plain.schema).toDF(*docs.columns)
