@@ -173,7 +173,10 @@ def finish(title: Column, lines: Column, *, spacing: bool = False) -> Column:
 
 
 def clean_scrapes(files: DataFrame, dialect: str) -> DataFrame:
-    """source, text (cleaned), in_lines, out_lines for files (source, text) of a dialect: ready, cross or emd.  Null texts count as empty."""
+    """source, text (cleaned), in_lines, out_lines for files (source, text) of a dialect: ready, cross or emd.  Null texts count as empty.
+
+    Write the result before filtering on text: Spark would push the filter down and repeat the rules inside it.
+    """
     lines = split_lines(F.coalesce(F.col("text"), F.lit("")))
     cut = files.withColumn("_lines", lines)
     title, body = strip_header(F.col("_lines"), dialect)

@@ -13,14 +13,21 @@ from lodestone.tables import consecutive_ids, materialize, workspace
 
 
 def number_chunks(parts: list[DataFrame]) -> DataFrame:
-    """Chunks of several sources (source, page, section_no, piece_no, text, disaster_type) with ids in the order of the sources."""
-    union = S.in_source_order(parts)
-    numbered = consecutive_ids(union, [F.col(c) for c in ("source_rank", "source", "page", "section_no", "piece_no")])
+    """Chunks of several sources (source, page, section_no, piece_no, text, disaster_type) with ids in the order of the sources.
+
+    Within a source they stand by page, or by the column order_page where there is one (sidecars keep their blocks' order).
+    """
+    union = S.in_source_order([p if "order_page" in p.columns else p.withColumn("order_page", F.col("page")) for p in parts])
+    numbered = consecutive_ids(union, [F.col(c) for c in ("source_rank", "source", "order_page", "section_no", "piece_no")])
     return numbered.select("id", "text", "source", F.col("page").cast("int").alias("page"), "disaster_type")
 
 
 def build(spark: SparkSession, *, ready: str | None = None, cross: str | None = None, emd: list[str] | None = None, sidecars: str | None = None, pdfs: str | None = None, decode_pdf=None, embed=None) -> Index:
-    """Reads raw scrapes of the three dialects, sidecars and PDFs (those without a sidecar, if a decoder is given)."""
+    """Reads raw scrapes of the three dialects, sidecars and PDFs (those without a sidecar, if a decoder is given).
+
+    Cleaned texts, pages and chunks of a dialect are written before they are used: a filter that is pushed down through
+    the line rules would repeat them many times over.
+    """
     side = S.read_texts(spark, sidecars, "*.md") if sidecars else None
     parts = []
     if pdfs and decode_pdf:
@@ -34,10 +41,12 @@ def build(spark: SparkSession, *, ready: str | None = None, cross: str | None =
         parts.append(chunk_pages(pages.select("source", "page", T.clean(F.col("text")).alias("text")).where("text <> ''")))
     for dialect, files in (("ready", ready and S.read_texts(spark, ready)), ("cross", cross and S.read_texts(spark, cross)), ("emd", emd and S.read_first_of(spark, emd))):
         if files is not None and files:
-            parts.append(chunk_pages(S.text_pages(clean_scrapes(files, dialect))))
+            cleaned = materialize(clean_scrapes(files, dialect), workspace(spark, f"cleaned-{dialect}"))
+            pages = materialize(S.text_pages(cleaned), workspace(spark, f"pages-{dialect}"))
+            parts.append(materialize(chunk_pages(pages), workspace(spark, f"chunks-{dialect}")))
     if side is not None:
         blocks = chunk_blocks(S.sidecar_blocks(side))
-        parts.append(blocks.select("source", "page", F.col("block_no").alias("section_no"), F.lit(0).alias("piece_no"), "text", "disaster_type"))
+        parts.append(blocks.select("source", "page", F.col("block_no").alias("section_no"), F.lit(0).alias("piece_no"), "text", "disaster_type", F.lit(0).alias("order_page")))
     if not parts:
         raise ValueError("no sources")
     chunks = materialize(number_chunks(parts), workspace(spark, "chunks"))
