@@ -12,6 +12,7 @@ __all__ = ["HEAVY", "WORD", "join_skewed", "materialize", "numbered", "shuffle_p
 #: Words of the contracts: maximal runs outside space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

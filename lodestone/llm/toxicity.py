@@ -65,7 +65,7 @@ class Model:
             for k, sentence in enumerate(sentences(raw)):
                 z = sum(map(of, sentence.split()))
                 if z:
-                    z += bias
+                    z = min(max(z + bias, -60.0), 60.0)
                     found.append((k, 1 / (1 + math.exp(-z))))
                     hidden += max(z, 0.0) + math.log1p(math.exp(-abs(z)))
             return 1 - (1 - leak) * math.exp(-hidden), found

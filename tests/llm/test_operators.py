@@ -152,6 +152,8 @@ def test_long_clean_text_stays_clean():
     model = fit(texts, np.array([1] * 31 + [0] * 90, bool))
     score = model.scorer()
     assert score(b"so bad. ok.")[0] > 0.5 > score(b"fine day. " * 5000)[0]
+    model.weights[b"meek\n"] = -3.0
+    assert score(b"meek " * 5000)[0] < 0.5 < score(b"bad " * 5000)[0]
 
 
 # --- quality ----------------------------------------------------------------------------------------------------------
