@@ -31,7 +31,7 @@ class WordIds(dict):
     from there, and the others are forgotten when the next half is full.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}

@@ -40,7 +40,7 @@ def features(word: bytes) -> list[bytes]:
 class WordScores(dict):
     """A word's share of the sentence score; emptied when it holds `most` words."""
 
-    def __init__(self, weights: dict[bytes, float], most: int = 500_000) -> None:
+    def __init__(self, weights: dict[bytes, float], most: int = 200_000) -> None:
         self.weights, self.most = weights, most
 
     def __missing__(self, word: bytes) -> float:
