@@ -4,8 +4,9 @@
 2. The driver grows a directory over the leading bits of the key: it doubles whenever an overfull bucket is as deep as
    the directory, and the bucket splits.  Only a histogram with a few slots per bucket reaches the driver.
 3. Map tasks collapse equal texts and deal one row for each to the owner of its key range; consecutive buckets form a range.
-4. An owner inserts what it gets into pages of its own extendible-hash table.  Entries of one key form a chain, which
-   compares whole texts byte by byte.  The pages are written to the shared folder.
+4. An owner inserts what it gets, sorted by key, into pages of its own extendible-hash table.  Entries of one key form a
+   chain, which compares whole texts byte by byte; once its key has passed, an entry keeps the text's digest alone.  The
+   pages are written to the shared folder.
 5. Rows look up their entry by key and digest.  Entries with very many rows are broadcast, as their number is bounded.
 """
 
@@ -137,38 +138,44 @@ def _dealer(owners: np.ndarray, bits: int, hold_bytes: int):
 
 
 def _owner(page_capacity: int):
-    """Inserts what a task owns into its pages and returns one row for each entry."""
+    """Inserts what a task owns into its pages and returns one row for each entry.  Rows come in order of their key."""
+
+    def seal(chain: list) -> None:
+        """Texts give way to digests."""
+        for entry in chain:
+            entry[0] = hashlib.sha256(entry[0]).digest()
+        if len({e[0] for e in chain}) < len(chain):
+            raise ValueError("two different texts share key and SHA-256")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ExtendibleHash(page_capacity)
+        at, chain = None, []
         for batch in batches:
-            _, keys, texts, tops, at, ns = batch.columns
-            for key, text, top, at_top, n in zip(keys.to_pylist(), texts, tops.to_pylist(), at.to_pylist(), ns.to_pylist()):
+            _, keys, texts, tops, counts, ns = batch.columns
+            for key, text, top, at_top, n in zip(keys.to_pylist(), texts, tops.to_pylist(), counts.to_pylist(), ns.to_pylist()):
+                if key != at:
+                    seal(chain)
+                    at, chain = key, index.chain(key)
                 text = text.as_buffer().to_pybytes()
-                chain = index.chain(key)
                 for entry in chain:
                     if entry[0] == text:
                         _merge(entry, top, at_top, n)
                         break
                 else:
                     chain.append([text, top, at_top, n])
-        out: list[tuple] = []
-        for number, page in enumerate(index.pages()):
-            for key, chain in page.items():
-                digests = [hashlib.sha256(e[0]).digest() for e in chain]
-                if len(set(digests)) < len(digests):
-                    raise ValueError("two different texts share key and SHA-256")
-                out += [(number, key, i, d, *e[1:]) for i, (d, e) in enumerate(zip(digests, chain))]
+        seal(chain)
         names = ["page", "key", "chain_no", "digest", "keep_id", "keep_rows", "group_size"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        columns = list(zip(*out)) or [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        for number, page in enumerate(index.pages()):
+            columns = list(zip(*[(number, key, i, *e) for key, chain in page.items() for i, e in enumerate(chain)]))
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return own
 
 
 def exact_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, owner_bytes: int = 64 << 20, page_capacity: int = 256, hold_bytes: int = 32 << 20, key_bits: int = 64
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 64 << 20, owner_bytes: int = 1 << 30, page_capacity: int = 256, hold_bytes: int = 32 << 20, key_bits: int = 64
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, page, chain_no.
 
@@ -187,18 +194,19 @@ def exact_dedup(
     keys = materialize(keys, f"{at}/keys")
 
     total, size = keys.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    bits = min(24, max(6, math.ceil(math.log2(max(1, size / bucket_bytes))) + 3))
-    load = np.zeros(1 << bits)
-    for slot, n in keys.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("slot")).agg(F.sum("bytes")).toLocalIterator():
-        load[slot] = n
-    buckets = grow_directory(load, bucket_bytes)
     owners_n = max(shuffle_partitions(spark), math.ceil(size / owner_bytes))
+    capacity = max(1, min(bucket_bytes, size / (4 * owners_n)))  # so that ranges of buckets come out even
+    bits = min(24, max(6, math.ceil(math.log2(max(1, size / capacity))) + 3))
+    slots = keys.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("slot")).agg(F.sum("bytes").alias("bytes")).toPandas()
+    load = np.zeros(1 << bits)
+    load[slots["slot"].to_numpy(np.int64)] = slots["bytes"]
+    buckets = grow_directory(load, capacity)
     per_bucket = np.bincount(buckets, load)
     begin = np.concatenate([[0], np.cumsum(per_bucket)[:-1]])
     owner_of = np.minimum(owners_n - 1, (begin * owners_n / max(1, size)).astype(np.int64))
 
     dealt = rows.mapInArrow(_dealer(owner_of[buckets].astype(np.int32), bits, hold_bytes), "owner int, key long, text binary, top long, at_top long, n long")
-    entries = dealt.repartitionById(owners_n, "owner").mapInArrow(_owner(page_capacity), "page int, key long, chain_no int, digest binary, keep_id long, keep_rows long, group_size long")
+    entries = dealt.repartitionById(owners_n, "owner").sortWithinPartitions("key").mapInArrow(_owner(page_capacity), "page int, key long, chain_no int, digest binary, keep_id long, keep_rows long, group_size long")
     index = materialize(entries, f"{at}/index")
 
     out = join_skewed(keys, index, ["key", "digest"], "group_size", total)
