@@ -3,6 +3,10 @@
 A document's histograms of character classes and of its language's most common words are compared with those of all
 documents of the language by the Jensen-Shannon distance (base 2, from 0 to 1).  Short documents and thin references are
 not judged, as their histograms are noise.
+
+The distance of a text without common words depends on the language's share of them, so the bound on words is a part of
+that distance.  Common words that a document of its length would have less than once share a bin: with a bin for each,
+noise alone sets short documents of the language as far off as those of another.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from lodestone.llm.common import text_of
 
 SPACE, LOWER, UPPER, DIGIT, STOP, MARK, SYMBOL, WIDE, REST = range(9)
 SYMBOLS = b"#*$%&|<>"
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _byte_classes() -> np.ndarray:
@@ -43,13 +48,25 @@ def class_counts(raw: bytes) -> np.ndarray:
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon distance of two histograms of counts, not both empty."""
-    p, q = p / p.sum(), q / q.sum()
+    p, q = (x / np.sum(x) for x in (p, q))
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = [np.where(x > 0, x * np.log2(x / m), 0).sum() for x in (p, q)]
     return float(np.sqrt(max(0.0, sum(parts) / 2)))
 
 
+def words_distance(words: list, ref: dict) -> float:
+    """The distance of lower-cased words from a reference, over its common words that are expected once or more, its other
+    common words, words of punctuation alone, and all others."""
+    index, n = ref["words"], ref["n"]
+    most = len(index)
+    hits = np.bincount([index.get(w, most + 1) for w in words], minlength=most + 2)
+    bare = sum(not w.strip(PUNCTUATION) for w in words)
+    hits[most:] = bare, hits[-1] - bare
+    own = np.count_nonzero(n[:most] * len(words) >= n.sum())
+    return distance(*([*x[:own], x[own:most].sum(), *x[most:]] for x in (hits, n)))
+
+
 def repeated_words(words: list, width: int = 5) -> int:
     """Words in windows of `width` words that occur twice or more."""
     windows = list(zip(*(words[i:] for i in range(width))))
@@ -74,7 +91,7 @@ def _count(most: int):
     """Character classes (named by number) and lower-cased words of a task by language."""
 
     def rows(words: dict, classes: dict) -> pa.RecordBatch:
-        flat = [(lang, "w", w, n) for lang, c in words.items() for w, n in c.items()] + [(lang, "c", b"%d" % i, n) for lang, c in classes.items() for i, n in enumerate(c.tolist())]
+        flat = [(lang, "w" if w.strip(PUNCTUATION) else "p", w, n) for lang, c in words.items() for w, n in c.items()] + [(lang, "c", b"%d" % i, n) for lang, c in classes.items() for i, n in enumerate(c.tolist())]
         columns = list(zip(*flat)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64()))], names=["lang", "kind", "item", "n"])
 
@@ -95,13 +112,14 @@ def _count(most: int):
 
 
 def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", common: int = 100, hold_words: int = 400_000) -> dict:
-    """By language (null is one): counts of the classes, the common words, their counts and that of all other words.
+    """By language (null is one): counts of the classes; the common words, commonest first; their counts, that of words of
+    punctuation alone and that of all others; the distance of a text without common words.
 
     Counted over all documents; `common` words and nine classes for each language reach the driver.
     """
     counted = docs.select(F.col(lang_col).cast("string"), text_of(text_col).cast("binary")).mapInArrow(_count(hold_words), "lang string, kind string, item binary, n long")
     sums = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))).where(F.col("rank") <= max(common, 9))
+    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))).where((F.col("rank") <= max(common, 9)) & (F.col("kind") != "p"))
     out: dict = {}
     for r in ranked.collect():
         ref = out.setdefault(r["lang"], {"classes": np.zeros(9, np.int64), "words": [], "n": []})
@@ -109,12 +127,14 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
             ref["classes"][int(bytes(r["item"]))] = r["n"]
         else:
             ref["words"].append((-r["n"], bytes(r["item"])))
-    totals = {r["lang"]: r["n"] for r in sums.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {(r["lang"], r["kind"]): r["n"] for r in sums.where("kind <> 'c'").groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     for lang, ref in out.items():
         top = sorted(ref["words"])[:common]
         ref["words"] = {w: i for i, (_, w) in enumerate(top)}
         n = [-x for x, _ in top]
-        ref["n"] = np.array([*n, totals.get(lang, 0) - sum(n)], float)
+        bare, others = totals.get((lang, "p"), 0), totals.get((lang, "w"), 0) - sum(n)
+        ref["n"] = np.array([*n, bare, others], float)
+        ref["none"] = distance([0, 1], [sum(n) + bare, others]) if sum(n) + bare + others else 0.0
     return out
 
 
@@ -140,10 +160,8 @@ def _judge(refs: dict, p: dict):
                 if chars >= p["min_chars"] and ref["n"].sum() >= p["min_reference_words"]:
                     of_class = distance(classes, ref["classes"])
                 if len(words) >= p["min_words"] and ref["n"].sum() >= p["min_reference_words"]:
-                    index = ref["words"]
-                    hits = np.bincount([index.get(w, len(index)) for w in raw.lower().split()], minlength=len(index) + 1)
-                    of_word = distance(hits, ref["n"])
-                good = (of_class is None or of_class <= p["max_class_distance"]) and (of_word is None or of_word <= p["max_word_distance"])
+                    of_word = words_distance(raw.lower().split(), ref)
+                good = (of_class is None or of_class <= p["max_class_distance"]) and (of_word is None or of_word <= p["max_word_part"] * ref["none"])
                 out.append((doc_id, len(words), chars, int(by_byte[symbols].sum()), repeated_lines(raw), repeats, failed, of_class, of_word, good and not failed))
             columns = list(zip(*out)) or [[]] * len(NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], names=NAMES)
@@ -162,16 +180,19 @@ def quality_rules(
     min_words: int = 40,
     min_reference_words: int = 2000,
     max_class_distance: float = 0.3,
-    max_word_distance: float = 0.5,
+    max_word_part: float = 0.6,
 ) -> DataFrame:
     """One row per input row: the base counts, base_failed, class_distance, word_distance (null: too short to judge) and kept.
 
+    kept: the base rules hold, class_distance is at most max_class_distance, and word_distance at most max_word_part of the
+    distance that a text without any common word of the language has.
+
     A null text counts as empty and fails the base rules.  Null languages form one language.  A language with fewer than
     min_reference_words words has no reference, and its documents are judged by the base rules alone.  Null ids and
     repeated rows are judged like any others; an empty table gives an empty result.  Other columns are not read.
     """
     refs = references(docs, text_col=text_col, lang_col=lang_col, common=common)
-    params = {"min_chars": min_chars, "min_words": min_words, "min_reference_words": min_reference_words, "max_class_distance": max_class_distance, "max_word_distance": max_word_distance}
+    params = {"min_chars": min_chars, "min_words": min_words, "min_reference_words": min_reference_words, "max_class_distance": max_class_distance, "max_word_part": max_word_part}
     rows = docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), text_of(text_col).cast("binary"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
     return rows.mapInArrow(_judge(refs, params), schema)

@@ -190,6 +190,19 @@ def test_quality_verdicts(spark):
     assert repeated_words("a b c d e a b c d e".split()) == 10
 
 
+def test_quality_other_languages_and_random_words(spark):
+    draw = random.Random(3)
+    other = lambda: "".join(draw.choices("aeioustrn", k=6))
+    common = {"en": ["the", "of", "and", "to", "in"], "de": ["der", "und", "die", "zu", "von"]}
+    # the shares of text: 36% common words, as in the languages themselves; | is a frequent word of every document
+    prose = lambda lang, n=120: " ".join("|" if (x := draw.random()) < 0.02 else draw.choice(common[lang]) if x < 0.38 else other() for _ in range(n))
+    rows = [row(i, prose(lang), lang=lang) for i, lang in enumerate(["en", "de"] * 100)]
+    rows += [row(500, prose("de"), lang="en"), row(501, prose("en", 40), lang="de"), row(502, " ".join(other() for _ in range(300)), lang="en"), row(503, " ".join(["|" + " |" * 5, *(other() for _ in range(300))]), lang="de"), row(504, prose("en", 40), lang="en")]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, SCHEMA), common=5).collect()}
+    assert all(got[i].kept for i in (*range(200), 504))
+    assert not any(got[i].kept or got[i].base_failed or got[i].class_distance > 0.3 for i in (500, 501, 502, 503))
+
+
 # --- token counts -----------------------------------------------------------------------------------------------------
 
 
