@@ -366,6 +366,25 @@ def test_network(spark, empty):
         small.p[name][at] += 1e-5
 
 
+def test_secrets_inside_long_runs(spark, empty):
+    draw = random.Random(5)
+    key = lambda: "".join(draw.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=40))
+    path = lambda n: "".join(draw.choice(("assets/", "static/", "docs/", "images/", "report2/", "page3/")) for _ in range(n))
+    long, beside = [], []
+    for _ in range(30):
+        a, b, k = path(draw.randint(12, 40)), path(draw.randint(0, 12)), key()
+        long.append((f"see /{a}{k}/{b}index.html for more", 5 + len(a), k))
+        hexed = "".join(draw.choices("0123456789abcdef", k=32))
+        beside.append((f"see {hexed}-{k} for more", 4 + 33, k))
+    clean = [f"see /{path(draw.randint(12, 40))}index.html for more" for _ in range(30)]
+    texts = [t for t, *_ in long + beside] + clean
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("model")] for r in scan_secrets(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA), train_model(empty, synthetic=3000)).collect()}
+    hits = [any(s < at + len(k) and at < e for s, e in got[i]) for i, (_, at, k) in enumerate(long + beside)]
+    assert sum(hits[:30]) >= 25 and sum(hits[30:]) >= 25
+    assert sum(bool(got[i]) for i in range(60, 90)) <= 3
+    assert all(e - s < len(texts[i]) - 20 for i in range(30) for s, e in got[i] if len(texts[i]) > 250)
+
+
 # --- language model ---------------------------------------------------------------------------------------------------
 
 
