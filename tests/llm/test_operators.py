@@ -385,6 +385,26 @@ def test_secrets_inside_long_runs(spark, empty):
     assert all(e - s < len(texts[i]) - 20 for i in range(30) for s, e in got[i] if len(texts[i]) > 250)
 
 
+def test_threshold_keeps_the_recall():
+    pairs = made_up(600, 4)
+    x, y = encode([w for w, _ in pairs]), np.array([i % 10 == 0 for i in range(len(pairs))], float)  # labels that can't be told apart
+    model = CharCNN(seed=1)
+    model.calibrate(x, y, 0.97)
+    assert (model.probability(x)[y > 0] >= model.threshold).mean() >= 0.97
+
+
+def test_calibration_values_are_not_trained_on(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(CharCNN, "train", lambda self, x, y, **_: seen.update(train=(x, y)))
+    monkeypatch.setattr(CharCNN, "calibrate", lambda self, x, y, _: seen.update(calibrate=(x, y)))
+    draw = random.Random(8)
+    texts = [f"{lead} password = '{value}' and" for value in ("".join(draw.choices("abcdefgh01234567", k=14)) + "1" for _ in range(90)) for lead in ("some words", "others")]
+    train_model(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA), synthetic=0)
+    value = lambda name: {w.tobytes() for w in seen[name][0][:, 28:84]}
+    assert len(value("train")) + len(value("calibrate")) == 90 and len(value("calibrate")) > 10
+    assert len(seen["train"][0]) > len(value("train")) * 2 and len(seen["calibrate"][0]) == len(value("calibrate")) * 2
+
+
 # --- language model ---------------------------------------------------------------------------------------------------
 
 
