@@ -385,6 +385,17 @@ def test_secrets_inside_long_runs(spark, empty):
     assert all(e - s < len(texts[i]) - 20 for i in range(30) for s, e in got[i] if len(texts[i]) > 250)
 
 
+def test_secrets_without_digits_or_short(spark, empty):
+    draw = random.Random(6)
+    letters = lambda a, b: "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=draw.randint(a, b)))
+    short = lambda: "".join(draw.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=9))
+    texts = [f"they sent {letters(24, 40)} to us" for _ in range(30)] + [f"the {draw.choice(['passphrase is', 'pwd:', 'password is'])} {short()} for now" for _ in range(30)]
+    texts += [f"the {draw.choice(['report:', 'key', 'token', 'house:', 'number ='])} {draw.choice(['however', 'afternoon', 'themselves', 'Winter', 'OpenStreetMap', 'question.'])} for now" for _ in range(60)]
+    got = {r.doc_id: "model" in r.spans for r in scan_secrets(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA), train_model(empty, synthetic=4000)).collect()}
+    assert sum(got[i] for i in range(30)) >= 27 and sum(got[i] for i in range(30, 60)) >= 24
+    assert sum(got[i] for i in range(60, 120)) <= 6
+
+
 def test_threshold_keeps_the_recall():
     pairs = made_up(600, 4)
     x, y = encode([w for w, _ in pairs]), np.array([i % 10 == 0 for i in range(len(pairs))], float)  # labels that can't be told apart
