@@ -1,8 +1,10 @@
 """Quality rules by distribution divergence from language references.
 
 A document's histograms of character classes and of its language's most common words are compared with those of all
-documents of the language by the Jensen-Shannon distance (base 2, from 0 to 1).  Short documents and thin references are
-not judged, as their histograms are noise.
+documents of the language by the Jensen-Shannon distance (base 2, from 0 to 1).  Thin references judge nothing.
+
+Short documents: a number or address among few words outweighs the other classes, so symbols are told from all else only;
+and the bound on words grows with the noise in few of them.
 
 The distance of a text without common words depends on the language's share of them, so the bound on words is a part of
 that distance.  Common words that a document of its length would have less than once share a bin: with a bin for each,
@@ -55,6 +57,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, sum(parts) / 2)))
 
 
+def symbols_alone(classes: np.ndarray) -> np.ndarray:
+    """Counts of symbols and of all other characters but space."""
+    return np.array([classes[SYMBOL], classes.sum() - classes[SPACE] - classes[SYMBOL]])
+
+
 def words_distance(words: list, ref: dict) -> float:
     """The distance of lower-cased words from a reference, over its common words that are expected once or more, its other
     common words, words of punctuation alone, and all others."""
@@ -157,11 +164,11 @@ def _judge(refs: dict, p: dict):
                 failed = len(words) < 10 or 100 * repeats > 20 * len(words)
                 ref = refs[lang]
                 of_class = of_word = None
-                if chars >= p["min_chars"] and ref["n"].sum() >= p["min_reference_words"]:
-                    of_class = distance(classes, ref["classes"])
-                if len(words) >= p["min_words"] and ref["n"].sum() >= p["min_reference_words"]:
+                short = chars < p["min_chars"]
+                if words and ref["n"].sum() >= p["min_reference_words"]:
+                    of_class = distance(*map(symbols_alone, (classes, ref["classes"]))) if short else distance(classes, ref["classes"])
                     of_word = words_distance(raw.lower().split(), ref)
-                good = (of_class is None or of_class <= p["max_class_distance"]) and (of_word is None or of_word <= p["max_word_part"] * ref["none"])
+                good = (of_class is None or of_class <= p["max_symbol_distance" if short else "max_class_distance"]) and (of_word is None or of_word <= (p["max_word_part"] + p["few_words"] / len(words)) * ref["none"])
                 out.append((doc_id, len(words), chars, int(by_byte[symbols].sum()), repeated_lines(raw), repeats, failed, of_class, of_word, good and not failed))
             columns = list(zip(*out)) or [[]] * len(NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], names=NAMES)
@@ -177,14 +184,16 @@ def quality_rules(
     lang_col: str = "lang",
     common: int = 100,
     min_chars: int = 120,
-    min_words: int = 40,
     min_reference_words: int = 2000,
     max_class_distance: float = 0.3,
-    max_word_part: float = 0.6,
+    max_symbol_distance: float = 0.2,
+    max_word_part: float = 0.5,
+    few_words: float = 8.0,
 ) -> DataFrame:
-    """One row per input row: the base counts, base_failed, class_distance, word_distance (null: too short to judge) and kept.
+    """One row per input row: the base counts, base_failed, class_distance, word_distance (null: no words or no reference) and kept.
 
-    kept: the base rules hold, class_distance is at most max_class_distance, and word_distance at most max_word_part of the
+    kept: the base rules hold; class_distance is at most max_class_distance or, under min_chars characters, where it tells
+    symbols from all else only, max_symbol_distance; and word_distance is at most max_word_part + few_words / words of the
     distance that a text without any common word of the language has.
 
     A null text counts as empty and fails the base rules.  Null languages form one language.  A language with fewer than
@@ -192,7 +201,7 @@ def quality_rules(
     repeated rows are judged like any others; an empty table gives an empty result.  Other columns are not read.
     """
     refs = references(docs, text_col=text_col, lang_col=lang_col, common=common)
-    params = {"min_chars": min_chars, "min_words": min_words, "min_reference_words": min_reference_words, "max_class_distance": max_class_distance, "max_word_part": max_word_part}
+    params = {"min_chars": min_chars, "min_reference_words": min_reference_words, "max_class_distance": max_class_distance, "max_symbol_distance": max_symbol_distance, "max_word_part": max_word_part, "few_words": few_words}
     rows = docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), text_of(text_col).cast("binary"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
     return rows.mapInArrow(_judge(refs, params), schema)

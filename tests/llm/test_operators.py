@@ -203,6 +203,17 @@ def test_quality_other_languages_and_random_words(spark):
     assert not any(got[i].kept or got[i].base_failed or got[i].class_distance > 0.3 for i in (500, 501, 502, 503))
 
 
+def test_quality_short_documents(spark):
+    draw = random.Random(4)
+    prose = lambda n: " ".join(draw.choice(["the", "of", "and", "to", "in"]) if draw.random() < 0.38 else "".join(draw.choices("aeioustrn", k=6)) for _ in range(n))
+    junk = lambda n: " ".join(w + draw.choice(["", "%%%", "&&&"]) for w in prose(n).split())
+    rows = [row(i, prose(120)) for i in range(100)] + [row(200 + i, f"{prose(14)} +1 (372) 555-7739 9597024294303453") for i in range(50)]
+    rows += [row(300 + i, junk(15)) for i in range(50)] + [row(400 + i, " ".join("".join(draw.choices("aeioustrn", k=5)) for _ in range(24))) for i in range(50)]
+    kept = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, SCHEMA), common=5).collect()}
+    count = lambda a: sum(kept[i] for i in range(a, a + 50))
+    assert count(200) >= 49 and count(300) <= 1 and count(400) <= 1 and all(kept[i] for i in range(100))
+
+
 # --- token counts -----------------------------------------------------------------------------------------------------
 
 
