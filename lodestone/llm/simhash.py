@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import join_skewed, materialize, numbered, shuffle_partitions, text_of, workspace
@@ -45,7 +45,7 @@ def _fingerprints(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_buffer().to_pybytes(), width, seed) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.int64())], names=["doc_id", *batch.schema.names[2:], "fp"])
 
     return run
 
@@ -177,10 +177,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fingerprint zero and are linked like any other.  Null ids are no component_id unless a component has no others.
     Repeated rows share a component; an empty table gives an empty result.  Other columns are not read.
     """
+    out = _found(docs, [], id_col, text_col, width, seed, radius)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _found(docs: DataFrame, keys: list[Column], id_col: str, text_col: str, width: int, seed: int, radius: int) -> DataFrame:
+    """One row per input row: doc_id, the keys (named columns of type long), fp, root (a fingerprint, one for each component) and component_id."""
     spark = docs.sparkSession
     at = workspace(spark, "simhash")
-    texts = docs.select(F.col(id_col).cast("long"), text_of(text_col).cast("binary"))
-    rows = materialize(texts.mapInArrow(_fingerprints(width, seed), "doc_id long, fp long"), f"{at}/rows")
+    texts = docs.select(F.col(id_col).cast("long"), text_of(text_col).cast("binary"), *keys)
+    kept = "".join(f"{c} long, " for c in texts.columns[2:])
+    rows = materialize(texts.mapInArrow(_fingerprints(width, seed), f"doc_id long, {kept}fp long"), f"{at}/rows")
     total = rows.count()
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), f"{at}/prints")
     n = prints.count()
@@ -192,14 +199,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     linked = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "id", "n", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("n").alias("members"))
-    of_print = materialize(join_skewed(linked, least, ["root"], "members", n).select("fp", "n", "component_id"), f"{at}/found")
-    out = join_skewed(rows, of_print, ["fp"], "n", total)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_print = materialize(join_skewed(linked, least, ["root"], "members", n).select("fp", "n", "root", "component_id"), f"{at}/found")
+    return join_skewed(rows, of_print, ["fp"], "n", total)
+
 
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """Of each component the row with the smallest id, with all its columns.  Rows without id stay.
 
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs whose id is their component's smallest, with all their columns.  Rows without id stay."""
-    found = near_duplicates(docs, id_col=id_col, **how)
-    drop = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    own_id = F.col(f"c{docs.columns.index(id_col)}").cast("long")
-    return numbered(docs).join(drop, own_id == F.col("_id"), "left_anti").toDF(*docs.columns)
+    Rows are known by id and text: of rows with one id and different texts each counts for its own component, and where
+    both have its smallest id, the one with the smaller text hash stays.  Rows equal in id and text stay or go together.
+    """
+    key = F.xxhash64(text_of(text_col))
+    found = _found(docs, [key.alias("key")], id_col, text_col, width, seed, radius).select("doc_id", "key", "root", "component_id")
+    found = materialize(found, workspace(docs.sparkSession, "near"))
+    least = found.where("doc_id = component_id")
+    doubled = least.groupBy("root").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    drop = found.where("doc_id <> component_id").select("doc_id", "key").unionByName(least.join(doubled, "root").where("key <> first").select("doc_id", "key"))
+    own_id, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    same = (own_id.cast("long") == F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
+    return numbered(docs).join(drop.distinct().toDF("_id", "_key"), same, "left_anti").toDF(*docs.columns)

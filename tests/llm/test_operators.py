@@ -586,6 +586,14 @@ def test_near_duplicates(spark, docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    text = lambda c, n=400: " ".join(f"{c}{j}" for j in range(n))
+    rows = [row(1, text("a")), row(5, text("a")), row(5, text("b")), row(9, text("b")), row(7, text("c")), row(7, text("c", 399)), row(8, text("c")), row(3, text("d")), row(3, text("e"))]
+    assert len({r.component_id for r in near_duplicates(spark.createDataFrame(rows[4:7], SCHEMA)).collect()}) == 1
+    kept = sorted((r.doc_id, r.text[0]) for r in without_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert kept == [(1, "a"), (3, "d"), (3, "e"), (5, "b"), (7, "c")]
+
+
 def test_join_skewed(spark):
     rows = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 0)], "k long, x long")
     table = spark.createDataFrame([(1, "hot", 50), (2, "cold", 1)], "k long, name string, n long")
