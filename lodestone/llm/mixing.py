@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Words are handed out in blocks of equal size.  Sources get whole blocks by the highest quotients target / (2 k + 1); the
-blocks of a source go to its shards by the same rule, with the shards' own blocks as votes.  A shard is a seeded share of
-the source's documents, small enough for one task; its documents stand in a seeded order and are cut into blocks that
-differ by one word at most.  All blocks are taken equally often, but for a run of blocks from a seeded place on, which is
-taken once more; so nearly all documents are taken whole.
+Words are handed out in blocks of BLOCK words, whatever the size of the table.  Sources get whole blocks by the highest
+quotients target / (2 k + 1); the blocks of a source go to its shards by the same rule, with the shards' words as votes.
+What is left between a source's blocks and its target, a block or so, is settled inside one block of its largest shards.
+A shard is a seeded share of the source's documents, small enough for one task; its documents stand in a seeded order and
+are cut into blocks.  All blocks are taken equally often, but for a seeded selection of blocks that are taken once more,
+the last of them in part.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from lodestone.llm.common import WORD, materialize, text_of, workspace
 #: Up to so many sources their table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
+#: Words in a block; the last block of a shard may be shorter.
+BLOCK = 4096
+
 
 def capped_targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
     """Shares of total by weight; one above most times its size stops there and its excess goes to the others by weight."""
@@ -72,32 +76,82 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return out
 
 
+def shard_words(votes: np.ndarray, seats: int, words: int, most: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of each shard by Sainte-Laguë, and its words: those blocks, and what is left of the source's words.
+
+    The rest, positive or negative, goes to the largest shards first; none gets under 0 or over most times its words.
+    """
+    votes = np.asarray(votes, np.int64)
+    blocks = sainte_lague(votes, seats, most * votes // block)
+    out = blocks * block
+    rest = words - int(out.sum())
+    for i in np.lexsort((np.arange(len(votes)), -votes)):
+        if not rest:
+            break
+        change = int(np.clip(rest, -out[i], most * votes[i] - out[i]))
+        out[i] += change
+        rest -= change
+    return blocks, out
+
+
+def block_order(words: int, block: int, seed: list[int]) -> np.ndarray:
+    """The numbers of a shard's blocks in the order of their seeded selection."""
+    return np.random.default_rng(seed).permutation(-(-words // block))
+
+
 TAKEN = "row long, taken long, copies long, spans array<struct<begin: long, end: long>>"
 
 
-def _select(seed: int):
+def _select(seed: int, block: int):
     """The words that the mix takes from each document of a shard: whole copies, and ranges of words taken once more."""
 
     def select(key, rows, quota):
-        rows = rows.sort_by([("deal", "ascending"), ("doc_id", "ascending"), ("tie", "ascending"), ("size", "ascending")])
+        rows = rows.sort_by([("deal", "ascending"), ("doc_id", "ascending"), ("tie", "ascending"), ("copy", "ascending"), ("size", "ascending")])
         sizes = rows["size"].to_numpy()
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        words, blocks, q = int(sizes.sum()), quota["blocks"][0].as_py(), quota["quota"][0].as_py()
-        copies, extra = divmod(q, blocks) if blocks else (0, 0)
-        first = int(np.random.default_rng([seed, key[0].as_py(), key[1].as_py()]).integers(blocks)) if blocks else 0
-        edge = lambda i: i * words // blocks
-        last = first + extra
-        runs = [(edge(first), edge(min(last, blocks))), (0, edge(last - blocks))] if last > blocks else [(edge(first), edge(last))] if extra else []
-        cut = [(np.clip(a, starts, ends) - starts, np.clip(b, starts, ends) - starts) for a, b in sorted(runs)]
-        taken = copies * sizes + sum((b - a for a, b in cut), np.zeros(len(sizes), np.int64))
-        spans = [[{"begin": int(a[i]), "end": int(b[i])} for a, b in cut if b[i] > a[i]] for i in range(len(sizes))]
+        words = int(sizes.sum())
+        copies, extra = divmod(quota["quota"][0].as_py(), words) if words else (0, 0)
+        runs: list[list[int]] = []
+        if extra:
+            order = block_order(words, block, [seed, key[0].as_py(), key[1].as_py()])
+            length = np.minimum((order + 1) * block, words) - order * block
+            taken_to = np.cumsum(length)
+            n = int(np.searchsorted(taken_to, extra)) + 1
+            length[n - 1] -= taken_to[n - 1] - extra
+            for b, size in sorted(zip(order[:n].tolist(), length[:n].tolist())):
+                if runs and runs[-1][1] == b * block:
+                    runs[-1][1] += size
+                else:
+                    runs.append([b * block, b * block + size])
+        taken = copies * sizes
+        spans: list[list[dict[str, int]]] = [[] for _ in range(len(sizes))]
+        for a, b in runs:
+            for i in range(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b))):
+                begin, end = max(a - int(starts[i]), 0), min(b, int(ends[i])) - int(starts[i])
+                if end > begin:
+                    spans[i].append({"begin": begin, "end": end})
+                    taken[i] += end - begin
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         return pa.table({"row": rows["row"], "taken": pa.array(taken, pa.int64()), "copies": pa.array([copies] * len(sizes), pa.int64()), "spans": pa.array(spans, kind)})
 
     return select
 
 
+def with_copy_numbers(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, tie, row, ...) with copy: 0, 1, 2, ... among rows of equal doc_id and tie.
+
+    Numbers run on from task to task (the upper bits of row), so that no window holds more of a key than one task read.
+    """
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    counts = rows.groupBy("doc_id", "tie", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("doc_id", "tie").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "tie", "part").orderBy("row")) - 1)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")) & (F.col("part") == F.col("_part"))
+    return ranked.join(offsets, same).withColumn("copy", F.col("copy") + F.col("_before")).drop("part", "_id", "_tie", "_part", "_before")
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -108,18 +162,17 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2,
     seed: int = 42,
-    blocks_aimed: int = 1 << 20,
-    max_block: int = 4096,
-    shard_docs: int = 16384,
+    block: int = BLOCK,
+    shard_docs: int = 4096,
 ) -> DataFrame:
     """One row per input row: doc_id, tie (xxhash64 of the text), source, size, source_size, target, taken, copies, spans.
 
     taken words are `copies` times the whole document and the words of the spans (from begin to before end) once more.
     size counts words (null text: none).  Sources in the order of their code points, null last, get the weights in turn.
     Together they get share times all words, and each at most `most` times its own (a whole number); so no document is
-    taken more often.  Equal rows are taken as often as each other or once more.  Null ids sort first.  Sources without
-    words get a target of 0; an empty table gives an empty result.  Reruns on equal rows agree.  A block has max_block
-    words at most, and fewer where the table is small, so that about blocks_aimed blocks exist.
+    taken more often.  Equal rows are dealt to shards each on its own.  Null ids sort first.  Sources without words get
+    a target of 0; an empty table gives an empty result.  Reruns on equal rows agree.  A source smaller than a block has
+    one block, which is taken in part.
     """
     spark = docs.sparkSession
     at = workspace(spark, "mixing")
@@ -131,43 +184,40 @@ def mix_sources(
         F.xxhash64(text).alias("tie"),
         F.monotonically_increasing_id().alias("row"),
     )
-    sizes = materialize(sizes, f"{at}/sizes")
+    sizes = materialize(with_copy_numbers(materialize(sizes, f"{at}/sizes")), f"{at}/numbered")
 
     found = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()  # a row per source, like the weights
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     totals = [r["size"] for r in found]
     words = sum(totals)
     targets = capped_targets(totals, [weights[i % len(weights)] for i in range(len(found))], share * words, most)
-    block = min(max_block, max(1, words // blocks_aimed))
     seats = sainte_lague(np.array(targets), round(sum(targets) / block), np.full(len(found), np.iinfo(np.int64).max // (len(found) + 1)))
-    full = [bool(t) and t >= most * s for t, s in zip(targets, totals)]
     plan = spark.createDataFrame(
-        [(r["source"], i, r["size"], float(targets[i]), max(1, -(-r["docs"] // shard_docs)), int(seats[i]), full[i]) for i, r in enumerate(found)],
-        "source string, source_no long, source_size long, target double, shards long, seats long, full boolean",
+        [(r["source"], i, r["size"], float(targets[i]), max(1, -(-r["docs"] // shard_docs)), int(seats[i])) for i, r in enumerate(found)],
+        "source string, source_no long, source_size long, target double, shards long, seats long",
     )
     if len(found) <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     placed = sizes.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumns(
-        {"shard": F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("shards")), "deal": F.xxhash64("doc_id", "tie", F.lit(seed + 1))}
+        {"shard": F.pmod(F.xxhash64("doc_id", "tie", "copy", F.lit(seed)), F.col("shards")), "deal": F.xxhash64("doc_id", "tie", "copy", F.lit(seed + 1))}
     )
 
     times = int(most)
 
     def quotas(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("shard")
-        caps = times * shards["blocks"].to_numpy()
-        n = int(caps.sum()) if shards["full"].iloc[0] else int(shards["seats"].iloc[0])
-        return shards.assign(quota=sainte_lague(shards["blocks"].to_numpy(), n, caps))[["source_no", "shard", "blocks", "quota"]]
+        words = round(float(shards["target"].iloc[0]))
+        blocks, quota = shard_words(shards["words"].to_numpy(), int(shards["seats"].iloc[0]), words, times, block)
+        return shards.assign(blocks=blocks, quota=quota)[["source_no", "shard", "blocks", "quota"]]
 
     of_shards = (
         placed.groupBy("source_no", "shard")
-        .agg(F.sum("size").alias("words"), F.first("seats").alias("seats"), F.first("full").alias("full"))
-        .withColumn("blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / block))).otherwise(0).cast("long"))
+        .agg(F.sum("size").alias("words"), F.first("seats").alias("seats"), F.first("target").alias("target"))
         .groupBy("source_no")
         .applyInPandas(quotas, "source_no long, shard long, blocks long, quota long")
     )
-    rows = placed.select("source_no", "shard", "row", "doc_id", "tie", "deal", "size")
-    taken = rows.groupBy("source_no", "shard").cogroup(of_shards.groupBy("source_no", "shard")).applyInArrow(_select(seed), TAKEN)
+    rows = placed.select("source_no", "shard", "row", "doc_id", "tie", "copy", "deal", "size")
+    taken = rows.groupBy("source_no", "shard").cogroup(of_shards.groupBy("source_no", "shard")).applyInArrow(_select(seed, block), TAKEN)
     return placed.select("row", "doc_id", "tie", "source", "size", "source_size", "target").join(taken, "row").drop("row")
 
 
