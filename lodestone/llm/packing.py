@@ -1,7 +1,8 @@
 """Packing documents into sequences by first-fit decreasing, with a tournament tree of bin capacities.
 
 Texts are tokenised in map tasks, word by word with a bounded cache, and cut into pieces; only the pieces' lengths and
-checksums go on.  Pieces are dealt at random to groups of a bounded size, and each group is packed on its own.
+checksums go on.  They are written with a row number, which deals them at random to groups of a bounded size; each group
+is packed on its own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from lodestone.llm.common import materialize, text_of, workspace
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
+LONG = 100
+
 _words: dict[str, WordIds] = {}
 
 
@@ -27,7 +30,7 @@ class WordIds(dict):
     """The ids of a word as little-endian 32-bit integers, from a tokenizer that drops white space, lower-cases and treats words alone.
 
     A word's ASCII capitals, and a full stop or comma after an ASCII letter, make no difference to the ids of the rest, so
-    such words are led back to others.  When `most` words are held they become the older half; a word in use comes back
+    such words are led back to others.  Words over LONG bytes are not held.  When `most` words are held they become the older half; a word in use comes back
     from there, and the others are forgotten when the next half is full.
     """
 
@@ -45,6 +48,8 @@ class WordIds(dict):
                 out = self[lower]
             else:
                 out = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(word) > LONG:
+            return out
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -116,19 +121,21 @@ def _pack(room: int):
         column = lambda name: pc.fill_null(pieces[name], np.iinfo(np.int64).min).to_numpy()
         order = np.lexsort((column("ids_crc32"), column("start"), column("doc_id"), -column("length")))
         bins, offsets = first_fit_decreasing(column("length")[order], room)
-        out = pieces.take(pa.array(order)).drop_columns("group")
+        out = pieces.take(pa.array(order)).drop_columns(["group", "row"])
         return out.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     return pack
 
 
 def pack_pieces(pieces: DataFrame, *, room: int = 4096, group_pieces: int = 8192, seed: int = 42) -> DataFrame:
-    """Pieces with sequence_id and offset.  Groups have about group_pieces pieces; sequence_id holds the group in its upper half.
+    """Pieces, which have a row number in `row`, with sequence_id and offset instead of it.
+
+    Groups have about group_pieces pieces, however often an id occurs; sequence_id holds the group in its upper half.
 
     Every group leaves at most about half its last sequence open.  Equal pieces may change places between reruns.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(_pack(room), f"{PIECES}, sequence_id long, offset long")
 
 
@@ -140,5 +147,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     Other columns of docs are not read.
     """
     pieces = tokenized_pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, room=room, end_id=end_id)
-    pieces = materialize(pieces, workspace(docs.sparkSession, "packing") + "/pieces")
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), workspace(docs.sparkSession, "packing") + "/pieces")
     return pack_pieces(pieces, room=room, group_pieces=group_pieces, seed=seed)
