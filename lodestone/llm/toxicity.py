@@ -38,7 +38,7 @@ def features(word: bytes) -> list[bytes]:
 
 
 class WordScores(dict):
-    """A word's share of the sentence score; emptied when it holds `most` words."""
+    """A word's share of the sentence score; emptied when it holds `most` words, none of over 100 bytes."""
 
     def __init__(self, weights: dict[bytes, float], most: int = 200_000) -> None:
         self.weights, self.most = weights, most
@@ -46,7 +46,9 @@ class WordScores(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) >= self.most:
             self.clear()
-        out = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        out = sum(self.weights.get(f, 0.0) for f in features(word))
+        if len(word) <= 100:
+            self[word] = out
         return out
 
 
@@ -127,18 +129,22 @@ def is_held_out(id_col: str = "doc_id", every: int = 5, part: int = 0):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 12_000, max_bytes: int = 60_000_000, seed: int = 42, **how) -> Model:
-    """Fits a model to labelled rows that are not held out: at most max_docs of them, the first in a seeded order, and max_bytes of text."""
+    """Fits a model to labelled rows that are not held out: at most max_docs of them, the first in a seeded order, and max_bytes of text.
+
+    A text that alone has more than max_bytes is never sent to the driver; the one that would exceed them ends the sample.
+    """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     marked = marked.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(marked), "_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(marked), "_id").where(F.octet_length("_text") <= max_bytes)
     texts, ys, size = [], [], 0
     for r in rows.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "_text").toLocalIterator():
-        texts.append(r["_text"].encode())
-        ys.append(r["_label"] > 0)
-        size += len(texts[-1])
+        text = r["_text"].encode()
+        size += len(text)
         if size > max_bytes:
             break
+        texts.append(text)
+        ys.append(r["_label"] > 0)
     return fit(texts, np.array(ys, bool), **how)
 
 
