@@ -11,18 +11,19 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import queries as Q
 from lodestone.llm.common import join_skewed
 from lodestone.llm.exact_dedup import ExtendibleHash, distinct_documents, exact_dedup, grow_directory
 from lodestone.llm.katz import K, Unigrams, discounts, katz_scores, pack, unpack
-from lodestone.llm.mixing import capped_targets, mix_sources, mixed_documents, sainte_lague
-from lodestone.llm.packing import first_fit_decreasing, pack_documents
+from lodestone.llm.mixing import block_order, capped_targets, mix_sources, mixed_documents, sainte_lague, shard_words
+from lodestone.llm.packing import WordIds, first_fit_decreasing, pack_documents
 from lodestone.llm.quality import distance, quality_rules, repeated_words
 from lodestone.llm.secret_scan import CharCNN, base_findings, encode, made_up, scan_secrets, train_model
 from lodestone.llm.simhash import components_of, fingerprint, forest_components, near_duplicates, without_near_duplicates
 from lodestone.llm.token_counts import MARK, Pieces, TrieCounts, token_counts
-from lodestone.llm.toxicity import fit, sentences, toxicity, without_toxic
+from lodestone.llm.toxicity import WordScores, fit, sentences, toxicity, without_toxic
 from lodestone.llm.warc import archive_pages, parse, record
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -245,6 +246,18 @@ def test_trie_shares_prefixes_and_resets():
     assert trie[b"bb"] == 3 and trie[b"ab"] == 2
 
 
+def test_long_words_stay_outside_the_trie():
+    import public_tokenizers
+
+    pieces = Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    assert sum(math.exp(s) for s in pieces.scores.values()) == pytest.approx(1)
+    trie = TrieCounts(pieces)
+    word = "".join(rng.choices("aeinrst日é\u0378", k=3000))
+    assert trie[word.encode()] == best_spelling(MARK + word, pieces) and len(trie.score) == 1 and not trie
+    for word in ("international", "straße", "日本語", "x" * 40):
+        assert trie.walk(MARK + word) == trie[word.encode()]
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
@@ -296,6 +309,43 @@ def test_mixing(docs, empty):
     assert mixed_documents(empty).count() == 0
 
 
+def test_mixing_of_several_shards_and_blocks(spark):
+    draw = random.Random(11)
+    rows = [row(i, " ".join(f"w{i}_{j}" for j in range(draw.randint(0, 40))), draw.choice("aaaaabcde")) for i in range(900)]
+    rows += [row(None, "one two three", "b")] * 60 + [row(5, "same words here", "c")] * 200
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = mix_sources(d, block=64, shard_docs=50).collect()
+    again = mix_sources(d.repartition(7), block=64, shard_docs=50).collect()
+    plain = lambda rows: sorted(map(str, rows))
+    assert plain(got) == plain(again)
+    taken, target, size = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        size[r.source] += r["size"]
+        target[r.source] = r.target
+        assert r.taken == r.copies * r["size"] + sum(s.end - s.begin for s in r.spans) and r.taken <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    cut = [r for r in got if r.spans and 0 < sum(s.end - s.begin for s in r.spans) < r["size"]]
+    assert len(cut) > 10  # blocks of over one word end inside documents
+    hot = [r.taken for r in got if r.doc_id == 5 and r.source == "c"]
+    assert len(hot) >= 200 and len(set(hot)) > 1  # equal rows are dealt each on its own
+    other = mix_sources(d, block=64, shard_docs=50, seed=7).collect()
+    assert plain(other) != plain(got) and {r.source: r.target for r in other} == target
+    out = mixed_documents(d, block=64, shard_docs=50).collect()
+    assert sum(len(words_of(r.text)) for r in out) == sum(taken.values())
+
+
+def test_shard_words():
+    for _ in range(200):
+        votes = [rng.choice([0, 1, 30, 64, 100, 1000, 5000]) for _ in range(rng.randint(1, 6))]
+        words = rng.randint(0, 2 * sum(votes))
+        blocks, out = shard_words(np.array(votes), round(words / 64), words, 2, 64)
+        assert out.sum() == words and all(0 <= o <= 2 * v for o, v in zip(out, votes))
+        assert blocks.tolist() == seats_one_by_one(votes, round(words / 64), [2 * v // 64 for v in votes])
+    order = block_order(1000, 64, [1, 2, 3])
+    assert sorted(order) == list(range(16)) and order.tolist() != list(range(16))
+
+
 # --- WARC -------------------------------------------------------------------------------------------------------------
 
 PAGES = [(5, "http://a/", "x"), (3, "http://b/ \r\nEvil: 1", "x"), (4, None, None), (9, "u", ""), (2, "u", "WARC/1.1\r\nWARC-Type: response\r\n\r\n"), (7, "u", "é" * 50_000), (8, "u", "é" * 50_000), (None, "u", "x"), (5, "u", "x")]
@@ -535,6 +585,39 @@ def test_packing(spark, docs, empty):
     assert pack_documents(empty, Q.tokenizer_path()).count() == 0
 
 
+def test_packing_deals_equal_ids_to_many_groups(spark):
+    d = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    got = pack_documents(d, Q.tokenizer_path(), room=4096, group_pieces=4000).collect()
+    assert len(got) == 30_000 and {(p.start, p.length, p.doc_tokens) for p in got} == {(0, 3, 3)}
+    groups = collections.Counter(p.sequence_id >> 32 for p in got)
+    assert len(groups) == 8 and max(groups.values()) < 5000
+
+
+def test_long_words_are_not_held():
+    ids = WordIds(Q.tokenizer_path())
+    word = b"ab" * 200
+    assert ids[word] and word not in ids and b"tree" not in ids and ids[b"tree"] and b"tree" in ids
+    scores = WordScores({b"abab": 1.0, b"tree": 2.0})
+    assert scores[word] == 1.0 and word not in scores and scores[b"trees"] == 2.0 and b"trees" in scores
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([row(i, "fine day. " * (1 if i else 500)) for i in range(60)], SCHEMA)
+    marks = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    import lodestone.llm.toxicity as module
+
+    keep, module.fit = module.fit, lambda texts, y, **_: seen.extend(texts) or keep(texts, y)
+    try:
+        module.train(docs, marks, max_bytes=100)
+        assert sum(map(len, seen)) <= 100 and len(seen) == 10
+        seen.clear()
+        module.train(docs, marks, max_docs=7)
+        assert len(seen) == 7
+    finally:
+        module.fit = keep
+
+
 # --- near-duplicates --------------------------------------------------------------------------------------------------
 
 
