@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_of
+from lodestone.llm.common import materialize, text_of, workspace
 
 SPACE, LOWER, UPPER, DIGIT, STOP, MARK, SYMBOL, WIDE, REST = range(9)
 SYMBOLS = b"#*$%&|<>"
@@ -118,15 +118,21 @@ def _count(most: int):
     return count
 
 
-def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", common: int = 100, hold_words: int = 400_000) -> dict:
-    """By language (null is one): counts of the classes; the common words, commonest first; their counts, that of words of
-    punctuation alone and that of all others; the distance of a text without common words.
+def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", common: int = 100, min_words: int = 0, hold_words: int = 400_000) -> dict:
+    """By language (null is one) of min_words words or more: counts of the classes; the common words, commonest first; their
+    counts, that of words of punctuation alone and that of all others; the distance of a text without common words.
 
-    Counted over all documents; `common` words and nine classes for each language reach the driver.
+    Counted over all documents, whose texts are read once; `common` words and nine classes for each such language reach
+    the driver.
     """
     counted = docs.select(F.col(lang_col).cast("string"), text_of(text_col).cast("binary")).mapInArrow(_count(hold_words), "lang string, kind string, item binary, n long")
     sums = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))).where((F.col("rank") <= max(common, 9)) & (F.col("kind") != "p"))
+    sums = materialize(sums, workspace(docs.sparkSession, "quality") + "/sums")
+    by_kind = sums.where("kind <> 'c'").groupBy("lang", "kind").agg(F.sum("n").alias("n"))
+    spoken = by_kind.groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= min_words).select(F.col("lang").alias("of"))
+    known = F.col("lang").eqNullSafe(F.col("of"))
+    ranked = sums.where("kind <> 'p'").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))).where(F.col("rank") <= max(common, 9))
+    ranked = ranked.join(spoken, known, "left_semi")
     out: dict = {}
     for r in ranked.collect():
         ref = out.setdefault(r["lang"], {"classes": np.zeros(9, np.int64), "words": [], "n": []})
@@ -134,7 +140,7 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
             ref["classes"][int(bytes(r["item"]))] = r["n"]
         else:
             ref["words"].append((-r["n"], bytes(r["item"])))
-    totals = {(r["lang"], r["kind"]): r["n"] for r in sums.where("kind <> 'c'").groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
+    totals = {(r["lang"], r["kind"]): r["n"] for r in by_kind.join(spoken, known, "left_semi").collect()}
     for lang, ref in out.items():
         top = sorted(ref["words"])[:common]
         ref["words"] = {w: i for i, (_, w) in enumerate(top)}
@@ -162,10 +168,10 @@ def _judge(refs: dict, p: dict):
                 chars = int(classes.sum() - classes[SPACE])
                 repeats = repeated_words(words)
                 failed = len(words) < 10 or 100 * repeats > 20 * len(words)
-                ref = refs[lang]
+                ref = refs.get(lang)
                 of_class = of_word = None
                 short = chars < p["min_chars"]
-                if words and ref["n"].sum() >= p["min_reference_words"]:
+                if words and ref:
                     of_class = distance(*map(symbols_alone, (classes, ref["classes"]))) if short else distance(classes, ref["classes"])
                     of_word = words_distance(raw.lower().split(), ref)
                 good = (of_class is None or of_class <= p["max_symbol_distance" if short else "max_class_distance"]) and (of_word is None or of_word <= (p["max_word_part"] + p["few_words"] / len(words)) * ref["none"])
@@ -200,8 +206,8 @@ def quality_rules(
     min_reference_words words has no reference, and its documents are judged by the base rules alone.  Null ids and
     repeated rows are judged like any others; an empty table gives an empty result.  Other columns are not read.
     """
-    refs = references(docs, text_col=text_col, lang_col=lang_col, common=common)
-    params = {"min_chars": min_chars, "min_reference_words": min_reference_words, "max_class_distance": max_class_distance, "max_symbol_distance": max_symbol_distance, "max_word_part": max_word_part, "few_words": few_words}
+    refs = references(docs, text_col=text_col, lang_col=lang_col, common=common, min_words=max(1, min_reference_words))
+    params = {"min_chars": min_chars, "max_class_distance": max_class_distance, "max_symbol_distance": max_symbol_distance, "max_word_part": max_word_part, "few_words": few_words}
     rows = docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), text_of(text_col).cast("binary"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
     return rows.mapInArrow(_judge(refs, params), schema)
