@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -24,7 +25,7 @@ from lodestone.llm.secret_scan import CharCNN, base_findings, encode, made_up, s
 from lodestone.llm.simhash import components_of, fingerprint, forest_components, near_duplicates, without_near_duplicates
 from lodestone.llm.token_counts import MARK, Pieces, TrieCounts, token_counts
 from lodestone.llm.toxicity import WordScores, fit, sentences, toxicity, without_toxic
-from lodestone.llm.warc import archive_pages, parse, record
+from lodestone.llm.warc import archive_pages, crawl_to_archives, parse, read_archives, record, resolve_revisits
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, digest string, size long, taken long, c0 int, value string, _id long"
@@ -367,6 +368,27 @@ def test_warc(spark, least):
     assert archive_pages(pages.where("false")).count() == 0
 
 
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i % 150} " + "x" * 2000) for i in range(300)], "page_id long, url string, html string").coalesce(2)
+    ids = set()
+    for name in ("a", "b"):
+        crawl_to_archives(pages, f"{tmp_path}/{name}", date="2026-01-02T03:04:05Z", batch_bytes=10_000)
+        files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / name).glob("part-*.gz")]
+        assert len(files) >= 7 and max(map(len, files)) < 8 * 14_000
+        heads = [h for f in files for h, _, _ in parse(iter([f]))]
+        own = [h["WARC-Record-ID"] for h in heads]
+        assert len(set(own)) == len(own) and not ids & set(own)
+        ids |= set(own)
+        kinds = collections.Counter(h["WARC-Type"] for h in heads)
+        assert kinds["response"] == 300 and kinds["warcinfo"] >= 60 and all(f.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for f in files)
+        assert read_archives(spark, f"{tmp_path}/{name}").select("date").distinct().first()[0] == "2026-01-02T03:04:05Z"
+    got = resolve_revisits(spark, f"{tmp_path}/a", f"{tmp_path}/out", batch_bytes=10_000).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {(i, "response", None) if i < 150 else (i, "revisit", i - 150) for i in range(300)}
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "out").glob("part-*.gz")]
+    again = [h for f in files for h, _, _ in parse(iter([f])) if h["WARC-Type"] == "revisit"]
+    assert len(again) == 150 and all(h["WARC-Refers-To-Date"] == h["WARC-Date"] == "2026-01-02T03:04:05Z" for h in again)
+
+
 def test_warc_records_end_by_length():
     a = record("response", "urn:uuid:1", 1, "http://x/", "D", 9, b"WARC/1.1\n") + b"\r\n"
     b = record("revisit", "urn:uuid:2", 2, "http://x/", "D", 9, refers_id="urn:uuid:1", refers_page=1) + b"\r\n"
