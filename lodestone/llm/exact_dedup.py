@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import join_skewed, materialize, numbered, shuffle_partitions, text_of, workspace
 
+#: Bytes that an entry of an owner's table takes besides its text; every row is weighed with them.
+ENTRY = 500
+
 
 class ExtendibleHash:
     """Pages of at most `capacity` keys, found by the key's low bits; entries with the same key form a chain.
@@ -190,13 +193,13 @@ def exact_dedup(
     if key_bits < 64:
         key = F.shiftleft(key, 64 - key_bits)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
-    keys = rows.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("bytes"), F.monotonically_increasing_id().alias("row_no"))
+    keys = rows.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("digest"), (F.octet_length("text") + ENTRY).alias("bytes"), F.monotonically_increasing_id().alias("row_no"))
     keys = materialize(keys, f"{at}/keys")
 
     total, size = keys.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     owners_n = max(shuffle_partitions(spark), math.ceil(size / owner_bytes))
     capacity = max(1, min(bucket_bytes, size / (4 * owners_n)))  # so that ranges of buckets come out even
-    bits = min(24, max(6, math.ceil(math.log2(max(1, size / capacity))) + 3))
+    bits = min(20, max(6, math.ceil(math.log2(max(1, size / capacity))) + 3))
     slots = keys.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("slot")).agg(F.sum("bytes").alias("bytes")).toPandas()
     load = np.zeros(1 << bits)
     load[slots["slot"].to_numpy(np.int64)] = slots["bytes"]
