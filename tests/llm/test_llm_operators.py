@@ -22,7 +22,7 @@ from lodestone.llm.mixing import block_order, capped_targets, mix_sources, mixed
 from lodestone.llm.packing import WordIds, first_fit_decreasing, pack_documents
 from lodestone.llm.quality import distance, quality_rules, repeated_words
 from lodestone.llm.secret_scan import CharCNN, base_findings, encode, made_up, scan_secrets, train_model
-from lodestone.llm.simhash import components_of, fingerprint, forest_components, near_duplicates, without_near_duplicates
+from lodestone.llm.simhash import components_of, fingerprint, forest_components, near_duplicates, near_links, without_near_duplicates
 from lodestone.llm.token_counts import MARK, Pieces, TrieCounts, token_counts
 from lodestone.llm.toxicity import WordScores, fit, sentences, toxicity, without_toxic
 from lodestone.llm.warc import archive_pages, crawl_to_archives, parse, read_archives, record, resolve_revisits
@@ -691,6 +691,58 @@ def test_near_duplicates(spark, docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def clustered(seed, clusters=8, size=70):
+    """Distinct fingerprints (signed) around some centres."""
+    r = np.random.default_rng(seed)
+    found = set()
+    for center in r.integers(0, 2**63, clusters):
+        for _ in range(size):
+            x = int(center)
+            for _ in range(r.integers(0, 8)):
+                x ^= 1 << int(r.integers(64))
+            found.add(x)
+    return np.array(sorted(found), np.uint64)
+
+
+@pytest.mark.parametrize("how", [{"extra": 1}, {"extra": 2}, {"extra": 3}, {"extra": 4}, {"extra": 1, "shard_most": 25, "round_most": 700}])
+def test_links_connect_all_within_the_radius(spark, tmp_path, how):
+    f = clustered(9)
+    prints = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
+    links = near_links(prints, len(f), f"{tmp_path}/links", 4, **how).collect()
+    at = {int(x): i for i, x in enumerate(f.view(np.int64))}
+    a, b = np.array([(at[r.a], at[r.b]) for r in links]).T
+    assert (components_of(len(f), a, b) == linked(f)).all()
+
+
+def test_large_shard_is_searched_by_broadcast_trees(spark, tmp_path):
+    """A shard beyond the bound of a task is cut into trees, and its fingerprints are dealt over all tasks."""
+    r = np.random.default_rng(2)
+    low = np.unique(r.integers(0, 2**40, 2500, dtype=np.int64))  # the upper blocks of bits agree, so one shard has them all
+    f = np.concatenate([low, low[:500] ^ 1, low[:500] ^ (1 << 39)])
+    f = np.unique(f)
+    prints = spark.createDataFrame([(int(x),) for x in f], "fp long")
+    links = near_links(prints, len(f), f"{tmp_path}/links", 2, extra=1, shard_most=700, round_most=2000).collect()
+    at = {int(x): i for i, x in enumerate(f)}
+    pairs = np.array([(at[x.a], at[x.b]) for x in links])
+    assert all(int(f[a] ^ f[b]).bit_count() <= 40 for a, b in pairs[:100])
+    root = components_of(len(f), *pairs.T)
+    for x in low[:500].tolist():
+        assert root[at[x]] == root[at[x ^ 1]] == root[at[x ^ (1 << 39)]]
+    assert len(links) < 4 * len(f)
+
+
+def test_heavy_components_are_counted_in_fingerprints(spark, monkeypatch):
+    """Many rows of few fingerprints don't make every component a broadcast one."""
+    import lodestone.llm.simhash as module
+
+    seen = []
+    keep = module.join_skewed
+    monkeypatch.setattr(module, "join_skewed", lambda rows, table, keys, weight, total: seen.append((table.where(F.col(weight) * 2000 > F.lit(total)).count(), table.count())) or keep(rows, table, keys, weight, total))
+    rows = [row(i, f"text number {i % 3000} of many {i % 3000} words {i % 3000 * 7}") for i in range(9000)]
+    assert near_duplicates(spark.createDataFrame(rows, SCHEMA)).count() == 9000
+    assert all(n <= 2000 for n, _ in seen) and seen[0][0] < seen[0][1] / 2
+
+
 def test_near_duplicates_with_repeated_ids(spark):
     text = lambda c, n=400: " ".join(f"{c}{j}" for j in range(n))
     rows = [row(1, text("a")), row(5, text("a")), row(5, text("b")), row(9, text("b")), row(7, text("c")), row(7, text("c", 399)), row(8, text("c")), row(3, text("d")), row(3, text("e"))]
