@@ -1,26 +1,29 @@
-"""A bigram language model with Katz backoff, trained and evaluated on distributed tables.
+"""A language model of n-grams with Katz backoff, trained and evaluated on distributed tables.
 
-    P(w | h) = d(c(h, w)) c(h, w) / c(h)            if the pair was seen in training
-             = alpha(h) P(w)                        otherwise
+    P(w | h) = d(c(h, w)) c(h, w) / c(h)            if the n-gram was seen in training
+             = alpha(h) P(w | h')                   otherwise; h' is h without its first word
     P(w)     = d(c(w)) c(w) / N, or the left-over mass for a word that was not seen
 
-d are Good-Turing discounts (Katz, counts up to 5), and alpha makes each P(. | h) sum to one over the vocabulary, the end
-and the unknown word.  Tables, each dealt to owners by a hash of its key:
-
-  unigrams  a word's number, hash and count
-  bigrams   the numbers of context and word, and their count
-  contexts  for each context the sum of P over its seen followers and how many were seen once, ..., five times; with the
-            discounts these give alpha
-
-Texts are read once, into blocks of some million tokens: local word numbers and the documents' lengths.  Blocks send each
-distinct word or pair once, with its count, to the owner, and get the answer for just those back; so no owner's input
-grows with the number of times that a word or pair occurs in a block, and no table is broadcast.  Contexts that are too
-frequent for one owner are split among several by their followers; their sums (a bounded number) reach the driver.
+The recursion goes from the highest order (three by default) down to single words.  d are Good-Turing discounts of each
+order (Katz, counts up to 5), and alpha makes each P(. | h) sum to one over the vocabulary, the end and the unknown word:
+with S the words seen after h, alpha(h) = (1 - sum over S of P(w | h)) / (1 - sum over S of P(w | h')).  As a word seen after
+h was seen after h' as well, the second sum follows from whole numbers: the counts of (h', w) above 5 added up, and how many
+are 1, ..., 5.
+
+Texts are read once, into blocks of some million tokens: local word numbers and the documents' lengths.  Tables are dealt
+to owners by a hash of their key: words, and for each order the n-grams by their contexts.  For an order, blocks send each
+distinct n-gram whose context was seen once, with its count and that of (h', w), to the owner, and get the answer for just
+those back; so no owner's input grows with the number of times that an n-gram occurs in a block, and no table is broadcast.
+Contexts that are too frequent for one owner are split among several by their followers; their sums are added up and joined
+with the blocks that have them.  A block sends an owner one row for an order, so there are never more rows than n-grams.
+
+Blocks stay where they are: they are written in buckets by their number, and only answers are shuffled to them.  Words are
+known by 64-bit hashes until owners number them; two words with one hash would count as one.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +38,18 @@ from lodestone.llm.common import materialize, shuffle_partitions, text_of, works
 K = 5  # counts up to K are discounted
 START = np.uint64((1 << 64) - 1)  # the number of the context before the first token
 END = b" "  # no word has a space
+_press, _expand = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
 
 def pack(a: np.ndarray) -> bytes:
     """Kind, and the compressed byte planes."""
     a = np.ascontiguousarray(a)
-    return a.dtype.char.encode() + zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
+    return a.dtype.char.encode() + _press.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
     kind = np.dtype(raw[:1].decode())
-    planes = np.frombuffer(zstandard.decompress(raw[1:]), np.uint8)
+    planes = np.frombuffer(_expand.decompress(raw[1:]), np.uint8)
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
@@ -58,18 +62,16 @@ def narrow(a: np.ndarray) -> np.ndarray:
 def discounts(n: np.ndarray) -> np.ndarray:
     """d[r] for r up to K (d[0] is unused) from the numbers n[r] of items with count r, r up to K + 1.
 
-    Where Good-Turing with Katz's correction leaves (0, 1], as with few or odd counts, the absolute discount
-    n1 / (n1 + 2 n2) stands in.
+    Where Good-Turing with Katz's correction leaves (0, 1), as with few or odd counts, the absolute discount
+    n1 / (n1 + 2 n2) stands in, or one half if nothing has count 1.
     """
     d = np.ones(K + 1)
-    if n[1] <= 0:
-        return d
-    common = (K + 1) * n[K + 1] / n[1]
-    spare = n[1] / (n[1] + 2 * n[2])
+    common = (K + 1) * n[K + 1] / n[1] if n[1] > 0 else 1.0
+    spare = n[1] / (n[1] + 2 * n[2]) if n[1] > 0 else 0.5
     for r in range(1, K + 1):
         good = n[r] > 0 and common < 1
         ratio = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if good else 0.0
-        d[r] = ratio if 0 < ratio <= 1 else 1 - 0.9 * min(spare, 1.0) / r
+        d[r] = ratio if 0 < ratio < 1 else 1 - 0.9 * min(spare, 1.0) / r
     return d
 
 
@@ -91,15 +93,6 @@ class Unigrams:
         return np.where(c > 0, discounted(c, self.d), self.left) / self.total
 
 
-def context_terms(c: np.ndarray, mass: np.ndarray, seen: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts with counts c, sums of P over seen followers, and seen[:, r - 1] followers with count r: the divisor of
-    the seen pairs' discounted counts, and alpha.  A context without discounted followers leaves one occurrence to others."""
-    left = (seen * (1 - d[1:]) * np.arange(1, K + 1)).sum(1)
-    none = left <= 0
-    total = c + none
-    return total, np.where(none, 1.0, left) / total / (1 - mass)
-
-
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         out = self[word] = len(self)
@@ -145,7 +138,7 @@ def _blocks(block_tokens: int):
 
 PARTS = 6
 DEALT = "owner int, block long, " + ", ".join(f"p{i} binary" for i in range(PARTS))
-ANSWER = "kind string, block long, owner int, " + ", ".join(f"p{i} binary" for i in range(PARTS))
+ANSWER = "kind string, block long, owner int, sums array<long>, " + ", ".join(f"p{i} binary" for i in range(PARTS))
 
 
 def _rows(rows: list[tuple], head: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -155,16 +148,59 @@ def _rows(rows: list[tuple], head: list[tuple[str, pa.DataType]]) -> pa.RecordBa
 
 
 DEAL_HEAD = [("owner", pa.int32()), ("block", pa.int64())]
-ANSWER_HEAD = [("kind", pa.string()), ("block", pa.int64()), ("owner", pa.int32())]
+ANSWER_HEAD = [("kind", pa.string()), ("block", pa.int64()), ("owner", pa.int32()), ("sums", pa.list_(pa.int64()))]
 
 
-def _slices(owner: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def _slices(owner: np.ndarray, owners: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """A stable order by owner, and owner, begin and end of each part of it."""
-    order = np.argsort(owner, kind="stable")
+    order = np.argsort(owner.astype(np.uint16) if owners <= 1 << 16 else owner, kind="stable")
     who, begin = np.unique(owner[order], return_index=True)
     return order, list(zip(who.tolist(), begin.tolist(), [*begin[1:].tolist(), len(owner)]))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key the rank of its value, and for each value, in order, the place of one such key."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(keys)]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, order[new]
+
+
+def joint(columns: list[np.ndarray]) -> np.ndarray:
+    """One key for each row of columns of word numbers, in the order of the rows; START comes last."""
+    if len(columns) == 1:
+        return columns[0]
+    bits = 64 // len(columns)
+    last = np.uint64((1 << bits) - 1)
+    if all(int(np.where(c == START, 0, c).max(initial=0)) < int(last) for c in columns):
+        out = np.zeros(len(columns[0]), np.uint64)
+        for c in columns:
+            out = (out << np.uint64(bits)) | np.where(c == START, last, c)
+        return out
+    rank = distinct(columns[0])[0]
+    for c in columns[1:]:
+        own, at = distinct(c)
+        rank = distinct(rank * len(at) + own)[0]
+    return rank.astype(np.uint64)
+
+
+def beside(columns: list[np.ndarray]) -> np.ndarray:
+    """Columns one after the other, in few bytes; START becomes one more than the largest number."""
+    flat = np.concatenate([c.astype(np.uint64) for c in columns])
+    start = flat == START
+    most = np.where(start, 0, flat).max(initial=0)
+    return narrow(np.concatenate([[most + np.uint64(1)], np.where(start, most + np.uint64(1), flat)]).astype(np.uint64))
+
+
+def apart(flat: np.ndarray, width: int) -> list[np.ndarray]:
+    """The columns from `beside`."""
+    flat = flat.astype(np.uint64)
+    start, rest = flat[0], flat[1:]
+    return list(np.where(rest == start, START, rest).reshape(width, -1))
+
+
 def _deal_words(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +208,7 @@ def _deal_words(owners: int):
                 hashes, body = unpack(r["words"]), unpack(r["body"])
                 learn = np.repeat(unpack(r["train"]), unpack(r["lengths"]).astype(np.int64))
                 n = np.bincount(body[learn], minlength=len(hashes))
-                order, parts = _slices((hashes % np.uint64(owners)).astype(np.int32))
+                order, parts = _slices((hashes % np.uint64(owners)).astype(np.int32), owners)
                 yield _rows([(o, r["block"], pack(hashes[order[i:j]]), pack(narrow(n[order[i:j]]))) for o, i, j in parts], DEAL_HEAD)
 
     return run
@@ -192,50 +228,120 @@ def _own_words(owners: int):
             rank = np.empty(len(n), np.uint64)
             rank[np.argsort(-n.astype(np.int64), kind="stable")] = np.arange(len(n), dtype=np.uint64)
             number = rank * np.uint64(owners) + np.uint64(owner)
-            stats = [float((n == r).sum()) for r in range(1, K + 2)] + [float((n > 0).sum()), float(n.sum())]
-            rows = [("unigrams", None, owner, pack(narrow(number)), pack(hashes), pack(narrow(n))), ("stats", None, owner, pack(np.array(stats)))]
-            begin = 0
-            for block, h, _ in parts:
-                own = at[begin : begin + len(h)]
-                begin += len(h)
-                rows.append(("words", block, owner, pack(narrow(number[own])), pack(narrow(n[own]))))
+            rows = [("unigrams", None, owner, None, pack(narrow(number)), pack(hashes), pack(narrow(n))), ("stats", None, owner, [*_count_counts(n), int((n > 0).sum()), int(n.sum())])]
+            for (block, h, _), (i, j) in zip(parts, _bounds([len(h) for _, h, _ in parts])):
+                rows.append(("words", block, owner, None, pack(narrow(number[at[i:j]])), pack(narrow(n[at[i:j]]))))
             yield _rows(rows, ANSWER_HEAD)
 
     return run
 
 
+def _count_counts(n: np.ndarray) -> list[int]:
+    return [int((n == r).sum()) for r in range(1, K + 2)]
+
+
+def _bounds(sizes: list[int]) -> list[tuple[int, int]]:
+    ends = np.cumsum(sizes).tolist()
+    return list(zip([0, *ends[:-1]], ends))
+
+
+class _Level:
+    """The distinct n-grams of one order in a block, by context and then word, both in the order of their numbers."""
+
+    def __init__(self, gram: np.ndarray, context: np.ndarray, word: np.ndarray, lower: np.ndarray, numbers: list[np.ndarray]) -> None:
+        """gram: the n-gram that ends at each token, or -1; context, word, lower: of each n-gram the index of its first words and
+        of its last words among those of the order below, and its last word; numbers: the columns of its word numbers."""
+        self.gram, self.context, self.word, self.lower, self.numbers = gram, context, word, lower, numbers
+        self.n = np.zeros(len(word), np.uint64)
+
+
 class _Block:
-    """A block with the answers for its words: numbers and counts by local number, and its distinct pairs."""
+    """A block with the answers for its words and, so far as they are there, for its n-grams."""
 
-    def __init__(self, block: dict, words: list[tuple], word_owners: int, documents: int) -> None:
-        """words: owner, numbers and counts, each in the order in which the block dealt its words."""
-        self.body = unpack(block["body"]).astype(np.int64)
+    def __init__(self, block: dict, told: list[dict], owners: int, tokens: int, documents: int) -> None:
         self.lengths = unpack(block["lengths"]).astype(np.int64)
         self.train = unpack(block["train"])
-        words = sorted(words, key=lambda r: r[0])
-        number, n = (np.concatenate([unpack(r[k]).astype(np.uint64) for r in words]) for k in (1, 2))
-        order = np.argsort((unpack(block["words"]) % np.uint64(word_owners)).astype(np.int32), kind="stable")
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.owners, self.tokens = owners, tokens
+        answers = sorted((r["owner"], r["p0"], r["p1"]) for r in told if r["kind"] == "words")
+        order = np.argsort((unpack(block["words"]) % np.uint64(owners)).astype(np.int32), kind="stable")
         size = len(order)
-        self.number, self.n = np.empty(size + 1, np.uint64), np.empty(size + 1, np.uint64)
-        self.number[order], self.n[order] = number, n
-        self.number[size], self.n[size] = START, documents  # the context of first tokens
-        context = np.concatenate([[size], self.body[:-1]])
-        context[np.cumsum(self.lengths)[:-1]] = size
-        self.context = context
-        keys, self.pair_of = np.unique(context * size + self.body, return_inverse=True)
-        self.c_at, self.w_at = keys // size, keys % size
-
-
-def _order_pairs(b: _Block, owners: int, tokens: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """The distinct pairs whose context was seen, by owner, context and word; the owners of their parts."""
-    dealt = np.flatnonzero(b.n[b.c_at] > 0)
-    first, second = b.number[b.c_at[dealt]], b.number[b.w_at[dealt]]
-    order = np.lexsort((second, first))
-    dealt, first, second = dealt[order], first[order], second[order]
-    salt = (second * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % splits(b.n[b.c_at[dealt]], owners, tokens)
-    mixed = (first + salt * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
-    order, parts = _slices(((mixed >> np.uint64(32)) % np.uint64(owners)).astype(np.int32))
-    return dealt[order], first[order], parts
+        number, n = (np.concatenate([unpack(r[k]).astype(np.uint64) for r in answers]) for k in (1, 2))
+        place = np.argsort(number)  # words in the order of their numbers
+        rank = np.empty(size, np.int64)
+        rank[order[place]] = np.arange(size)
+        body = rank[unpack(block["body"])]
+        words = _Level(body, np.zeros(size, np.int64), np.arange(size), np.zeros(size, np.int64), [np.append(number[place], START)])
+        words.n = np.append(n[place], np.uint64(documents))  # the last one is the context of first tokens
+        self.size, self.levels, self.sums = size, [words], []
+
+    def grow(self) -> _Level:
+        """Adds the next order."""
+        below, size = self.levels[-1], self.size
+        first = len(self.levels) == 1
+        body = self.levels[0].gram
+        context = np.empty(len(body), np.int64)
+        context[1:], context[self.first] = below.gram[:-1], size if first else -1
+        there = np.flatnonzero(context >= 0)
+        rank, at = distinct(context[there] * size + body[there])
+        gram = np.full(len(body), -1)
+        gram[there] = rank
+        at = there[at]
+        numbers = [c[context[at]] for c in below.numbers] + [self.levels[0].numbers[0][body[at]]]
+        self.levels.append(_Level(gram, context[at], body[at], below.gram[at], numbers))
+        return self.levels[-1]
+
+    def dealt(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The highest order's n-grams whose context was seen, by owner, context and word; the owners of their parts."""
+        level, below = self.levels[-1], self.levels[-2]
+        which = np.flatnonzero(below.n[level.context] > 0)
+        with np.errstate(over="ignore"):
+            mixed = (level.numbers[-1][which] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % splits(below.n[level.context[which]], self.owners, self.tokens)
+            for c in level.numbers[:-1]:
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + c[which]
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        order, parts = _slices(((mixed >> np.uint64(32)) % np.uint64(self.owners)).astype(np.int32), self.owners)
+        return which[order], parts
+
+    def learn(self, told: list[dict]) -> None:
+        """Takes the owners' answers for the highest order, and keeps the sums of contexts whose weight is needed."""
+        level, below = self.levels[-1], self.levels[-2]
+        rows = {r["owner"]: r for r in told if r["kind"] == "grams"}
+        which, parts = self.dealt()
+        plain = np.zeros(len(below.n), bool)
+        at, sums = [np.zeros(0, np.int64)], [np.zeros((0, SUMS), np.int64)]
+        for o, i, j in parts:
+            r, g = rows[o], which[i:j]
+            n = unpack(r["p0"])
+            level.n[g] = n
+            contexts, begin = _runs(level.context[g])
+            plain[contexts] = np.unpackbits(unpack(r["p1"]), count=len(contexts)).astype(bool)
+            at.append(contexts[np.logical_or.reduceat(n == 0, begin)])
+            sums.append(unpack(r["p2"]).astype(np.int64).reshape(SUMS, -1).T)
+        context, sums = np.concatenate(at), np.concatenate(sums)
+        split = np.flatnonzero(splits(below.n, self.owners, self.tokens) > 1)
+        whole = {r["p0"]: r["sums"] for r in told if r["kind"] == "shared"}
+        shared = [(c, whole[key]) for c in split.tolist() if (key := _key(below.numbers, c)) in whole]
+        keep = ~np.isin(context, [c for c, _ in shared])
+        context = np.concatenate([context[keep], np.array([c for c, _ in shared], np.int64)])
+        sums = np.concatenate([sums[keep], np.array([x for _, x in shared], np.int64).reshape(-1, SUMS)])
+        for c, x in shared:
+            plain[c] = not any(x[1 + K :])
+        self.sums.append((plain, context, sums))
+
+
+SUMS = 1 + 2 * K  # the counts of (h', w) over K added up, how many are 1 to K, how many counts of (h, w) are 1 to K
+
+
+def _key(numbers: list[np.ndarray], i: int) -> bytes:
+    """A context's word numbers as bytes."""
+    return b"".join(int(c[i]).to_bytes(8, "little") for c in numbers)
+
+
+def _runs(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of runs, and where each begins."""
+    begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(context)])
+    return context[begin], begin
 
 
 def splits(n: np.ndarray, owners: int, tokens: int) -> np.ndarray:
@@ -243,131 +349,153 @@ def splits(n: np.ndarray, owners: int, tokens: int) -> np.ndarray:
     return (np.uint64(1) + n.astype(np.uint64) * np.uint64(4 * owners) // np.uint64(max(1, tokens))).astype(np.uint64)
 
 
-def _deal_pairs(word_owners: int, owners: int, tokens: int, documents: int):
+def _blocks_with_answers(owners: int, tokens: int, documents: int, orders: int):
+    """Blocks from rows of a block and its answers, whose kinds end with the order."""
+
+    def of(blocks: pa.Table, answers: pa.Table) -> Iterator[tuple[dict, _Block]]:
+        told: dict[int, list[dict]] = {}
+        for r in answers.to_pylist():
+            kind, order = r["kind"].rsplit("-", 1)
+            told.setdefault(int(order), []).append(r | {"kind": kind})
+        for r in blocks.to_pylist():
+            b = _Block(r, told[1], owners, tokens, documents)
+            for order in range(2, orders + 1):
+                b.grow()
+                b.learn(told.get(order, []))
+            yield r, b
+
+    return of
+
+
+def _deal(owners: int, tokens: int, documents: int, order: int):
+    """Deals the n-grams of this order, given the answers for those below."""
+    known = _blocks_with_answers(owners, tokens, documents, order - 1)
+
     def run(key, blocks, answers):
         rows = []
-        words = [(r["owner"], r["p0"], r["p1"]) for r in answers.to_pylist()]
-        for r in blocks.to_pylist():
-            b = _Block(r, words, word_owners, documents)
-            count = np.bincount(b.pair_of[np.repeat(b.train, b.lengths)], minlength=len(b.c_at))
-            pairs, first, parts = _order_pairs(b, owners, tokens)
+        for r, b in known(blocks, answers):
+            level, below = b.grow(), b.levels[-2]
+            there = level.gram >= 0
+            learn = np.repeat(b.train, b.lengths) & there
+            count = np.bincount(level.gram[learn], minlength=len(level.n))
+            which, parts = b.dealt()
             for o, i, j in parts:
-                p = pairs[i:j]
-                new = np.flatnonzero(np.concatenate([[True], first[i + 1 : j] != first[i : j - 1]]))
-                runs = np.diff(np.concatenate([new, [j - i]]))
-                context = first[i:j][new]
-                rows.append((o, r["block"], pack(context), pack(narrow(runs)), pack(narrow(b.n[b.c_at[p[new]]])), pack(narrow(b.number[b.w_at[p]])), pack(narrow(count[p])), pack(narrow(b.n[b.w_at[p]]))))
+                g = which[i:j]
+                contexts, begin = _runs(level.context[g])
+                runs = np.diff(np.append(begin, len(g)))
+                rows.append((o, r["block"], pack(beside([c[contexts] for c in below.numbers])), pack(narrow(runs)), pack(narrow(below.n[contexts])), pack(narrow(level.numbers[-1][g])), pack(narrow(count[g])), pack(narrow(below.n[level.lower[g]]))))
         return pa.Table.from_batches([_rows(rows, DEAL_HEAD)])
 
     return run
 
 
-def _own_pairs(unigrams: Unigrams, owners: int):
-    """Counts pairs: bigram and context tables, their statistics, and an answer for each block's pairs and contexts."""
+def _own(order: int, owners: int, tokens: int):
+    """Counts the n-grams of an order: their table, its statistics, sums of split contexts, and an answer for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt: dict[int, list] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                dealt.setdefault(r["owner"], []).append((r["block"], *(unpack(r[f"p{i}"]) for i in range(PARTS))))
-        for owner, parts in dealt.items():
-            context = np.concatenate([np.repeat(c, runs.astype(np.int64)) for _, c, runs, *_ in parts])
-            word = np.concatenate([w.astype(np.uint64) for *_, w, _, _ in parts])
-            contexts, c_at = np.unique(context, return_inverse=True)
-            words, w_at = np.unique(word, return_inverse=True)
-            keys, first, at = np.unique(c_at * len(words) + w_at, return_index=True, return_inverse=True)
-            n = np.bincount(at, np.concatenate([c for *_, c, _ in parts]), len(keys)).astype(np.uint64)
-            p = unigrams.p(np.concatenate([c.astype(np.uint64) for *_, c in parts])[first])
-            own = keys // len(words)
+                dealt.setdefault(r["owner"], []).append((r["block"], apart(unpack(r["p0"]), order - 1), *(unpack(r[f"p{i}"]) for i in range(1, PARTS))))
+        for owner in list(dealt):
+            parts = dealt.pop(owner)
+            numbers = [np.concatenate(c) for c in zip(*(p[1] for p in parts))]
+            of_context, at = distinct(joint(numbers))
+            contexts = len(at)
+            numbers = [c[at] for c in numbers]
+            total = np.concatenate([p[3].astype(np.uint64) for p in parts])[at]
+            context = np.repeat(of_context, np.concatenate([p[2].astype(np.int64) for p in parts]))
+            word = np.concatenate([p[4].astype(np.uint64) for p in parts])
+            most = int(word.max(initial=0)) + 1
+            if contexts * most >= 1 << 63:
+                rank, place = distinct(word)
+                gram, at = distinct(context * len(place) + rank)
+            else:
+                gram, at = distinct(context * most + word.astype(np.int64))
+            n = np.bincount(gram, np.concatenate([p[5] for p in parts]), len(at)).astype(np.int64)
+            own, lower, word = context[at], np.concatenate([p[6].astype(np.int64) for p in parts])[at], word[at]
             known = n > 0
-            mass = np.bincount(own[known], p[known], len(contexts))
-            seen = np.stack([np.bincount(own[n == r], minlength=len(contexts)) for r in range(1, K + 1)], 1)
-            total = np.zeros(len(contexts), np.uint64)
-            for _, c, _, size, *_ in parts:
-                total[np.searchsorted(contexts, c)] = size
-            shared = splits(total, owners, unigrams.tokens) > 1
+            o, low, c = own[known], lower[known], n[known]
+            sums = np.zeros((contexts, SUMS), np.int64)
+            sums[:, 0] = np.bincount(o[low > K], low[low > K], contexts)
+            sums[:, 1 : 1 + K] = np.bincount(o * (K + 1) + np.where(low <= K, low, 0), minlength=contexts * (K + 1)).reshape(-1, K + 1)[:, 1:]
+            sums[:, 1 + K :] = np.bincount(o * (K + 1) + np.where(c <= K, c, 0), minlength=contexts * (K + 1)).reshape(-1, K + 1)[:, 1:]
             rows = [
-                ("bigrams", None, owner, pack(contexts[own[known]]), pack(narrow(words[keys[known] % len(words)])), pack(narrow(n[known]))),
-                ("contexts", None, owner, pack(contexts), pack(narrow(total)), pack(mass), pack(narrow(seen.reshape(-1)))),
-                ("shared", None, owner, pack(contexts[shared]), pack(total[shared]), pack(mass[shared]), pack(seen[shared].reshape(-1))),
-                ("stats", None, owner, pack(np.array([float((n == r).sum()) for r in range(1, K + 2)]))),
+                ("table", None, owner, None, pack(beside(numbers)), pack(narrow(total)), pack(narrow(np.bincount(o, minlength=contexts))), pack(narrow(word[known])), pack(narrow(c))),
+                ("stats", None, owner, _count_counts(n)),
             ]
-            for (block, c, runs, *_), (i, j) in zip(parts, _bounds([len(w) for *_, w, _, _ in parts])):
-                answer = n[at[i:j]]
-                here = np.searchsorted(contexts, c)
-                bare = np.add.reduceat(answer == 0, np.concatenate([[0], np.cumsum(runs.astype(np.int64))[:-1]])) > 0 if len(c) else np.zeros(0, bool)
-                plain = seen[here].sum(1) == 0  # without discounted followers
-                told = here[bare]
-                rows.append(("pairs", block, owner, pack(narrow(answer)), pack(narrow(runs)), pack(plain), pack(bare), pack(mass[told]), pack(narrow(seen[told].reshape(-1)))))
+            shared = splits(total, owners, tokens) > 1
+            rows += [("shared", None, owner, sums[k].tolist(), _key(numbers, k)) for k in np.flatnonzero(shared).tolist()]
+            plain = sums[:, 1 + K :].sum(1) == 0
+            ends = np.cumsum([len(p[2]) for p in parts])
+            for p, (i, j), (a, b) in zip(parts, _bounds([len(p[4]) for p in parts]), zip(ends - [len(p[2]) for p in parts], ends)):
+                here, answer = of_context[a:b], n[gram[i:j]]
+                begin = np.cumsum(p[2].astype(np.int64)) - p[2]
+                bare = np.logical_or.reduceat(answer == 0, begin)
+                rows.append(("grams", p[0], owner, None, pack(narrow(answer)), pack(np.packbits(plain[here])), pack(narrow(sums[here[bare]].T.reshape(-1)))))
+                rows += [("asks", p[0], owner, None, _key(numbers, k)) for k in here[shared[here]].tolist()]
             yield _rows(rows, ANSWER_HEAD)
 
     return run
 
 
-def _bounds(sizes: list[int]) -> list[tuple[int, int]]:
-    ends = np.cumsum(sizes).tolist()
-    return list(zip([0, *ends[:-1]], ends))
-
-
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _evaluate(word_owners: int, owners: int, unigrams: Unigrams, vocabulary: int, documents: int, d: np.ndarray, shared: dict[int, tuple]):
-    """Scores a block's documents, given the answers for its words and pairs."""
+def _probabilities(b: _Block, unigrams: Unigrams, d: list[np.ndarray]) -> list[np.ndarray]:
+    """For each order the probability of each of its n-grams, from single words up; d has the discounts from order 2 on."""
+    out = [unigrams.p(b.levels[0].n[: b.size])]
+    divisor, lower_d = None, unigrams.d
+    r = np.arange(1, K + 1)
+    for (plain, context, sums), level, below, own in zip(b.sums, b.levels[1:], b.levels, d):
+        total = np.maximum(below.n.astype(float), 1) + plain
+        alpha = np.ones(len(below.n))  # of contexts that were not seen
+        left = (sums[:, 1 + K :] * (1 - own[1:]) * r).sum(1)
+        left = np.where(left > 0, left, 1.0)  # a context without discounted followers leaves one occurrence to others
+        mass = (sums[:, 0] + (sums[:, 1 : 1 + K] * lower_d[1:] * r).sum(1)) / (unigrams.total if divisor is None else divisor[below.lower[context]])
+        alpha[context] = left / total[context] / (1 - mass)
+        n = level.n.astype(float)
+        out.append(np.where(n > 0, discounted(n, own) / total[level.context], alpha[level.context] * out[-1][level.lower]))
+        divisor, lower_d = total, own
+    return out
+
+
+def _evaluate(owners: int, unigrams: Unigrams, vocabulary: int, documents: int, d: list[np.ndarray]):
+    """Scores a block's documents, given the answers for its words and n-grams of all orders."""
+    known = _blocks_with_answers(owners, unigrams.tokens, documents, len(d) + 1)
 
     def run(key, blocks, answers):
-        told = answers.to_pylist()
-        words = [(r["owner"], r["p0"], r["p1"]) for r in told if r["kind"] == "words"]
-        pairs = {r["owner"]: r for r in told if r["kind"] == "pairs"}
         tables = []
-        for r in blocks.to_pylist():
-            b = _Block(r, words, word_owners, documents)
-            n = np.zeros(len(b.c_at), np.uint64)
-            total = np.maximum(b.n[b.c_at].astype(float), 1)
-            alpha = np.ones(len(b.c_at))  # of contexts that were not seen
-            dealt, first, parts = _order_pairs(b, owners, unigrams.tokens)
-            for o, i, j in parts:
-                a, p = pairs[o], dealt[i:j]
-                n[p] = unpack(a["p0"])
-                runs, plain, bare = unpack(a["p1"]).astype(np.int64), unpack(a["p2"]), unpack(a["p3"]).copy()
-                mass, seen = np.zeros(len(runs)), np.zeros((len(runs), K))
-                mass[bare], seen[bare] = unpack(a["p4"]), unpack(a["p5"]).reshape(-1, K)
-                begin = np.cumsum(runs) - runs
-                c = total[p[begin]]
-                sums = plain.copy()
-                for k in np.flatnonzero(np.isin(first[i:j][begin], ids_of(shared))):
-                    mass[k], seen[k] = shared[int(first[i + begin[k]])]
-                    sums[k], bare[k] = not seen[k].sum(), True
-                divisor, weight = context_terms(c, mass, seen, d)
-                divisor = np.where(bare, divisor, c + sums)
-                total[p], alpha[p] = np.repeat(divisor, runs), np.repeat(weight, runs)
-            own = unigrams.p(b.n[b.w_at])
-            with np.errstate(divide="ignore"):
-                logs = np.log10(np.where(n > 0, discounted(n.astype(float), d) / total, alpha * own))
-            begin = np.cumsum(b.lengths) - b.lengths
-            tokens = b.n[b.body].astype(float)
-            base = np.log10((tokens + 0.5) / (unigrams.tokens + 0.5 * (vocabulary + 1)))
-            add = lambda x: np.add.reduceat(x, begin) if len(begin) else x
+        for r, b in known(blocks, answers):
+            p = _probabilities(b, unigrams, d)
+            logs = np.zeros(len(b.levels[0].gram))
+            for level, own in zip(b.levels, p):
+                there = level.gram >= 0  # the highest order that a token has context for decides
+                with np.errstate(divide="ignore"):
+                    logs[there] = np.log10(own)[level.gram[there]]
+            n = b.levels[0].n[: b.size].astype(float)
+            base = np.log10((n + 0.5) / (unigrams.tokens + 0.5 * (vocabulary + 1)))
+            body = b.levels[0].gram
+            add = lambda x: np.add.reduceat(x, b.first) if len(b.first) else x
             tables.append(
                 pa.table(
                     {
                         "doc_id": pa.array(unpack(r["ids"]), mask=~unpack(r["known"])),
                         "held_out": pa.array(~b.train),
                         "n_tokens": pa.array(b.lengths),
-                        "n_known": pa.array(add((tokens > 0).astype(np.int64))),
-                        "train_tokens": pa.array(np.full(len(begin), unigrams.tokens, np.int64)),
-                        "base_score": pa.array(add(base)),
-                        "score": pa.array(add(logs[b.pair_of])),
+                        "n_known": pa.array(add((n > 0).astype(np.int64)[body])),
+                        "train_tokens": pa.array(np.full(len(b.first), unigrams.tokens, np.int64)),
+                        "base_score": pa.array(add(base[body])),
+                        "score": pa.array(add(logs)),
                     }
                 )
             )
-        return pa.concat_tables(tables)
+        return pa.concat_tables(tables) if tables else pa.table({n: pa.array([], t) for n, t in EMPTY})
 
     return run
 
 
-def ids_of(shared: dict[int, tuple]) -> np.ndarray:
-    return np.array(list(shared), np.uint64)
+EMPTY = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
 def is_training(id_col: str):
@@ -377,44 +505,66 @@ def is_training(id_col: str):
 class KatzModel:
     """Where the tables are, and the few numbers that turn counts into probabilities."""
 
-    def __init__(self, folder: str, unigrams: Unigrams, vocabulary: int, documents: int, d: np.ndarray, shared: dict) -> None:
-        self.folder, self.unigrams, self.vocabulary, self.documents, self.d, self.shared = folder, unigrams, vocabulary, documents, d, shared
+    def __init__(self, folder: str, unigrams: Unigrams, vocabulary: int, documents: int, d: list[np.ndarray]) -> None:
+        self.folder, self.unigrams, self.vocabulary, self.documents, self.d = folder, unigrams, vocabulary, documents, d
+
+
+def _in_buckets(df: DataFrame, path: str, buckets: int, key: str) -> DataFrame:
+    """df, written in buckets by key, so that a join or cogroup by it needn't shuffle it."""
+    spark, name = df.sparkSession, f"katz_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; files at a path of their own stay
+    return out
+
+
+def _forget_shuffles(spark) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that are no longer used."""
+    spark._jvm.System.gc()
 
 
-def katz_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 2_000_000, owner_tokens: int = 2_000_000) -> tuple[DataFrame, KatzModel]:
-    """One row per input row (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), and the model.
+def katz_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, block_tokens: int = 2_000_000, owner_tokens: int = 2_000_000) -> tuple[DataFrame, KatzModel]:
+    """One row per input row (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), and the model of this order.
 
     Rows whose id has crc32 mod 5 = 1 are held out; a null id counts as an empty text there and is learnt from.  Null texts
     count as empty: one end token.  Repeated rows count each time.  Without training rows every token is unknown and
-    has probability one.  A document stays whole in a block.  An empty table gives an empty result.
+    has probability one.  A document stays whole in a block; its first tokens have shorter contexts, the first the start
+    alone.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     at = workspace(spark, "katz")
     rows = docs.select(F.col(id_col).cast("long"), text_of(text_col).cast("binary"), F.monotonically_increasing_id(), is_training(id_col).alias("train"))
-    blocks = materialize(rows.mapInArrow(_blocks(block_tokens), BLOCK), f"{at}/blocks")
+    buckets = min(100_000, max(shuffle_partitions(spark), rows.rdd.getNumPartitions()))
+    blocks = _in_buckets(rows.mapInArrow(_blocks(block_tokens), BLOCK), f"{at}/blocks", buckets, "block")
     size = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     owners = max(shuffle_partitions(spark), -(-size // owner_tokens))
-
-    words = blocks.select("block", "words", "body", "lengths", "train").mapInArrow(_deal_words(owners), DEALT)
-    found = materialize(words.repartitionById(owners, "owner").mapInArrow(_own_words(owners), ANSWER), f"{at}/words", ("kind",))
-    stats = sum((unpack(r["p0"]) for r in found.where("kind = 'stats'").select("p0").collect()), np.zeros(K + 3))
-    unigrams = Unigrams(int(stats[K + 2]), np.concatenate([[0], stats[: K + 1]]))
-    vocabulary = int(stats[K + 1])
     documents = docs.where(is_training(id_col)).count()
+    parts = [f"p{i}" for i in range(PARTS)]
+
+    def stats(found: DataFrame, width: int) -> list[int]:
+        sums = found.where("kind = 'stats'").agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(width)]).first()
+        return [0, *sums]
 
-    told = found.where("kind = 'words'").select("kind", "block", "owner", *[f"p{i}" for i in range(PARTS)])
+    def told(found: DataFrame, kind: str, number: int) -> DataFrame:
+        return found.where(F.col("kind") == kind).select(F.lit(f"{kind}-{number}").alias("kind"), "block", "owner", "sums", *parts)
+
+    words = blocks.select("block", "words", "body", "lengths", "train").mapInArrow(_deal_words(owners), DEALT)
+    found = materialize(words.repartitionById(owners, "owner").mapInArrow(_own_words(owners), ANSWER), f"{at}/order-1", ("kind",))
+    *counts, vocabulary, tokens = stats(found, K + 3)
+    unigrams = Unigrams(tokens, np.array(counts, float))
+    answers = told(found, "words", 1)
+    d: list[np.ndarray] = []
     need = blocks.select("block", "words", "body", "lengths", "train")
-    pairs = need.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_deal_pairs(owners, owners, unigrams.tokens, documents), DEALT)
-    pairs = materialize(pairs.repartitionById(owners, "owner").mapInArrow(_own_pairs(unigrams, owners), ANSWER), f"{at}/pairs", ("kind",))
-    stats = sum((unpack(r["p0"]) for r in pairs.where("kind = 'stats'").select("p0").collect()), np.zeros(K + 1))
-    d = discounts(np.concatenate([[0], stats]))
-    shared: dict[int, list] = {}
-    for r in pairs.where("kind = 'shared'").select("p0", "p2", "p3").toLocalIterator():  # at most 4 contexts for each owner
-        for c, mass, seen in zip(unpack(r["p0"]).tolist(), unpack(r["p2"]), unpack(r["p3"]).reshape(-1, K).astype(float)):
-            have = shared.setdefault(c, [0.0, np.zeros(K)])
-            have[0] += mass
-            have[1] = have[1] + seen
-
-    answers = told.unionByName(pairs.where("kind = 'pairs'").select(*told.columns))
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_evaluate(owners, owners, unigrams, vocabulary, documents, d, shared), SCORES)
-    return scored, KatzModel(at, unigrams, vocabulary, documents, d, shared)
+    for k in range(2, order + 1):
+        dealt = need.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_deal(owners, tokens, documents, k), DEALT)
+        found = materialize(dealt.repartitionById(owners, "owner").mapInArrow(_own(k, owners, tokens), ANSWER), f"{at}/order-{k}", ("kind",))
+        d.append(discounts(np.array(stats(found, K + 1), float)))
+        asks = found.where("kind = 'asks'").select("block", "p0").distinct()
+        sums = found.where("kind = 'shared'").groupBy("p0").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(SUMS)]).alias("sums"))
+        none = [F.lit(None).cast("binary").alias(p) for p in parts[1:]]
+        shared = asks.join(sums, "p0").select(F.lit(f"shared-{k}").alias("kind"), "block", F.lit(None).cast("int").alias("owner"), "sums", "p0", *none)
+        answers = answers.unionByName(told(found, "grams", k)).unionByName(shared)
+        _forget_shuffles(spark)
+
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_evaluate(owners, unigrams, vocabulary, documents, d), SCORES)
+    return scored, KatzModel(at, unigrams, vocabulary, documents, d)

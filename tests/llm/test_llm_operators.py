@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import gzip
 import hashlib
 import math
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import queries as Q
 from lodestone.llm.common import join_skewed
 from lodestone.llm.exact_dedup import ExtendibleHash, distinct_documents, exact_dedup, grow_directory
-from lodestone.llm.katz import K, Unigrams, discounts, katz_scores, pack, unpack
+from lodestone.llm.katz import K, Unigrams, apart, beside, discounts, joint, katz_scores, pack, unpack
 from lodestone.llm.mixing import block_order, capped_targets, mix_sources, mixed_documents, sainte_lague, shard_words
 from lodestone.llm.packing import WordIds, first_fit_decreasing, pack_documents
 from lodestone.llm.quality import distance, quality_rules, repeated_words
@@ -507,47 +508,75 @@ def test_pack():
         assert unpack(pack(a)).tolist() == a.tolist() and unpack(pack(a)).dtype == a.dtype
 
 
-def plain_katz(rows):
+def plain_katz(rows, order):
+    """Probabilities by the definition: the seen followers of a context are listed and summed over."""
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     seqs = [(r[0], zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 5 == 1, [*words_of(lower(r[1])), " "]) for r in rows]
-    uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    grams = [collections.Counter() for _ in range(order + 1)]
     for _, held, w in seqs:
         if not held:
-            uni.update(w)
-            bi.update(zip(["<s>", *w[:-1]], w))
-            ctx.update(["<s>", *w[:-1]])
+            grams[1].update((x,) for x in w)
+            for m in range(2, order + 1):
+                padded = ["<s>", *w]
+                grams[m].update(tuple(padded[i : i + m]) for i in range(len(padded) - m + 1))
     of = lambda c: np.array([0] + [sum(v == r for v in c.values()) for r in range(1, K + 2)], float)
-    u, d = Unigrams(sum(uni.values()), of(uni)), discounts(of(bi))
-    p1 = lambda w: float(u.p(np.array([uni[w]]))[0])
-    followers = collections.defaultdict(list)
-    for (h, w), n in bi.items():
-        followers[h].append((w, n))
-
-    def p2(h, w):
-        if not ctx[h]:
-            return p1(w)
-        left = sum((1 - d[n]) * n for _, n in followers[h] if n <= K)
-        total, left = (ctx[h], left) if left > 0 else (ctx[h] + 1, 1.0)
-        n = bi[h, w]
-        return (d[n] if n <= K else 1) * n / total if n else left / total / (1 - sum(p1(x) for x, _ in followers[h])) * p1(w)
-
-    return seqs, uni, p2
-
-
-@pytest.mark.parametrize("block", [50, 2_000_000])
-def test_katz(spark, docs, empty, block):
+    u = Unigrams(sum(grams[1].values()), of(grams[1]))
+    d = [None, None, *(discounts(of(grams[m])) for m in range(2, order + 1))]
+    followers = collections.defaultdict(dict)
+    for m in range(2, order + 1):
+        for g, n in grams[m].items():
+            followers[g[:-1]][g[-1]] = n
+
+    @functools.cache
+    def p(h, w):
+        if not h:
+            return float(u.p(np.array([grams[1][w,]]))[0])
+        after = followers.get(h)
+        if not after:
+            return p(h[1:], w)
+        own = d[len(h) + 1]
+        total = sum(after.values())
+        left = sum((1 - own[n]) * n for n in after.values() if n <= K)
+        if left <= 0:
+            total, left = total + 1, 1.0
+        if w in after:
+            n = after[w]
+            return (own[n] if n <= K else 1) * n / total
+        return left / total / (1 - sum(p(h[1:], x) for x in after)) * p(h[1:], w)
+
+    history = lambda w, i: tuple(["<s>", *w][max(0, i + 2 - order) : i + 1])
+    return seqs, {g[0]: n for g, n in grams[1].items()}, p, history
+
+
+@pytest.mark.parametrize("block,order", [(50, 1), (50, 2), (2_000_000, 2), (50, 3), (300, 3), (2_000_000, 3), (300, 4)])
+def test_katz(spark, docs, empty, block, order):
     rows = [r for r in ROWS if r[1] is not LONG] + [row(i, words(rng.randint(0, 60))) for i in range(100, 180)]
+    if order > 2:
+        rows += [row(i, " ".join(f"w{j % 97} {VOCAB[j % 11]}" for j in range(2000))) for i in (400, 401)]  # a long text
     d = spark.createDataFrame(rows, SCHEMA)
-    scored, model = katz_scores(d, block_tokens=block, owner_tokens=max(100, block // 2))
-    seqs, uni, p2 = plain_katz(rows)
+    scored, model = katz_scores(d, order=order, block_tokens=block, owner_tokens=max(100, block // 2))
+    seqs, uni, p, history = plain_katz(rows, order)
     n, v = sum(uni.values()), len(uni)
-    want = sorted(((i is None, i or 0, held, len(w), sum(x in uni for x in w), n), sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p2(h, x)) for h, x in zip(["<s>", *w[:-1]], w))) for i, held, w in seqs)
+    want = sorted(((i is None, i or 0, held, len(w), sum(x in uni for x in w), n), sum(math.log10((uni.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(history(w, i), x)) for i, x in enumerate(w))) for i, held, w in seqs)
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens), r.base_score, r.score) for r in scored.collect())
     assert [g[0] for g in got] == [w[0] for w in want]
     assert np.allclose([g[1:] for g in got], [w[1:] for w in want])
-    for h in ("<s>", "the", "a", "storm"):
-        assert sum(p2(h, w) for w in uni) + p2(h, "\0unknown") == pytest.approx(1)
-    assert katz_scores(empty)[0].count() == 0
+    for h in ((), ("<s>",), ("the",), ("storm",), ("the", "of"), ("<s>", "a"), ("never", "seen")):
+        if len(h) < order:
+            assert sum(p(h, w) for w in uni) + p(h, "\0unknown") == pytest.approx(1)
+    assert len(model.d) == order - 1
+    assert katz_scores(empty, order=order)[0].count() == 0
+
+
+def test_joint_keys():
+    r = np.random.default_rng(1)
+    for top in (50, 1 << 40):
+        columns = [np.append(r.integers(0, top, 300, dtype=np.uint64) % np.uint64(top), np.uint64((1 << 64) - 1)) for _ in range(3)]
+        columns = [np.concatenate([c, c[:40]]) for c in columns]
+        key = joint(columns)
+        rows = list(zip(*(c.tolist() for c in columns)))
+        assert [rows[i] for i in np.argsort(key, kind="stable")] == sorted(rows) and len(set(key.tolist())) == len(set(rows))
+        assert [c.tolist() for c in apart(beside(columns), 3)] == [c.tolist() for c in columns]
 
 
 def test_katz_without_training_rows(spark):
