@@ -325,9 +325,9 @@ def shrinkage(spark, sf_dir):
     return L.shrinkage(CLEANED.frame(spark))
 
 
-@query(f"SELECT id, CAST(len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip_sql('p')} <> '')) AS INTEGER) AS paragraphs FROM {CLEANED.sql} WHERE len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip_sql('p')} <> '')) < 3")
+@query(f"SELECT id, CAST(len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip_sql('p')} <> '')) AS INTEGER) AS paragraphs FROM {CLEANED.sql} WHERE len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip_sql('p')} <> '')) < 5")
 def thin_files(spark, sf_dir):
-    return L.thin_files(CLEANED.frame(spark).withColumn("source", F.col("id")), 3).withColumnRenamed("source", "id")
+    return L.thin_files(CLEANED.frame(spark).withColumn("source", F.col("id"))).withColumnRenamed("source", "id")
 
 
 BLANKS = Inline("id long, lines array<string>", [(1, ["", " ", "a", "", "\t", "b", "c", "", ""]), (2, ["a"]), (3, ["", ""]), (4, ["a", "", "b"])])

@@ -51,18 +51,26 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), ((F.col("label") + 1) % 10).cast("string").alias("tag"))
 
 
+_indexes: dict[tuple[str, str], I.Index] = {}
+
+
 def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.build_index(chunks(spark, sf_dir), vectors(spark, sf_dir).select("id", "embedding"), workspace(spark, "index"))
+    """The index of a folder's tables, written once in a session and then read by each search, as a saved index would be."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = I.build_index(chunks(spark, sf_dir), vectors(spark, sf_dir).select("id", "embedding"), workspace(spark, "index"))
+    return _indexes[key]
 
 
 LEXICAL = f"""
-tok AS (SELECT doc_id AS id, {tokens_sql("text")} AS t FROM documents),
+tok AS MATERIALIZED (SELECT doc_id AS id, {tokens_sql("text")} AS t FROM documents),
 occ AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok),
-posts AS (SELECT term, id, any_value(dl) AS dl, count(*) AS tf FROM occ GROUP BY term, id),
+posts AS MATERIALIZED (SELECT term, id, any_value(dl) AS dl, count(*) AS tf FROM occ GROUP BY term, id),
 corpus AS (SELECT count(*) AS n, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM tok),
-dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
-raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM posts GROUP BY term),
+raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
+means AS MATERIALIZED (SELECT avg(raw) AS mean FROM raws),
+terms AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raws, means),
 q AS (SELECT item_id AS query_id, text, [NULL, 'en', 'fr', 'de', 'xx'][CAST(item_id % 5 + 1 AS INTEGER)] AS tag, embedding AS qvec
       FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
 qocc AS (SELECT query_id, tag, unnest({tokens_sql("text")}) AS term FROM q),
@@ -132,7 +140,16 @@ def tokenize_stats(spark, sf_dir):
     return chunks(spark, sf_dir).select("id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-@query(f"WITH {LEXICAL} SELECT term, df, round(idf, 6) AS idf FROM terms")
+#: The statistics alone: a document's distinct terms, no postings, lengths or queries.
+TERM_STATS = f"""
+WITH t AS MATERIALIZED (SELECT unnest(list_distinct({tokens_sql("text")})) AS term FROM documents),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM t GROUP BY term),
+raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, (SELECT count(*) AS n FROM documents) c)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raws, (SELECT avg(raw) AS mean FROM raws) m
+"""
+
+
+@query(TERM_STATS)
 def term_df_idf(spark, sf_dir):
     return index_of(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -264,7 +281,14 @@ def prompt_assembly(spark, sf_dir):
     return hits.join(q.select("query_id", "text"), "query_id").select("query_id", G.user_message(F.col("text"), F.col("hits")).alias("prompt"))
 
 
-@query()
+@query(
+    f"""{ORDERED},
+    told AS (SELECT g.query_id, CASE WHEN gated THEN message ELSE answer END AS answer, coalesce(n, 0) AS n, gated, round(top_score, 6) AS top_score FROM gates g LEFT JOIN said USING (query_id)),
+    words AS (SELECT *, list_concat(['meta'], CASE WHEN gated THEN [answer] ELSE regexp_extract_all(answer, '\\s*\\S+|\\s+$') END, ['done']) AS w FROM told),
+    rows AS (SELECT query_id, gated, top_score, n, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS seq FROM words)
+    SELECT query_id, CAST(seq AS INTEGER) AS seq, CASE seq WHEN 0 THEN 'meta' WHEN m - 1 THEN 'done' ELSE 'token' END AS type, CASE WHEN seq BETWEEN 1 AND m - 2 THEN word END AS text,
+    CASE WHEN seq = 0 THEN gated END AS gated, CASE WHEN seq = 0 THEN top_score END AS top_score, CASE WHEN seq = 0 THEN CAST(n AS INTEGER) END AS n_citations FROM rows"""
+)
 def answer_events(spark, sf_dir):
     out = G.events(_answers(spark, sf_dir))
     return out.select("query_id", "seq", "type", "text", "gated", F.round("top_score", 6).alias("top_score"), F.size("citations").alias("n_citations"))
@@ -275,6 +299,28 @@ def safety_score(spark, sf_dir):
     return chunks(spark, sf_dir).select("id", T.safety_score(F.col("text")).alias("safety"))
 
 
+@query("SELECT lang AS disaster_type, doc_id AS id, count(*) OVER (PARTITION BY lang) AS n_of_tag FROM documents")
+def browse_by_tag(spark, sf_dir):
+    return E.rows_of_tag(chunks(spark, sf_dir).select("id", "disaster_type"))
+
+
+@query("SELECT source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value LIMIT 5")
+def top_sources(spark, sf_dir):
+    return E.top_values(chunks(spark, sf_dir), "source", 5)
+
+
+@query("SELECT md5(text) AS text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_texts(spark, sf_dir):
+    return E.duplicates(chunks(spark, sf_dir).select(F.md5(F.col("text").cast("binary")).alias("text")), "text")
+
+
+@query(f"{GATED} SELECT query_id, round(top_score, 6) AS top_score FROM gates JOIN q USING (query_id) WHERE NOT gated AND tag IS NOT NULL")
+def gate_check(spark, sf_dir):
+    """Queries with a tag taken as those that should have been gated: the ones answered all the same."""
+    q = items(spark, sf_dir)
+    return E.gate_failures(retrieve(q, index_of(spark, sf_dir)).gates, q.where("tag IS NOT NULL")).select("query_id", F.round("top_score", 6).alias("top_score"))
+
+
 # --- aggregations over chunks -----------------------------------------------------------------------------------------
 
 
@@ -355,17 +401,17 @@ def precision_recall_at_k(spark, sf_dir):
     return _quality(spark, sf_dir)
 
 
-MEANS = f"WITH {LEXICAL}, {bm25_sql('sparse', False)}, {QUALITY}, means AS (SELECT count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM quality)"
+MEANS = f"WITH {LEXICAL}, {bm25_sql('sparse', False)}, {QUALITY}, scores AS (SELECT count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM quality)"
 
 
-@query(f"{MEANS} SELECT * FROM means")
+@query(f"{MEANS} SELECT * FROM scores")
 def mrr(spark, sf_dir):
     return E.mean_quality(_quality(spark, sf_dir))
 
 
 @query(
-    f"""{MEANS}, r AS (SELECT 'candidates' AS stage, 'precision' AS metric, precision AS value, CAST(NULL AS DOUBLE) AS threshold FROM means
-    UNION ALL SELECT 'candidates', 'recall', recall, 0.5 FROM means UNION ALL SELECT 'final', 'mrr', mrr, 0.5 FROM means)
+    f"""{MEANS}, r AS (SELECT 'candidates' AS stage, 'precision' AS metric, precision AS value, CAST(NULL AS DOUBLE) AS threshold FROM scores
+    UNION ALL SELECT 'candidates', 'recall', recall, 0.5 FROM scores UNION ALL SELECT 'final', 'mrr', mrr, 0.5 FROM scores)
     SELECT *, CASE WHEN threshold IS NULL THEN 'PASS' WHEN value < threshold THEN 'FAIL' WHEN value < 0.7 THEN 'WARN' ELSE 'PASS' END AS status FROM r"""
 )
 def quality_summary(spark, sf_dir):

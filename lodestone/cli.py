@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions import text as T
+from lodestone.operators.evaluation import rows_of_tag, top_values
 from lodestone.operators.index import load_index, save_index
 from lodestone.operators.parsing import identity_reply, parse_queries
 from lodestone.plans.ingest import build
@@ -24,6 +25,13 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("ready", "cross", "sidecars"):
         b.add_argument(f"--{name}")
     b.add_argument("--emd", nargs="*")
+    v = commands.add_parser("serve", help="answer over HTTP")
+    v.add_argument("index")
+    v.add_argument("--port", type=int, default=8000)
+    w = commands.add_parser("browse", help="list chunks, or those of a tag")
+    w.add_argument("index")
+    w.add_argument("--disaster-type")
+    w.add_argument("--limit", type=int, default=50)
     for name in ("retrieve", "answer", "parse"):
         c = commands.add_parser(name)
         c.add_argument("index")
@@ -34,9 +42,21 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
     if args.command == "build":
-        save_index(build(spark, ready=args.ready, cross=args.cross, emd=args.emd, sidecars=args.sidecars), args.index)
+        built = build(spark, ready=args.ready, cross=args.cross, emd=args.emd, sidecars=args.sidecars)
+        save_index(built, args.index)
+        for r in top_values(built.chunks, "disaster_type").collect():
+            print(f"{r['value']}: {r['n']} chunks")
         return 0
     index = load_index(spark, args.index)
+    if args.command == "serve":
+        from lodestone.streaming.http import Service, server
+
+        server(Service(spark, index), port=args.port).serve_forever()
+        return 0
+    if args.command == "browse":
+        for r in rows_of_tag(index.chunks, args.disaster_type).limit(args.limit).collect():
+            print(f"[{r['id']}] {r['disaster_type']} ({r['n_of_tag']})  {r['source']}  page={r['page']}\n    {r['text']}")
+        return 0
     asked = spark.createDataFrame([(0, args.query)], "query_id long, query string")
     if args.command == "parse":
         print(json.dumps(parse_queries(asked.withColumn("raw", identity_reply(F.col("query"))), index.chunks).first().asDict(), indent=2))

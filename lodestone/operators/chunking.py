@@ -1,17 +1,21 @@
 """From pages to chunks: paragraph dedupe, sections, merging, splitting, folding, filtering, tagging.
 
-All but the recursive splitter are folds over a document's own array, so that a page becomes pieces in one projection;
-only dropping repeats across the pages of a source needs a shuffle.
+A page becomes pieces without a shuffle; only dropping repeats across the pages of a source needs one.  What depends on all
+that came before in a document (which paragraphs stay, where sections begin and how they are joined) is decided in Arrow
+batches, in time that grows with the document's length: only norms, counts and headings go there, and positions come back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from lodestone import constants as C
 from lodestone.functions import text as T
@@ -29,40 +33,124 @@ def described(paragraphs: Column) -> Column:
     return F.transform(second, lambda x: F.struct(x["text"].alias("text"), x["norm"].alias("norm"), x["n"].alias("n"), T.heading_line(x["line"], x["n"]).alias("heading")))
 
 
-def dedupe_paragraphs(paragraphs: Column) -> Column:
-    """Of described paragraphs those that stay: 8 tokens or more repeat none that stayed, and unless a heading stand in none that stayed with 12 or more.
+#: Tokens in the keys by which a container is looked up: of the least tokens that can be dropped, all but the outer two,
+#: which may be parts of longer ones there.
+_KEY = C.DEDUPE_MIN_TOKENS - 2
+
+
+def kept_positions(norms: list[str], counts: list[int], headings: list[bool]) -> list[int]:
+    """Positions of the paragraphs that stay (see dedupe_paragraphs).
 
-    The norms that stayed are kept in two strings, one norm a line; a norm has no line feed, so no match crosses lines.
+    Long ones that stay are found by each of their runs of _KEY tokens; a paragraph is compared with those alone that have the
+    rarest of its own.
     """
-    kind = "array<struct<text: string, norm: string, n: int, heading: boolean>>"
-    state = F.struct(F.array().cast(kind).alias("kept"), F.lit("\n").alias("seen"), F.lit("\n").alias("long"))
+    out: list[int] = []
+    seen: set[str] = set()
+    by_run: dict[tuple[str, ...], list[str]] = {}
+    for i, (norm, n, heading) in enumerate(zip(norms, counts, headings)):
+        tokens = norm.split(" ")
+        if n >= C.DEDUPE_MIN_TOKENS:
+            if norm in seen:
+                continue
+            if not heading and by_run:
+                inner = [by_run.get(tuple(tokens[k : k + _KEY]), ()) for k in range(1, len(tokens) - _KEY)]
+                if any(norm in x for x in min(inner, key=len)):
+                    continue
+        out.append(i)
+        seen.add(norm)
+        if n >= C.DEDUPE_CONTAINER_TOKENS:
+            for run in {tuple(tokens[k : k + _KEY]) for k in range(len(tokens) - _KEY + 1)}:
+                by_run.setdefault(run, []).append(norm)
+    return out
+
+
+def section_positions(headings: list[bool]) -> list[list[int]]:
+    """Positions by section; a heading opens one unless it stands first."""
+    out: list[list[int]] = []
+    for i, heading in enumerate(headings):
+        if heading or not out:
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
+def merged_positions(parts: list[list[int]], counts: list[int], least: int) -> list[list[int]]:
+    """Sections joined until they have `least` tokens; a rest goes to the last."""
+    out: list[list[int]] = []
+    held = least  # tokens of the last one
+    for part in parts:
+        n = sum(counts[i] for i in part)
+        if held < least:
+            out[-1] += part
+            held += n
+        else:
+            out.append(list(part))
+            held = n
+    if held < least and len(out) > 1:
+        rest = out.pop()
+        out[-1] += rest
+    return out
+
+
+def _by_document(paragraphs: pa.ListArray) -> Iterator[tuple[list[str], list[str], list[int], list[bool]]]:
+    """text, norm, n and heading of each document's described paragraphs."""
+    ends = paragraphs.offsets.to_pylist()
+    fields = [paragraphs.values.field(i).to_pylist() for i in range(4)]
+    for i, (begin, end) in enumerate(zip(ends, ends[1:])):
+        yield tuple(f[begin:end] if paragraphs[i].is_valid else [] for f in fields)
+
+
+_DESCRIBED = ArrayType(StructType([StructField("text", StringType()), StructField("norm", StringType()), StructField("n", IntegerType()), StructField("heading", BooleanType())]))
+
+
+def _once(f):
+    """f so that the optimizer doesn't copy it into filters, where it would run again, and in the few tasks of a scan."""
+    return f.asNondeterministic()
+
+
+@F.arrow_udf(_DESCRIBED)
+def _kept(paragraphs: pa.Array) -> pa.Array:
+    begins = paragraphs.offsets.to_pylist()
+    kept = [kept_positions(*rest) for _, *rest in _by_document(paragraphs)]
+    ends = np.cumsum([0, *map(len, kept)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), paragraphs.values.take(pa.array([b + i for b, own in zip(begins, kept) for i in own], pa.int64())))
 
-    def step(s: Column, p: Column) -> Column:
-        line = F.concat(p["norm"], F.lit("\n"))
-        again = s["seen"].contains(F.concat(F.lit("\n"), line)) | (~p["heading"] & s["long"].contains(p["norm"]))
-        drop = (p["n"] >= C.DEDUPE_MIN_TOKENS) & again
-        long = ~drop & (p["n"] >= C.DEDUPE_CONTAINER_TOKENS)
-        return F.struct(
-            F.when(drop, s["kept"]).otherwise(F.array_append(s["kept"], p)).alias("kept"),
-            F.when(drop, s["seen"]).otherwise(F.concat(s["seen"], line)).alias("seen"),
-            F.when(long, F.concat(s["long"], line)).otherwise(s["long"]).alias("long"),
-        )
 
-    return F.aggregate(paragraphs, state, step, lambda s: s["kept"])
+def _joined(texts: list[str], groups: list[list[int]], glue: str) -> list[str]:
+    return [glue.join(texts[i] for i in g) for g in groups]
+
+
+def dedupe_paragraphs(paragraphs: Column) -> Column:
+    """Of described paragraphs those that stay: 8 tokens or more repeat none that stayed, and unless a heading stand in none that stayed with 12 or more."""
+    return _once(_kept)(paragraphs)
 
 
 def sections(paragraphs: Column, glue: str = "\n\n") -> Column:
     """Described paragraphs as sections; a heading opens one unless it stands first."""
-    state = F.struct(F.array().cast(_STRINGS).alias("done"), F.lit(None).cast("string").alias("open"))
 
-    def step(s: Column, p: Column) -> Column:
-        new = p["heading"] & s["open"].isNotNull()
-        return F.struct(
-            F.when(new, F.array_append(s["done"], s["open"])).otherwise(s["done"]).alias("done"),
-            F.when(new | s["open"].isNull(), p["text"]).otherwise(F.concat(s["open"], F.lit(glue), p["text"])).alias("open"),
-        )
+    @F.arrow_udf(ArrayType(StringType()))
+    def opened(paragraphs: pa.Array) -> pa.Array:
+        return pa.array([_joined(texts, section_positions(headings), glue) for texts, _, _, headings in _by_document(paragraphs)], pa.list_(pa.string()))
+
+    return _once(opened)(paragraphs)
+
+
+def kept_sections(least: int = C.MIN_SECTION_TOKENS, glue: str = "\n\n"):
+    """Described paragraphs as merged sections of those that stay: dedupe_paragraphs, sections and merge_short in one go.
+
+    Tokens don't cross paragraphs, so a section has as many as its paragraphs together.
+    """
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def cut(paragraphs: pa.Array) -> pa.Array:
+        out = []
+        for texts, norms, counts, headings in _by_document(paragraphs):
+            kept = kept_positions(norms, counts, headings)
+            texts, counts = [texts[i] for i in kept], [counts[i] for i in kept]
+            out.append(_joined(texts, merged_positions(section_positions([headings[i] for i in kept]), counts, least), glue))
+        return pa.array(out, pa.list_(pa.string()))
 
-    return F.aggregate(paragraphs, state, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    return _once(cut)
 
 
 def merge_short(parts: Column, least: int = C.MIN_SECTION_TOKENS, glue: str = "\n\n") -> Column:
@@ -163,9 +251,7 @@ def fold_tails(pieces: Column, least: int = C.MIN_SECTION_TOKENS, separator: str
 def section_texts(pages: DataFrame, *, text_col: str = "text", separator: str = PARAGRAPH) -> DataFrame:
     """pages with sections: an array of merged sections of the deduplicated text."""
     step = pages.withColumn("_paragraphs", described(T.split_blocks(F.coalesce(F.col(text_col), F.lit("")), separator)))
-    step = step.withColumn("_kept", dedupe_paragraphs(F.col("_paragraphs")))
-    step = step.withColumn("_sections", sections(F.col("_kept")))
-    return step.withColumn("sections", merge_short(F.col("_sections"))).drop("_paragraphs", "_kept", "_sections")
+    return step.withColumn("sections", kept_sections()(F.col("_paragraphs"))).drop("_paragraphs")
 
 
 def drop_repeats(pieces: DataFrame, by: list[str], order: list[str], *, text_col: str = "text") -> DataFrame:
@@ -175,19 +261,38 @@ def drop_repeats(pieces: DataFrame, by: list[str], order: list[str], *, text_col
     return norm.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_norm")
 
 
-def chunk_pages(pages: DataFrame, *, split: Callable[[Column], Column] | None = None, separator: str = PARAGRAPH) -> DataFrame:
-    """source, page, section_no, piece_no, text, disaster_type for pages (source, page, text).
+def folded_pieces(pages: DataFrame, *, split: Callable[[Column], Column] | None = None, separator: str = PARAGRAPH) -> DataFrame:
+    """source, page, section_no, piece_no, text for pages (source, page, text): all pieces, before any is dropped.
 
-    split makes an array of pieces of a section; the default is the recursive splitter.  Repeats of a source and pieces of
-    fewer than 40 tokens are dropped.
+    split makes an array of pieces of a section; the default is the recursive splitter.
     """
     split = split or recursive_pieces()
     cut = section_texts(pages.select("source", "page", "text"), separator=separator)
     cut = cut.select("source", "page", F.posexplode("sections").alias("section_no", "section"))
     cut = cut.withColumn("_pieces", split(F.col("section"))).withColumn("_pieces", fold_tails(F.col("_pieces"), separator=separator))
-    cut = cut.select("source", "page", "section_no", F.posexplode("_pieces").alias("piece_no", "text"))
-    cut = drop_repeats(cut, ["source"], ["page", "section_no", "piece_no"]).where(T.token_count(F.col("text")) >= C.MIN_MEANINGFUL_TOKENS)
-    return cut.withColumn("disaster_type", tag_of(F.col("source"), F.col("text")))
+    # outer, as the filter that is inferred for the other kind would fold once more for itself
+    return cut.select("source", "page", "section_no", F.posexplode_outer("_pieces").alias("piece_no", "text")).where(F.col("text").isNotNull())
+
+
+def chunk_pages(pages: DataFrame, **how) -> DataFrame:
+    """source, page, section_no, piece_no, text, disaster_type for pages (source, page, text); see folded_pieces.
+
+    Pieces of fewer than 40 tokens and repeats of a source are dropped.  Repeats have equally many tokens, so the short
+    ones go before the shuffle.
+    """
+    cut = folded_pieces(pages, **how).where(T.token_count(F.col("text")) >= C.MIN_MEANINGFUL_TOKENS)
+    return drop_repeats(cut, ["source"], ["page", "section_no", "piece_no"]).withColumn("disaster_type", tag_of(F.col("source"), F.col("text")))
+
+
+def chunk_report(pieces: DataFrame) -> DataFrame:
+    """source, pieces, chunks, short, repeated: what becomes of each source's pieces (source, text).
+
+    A piece that is short and repeats another counts as a repeat if an equal one came before, as short otherwise.
+    """
+    each = pieces.groupBy("source", T.normal(F.col("text")).alias("_norm")).agg(F.count("*").alias("n"), F.max(T.token_count(F.col("text"))).alias("_tokens"))
+    short = F.col("_tokens") < C.MIN_MEANINGFUL_TOKENS
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return each.groupBy("source").agg(total("n", "pieces"), total((~short).cast("long"), "chunks"), total(F.when(short, 1), "short"), total(F.col("n") - 1, "repeated"))
 
 
 def chunk_blocks(blocks: DataFrame) -> DataFrame:

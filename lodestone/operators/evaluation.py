@@ -87,3 +87,22 @@ def phrase_hits(chunks: DataFrame, phrases: tuple[str, ...] = C.CRITICAL_PHRASES
 def sampled(chunks: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n chunks in a seeded order."""
     return chunks.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+
+
+def rows_of_tag(chunks: DataFrame, tag: str | None = None) -> DataFrame:
+    """Chunks of a tag, or of all, by tag and id, each with the number of chunks that share its tag; for browsing."""
+    wanted = chunks if tag is None else chunks.where(F.col("disaster_type") == tag)
+    counts = wanted.groupBy("disaster_type").agg(F.count("*").alias("n_of_tag")).withColumnRenamed("disaster_type", "_tag")
+    joined = wanted.join(F.broadcast(counts) if tag else counts, F.col("disaster_type").eqNullSafe(F.col("_tag"))).drop("_tag")
+    return joined.orderBy("disaster_type", "id")
+
+
+def top_values(rows: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """value, n: how often each value occurs, the commonest first (then by value); the first n, or all."""
+    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("value"))
+    return counts if n is None else counts.limit(n)
+
+
+def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys' values that occur more than once, and how often."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

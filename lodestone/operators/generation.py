@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import logging
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,17 @@ def safety_order(hits: DataFrame) -> DataFrame:
     return hits.withColumn("safety", T.safety_score(F.col("text"))).withColumn("order_no", F.row_number().over(w))
 
 
+def hit_of(row: Column) -> Column:
+    """A hit as answers cite it."""
+    return F.struct(row["id"].alias("chunk_id"), row["text"].alias("text"), row["source"].alias("source"), row["page"].alias("page"), row["disaster_type"].alias("disaster_type"), row["score"].alias("score"))
+
+
+def safety_sorted(rows: Column) -> Column:
+    """An array of hits by (most safety phrases, final_rank), each as answers cite it."""
+    keyed = F.transform(rows, lambda h: F.struct((-T.safety_score(h["text"])).alias("less"), h["final_rank"].alias("final_rank"), hit_of(h).alias("hit")))
+    return F.transform(F.array_sort(keyed), lambda x: x["hit"])
+
+
 def hit_arrays(ordered: DataFrame) -> DataFrame:
     """query_id and hits: an array of hits in their order."""
     hit = F.struct("order_no", F.struct(F.col("id").alias("chunk_id"), "text", "source", "page", "disaster_type", "score").alias("hit"))
@@ -44,39 +56,52 @@ def extractive_answer(hits: Column) -> Column:
 
 
 Model = Callable[[str], str]
+Stream = Callable[[str], Iterable[str]]
+Chat = Callable[[list[dict[str, str]]], str]
+
+_log = logging.getLogger(__name__)
+
+
+def chat_messages(prompt: str) -> list[dict[str, str]]:
+    """The chat for an answering model: the system prompt, and a user message with context blocks and question."""
+    return [{"role": "system", "content": SYSTEM_PROMPT}, {"role": "user", "content": prompt}]
+
+
+def chat_model(chat: Chat) -> Model:
+    """A model of a chat function; also for a chat function that yields tokens, which makes a Stream."""
+    return lambda prompt: chat(chat_messages(prompt))
 
 
 def _model_replies(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             replies = []
-            for prompt in batch["prompt"]:
+            for query_id, prompt in zip(batch["query_id"], batch["prompt"]):
                 try:
                     replies.append(model(prompt))
-                except Exception:  # a model's failure makes a gated answer
+                except Exception:  # a model may fail in any way; the query gets a gated answer, the log says why
+                    _log.exception("the model failed on query %s", query_id)
                     replies.append(None)
             yield pd.DataFrame({"query_id": batch["query_id"], "reply": replies})
 
     return run
 
 
-def generate(gates: DataFrame, hits: DataFrame, questions: DataFrame, *, model: Model | None = None, retry_uncited: bool = False) -> DataFrame:
+def generate(asked: DataFrame, *, model: Model | None = None, retry_uncited: bool = False) -> DataFrame:
     """One row per query: query_id, answer, citations, gated, top_score.
 
-    gates has query_id, top_score, gated, message; hits query_id and hits in safety order; questions query_id and question.
-    Gated queries never reach the model: they take their message.  Without a model the answer is extractive.  If the
-    model fails the answer is the no-answer sentence, gated.  A cited answer loses that sentence.  With retry_uncited an
-    answer without marks is asked for once more.
+    asked has query_id, question, hits (in safety order), top_score, gated, message.  Gated queries never reach the model:
+    they take their message.  Without a model the answer is extractive.  If the model fails the answer is the no-answer
+    sentence, gated, and the failure is logged.  A cited answer loses that sentence.  With retry_uncited an answer
+    without marks is asked for once more.
     """
     empty = F.array().cast(ANSWER.split("citations ")[1].split(", gated")[0])
-    open_ = gates.where(~F.col("gated")).select("query_id").join(hits, "query_id")
     if model is None:
-        replies = open_.withColumn("reply", extractive_answer(F.col("hits")))
+        both = asked.withColumn("reply", F.when(~F.col("gated"), extractive_answer(F.col("hits"))))
     else:
-        asked = open_.join(questions, "query_id").withColumn("prompt", user_message(F.col("question"), F.col("hits")))
+        prompts = asked.where(~F.col("gated")).select("query_id", user_message(F.col("question"), F.col("hits")).alias("prompt"))
         ask = _model_replies(model if not retry_uncited else _twice(model))
-        replies = open_.join(asked.select("query_id", "prompt").mapInPandas(ask, "query_id long, reply string"), "query_id")
-    both = gates.join(replies.select("query_id", "hits", "reply"), "query_id", "left")
+        both = asked.join(prompts.mapInPandas(ask, "query_id long, reply string"), "query_id", "left")
     failed = F.col("reply").isNull()
     own = F.when(F.col("gated"), F.coalesce("message", F.lit(C.LOW_CONFIDENCE_MESSAGE))).when(failed, C.LOW_CONFIDENCE_MESSAGE)
     answer = own.otherwise(T.strip_canned(T.strip(F.col("reply"))))
@@ -84,6 +109,41 @@ def generate(gates: DataFrame, hits: DataFrame, questions: DataFrame, *, model:
     return both.select("query_id", answer.alias("answer"), F.when(closed, empty).otherwise(F.col("hits")).alias("citations"), closed.alias("gated"), "top_score")
 
 
+def token_stream(stream: Stream, prompt: str) -> Iterator[str]:
+    """The model's tokens as they come; if it fails, what it said so far and then the no-answer sentence."""
+    try:
+        yield from (token for token in stream(prompt) if token)
+    except Exception:
+        _log.exception("the model failed while it answered")
+        yield C.LOW_CONFIDENCE_MESSAGE
+
+
+def streamed_events(asked: DataFrame, stream: Stream | None = None) -> DataFrame:
+    """query_id, seq, type, text, gated, top_score, citations: meta, a token each time the model yields one, done.
+
+    asked is as for generate.  The meta event depends on retrieval alone.  A gated query's one token is its message.  A
+    model that fails ends its answer with the no-answer sentence; the events before it stand.  Without a stream the
+    extractive answer's words are the tokens.
+    """
+    if stream is None:
+        return events(generate(asked))
+    empty = F.array().cast(ANSWER.split("citations ")[1].split(", gated")[0])
+    meta = asked.select("query_id", F.lit(0).alias("seq"), F.lit("meta").alias("type"), F.lit(None).cast("string").alias("text"), "gated", "top_score", F.when(F.col("gated"), empty).otherwise(F.col("hits")).alias("citations"))
+    message = F.coalesce("message", F.lit(C.LOW_CONFIDENCE_MESSAGE))
+    prompts = asked.select("query_id", "gated", F.when(F.col("gated"), message).otherwise(user_message(F.col("question"), F.col("hits"))).alias("prompt"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for query_id, gated, prompt in zip(batch["query_id"], batch["gated"], batch["prompt"]):
+                n = 0
+                for n, token in enumerate([prompt] if gated else token_stream(stream, prompt), 1):
+                    yield pd.DataFrame({"query_id": [query_id], "seq": [n], "type": ["token"], "text": [token]})
+                yield pd.DataFrame({"query_id": [query_id], "seq": [n + 1], "type": ["done"], "text": [None]})
+
+    told = prompts.mapInPandas(run, "query_id long, seq int, type string, text string")
+    return meta.unionByName(told, allowMissingColumns=True)
+
+
 def _twice(model: Model) -> Model:
     def ask(prompt: str) -> str:
         import re

@@ -47,19 +47,23 @@ class Index:
 def build_index(chunks: DataFrame, vectors: DataFrame, folder: str | None = None) -> Index:
     """The lexical tables of chunks (id, text, source, page, disaster_type), and given vectors (id, embedding).
 
-    With a folder the postings are written there first, so that term statistics and searches read them instead of the texts.
+    With a folder postings and statistics are written there first, so that searches read them instead of the texts.
     """
     posts, corpus = postings(chunks), corpus_stats(chunks)
     if folder:
-        posts = materialize(posts, f"{folder}/posts")
-    return Index(chunks, posts, term_stats(posts, corpus), corpus, vectors)
+        posts, corpus = materialize(posts, f"{folder}/posts"), materialize(corpus, f"{folder}/corpus")
+    terms = term_stats(posts, corpus)
+    if folder:
+        terms = materialize(terms, f"{folder}/terms")
+    return Index(chunks, posts, terms, corpus, vectors)
 
 
 def save_index(index: Index, path: str) -> None:
-    """Parquet tables; postings are sorted by term within files, so that a query's terms prune row groups."""
+    """Parquet tables; postings are in the order of term and id, so that a query's terms prune row groups and a common
+    word's postings are spread over as many files as they need."""
     for name in ("chunks", "terms", "corpus", "vectors"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    index.posts.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/posts")
+    index.posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/posts")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions import text as T
 
+_log = logging.getLogger(__name__)
+
 
 def known_tags(chunks: DataFrame) -> DataFrame:
     """tag: the distinct tags of the index."""
@@ -21,7 +27,8 @@ def unknown_synonyms(chunks: DataFrame) -> DataFrame:
 
 
 def parser_messages(query: Column, tags: list[str]) -> Column:
-    """The chat for a parsing model: instructions, three examples, the query."""
+    """The chat for a parsing model: instructions, six examples (a typo, a colloquial hazard, one of several words, none, an
+    indirect one, off topic), the query."""
     rules = (
         "Correct spelling and phrasing of the user's query without adding or answering anything, and name the hazard it is about. "
         f"Allowed hazards: {', '.join(tags)}; null if none fits. Reply with JSON only: "
@@ -29,6 +36,9 @@ def parser_messages(query: Column, tags: list[str]) -> Column:
     )
     shots = (
         ("is my bilding safe in a erthquake", '{"normalized": "is my building safe in an earthquake", "disaster_type": "earthquake"}'),
+        ("everything started to shake", '{"normalized": "everything started to shake", "disaster_type": "earthquake"}'),
+        ("when to leave home in a wild fire", '{"normalized": "when to leave home in a wildfire", "disaster_type": "wildfire"}'),
+        ("can i eat frozen food if the lights were out all night", '{"normalized": "can I eat frozen food if the lights were out all night", "disaster_type": "power_outage"}'),
         ("list for emergancy bag", '{"normalized": "list for emergency bag", "disaster_type": null}'),
         ("best pizza in town", '{"normalized": "best pizza in town", "disaster_type": null}'),
     )
@@ -74,6 +84,25 @@ def parse_queries(queries: DataFrame, chunks: DataFrame, *, rules_on_failure: bo
     )
 
 
+def with_replies(queries: DataFrame, chunks: DataFrame, chat: Callable[[list[dict[str, str]]], str]) -> DataFrame:
+    """queries with raw: what a parsing model replies to each query that isn't blank; null if it fails, which is logged."""
+    tags = sorted(r["tag"] for r in known_tags(chunks).where("tag is not null").collect())  # the few tags
+    asked = queries.where(~T.is_blank(F.coalesce("query", F.lit("")))).select("query_id", parser_messages(F.col("query"), tags).alias("messages"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            replies = []
+            for messages in batch["messages"]:
+                try:
+                    replies.append(chat([dict(m) for m in messages]))
+                except Exception:  # a model may fail in any way; the query then passes untagged
+                    _log.exception("the parsing model failed")
+                    replies.append(None)
+            yield pd.DataFrame({"query_id": batch["query_id"], "raw": replies})
+
+    return queries.join(asked.mapInPandas(run, "query_id long, raw string"), "query_id", "left")
+
+
 def identity_reply(query: Column) -> Column:
     """The default model: the query as it is, untagged, as JSON."""
     return F.to_json(F.struct(query.alias("normalized"), F.lit(None).cast("string").alias("disaster_type")), {"ignoreNullFields": "false"})

@@ -86,10 +86,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "tag", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "tag", "term").agg(F.count("*").alias("qtf"))
 
 
+#: Up to so many (query, term) rows the queries' terms are broadcast, and postings aren't shuffled.
+BROADCAST_TERMS = 100_000
+
+
 def bm25_scores(queries: DataFrame, index: Index, *, tags: DataFrame | None = None) -> DataFrame:
-    """query_id, id, score of chunks that share a term with the query; with tags (id, tag) only those with the query's tag, if it has one."""
-    terms = query_terms(queries).join(index.terms.select("term", "idf"), "term")
-    hits = index.posts.join(terms, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # corpus is one row
+    """query_id, id, score of chunks that share a term with the query; with tags (id, tag) only those with the query's tag, if it has one.
+
+    The queries' terms are counted first, which reads the queries only.  So long as they are few, postings meet them where
+    they are read, and a common word's postings stay spread over the tasks; else both are shuffled by term.
+    """
+    terms = query_terms(queries)
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    weighed = index.terms.join(F.broadcast(terms) if few else terms, "term").drop("df")  # no more rows than terms
+    hits = index.posts.join(F.broadcast(weighed) if few else weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # corpus is one row
     if tags is not None:
         hits = hits.join(tags.select("id", F.col("tag").alias("_tag")), "id").where(F.col("tag").isNull() | (F.col("tag") == F.col("_tag")))
     k1, b = C.BM25_K1, C.BM25_B
@@ -135,11 +145,21 @@ def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, score=covera
     return scored.withColumn("final_rank", F.row_number().over(w) - 1)
 
 
+def gate_state(told: DataFrame, *keep: str, threshold: float = C.CONFIDENCE_THRESHOLD) -> DataFrame:
+    """query_id, top_score, gated, message and the columns to keep of queries with tag, _n (rows with that tag) and top_score."""
+    empty = F.col("tag").isNotNull() & F.col("_n").isNull()
+    low = F.col("top_score").isNull() | (F.col("top_score") < threshold)
+    message = F.when(empty, C.EMPTY_FILTER_MESSAGE).when(low, C.LOW_CONFIDENCE_MESSAGE)
+    return told.select("query_id", F.when(~empty, F.col("top_score")).alias("top_score"), (empty | low).alias("gated"), message.alias("message"), *keep)
+
+
+def with_tag_counts(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, tag, _n: how many chunks have the query's tag, or null."""
+    tags = chunks.groupBy(F.col("disaster_type").alias("tag")).agg(F.count("*").alias("_n"))
+    return queries.select("query_id", "tag").join(tags, "tag", "left")
+
+
 def gate(queries: DataFrame, reranked: DataFrame, chunks: DataFrame, *, threshold: float = C.CONFIDENCE_THRESHOLD) -> DataFrame:
     """One row per query: query_id, top_score (null if nothing was scored), gated, message."""
-    tags = chunks.groupBy(F.col("disaster_type").alias("tag")).agg(F.count("*").alias("_n"))
     best = reranked.groupBy("query_id").agg(F.max("score").alias("top_score"))
-    told = queries.select("query_id", "tag").join(tags, "tag", "left").join(best, "query_id", "left")
-    empty = F.col("tag").isNotNull() & F.col("_n").isNull()
-    low = F.col("top_score").isNull() | (F.col("top_score") < threshold)
-    return told.select("query_id", F.when(~empty, F.col("top_score")).alias("top_score"), (empty | low).alias("gated"), F.when(empty, C.EMPTY_FILTER_MESSAGE).when(low, C.LOW_CONFIDENCE_MESSAGE).alias("message"))
+    return gate_state(with_tag_counts(queries, chunks).join(best, "query_id", "left"), threshold=threshold)

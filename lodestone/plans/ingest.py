@@ -22,11 +22,12 @@ def number_chunks(parts: list[DataFrame]) -> DataFrame:
     return numbered.select("id", "text", "source", F.col("page").cast("int").alias("page"), "disaster_type")
 
 
-def build(spark: SparkSession, *, ready: str | None = None, cross: str | None = None, emd: list[str] | None = None, sidecars: str | None = None, pdfs: str | None = None, decode_pdf=None, embed=None) -> Index:
+def build(spark: SparkSession, *, ready: str | None = None, cross: str | None = None, emd: list[str] | None = None, sidecars: str | None = None, pdfs: str | None = None, decode_pdf=None, embed=None, cleaned_to: str | None = None) -> Index:
     """Reads raw scrapes of the three dialects, sidecars and PDFs (those without a sidecar, if a decoder is given).
 
     Cleaned texts, pages and chunks of a dialect are written before they are used: a filter that is pushed down through
-    the line rules would repeat them many times over.
+    the line rules would repeat them many times over.  With cleaned_to the cleaned texts stay there, in a folder for each
+    dialect.  Without documents, or without chunks, it raises ValueError.
     """
     side = S.read_texts(spark, sidecars, "*.md") if sidecars else None
     parts = []
@@ -41,10 +42,15 @@ def build(spark: SparkSession, *, ready: str | None = None, cross: str | None =
         parts.append(chunk_pages(pages.select("source", "page", T.clean(F.col("text")).alias("text")).where("text <> ''")))
     for dialect, files in (("ready", ready and S.read_texts(spark, ready)), ("cross", cross and S.read_texts(spark, cross)), ("emd", emd and S.read_first_of(spark, emd))):
         if files is not None and files:
+            S.require_rows(files, f"no source documents for {dialect}")
             cleaned = materialize(clean_scrapes(files, dialect), workspace(spark, f"cleaned-{dialect}"))
+            if cleaned_to:
+                S.write_texts(cleaned, f"{cleaned_to}/{dialect}")
+                cleaned = S.read_cleaned(spark, f"{cleaned_to}/{dialect}")
             pages = materialize(S.text_pages(cleaned), workspace(spark, f"pages-{dialect}"))
             parts.append(materialize(chunk_pages(pages), workspace(spark, f"chunks-{dialect}")))
     if side is not None:
+        S.require_rows(side, "no sidecars")
         blocks = chunk_blocks(S.sidecar_blocks(side))
         parts.append(blocks.select("source", "page", F.col("block_no").alias("section_no"), F.lit(0).alias("piece_no"), "text", "disaster_type", F.lit(0).alias("order_page")))
     if not parts:
@@ -52,3 +58,8 @@ def build(spark: SparkSession, *, ready: str | None = None, cross: str | None =
     chunks = materialize(number_chunks(parts), workspace(spark, "chunks"))
     S.require_rows(chunks, "no chunks")
     return build_index(chunks, embed_chunks(chunks, embed))
+
+
+def build_report(chunks: DataFrame) -> DataFrame:
+    """source, disaster_type, n: the chunks of a build by source and tag."""
+    return chunks.groupBy("source", "disaster_type").agg(F.count("*").alias("n"))

@@ -11,44 +11,66 @@ from lodestone import constants as C
 from lodestone.operators import generation as G
 from lodestone.operators import search as S
 from lodestone.operators.index import Index, hashed_embedder
-from lodestone.operators.parsing import identity_reply, parse_queries
-from lodestone.schemas import HIT
+from lodestone.operators.parsing import identity_reply, parse_queries, with_replies
 
 
 @dataclass
 class Retrieval:
-    """gates: one row per query (query_id, top_score, gated, message); hits: those of open queries, with final_rank from 0."""
+    """found: one row per query: query_id, top_score, gated, message, rows (its hits in order; none if it is gated).
 
-    gates: DataFrame
-    hits: DataFrame
+    Everything else is read from that frame, so that asking for gates and hits doesn't plan the search twice over.
+    """
+
+    found: DataFrame
+
+    @property
+    def gates(self) -> DataFrame:
+        """query_id, top_score, gated, message."""
+        return self.found.drop("rows")
+
+    @property
+    def hits(self) -> DataFrame:
+        """A row for each hit, with final_rank from 0."""
+        return self.found.select("query_id", F.explode("rows").alias("row")).select("query_id", "row.*")
 
     def nested(self) -> DataFrame:
         """One row per query: query_id, hits, top_score, gated, message."""
-        hit = F.struct("final_rank", F.struct(F.col("id").alias("chunk_id"), "text", "source", "page", "disaster_type", "score").alias("hit"))
-        arrays = self.hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit))["hit"].alias("hits"))
-        none = F.array().cast(f"array<{HIT}>")
-        return self.gates.join(arrays, "query_id", "left").select("query_id", F.coalesce("hits", none).alias("hits"), "top_score", "gated", "message")
+        return self.found.select("query_id", F.transform("rows", G.hit_of).alias("hits"), "top_score", "gated", "message")
 
 
 def retrieve(queries: DataFrame, index: Index, *, top_k: int = C.FINAL_TOP_K, mode: str = "prefilter", score=S.coverage) -> Retrieval:
-    """Filter, both searches, fusion, reranking of the whole fused list, gate, the best top_k.  Every query has a gate row."""
+    """Filter, both searches, fusion, reranking of the whole fused list, gate, the best top_k.  Every query has a row."""
     fused = S.candidates(queries, index, mode=mode)
     ranked = S.rerank(fused, queries, index.chunks, score)
-    gates = S.gate(queries, ranked, index.chunks)
-    hits = ranked.where(F.col("final_rank") < top_k).join(gates.where(~F.col("gated")).select("query_id"), "query_id", "left_semi")
-    return Retrieval(gates, hits)
+    columns = ["final_rank", *(c for c in ranked.columns if c not in ("query_id", "final_rank"))]
+    best = ranked.where(F.col("final_rank") < max(1, top_k)).groupBy("query_id").agg(F.max("score").alias("top_score"), F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+    found = S.gate_state(S.with_tag_counts(queries, index.chunks).join(best, "query_id", "left"), "rows")
+    none = F.array().cast(best.schema["rows"].dataType)
+    return Retrieval(found.withColumn("rows", F.when(F.col("gated"), none).otherwise(F.slice("rows", F.lit(1), F.lit(top_k)))))
+
 
+def prepared(requests: DataFrame, index: Index, embed=None, *, chat=None) -> DataFrame:
+    """Queries for retrieve() from requests (query_id, query, and raw, a parsing model's reply, if there is one).
 
-def prepared(requests: DataFrame, index: Index, embed=None) -> DataFrame:
-    """Queries for retrieve() from requests (query_id, query, and raw, a parsing model's reply, if there is one)."""
+    chat, a parsing model, is asked for the replies that aren't there; without one queries pass as they are.
+    """
     if "raw" not in requests.columns:
-        requests = requests.withColumn("raw", identity_reply(F.col("query")))
+        requests = with_replies(requests, index.chunks, chat) if chat else requests.withColumn("raw", identity_reply(F.col("query")))
     parsed = parse_queries(requests, index.chunks)
     return parsed.select("query_id", F.col("rewritten").alias("text"), F.col("disaster_type").alias("tag"), (embed or hashed_embedder())(F.col("rewritten")).alias("qvec"))
 
 
+def grounded(queries: DataFrame, index: Index, **how) -> DataFrame:
+    """One row per query (query_id, text, tag, qvec) for generation: query_id, question, hits in safety order, top_score, gated, message."""
+    found = retrieve(queries, index, **how).found
+    return found.withColumn("hits", G.safety_sorted(F.col("rows"))).drop("rows").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
+
+
 def answer(queries: DataFrame, index: Index, *, model: G.Model | None = None, **how) -> DataFrame:
     """One answer per query (query_id, text, tag, qvec): see generation.generate."""
-    found = retrieve(queries, index, **how)
-    hits = G.hit_arrays(G.safety_order(found.hits))
-    return G.generate(found.gates, hits, queries.select("query_id", F.col("text").alias("question")), model=model)
+    return G.generate(grounded(queries, index, **how), model=model)
+
+
+def answer_stream(queries: DataFrame, index: Index, stream: G.Stream | None = None, **how) -> DataFrame:
+    """The events of one answer per query: see generation.streamed_events."""
+    return G.streamed_events(grounded(queries, index, **how), stream)

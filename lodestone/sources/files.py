@@ -89,6 +89,42 @@ def write_texts(texts: DataFrame, path: str) -> None:
     texts.select(F.lower("source").alias("source"), "text").write.mode("overwrite").parquet(path)
 
 
+def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
+    """Texts from write_texts."""
+    return spark.read.schema("source string, text string").parquet(path)
+
+
+def write_chunks_json(chunks: DataFrame, path: str) -> None:
+    """The chunk table as JSON lines, a file for each task; null fields are written as null."""
+    chunks.select("id", "text", "source", "page", "disaster_type").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_chunks_json(spark: SparkSession, path: str, *, one_array: bool = False) -> DataFrame:
+    """Chunks from JSON: lines, or files that are one array each."""
+    from lodestone.schemas import CHUNK
+
+    return spark.read.schema(CHUNK).option("multiLine", one_array).option("mode", "FAILFAST").json(path)
+
+
+def geojson_features(collections: DataFrame) -> DataFrame:
+    """kind, object_id, name, geometry_type, coordinates (JSON), n_positions of features of any geometry, and west, south, east, north.
+
+    collections has kind and json (a feature collection).  Features without geometry have none of these.
+    """
+    schema = "features ARRAY<STRUCT<geometry: STRUCT<type: STRING, coordinates: STRING>, properties: MAP<STRING, STRING>>>"
+    f = collections.select("kind", F.explode(F.from_json("json", schema)["features"]).alias("f"))
+    number = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+    position = rf"\[\s*({number})\s*,\s*({number})\s*(?:,\s*{number}\s*)*\]"
+    at = F.col("f.geometry.coordinates")
+    axis = lambda g: F.transform(F.regexp_extract_all(at, F.lit(position), F.lit(g)), lambda x: x.cast("double"))
+    lng, lat = axis(1), axis(2)
+    property_of = lambda n: F.col("f.properties")[n]
+    return f.select(
+        "kind", property_of("OBJECTID").cast("long").alias("object_id"), property_of("NAME").alias("name"), F.col("f.geometry.type").alias("geometry_type"), at.alias("coordinates"), F.size(lng).alias("n_positions"),
+        F.array_min(lng).alias("west"), F.array_min(lat).alias("south"), F.array_max(lng).alias("east"), F.array_max(lat).alias("north"),
+    )
+
+
 def geojson_points(collections: DataFrame) -> DataFrame:
     """kind, object_id, name, address, lat, lng of point features; a feature's coordinates are (lng, lat).
 

@@ -17,8 +17,9 @@ def test_contract():
     assert "retrieve_top4" in e.queries()
 
 
-def test_without_subpackage(tmp_path):
-    skip = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__")
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_without_subpackage(tmp_path, gone):
+    skip = shutil.ignore_patterns(*gone, ".git", "__pycache__")
     shutil.copytree(ROOT, tmp_path / "repo", ignore=skip)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and 'pipeline' not in q and not any(n.startswith('op1') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, timeout=120)
