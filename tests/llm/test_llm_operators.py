@@ -480,6 +480,62 @@ def test_secrets_without_digits_or_short(spark, empty):
     assert sum(got[i] for i in range(60, 120)) <= 6
 
 
+def planted(n, seed):
+    """Texts with a secret that no base pattern finds, its place; and clean texts."""
+    draw = random.Random(seed)
+    letters, digits = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", "0123456789"
+    some = lambda chars, k: "".join(draw.choices(chars, k=k))
+    prose = lambda k: " ".join(draw.choice(["the", "river", "house", "is", "near", "a", "hill", "and", "they", "went", "home", "again"]) for _ in range(k))
+    forms = [
+        lambda: ("key ", some(letters + digits, 40)),
+        lambda: ("Authorization: Bearer ", some(letters + digits + "-_", 36) + "9"),
+        lambda: ("use ", "ghp_" + some(letters + digits, 36)),
+        lambda: ("credentials ", some(letters + digits + "+/", 43) + "="),
+        lambda: ("sent ", some(letters, 32)),
+        lambda: ("http://example.com/hook/", some(letters + digits, 24)),
+    ]
+    clean = [
+        lambda: f"call +{some(digits, 2)}-{some(digits, 3)}-{some(digits, 7)}",
+        lambda: f"see http://example.com/{draw.choice(['news', 'about'])}/{draw.randint(1, 99)}/index.html",
+        lambda: f"write to {draw.choice(['anna', 'john'])}.{draw.choice(['smith', 'miller'])}{draw.randint(1, 99)}@example.com",
+        lambda: f"card {some(digits, 16)}",
+        lambda: f"on 2024-{draw.randint(10, 12)}-{draw.randint(10, 28)} at the river",
+        lambda: "internationalization and understanding",
+    ]
+    rows, at = [], {}
+    for i in range(n):
+        lead = prose(12) + " "
+        if i % 3 == 0:
+            before, value = forms[i // 3 % len(forms)]()
+            at[i] = (len(lead + before), len(lead + before + value))
+            rows.append(f"{lead}{before}{value} {prose(6)}")
+        elif i % 3 == 1:
+            rows.append(f"{lead}{clean[i // 3 % len(clean)]()} {prose(6)}")
+        else:  # what the labels come from
+            rows.append(f"{lead}password = '{some(letters + digits, 14)}' {prose(4)} {some('0123456789abcdef', 32)}")
+    return rows, at
+
+
+def test_query_finds_planted_secrets(spark, tmp_path):
+    """The registered query, with its own parameters, on secrets outside the base patterns."""
+    texts, at = planted(720, 21)
+    rows = [row(i, t) for i, t in enumerate(texts)]
+    long = "x/" * 3000 + "".join(random.Random(4).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=44)) + "/y" * 3000
+    rows += [row(None, texts[0]), row(None, None), row(0, texts[0]), row(5000, long), row(5001, "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    result = Q.op7_scan_secrets(spark, str(tmp_path)).collect()
+    assert len(result) == len(rows)
+    spans = collections.defaultdict(list)
+    for r in result:
+        spans[r.doc_id].append([tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("model")])
+    hit = [any(s < e and b < f for b, e in spans[i][0]) for i, (s, f) in at.items()]
+    assert np.mean(hit) >= 0.9
+    false = [bool(spans[i][0]) for i in range(720) if i % 3 == 1]
+    assert np.mean(false) <= 0.05
+    assert spans[0][0] == spans[0][1] and spans[0][0] in spans[None] and [] in spans[None] and spans[5001] == [[]]
+    assert any(s < 6044 and e > 6000 for s, e in spans[5000][0])
+
+
 def test_threshold_keeps_the_recall():
     pairs = made_up(600, 4)
     x, y = encode([w for w, _ in pairs]), np.array([i % 10 == 0 for i in range(len(pairs))], float)  # labels that can't be told apart
