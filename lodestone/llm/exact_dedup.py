@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import join_skewed, materialize, numbered, shuffle_partitions, text_of, workspace
+from lodestone.llm.common import giving_back, join_skewed, materialize, numbered, shuffle_partitions, text_of, workspace
 
 #: Bytes that an entry of an owner's table takes besides its text; every row is weighed with them.
 ENTRY = 500
@@ -208,8 +208,8 @@ def exact_dedup(
     begin = np.concatenate([[0], np.cumsum(per_bucket)[:-1]])
     owner_of = np.minimum(owners_n - 1, (begin * owners_n / max(1, size)).astype(np.int64))
 
-    dealt = rows.mapInArrow(_dealer(owner_of[buckets].astype(np.int32), bits, hold_bytes), "owner int, key long, text binary, top long, at_top long, n long")
-    entries = dealt.repartitionById(owners_n, "owner").sortWithinPartitions("key").mapInArrow(_owner(page_capacity), "page int, key long, chain_no int, digest binary, keep_id long, keep_rows long, group_size long")
+    dealt = rows.mapInArrow(giving_back(_dealer(owner_of[buckets].astype(np.int32), bits, hold_bytes)), "owner int, key long, text binary, top long, at_top long, n long")
+    entries = dealt.repartitionById(owners_n, "owner").sortWithinPartitions("key").mapInArrow(giving_back(_owner(page_capacity)), "page int, key long, chain_no int, digest binary, keep_id long, keep_rows long, group_size long")
     index = materialize(entries, f"{at}/index")
 
     out = join_skewed(keys, index, ["key", "digest"], "group_size", total)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, materialize, text_of, workspace
+from lodestone.llm.common import WORD, giving_back, materialize, text_of, workspace
 
 #: Up to so many sources their table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 20_000
@@ -250,7 +250,7 @@ def _write_out(text_at: int, chars_at: int | None):
                         out[k] = pa.array(values, columns[k].type)
             yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(out))])
 
-    return run
+    return giving_back(run)
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how) -> DataFrame:

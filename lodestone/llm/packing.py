@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, text_of, workspace
+from lodestone.llm.common import giving_back, materialize, text_of, workspace
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -34,7 +34,7 @@ class WordIds(dict):
     from there, and the others are forgotten when the next half is full.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
@@ -80,7 +80,7 @@ def _cut(path: str, room: int, end_id: int):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return cut
+    return giving_back(cut)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", room: int = 4096, end_id: int = 2) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import HEAVY, join_skewed, materialize, numbered, shuffle_partitions, text_of, workspace
+from lodestone.llm.common import HEAVY, giving_back, join_skewed, materialize, numbered, shuffle_partitions, text_of, workspace
 from lodestone.llm.components import connected_components
 
 
@@ -331,7 +331,7 @@ def near_links(prints: DataFrame, n: int, folder: str, radius: int, *, extra: in
             large = dealt.join(sizes, "shard")
             dealt = dealt.join(sizes.select("shard"), "shard", "left_anti")
     tasks = max(shuffle_partitions(spark), n // 200_000)
-    links = dealt.repartition(tasks, "shard").mapInArrow(_links(radius), "a long, b long")
+    links = dealt.repartition(tasks, "shard").mapInArrow(giving_back(_links(radius)), "a long, b long")
     return links if large is None else links.unionByName(broadcast_links(large, folder, radius, shard_most, round_most))
 
 
@@ -352,7 +352,7 @@ def _found(docs: DataFrame, keys: list[Column], id_col: str, text_col: str, widt
     at = workspace(spark, "simhash")
     texts = docs.select(F.col(id_col).cast("long"), text_of(text_col).cast("binary"), *keys)
     kept = "".join(f"{c} long, " for c in texts.columns[2:])
-    rows = materialize(texts.mapInArrow(_fingerprints(width, seed), f"doc_id long, {kept}fp long"), f"{at}/rows")
+    rows = materialize(texts.mapInArrow(giving_back(_fingerprints(width, seed)), f"doc_id long, {kept}fp long"), f"{at}/rows")
     total = rows.count()
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), f"{at}/prints")
     n = prints.count()

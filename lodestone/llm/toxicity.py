@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import numbered, text_of
+from lodestone.llm.common import giving_back, numbered, text_of
 
 #: Lower-cases, makes sentence ends line feeds and all other ASCII but letters and digits spaces.
 _TABLE = bytes(10 if chr(b) in ".!?\n" else b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -172,7 +172,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     empty result.
     """
     rows = docs.select(F.col(id_col).cast("long"), text_of(text_col).cast("binary"), is_held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(_score(model, sentence_threshold), "doc_id long, held_out boolean, score double, predicted int, offending array<struct<sentence: int, score: double>>")
+    return rows.mapInArrow(giving_back(_score(model, sentence_threshold)), "doc_id long, held_out boolean, score double, predicted int, offending array<struct<sentence: int, score: double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -193,4 +193,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
     """The rows of docs whose score is below the threshold, with all their columns; nothing is shuffled."""
     model = train(docs, labels, text_col=text_col, **how)
     plain = numbered(docs)
-    return plain.mapInArrow(_pass_clean(model, docs.columns.index(text_col), threshold), plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(giving_back(_pass_clean(model, docs.columns.index(text_col), threshold)), plain.schema).toDF(*docs.columns)
