@@ -51,7 +51,8 @@ def capped_targets(sizes: list[int], weights: list[float], total: float, most: f
 def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     """Seats by the highest quotients votes / (2 k + 1), caps[i] at most; ties go to the lower index.
 
-    A divisor found by bisection hands out all but a few seats at once, and a heap the others.
+    A divisor found by bisection hands out all but a few seats at once, and a heap the others.  The divisor used is a
+    little larger, so that seats of equal quotients, which rounding could tell apart there, are all left to the heap.
     """
     votes = np.asarray(votes, float)
     caps = np.where(votes > 0, np.asarray(caps, np.int64), 0)
@@ -65,7 +66,7 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
         if middle in (low, high):
             break
         low, high = (middle, high) if given(middle).sum() > seats else (low, middle)
-    out = given(high)
+    out = given(high * (1 + 1e-9))
     heap = [(-votes[i] / (2 * out[i] + 1), i) for i in range(len(votes)) if out[i] < caps[i]]
     heapq.heapify(heap)
     for _ in range(seats - int(out.sum())):

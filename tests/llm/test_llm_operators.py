@@ -277,6 +277,9 @@ def test_sainte_lague():
         caps = [rng.randint(0, 30) for _ in votes]
         seats = rng.randint(0, 120)
         assert sainte_lague(np.array(votes), seats, np.array(caps)).tolist() == seats_one_by_one(votes, seats, caps)
+    # 1000 / 57 = 5000 / 285: the last seat is tied and goes to the lower index
+    assert sainte_lague(np.array([1000, 5000]), 171, np.array([1000, 1000])).tolist() == [29, 142]
+    assert sainte_lague(np.array([5000, 1000]), 171, np.array([1000, 1000])).tolist() == [143, 28]
 
 
 def test_targets():
