@@ -88,7 +88,7 @@ def screen(texts: list[bytes], y: np.ndarray, min_df: int, most: int) -> dict[by
     return {f: i for i, f in enumerate(sorted((f for f, x in z.items() if x >= 4), key=lambda f: (-z[f], f))[:most])}
 
 
-def fit(texts: list[bytes], labels: np.ndarray, *, min_df: int = 3, steps: int = 300, rate: float = 0.1, ridge: float = 0.05, most_features: int = 2000) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, *, min_df: int = 3, steps: int = 300, rate: float = 0.1, ridge: float = 0.3, most_features: int = 2000) -> Model:
     """Full-batch Adam on the noisy-or likelihood with a ridge penalty.  Repeated texts count once."""
     kept = {t: bool(y) for t, y in zip(texts, labels)}
     texts, y = list(kept), np.array(list(kept.values()), bool)
