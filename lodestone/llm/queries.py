@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.katz import katz_scores
+from lodestone.llm.main_text import main_texts
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import quality_rules
@@ -16,6 +17,7 @@ from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.toxicity import toxicity
 from lodestone.llm.warc import archive_pages
+from lodestone.llm.whitening import whiten
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +94,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading whitened components of every whole embedding."""
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 #: 160 bits of SHA-1 as 32 letters of five bits: four for each five hexadecimal digits.
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -116,6 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_scores": op8_katz_scores,
     "op9_pack_documents": op9_pack_documents,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_main_texts": op11_main_texts,
+    "op12_whiten_embeddings": op12_whiten_embeddings,
 }
 
 ORACLES: dict[str, str] = {
