@@ -132,7 +132,20 @@ def low_content_filter(spark, sf_dir):
     return _windows(spark, sf_dir).select("id", F.col("piece_no").cast("long").alias("piece_no"), (T.token_count(F.col("piece")) >= C.MIN_MEANINGFUL_TOKENS).alias("kept"))
 
 
-@query()
+CHUNKS = f"""{MERGED},
+cut AS (SELECT id, part_no, k, list_slice(t, k * 270 + 1, k * 270 + 300) AS w
+  FROM (SELECT id, part_no, t, unnest(generate_series(0, greatest(0, CAST(ceil((len(t) - 300) / 270) AS BIGINT)))) AS k FROM (SELECT *, {tokens_sql("part")} AS t FROM merged) WHERE len(t) > 0)),
+told AS (SELECT *, row_number() OVER (PARTITION BY id, part_no ORDER BY k) - 1 AS r FROM (SELECT *, lag(w) OVER (PARTITION BY id, part_no ORDER BY k) AS before FROM cut) WHERE before IS NULL OR w <> before),
+pieces AS (SELECT id, part_no, CASE WHEN len(w) < {C.MIN_SECTION_TOKENS} AND r > 0 THEN r - 1 ELSE r END AS piece_no, string_agg(array_to_string(w, ' '), chr(10) || chr(10) ORDER BY r) AS text FROM told GROUP BY ALL),
+chunks AS (
+  SELECT source, lang, id AS page, part_no AS section_no, piece_no, text,
+         CASE WHEN {" OR ".join(f"contains(lower(text), '{p}')" for p in C.OVERRIDE_PHRASES["earthquake"])} THEN 'earthquake' ELSE 'general' END AS disaster_type
+  FROM (SELECT p.*, d.source, d.lang, row_number() OVER (PARTITION BY d.source, array_to_string({tokens_sql("p.text")}, ' ') ORDER BY p.id, part_no, piece_no) AS nth
+        FROM pieces p JOIN documents d ON d.doc_id = p.id WHERE len({tokens_sql("p.text")}) >= {C.MIN_MEANINGFUL_TOKENS}) WHERE nth = 1)
+"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT source, page, CAST(section_no AS INTEGER) AS section_no, CAST(piece_no AS INTEGER) AS piece_no, md5(text) AS text, disaster_type FROM chunks")
 def chunk_emit(spark, sf_dir):
     """The chunks of all documents with token windows as the splitter."""
     out = K.chunk_pages(pages(spark, sf_dir), split=K.token_windows, separator=LINE)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,35 +34,41 @@ def described(paragraphs: Column) -> Column:
     return F.transform(second, lambda x: F.struct(x["text"].alias("text"), x["norm"].alias("norm"), x["n"].alias("n"), T.heading_line(x["line"], x["n"]).alias("heading")))
 
 
-#: Tokens in the keys by which a container is looked up: of the least tokens that can be dropped, all but the outer two,
-#: which may be parts of longer ones there.
-_KEY = C.DEDUPE_MIN_TOKENS - 2
+def occurrences(automaton: ahocorasick.Automaton, text: str) -> Iterator[int]:
+    """The numbers of the automaton's norms at each place of a text where one ends."""
+    return (number for _, number in automaton.iter(text))
 
 
 def kept_positions(norms: list[str], counts: list[int], headings: list[bool]) -> list[int]:
     """Positions of the paragraphs that stay (see dedupe_paragraphs).
 
-    Long ones that stay are found by each of their runs of _KEY tokens; a paragraph is compared with those alone that have the
-    rarest of its own.
+    Where a paragraph first stands in a long one is found for all of them in one pass over the long ones, by an automaton of the
+    norms that can be dropped.  It doesn't matter whether that long one stays itself: if it goes, it stands in an earlier one that
+    has all its parts too.
     """
-    out: list[int] = []
-    seen: set[str] = set()
-    by_run: dict[tuple[str, ...], list[str]] = {}
-    for i, (norm, n, heading) in enumerate(zip(norms, counts, headings)):
-        tokens = norm.split(" ")
-        if n >= C.DEDUPE_MIN_TOKENS:
-            if norm in seen:
-                continue
-            if not heading and by_run:
-                inner = [by_run.get(tuple(tokens[k : k + _KEY]), ()) for k in range(1, len(tokens) - _KEY)]
-                if any(norm in x for x in min(inner, key=len)):
-                    continue
-        out.append(i)
-        seen.add(norm)
-        if n >= C.DEDUPE_CONTAINER_TOKENS:
-            for run in {tuple(tokens[k : k + _KEY]) for k in range(len(tokens) - _KEY + 1)}:
-                by_run.setdefault(run, []).append(norm)
-    return out
+    numbers: dict[str, int] = {}
+    for norm, n, heading in zip(norms, counts, headings):
+        if n >= C.DEDUPE_MIN_TOKENS and not heading:
+            numbers.setdefault(norm, len(numbers))
+    first = [len(norms)] * len(numbers)  # the position of the first long paragraph that has it
+    if numbers and max(counts) >= C.DEDUPE_CONTAINER_TOKENS:
+        automaton = ahocorasick.Automaton()
+        for norm, number in numbers.items():
+            automaton.add_word(norm, number)
+        automaton.make_automaton()
+        scanned = set()
+        for i, (norm, n) in enumerate(zip(norms, counts)):
+            if n >= C.DEDUPE_CONTAINER_TOKENS and norm not in scanned:
+                scanned.add(norm)
+                for number in occurrences(automaton, norm):
+                    first[number] = min(first[number], i)
+    droppable = [n >= C.DEDUPE_MIN_TOKENS for n in counts]
+    inside = [can and not heading and first[numbers[norm]] < i for i, (norm, can, heading) in enumerate(zip(norms, droppable, headings))]
+    earliest: dict[str, int] = {}  # of equal norms that don't stand inside another
+    for i, (norm, gone) in enumerate(zip(norms, inside)):
+        if not gone:
+            earliest.setdefault(norm, i)
+    return [i for i, norm in enumerate(norms) if not inside[i] and (earliest[norm] == i or not droppable[i])]
 
 
 def section_positions(headings: list[bool]) -> list[list[int]]:
@@ -136,7 +143,7 @@ def sections(paragraphs: Column, glue: str = "\n\n") -> Column:
 
 
 def kept_sections(least: int = C.MIN_SECTION_TOKENS, glue: str = "\n\n"):
-    """Described paragraphs as merged sections of those that stay: dedupe_paragraphs, sections and merge_short in one go.
+    """Described paragraphs as merged sections of those that stay, in one go: dedupe_paragraphs, sections, and sections joined until they have `least` tokens.
 
     Tokens don't cross paragraphs, so a section has as many as its paragraphs together.
     """
@@ -153,24 +160,6 @@ def kept_sections(least: int = C.MIN_SECTION_TOKENS, glue: str = "\n\n"):
     return _once(cut)
 
 
-def merge_short(parts: Column, least: int = C.MIN_SECTION_TOKENS, glue: str = "\n\n") -> Column:
-    """Parts joined until they have `least` tokens; a rest goes to the last."""
-    state = F.struct(F.array().cast(_STRINGS).alias("out"), F.lit(None).cast("string").alias("open"))
-    join = lambda a, b: F.when(a.isNull(), b).otherwise(F.concat(a, F.lit(glue), b))
-
-    def step(s: Column, part: Column) -> Column:
-        joined = join(s["open"], T.strip(part))
-        full = T.token_count(joined) >= least
-        return F.struct(F.when(full, F.array_append(s["out"], joined)).otherwise(s["out"]).alias("out"), F.when(~full, joined).alias("open"))
-
-    def end(s: Column) -> Column:
-        n = F.size(s["out"])
-        glued = F.array_append(F.slice(s["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), join(F.get(s["out"], n - 1), s["open"]))
-        return F.when(s["open"].isNull(), s["out"]).otherwise(glued)
-
-    return F.aggregate(F.filter(parts, lambda p: ~T.is_blank(p)), state, step, end)
-
-
 def token_windows(text: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
     """Windows of `size` tokens, `overlap` of which each shares with the next; texts without tokens have none."""
     t, stride = T.tokens(text), size - overlap
@@ -261,29 +250,33 @@ def drop_repeats(pieces: DataFrame, by: list[str], order: list[str], *, text_col
     return norm.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_norm")
 
 
-def folded_pieces(pages: DataFrame, *, split: Callable[[Column], Column] | None = None, separator: str = PARAGRAPH) -> DataFrame:
-    """source, page, section_no, piece_no, text for pages (source, page, text): all pieces, before any is dropped.
+def folded_pieces(pages: DataFrame, *, split: Callable[[Column], Column] | None = None, separator: str = PARAGRAPH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """source, page, section_no, piece_no, text and the columns to keep for pages (source, page, text): all pieces, before any is dropped.
 
     split makes an array of pieces of a section; the default is the recursive splitter.
     """
     split = split or recursive_pieces()
-    cut = section_texts(pages.select("source", "page", "text"), separator=separator)
-    cut = cut.select("source", "page", F.posexplode("sections").alias("section_no", "section"))
+    cut = section_texts(pages.select("source", "page", "text", *keep), separator=separator)
+    cut = cut.select("source", "page", *keep, F.posexplode("sections").alias("section_no", "section"))
     cut = cut.withColumn("_pieces", split(F.col("section"))).withColumn("_pieces", fold_tails(F.col("_pieces"), separator=separator))
     # outer, as the filter that is inferred for the other kind would fold once more for itself
-    return cut.select("source", "page", "section_no", F.posexplode_outer("_pieces").alias("piece_no", "text")).where(F.col("text").isNotNull())
+    return cut.select("source", "page", "section_no", F.posexplode_outer("_pieces").alias("piece_no", "text"), *keep).where(F.col("text").isNotNull())
 
 
-def chunk_pages(pages: DataFrame, **how) -> DataFrame:
-    """source, page, section_no, piece_no, text, disaster_type for pages (source, page, text); see folded_pieces.
+def chunks_of(pieces: DataFrame) -> DataFrame:
+    """Folded pieces as chunks, with disaster_type: those of 40 tokens or more, of a source's repeats the first.
 
-    Pieces of fewer than 40 tokens and repeats of a source are dropped.  Repeats have equally many tokens, so the short
-    ones go before the shuffle.
+    Repeats have equally many tokens, so the short ones go before the shuffle.
     """
-    cut = folded_pieces(pages, **how).where(T.token_count(F.col("text")) >= C.MIN_MEANINGFUL_TOKENS)
+    cut = pieces.where(T.token_count(F.col("text")) >= C.MIN_MEANINGFUL_TOKENS)
     return drop_repeats(cut, ["source"], ["page", "section_no", "piece_no"]).withColumn("disaster_type", tag_of(F.col("source"), F.col("text")))
 
 
+def chunk_pages(pages: DataFrame, **how) -> DataFrame:
+    """source, page, section_no, piece_no, text, disaster_type for pages (source, page, text); see folded_pieces and chunks_of."""
+    return chunks_of(folded_pieces(pages, **how))
+
+
 def chunk_report(pieces: DataFrame) -> DataFrame:
     """source, pieces, chunks, short, repeated: what becomes of each source's pieces (source, text).
 
