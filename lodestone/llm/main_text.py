@@ -485,9 +485,10 @@ def train(pages: DataFrame, *, html_col: str = "html", max_pages: int = 400, max
     The sample is the first pages in a seeded order of their contents; without any, only made-up ones are used.  Each is taken once
     as it is and once with its grouping elements turned into nameless ones or divs, so that other signs are learned too.
     """
-    source = F.col(html_col)
+    source, key = F.col(html_col), F.xxhash64(html_col, F.lit(seed)).alias("k")
     marked = pages.where(source.isNotNull() & (F.length(source) <= max_chars) & (F.instr(F.lower(source), "<article") + F.instr(F.lower(source), "<main") > 0))
-    rows = marked.select(source.alias("h"), F.xxhash64(source, F.lit(seed)).alias("k")).dropDuplicates(["k"]).orderBy("k", "h").limit(max_pages).collect()  # bounded by max_pages * max_chars
+    first = marked.select(key).distinct().orderBy("k").limit(max_pages)  # hashes alone are shuffled
+    rows = marked.select(key, source.alias("h")).join(F.broadcast(first), "k").groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect()  # max_pages of max_chars at most
     labelled = []
     for r in rows:
         page = parse(r["h"])
