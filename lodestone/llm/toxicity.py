@@ -88,8 +88,16 @@ def screen(texts: list[bytes], y: np.ndarray, min_df: int, most: int) -> dict[by
     return {f: i for i, f in enumerate(sorted((f for f, x in z.items() if x >= 4), key=lambda f: (-z[f], f))[:most])}
 
 
+#: Toxic texts from which on the ridge has its full weight.
+RIDGE_TEXTS = 300
+
+
 def fit(texts: list[bytes], labels: np.ndarray, *, min_df: int = 3, steps: int = 300, rate: float = 0.1, ridge: float = 0.3, most_features: int = 2000) -> Model:
-    """Full-batch Adam on the noisy-or likelihood with a ridge penalty.  Repeated texts count once."""
+    """Full-batch Adam on the noisy-or likelihood with a ridge penalty.  Repeated texts count once.
+
+    The ridge is for RIDGE_TEXTS toxic texts or more; fewer get it in proportion, as the same penalty against less evidence would
+    keep all scores low.
+    """
     kept = {t: bool(y) for t, y in zip(texts, labels)}
     texts, y = list(kept), np.array(list(kept.values()), bool)
     vocabulary = screen(texts, y, min_df, most_features) if y.any() else {}
@@ -106,6 +114,7 @@ def fit(texts: list[bytes], labels: np.ndarray, *, min_df: int = 3, steps: int =
     flat, bags = np.array(words, np.int32), np.array(bags)
     of = np.repeat(np.arange(len(ends), dtype=np.int32), ends)
     n, size = len(texts), len(vocabulary)
+    ridge *= min(1.0, y.sum() / RIDGE_TEXTS)
     theta = np.zeros(size + 2)
     theta[size], theta[size + 1] = -6.0, -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
