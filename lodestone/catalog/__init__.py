@@ -24,37 +24,25 @@ def query(sql: str | None = None):
     return register
 
 
-def _literal(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).upper()
-    if isinstance(x, (int, float)):
-        return repr(x)
-    if isinstance(x, list):
-        return "[" + ", ".join(map(_literal, x)) + "]"
-    return "'" + x.replace("'", "''") + "'"
+class Derived:
+    """Rows that Spark and DuckDB derive from a standard table: columns by name, as expressions that mean the same to both.
 
+    An expression that they write differently is a pair, Spark's first.
+    """
 
-_DUCK = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+    def __init__(self, table: str, where: str = "TRUE", **columns: str | tuple[str, str]) -> None:
+        self.table, self.where, self.columns = table, where, columns
 
+    def _expressions(self, which: int) -> list[str]:
+        return [f"{e if isinstance(e, str) else e[which]} AS {n}" for n, e in self.columns.items()]
 
-class Inline:
-    """Rows written out in the query, for Spark and for SQL."""
-
-    def __init__(self, schema: str, rows: list[tuple]) -> None:
-        self.schema, self.rows = schema, rows
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{self.table}.parquet").where(self.where).selectExpr(*self._expressions(0))
 
     @property
     def sql(self) -> str:
         """A subquery."""
-        columns = [c.strip().rsplit(" ", 1) for c in self.schema.split(", ")]
-        body = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
-        names = ", ".join(n for n, _ in columns)
-        return f"(SELECT {', '.join(f'CAST({n} AS {_DUCK[k]}) AS {n}' for n, k in columns)} FROM (VALUES {body}) v({names}))"
+        return f"(SELECT {', '.join(self._expressions(1))} FROM {self.table} WHERE {self.where})"
 
 
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"

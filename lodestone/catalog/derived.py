@@ -1,11 +1,12 @@
-"""Operators whose input the standard tables lack, over rows written out in the query."""
+"""Operators whose input the standard tables lack, over rows derived from those tables: model replies and answers from
+conversations, raw scrapes and sidecars from documents, addresses from pages, features from suppliers, words from documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
-from lodestone.catalog import Inline, query, strip_sql
+from lodestone.catalog import Derived, query, strip_sql
 from lodestone.functions import text as T
 from lodestone.operators import cleaning as L
 from lodestone.operators import evaluation as E
@@ -18,26 +19,23 @@ from lodestone.sources import files as S
 # --- parsing ----------------------------------------------------------------------------------------------------------
 
 TAGS = ["earthquake", "extreme_heat", "flood", "general", "home_fire", "hurricane", "power_outage", "tornado", "tsunami", "wildfire", "winter_weather"]
-REPLIES = Inline(
-    "id long, query string, raw string",
-    [
-        (1, "erth quake help", '{"normalized": "earthquake help", "disaster_type": "earthquake"}'),
-        (2, "go bag", 'Sure: {"normalized": " go bag ", "disaster_type": null} done'),
-        (3, "zombies", '{"normalized": "zombies", "disaster_type": "zombie"}'),
-        (4, "blank", '{"normalized": "   ", "disaster_type": "flood"}'),
-        (5, "kit", '{"normalized": "kit", "disaster_type": "general"}'),
-        (6, "no braces", "normalized: x"),
-        (7, "broken", '{"normalized": "x", '),
-        (8, "number", '{"normalized": 5, "disaster_type": null}'),
-        (9, "  a twister is coming  ", '{"normalized": "a twister is coming", "disaster_type": null}'),
-        (10, "the lights are out, no power", '{"normalized": "the lights are out, no power"}'),
-        (11, "Flash flood near a house fire", '{"normalized": "Flash flood near a house fire", "disaster_type": null}'),
-        (12, "lost reply", None),
-        (13, "   ", '{"normalized": "x", "disaster_type": "flood"}'),
-        (14, "FLOODING in town", '{"normalized": "FLOODING in town", "disaster_type": "flood"}'),
-        (15, "tag as number", '{"normalized": "x", "disaster_type": 7}'),
-    ],
+_ID = "conv_id * 1000 + turn"
+#: A turn's text on one line, without what JSON would have to escape.
+_FLAT = "substr(replace(replace(replace(text, chr(10), ' '), chr(34), ''), chr(92), ''), 1, 160)"
+_QUERY = f"""CASE ({_ID}) % 11 WHEN 0 THEN {_FLAT} || ' a twister is coming' WHEN 1 THEN 'Flash flood near a house fire ' || {_FLAT} WHEN 2 THEN ' no power  ' WHEN 3 THEN '   '
+  WHEN 4 THEN 'FLOODING ' || {_FLAT} ELSE {_FLAT} END"""
+#: Users' turns as queries, and what a parsing model might reply: valid and broken JSON, known and unknown tags, nothing.
+REPLIES = Derived(
+    "conversations",
+    "role = 'user'",
+    id=_ID,
+    query=_QUERY,
+    raw=f"""CASE ({_ID}) % 9 WHEN 0 THEN '{{"normalized": "' || {_FLAT} || '", "disaster_type": "earthquake"}}' WHEN 1 THEN 'Sure: {{"normalized": " ' || {_FLAT} || ' ", "disaster_type": null}} done'
+  WHEN 2 THEN '{{"normalized": "x", "disaster_type": "zombie"}}' WHEN 3 THEN '{{"normalized": "   ", "disaster_type": "flood"}}' WHEN 4 THEN '{{"normalized": "' || {_FLAT} || ' twister", "disaster_type": "general"}}'
+  WHEN 5 THEN 'normalized: ' || {_FLAT} WHEN 6 THEN '{{"normalized": "' || {_FLAT} WHEN 7 THEN '{{"normalized": 5, "disaster_type": 7}}' END""",
 )
+#: Documents as chunks with the tags of the index.
+TAGGED = Derived("documents", id="doc_id", disaster_type=f"CASE doc_id % {len(TAGS)} {' '.join(f'WHEN {i} THEN {t!r}' for i, t in enumerate(TAGS))} END")
 _TAG_LIST = ", ".join(f"'{t}'" for t in TAGS)
 _VALID = rf"""
 found AS (SELECT *, TRY_CAST(nullif(regexp_extract(coalesce(raw, ''), '\{{.*\}}', 0, 's'), '') AS JSON) AS j FROM {REPLIES.sql}),
@@ -46,14 +44,10 @@ valid AS (SELECT *, j IS NOT NULL AND nk = 'VARCHAR' AND {strip_sql("coalesce(n,
 """
 
 
-def _chunks_with_tags(spark):
-    return spark.createDataFrame([(t,) for t in TAGS], "disaster_type string")
-
-
 @query(f"WITH {_VALID} SELECT id, ok, CASE WHEN ok THEN {strip_sql('n')} END AS normalized, CASE WHEN ok AND t <> 'general' THEN t END AS disaster_type FROM valid")
 def parse_json_validate(spark, sf_dir):
     v = Q.validate(F.coalesce("raw", F.lit("")), F.array(*map(F.lit, TAGS)))
-    return REPLIES.frame(spark).select("id", v.alias("v")).select("id", F.col("v").isNotNull().alias("ok"), "v.normalized", "v.disaster_type")
+    return REPLIES.frame(spark, sf_dir).select("id", v.alias("v")).select("id", F.col("v").isNotNull().alias("ok"), "v.normalized", "v.disaster_type")
 
 
 def synonym_sql(column: str) -> str:
@@ -62,15 +56,15 @@ def synonym_sql(column: str) -> str:
 
 @query(f"SELECT id, {synonym_sql('query')} AS tag FROM {REPLIES.sql}")
 def synonym_tagging(spark, sf_dir):
-    return REPLIES.frame(spark).select("id", T.first_tag(F.col("query"), C.SYNONYMS).alias("tag"))
+    return REPLIES.frame(spark, sf_dir).select("id", T.first_tag(F.col("query"), C.SYNONYMS).alias("tag"))
 
 
-APPENDS = Inline("id long, text string, tag string", [(1, "lights out", "power_outage"), (2, "a FLOOD here", "flood"), (3, "go bag", None), (4, "shaking", "earthquake")])
+APPENDS = Derived("conversations", "role = 'user'", id=_ID, text=_QUERY, tag=f"CASE ({_ID}) % 4 WHEN 0 THEN 'power_outage' WHEN 1 THEN 'flood' WHEN 2 THEN 'earthquake' END")
 
 
 @query(f"SELECT id, CASE WHEN tag IS NULL OR contains(lower(text), lower(tag)) THEN text ELSE text || ' ' || tag END AS text FROM {APPENDS.sql}")
 def canonical_backfill(spark, sf_dir):
-    return APPENDS.frame(spark).select("id", T.append_canonical(F.col("text"), F.col("tag")).alias("text"))
+    return APPENDS.frame(spark, sf_dir).select("id", T.append_canonical(F.col("text"), F.col("tag")).alias("text"))
 
 
 @query(
@@ -82,46 +76,40 @@ def canonical_backfill(spark, sf_dir):
       CASE WHEN original <> '' THEN tag END AS disaster_type FROM tagged"""
 )
 def parse_query_rules(spark, sf_dir):
-    return Q.parse_queries(REPLIES.frame(spark).withColumnRenamed("id", "query_id"), _chunks_with_tags(spark))
+    return Q.parse_queries(REPLIES.frame(spark, sf_dir).withColumnRenamed("id", "query_id"), TAGGED.frame(spark, sf_dir))
 
 
-@query(f"SELECT tag FROM (VALUES {', '.join(f'({t!r})' for t in C.SYNONYMS)}) s(tag) WHERE tag NOT IN ({', '.join(repr(t) for t in TAGS if t != 'tsunami')})")
+@query(f"SELECT tag FROM (VALUES {', '.join(f'({t!r})' for t in C.SYNONYMS)}) s(tag) WHERE tag NOT IN (SELECT disaster_type FROM {TAGGED.sql} WHERE disaster_type <> 'tsunami')")
 def synonym_audit(spark, sf_dir):
-    return Q.unknown_synonyms(_chunks_with_tags(spark).where("disaster_type <> 'tsunami'"))
+    return Q.unknown_synonyms(TAGGED.frame(spark, sf_dir).where("disaster_type <> 'tsunami'"))
 
 
-LABELLED = Inline("expected string, predicted string", [("earthquake", "earthquake"), ("flood", None), (None, "flood"), ("tornado", "tornado"), ("wildfire", "home_fire")])
+#: Documents' languages as expected and as found.
+LABELLED = Derived("documents", expected="CASE WHEN doc_id % 11 > 0 THEN lang END", predicted="CASE WHEN doc_id % 5 = 0 THEN 'xx' WHEN doc_id % 7 > 0 THEN lang END")
 
 
 @query(f"SELECT count(*) AS labelled, round(avg(CASE WHEN expected = predicted THEN 1 ELSE 0 END), 6) AS accuracy FROM {LABELLED.sql} WHERE expected IS NOT NULL")
 def tag_accuracy(spark, sf_dir):
-    return E.accuracy(LABELLED.frame(spark))
+    return E.accuracy(LABELLED.frame(spark, sf_dir))
 
 
 # --- answers ----------------------------------------------------------------------------------------------------------
 
-ANSWERS = Inline(
-    "id long, text string",
-    [
-        (1, "Stay inside [1]."),
-        (2, "x [42]"),
-        (3, "[1][2][3]"),
-        (4, "none"),
-        (5, "[a] [1.5] [ 1 ]"),
-        (6, ""),
-        (7, f"Drop down [1].  {C.LOW_CONFIDENCE_MESSAGE}\n\n\n\nThen wait [2]."),
-        (8, C.LOW_CONFIDENCE_MESSAGE),
-        (9, "[3][4]\n\nFor two weeks, store water [1]."),
-        (10, "Do this:\n\n- one [1]\n- two [9]\n\n1. first\n2. second\n\n- lonely\n\nplain\nlines [0]"),
-        (11, "  \n"),
-    ],
-)
 _CANNED = C.LOW_CONFIDENCE_MESSAGE
+_BREAK = "chr(10) || chr(10)"
+#: Assistants' turns as cited answers, with lists, marks at the beginning, the no-answer sentence.
+ANSWERS = Derived(
+    "conversations",
+    "role <> 'user'",
+    id=_ID,
+    text=f"""CASE ({_ID}) % 13 WHEN 1 THEN text || ' [1].' WHEN 3 THEN text || ' [42] [a] [1.5] [ 1 ] [2][3]' WHEN 5 THEN '[1][2] [3]' || chr(10) || text WHEN 7 THEN text || ' [1].  {_CANNED}' || {_BREAK} || {_BREAK} || 'Then wait [2].'
+  WHEN 9 THEN 'Do this:' || {_BREAK} || '- ' || replace(text, chr(10), chr(10) || '- ') || {_BREAK} || '1. first [9]' || chr(10) || '2. second' || {_BREAK} || '- lonely [0]' WHEN 11 THEN '{_CANNED}' WHEN 12 THEN '  ' || chr(10) ELSE text END""",
+)
 
 
 @query(f"SELECT id, regexp_matches(text, '\\[[0-9]+\\]') AS cited FROM {ANSWERS.sql}")
 def citation_markers(spark, sf_dir):
-    return ANSWERS.frame(spark).select("id", T.has_citation(F.col("text")).alias("cited"))
+    return ANSWERS.frame(spark, sf_dir).select("id", T.has_citation(F.col("text")).alias("cited"))
 
 
 @query(
@@ -129,12 +117,12 @@ def citation_markers(spark, sf_dir):
     THEN {strip_sql(f"regexp_replace(regexp_replace(replace(text, '{_CANNED}', ''), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")} ELSE text END AS text FROM {ANSWERS.sql}"""
 )
 def canned_strip(spark, sf_dir):
-    return ANSWERS.frame(spark).select("id", T.strip_canned(F.col("text")).alias("text"))
+    return ANSWERS.frame(spark, sf_dir).select("id", T.strip_canned(F.col("text")).alias("text"))
 
 
 @query(f"SELECT id, regexp_replace(text, '^\\s*(\\[[0-9]+\\]\\s*)+\\n', '') AS text FROM {ANSWERS.sql}")
 def leading_citation_strip(spark, sf_dir):
-    return ANSWERS.frame(spark).select("id", T.strip_leading_citations(F.col("text")).alias("text"))
+    return ANSWERS.frame(spark, sf_dir).select("id", T.strip_leading_citations(F.col("text")).alias("text"))
 
 
 @query(
@@ -147,26 +135,32 @@ def leading_citation_strip(spark, sf_dir):
       ELSE array_to_string(list_transform(ls, lambda x: regexp_replace(x, '^[0-9]+\\.\\s+', '')), '|') END AS items FROM k"""
 )
 def answer_block_types(spark, sf_dir):
-    b = ANSWERS.frame(spark).select("id", F.posexplode(T.answer_blocks(F.col("text"))).alias("block_no", "b"))
+    b = ANSWERS.frame(spark, sf_dir).select("id", F.posexplode(T.answer_blocks(F.col("text"))).alias("block_no", "b"))
     return b.select("id", F.col("block_no").cast("long").alias("block_no"), "b.kind", F.array_join("b.items", "|").alias("items"))
 
 
 @query(f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda n: n >= 1 AND n <= 3), ',') AS links FROM {ANSWERS.sql}")
 def inline_citation_links(spark, sf_dir):
-    return ANSWERS.frame(spark).select("id", F.array_join(F.transform(T.linked_citations(F.col("text"), F.lit(3)), lambda n: n.cast("string")), ",").alias("links"))
+    return ANSWERS.frame(spark, sf_dir).select("id", F.array_join(F.transform(T.linked_citations(F.col("text"), F.lit(3)), lambda n: n.cast("string")), ",").alias("links"))
 
 
-PATHS = Inline("id long, path string", [(1, "data/raw/a.pdf"), (2, "C:\\files\\b.txt"), (3, "plain"), (4, ""), (5, None), (6, "dir/")])
+PATHS = Derived("pages", id="page_id", path="CASE page_id % 5 WHEN 0 THEN replace(url, '/', chr(92)) WHEN 1 THEN url || '/' WHEN 2 THEN NULL WHEN 3 THEN '' ELSE url END")
 
 
 @query(f"SELECT id, list_last(regexp_split_to_array(coalesce(path, ''), '[\\\\/]')) AS name FROM {PATHS.sql}")
 def basenames(spark, sf_dir):
-    return PATHS.frame(spark).select("id", T.basename(F.col("path")).alias("name"))
-
-
-EVENTS = Inline(
-    "query_id long, seq int, type string, text string, gated boolean, top_score double",
-    [(1, 0, "meta", None, False, 0.75), (1, 1, "token", 'He said "go"', None, None), (1, 2, "token", "line\nbreak", None, None), (1, 3, "done", None, None, None), (2, 0, "meta", None, True, None)],
+    return PATHS.frame(spark, sf_dir).select("id", T.basename(F.col("path")).alias("name"))
+
+
+#: Conversations as event streams: turns are their tokens, the first one is the meta event.
+EVENTS = Derived(
+    "conversations",
+    query_id="conv_id",
+    seq="CAST(turn AS INT)",
+    type="CASE WHEN turn = 0 THEN 'meta' WHEN role = 'system' THEN 'done' ELSE 'token' END",
+    text="CASE WHEN turn > 0 AND role <> 'system' THEN text END",
+    gated="CASE WHEN turn = 0 THEN conv_id % 2 = 0 END",
+    top_score="CASE WHEN turn = 0 AND conv_id % 3 > 0 THEN CAST(conv_id % 8 AS DOUBLE) / 8 END",
 )
 
 
@@ -175,10 +169,12 @@ EVENTS = Inline(
     || coalesce(',"top_score":' || to_json(top_score), '') || ',"citations":[]}}' || chr(10) || chr(10) AS frame FROM {EVENTS.sql}"""
 )
 def sse_frames(spark, sf_dir):
-    return G.sse_frames(EVENTS.frame(spark).withColumn("citations", F.array().cast("array<string>")))
+    return G.sse_frames(EVENTS.frame(spark, sf_dir).withColumn("citations", F.array().cast("array<string>")))
 
 
-STREAMS = Inline("stream_id long, body string", [(1, 'data: {"type": "meta", "gated": false, "top_score": 0.5}\n\ndata: {"type": "token", "text": "a b"}\n\ndata: {"type": "done"}\n\n'), (2, ': note\ndata: {"type": "token", "text": "x"}\ndata: {"type": "tok'), (3, "")])
+_BODY = f"""': note' || chr(10) || 'data: {{"type": "meta", "gated": false, "top_score": 0.5}}' || {_BREAK} || 'data: {{"type": "token", "text": "' || {_FLAT} || '"}}' || {_BREAK} || 'data: {{"type": "done"}}' || {_BREAK}"""
+#: Streams that may be cut anywhere near their end.
+STREAMS = Derived("conversations", stream_id=_ID, body=f"substr({_BODY}, 1, CAST(length({_BODY}) - ({_ID}) % 40 AS INT))")
 
 
 @query(
@@ -187,10 +183,10 @@ STREAMS = Inline("stream_id long, body string", [(1, 'data: {"type": "meta", "ga
     FROM (SELECT *, CAST(substr(line, 7) AS JSON) AS j FROM l WHERE starts_with(line, 'data: '))"""
 )
 def sse_parse(spark, sf_dir):
-    return G.parse_sse(STREAMS.frame(spark))
+    return G.parse_sse(STREAMS.frame(spark, sf_dir))
 
 
-BODIES = Inline("request_id long, body string", [(1, '{"query": " what now "}'), (2, '{"query": "  "}'), (3, "{}"), (4, "oops"), (5, '{"query": "x", "y": 1}')])
+BODIES = Derived("conversations", request_id=_ID, body=f"""CASE ({_ID}) % 6 WHEN 0 THEN '{{"query": " ' || {_FLAT} || ' "}}' WHEN 1 THEN '{{"query": "  "}}' WHEN 2 THEN '{{}}' WHEN 3 THEN {_FLAT} WHEN 4 THEN '{{"query": "' || {_FLAT} ELSE '{{"query": "x", "y": 1}}' END""")
 
 
 @query(
@@ -199,10 +195,15 @@ BODIES = Inline("request_id long, body string", [(1, '{"query": " what now "}'),
     SELECT request_id, j, {strip_sql("coalesce(j ->> '$.query', '')")} AS q FROM (SELECT request_id, TRY_CAST(body AS JSON) AS j FROM {BODIES.sql})))"""
 )
 def request_validation(spark, sf_dir):
-    return G.validate_requests(BODIES.frame(spark))
+    return G.validate_requests(BODIES.frame(spark, sf_dir))
 
 
-PAYLOADS = Inline("request_id long, body string", [(1, '{"answer": "a", "citations": [1, 2], "gated": true, "confidence": 0.5}'), (2, '{"answer": 5, "citations": "no"}'), (3, "null"), (4, "oops"), (5, '{"answer": "b", "citations": [], "gated": false, "confidence": "high"}')])
+PAYLOADS = Derived(
+    "conversations",
+    request_id=_ID,
+    body=f"""CASE ({_ID}) % 5 WHEN 0 THEN '{{"answer": "' || {_FLAT} || '", "citations": [1, 2], "gated": true, "confidence": 0.5}}' WHEN 1 THEN '{{"answer": 5, "citations": "no"}}' WHEN 2 THEN 'null' WHEN 3 THEN {_FLAT}
+  ELSE '{{"answer": "' || {_FLAT} || '", "citations": [], "gated": false, "confidence": "high"}}' END""",
+)
 
 
 @query(
@@ -213,11 +214,11 @@ PAYLOADS = Inline("request_id long, body string", [(1, '{"answer": "a", "citatio
     FROM (SELECT request_id, TRY_CAST(body AS JSON) AS j FROM {PAYLOADS.sql})"""
 )
 def response_normalizer(spark, sf_dir):
-    return G.normalize_response(PAYLOADS.frame(spark))
+    return G.normalize_response(PAYLOADS.frame(spark, sf_dir))
 
 
 STUB = {"earthquake": "earthquake|quake|shake", "water": "water|drink", "outage": "fridge|food|power|outage"}
-ASKED = Inline("id long, query string", [(1, "Will it SHAKE?"), (2, "how much water"), (3, "fridge food"), (4, "hi"), (5, "movies"), (6, "quake water")])
+ASKED = Derived("conversations", "role = 'user'", id=_ID, query=f"CASE ({_ID}) % 7 WHEN 0 THEN 'Will it SHAKE? ' || {_FLAT} WHEN 1 THEN {_FLAT} || ' water' WHEN 2 THEN 'fridge food' WHEN 3 THEN 'hi' WHEN 4 THEN 'quake water' ELSE {_FLAT} END")
 
 
 @query(f"SELECT id, CASE WHEN length(query) < 3 THEN NULL {' '.join(f'WHEN regexp_matches(lower(query), {p!r}) THEN {k!r}' for k, p in STUB.items())} END AS route FROM {ASKED.sql}")
@@ -226,18 +227,18 @@ def stub_routing(spark, sf_dir):
     low, out = F.lower("query"), F.when(F.length("query") < 3, F.lit(None).cast("string"))
     for key, pattern in STUB.items():
         out = out.when(low.rlike(pattern), key)
-    return ASKED.frame(spark).select("id", out.alias("route"))
+    return ASKED.frame(spark, sf_dir).select("id", out.alias("route"))
 
 
 # --- tags -------------------------------------------------------------------------------------------------------------
 
-FILES = Inline(
-    "id long, source string, text string",
-    [
-        (1, "ready_gov_floods.txt", "drop, cover, and hold"), (2, "ready_gov_unheard.txt", ""), (3, "red_cross_survival_kit.txt", ""), (4, "wa_emd_tsunami.txt", ""),
-        (5, "When-an-Earthquake-Strikes.pdf", "x"), (6, "2-Weeks-Ready-Community-Brochure-Build-Kits.pdf", "What to do During the Shaking"), (7, "other.pdf", "earthquake"), (8, "ready_gov_floods.pdf", "Drop and Cover"),
-    ],
-)
+#: Documents under the names of known and unknown files, some with an anchor phrase.
+FILES = Derived(
+    "documents",
+    id="doc_id",
+    source="CASE doc_id % 9 WHEN 0 THEN 'ready_gov_floods.txt' WHEN 1 THEN 'ready_gov_' || lang || '.txt' WHEN 2 THEN 'red_cross_survival_kit.txt' WHEN 3 THEN 'wa_emd_tsunami.txt' WHEN 4 THEN 'When-an-Earthquake-Strikes.pdf' WHEN 5 THEN '2-Weeks-Ready-Community-Brochure-Build-Kits.pdf' WHEN 6 THEN 'ready_gov_floods.pdf' ELSE source || '.pdf' END",
+    text="CASE doc_id % 4 WHEN 0 THEN text || ' What to do During the Shaking' WHEN 1 THEN 'Drop and Cover. ' || text ELSE text END",
+)
 
 
 def _tag_sql() -> str:
@@ -252,29 +253,26 @@ def _tag_sql() -> str:
 
 @query(f"SELECT id, {_tag_sql()} AS tag FROM {FILES.sql}")
 def source_tagging(spark, sf_dir):
-    return FILES.frame(spark).select("id", tag_of(F.col("source"), F.col("text")).alias("tag"))
+    return FILES.frame(spark, sf_dir).select("id", tag_of(F.col("source"), F.col("text")).alias("tag"))
 
 
 @query(f"SELECT id, {' OR '.join(f'contains(lower(text), {p!r})' for p in C.OVERRIDE_PHRASES['earthquake'])} AS promoted FROM {FILES.sql}")
 def override_phrases(spark, sf_dir):
-    return FILES.frame(spark).select("id", T.first_tag(F.col("text"), C.OVERRIDE_PHRASES).isNotNull().alias("promoted"))
+    return FILES.frame(spark, sf_dir).select("id", T.first_tag(F.col("text"), C.OVERRIDE_PHRASES).isNotNull().alias("promoted"))
 
 
 # --- cleaning ---------------------------------------------------------------------------------------------------------
 
-RAW = Inline(
-    "id long, dialect string, source string, text string",
-    [
-        (1, "ready", "a.txt", "Storms\nUnknown\n3 min read\nhttps://example.org/a\n\nBefore\nAfter\n\nKeep away from trees and open fields when a storm is near.\nUnknown\nSee [the plan](http://example.org/p) first.\nhttps://example.org/x\nLast Updated: today\n\nStorm Toolkit\nMore Info\n"),
-        (2, "ready", "b.txt", "One\nTwo\nThree\n"),
-        (3, "ready", "c.txt", "Title\nx\ny\nno address\nWell: this line stays.\nA heading\n"),
-        (4, "cross", "d.txt", 'Plans\nUnknown\n2 min read\nhttps://example.org/d\n\n\nMake a ""plan"" now.\nRed number one\nGet the app at Google PlayTM. Shop for Survival Kits and other first aid supplies at the Red Cross Store.\n#redcross now\n\n\nTo make a financial donation, please visit us.\nDone.\n\n'),
-        (5, "cross", "e.txt", "Plans\nSomeone\n2 min read\nhttps://example.org/d\nText"),
-        (6, "emd", "wa_emd_tsunami.txt", "Waves\nefelle creative\n4 min read\nhttps://example.org/e\nSign up for alerts (Opens in a new window)to be warned .\nPublic Education Materials\nA (PDF)\nB\nMaritime Guidance\nColor graphic showing what to do when on the coast during a large earthquake. First.\n\n\nMove ( quickly ) inland.\nConnect With Us\nSome handle\n"),
-        (7, "emd", "wa_emd_hazard_mitigation_grants.txt", "Grants\nefelle creative\n4 min read\nhttps://example.org/f\nWhat is Hazard Mitigation?\nlink\nWhat is Hazard Mitigation?\nIt lowers risk.\nResources\nx\ny.\n"),
-        (8, "cross", "f.txt", ""),
-    ],
-)
+#: Documents as raw scrapes of the three dialects, with whole and broken headers, page chrome and blank lines.
+RAW = Derived(
+    "documents",
+    id="doc_id",
+    dialect="CASE doc_id % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'cross' ELSE 'emd' END",
+    source="CASE WHEN doc_id = 2 THEN 'wa_emd_tsunami.txt' ELSE 'f' || doc_id || '.txt' END",
+    text=f"""CASE WHEN doc_id % 17 = 0 THEN substr(text, 1, 40) ELSE ' About ' || lang || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'Someone' WHEN doc_id % 3 = 2 THEN '{C.EMD_AUTHOR}' ELSE 'Unknown' END || chr(10) || '3 Min read' || chr(10)
+  || CASE WHEN doc_id % 7 = 0 THEN 'no address' ELSE 'https://example.org/' || doc_id END || chr(10) || chr(10) || 'Before' || chr(10) || replace(text, '. ', '.' || {_BREAK} || 'Unknown' || chr(10) || 'See [the plan](http://example.org/p) first.' || chr(10) || 'https://example.org/x' || {_BREAK} || chr(10))
+  || chr(10) || 'Get the app at Google PlayTM now.' || chr(10) || 'Storm Toolkit' || chr(10) || 'More Info' || chr(10) END""",
+)
 _RAW_LINES = f"SELECT *, string_split(text, chr(10)) AS parts FROM {RAW.sql}"
 
 
@@ -285,7 +283,7 @@ _RAW_LINES = f"SELECT *, string_split(text, chr(10)) AS parts FROM {RAW.sql}"
     SELECT id, CASE WHEN long THEN trim(ls[1]) ELSE '' END AS title, CAST(CASE WHEN long AND header THEN len(ls) - 4 ELSE len(ls) END AS INTEGER) AS n_lines FROM h"""
 )
 def strip_header(spark, sf_dir):
-    rows = RAW.frame(spark).withColumn("_l", L.split_lines(F.col("text")))
+    rows = RAW.frame(spark, sf_dir).withColumn("_l", L.split_lines(F.col("text")))
     title, body = None, None
     for dialect in ("ready", "cross", "emd"):
         t, b = L.strip_header(F.col("_l"), dialect)
@@ -294,43 +292,40 @@ def strip_header(spark, sf_dir):
     return rows.select("id", title.alias("title"), F.size(body).alias("n_lines"))
 
 
-CLEANED = Inline(
-    "id long, text string, in_lines int, out_lines int",
-    [
-        (1, "# Storms\n\nKeep away from trees and open fields when a storm is near.\nSee the plan first.\n\n", 16, 4),
-        (2, "\n", 3, 1),
-        (3, "# Title\n\nWell: this line stays.\n", 6, 3),
-        (4, '# Plans\n\nMake a "plan" now.\nGet the app at Google Play.\n\nDone.\n', 15, 6),
-        (5, "# Plans\n\nPlans\nSomeone\n2 min read\nText\n", 5, 6),
-        (6, f"# Waves\n\nSign up for alerts to be warned.\nMaritime Guidance\n{C.EMD_CAPTIONS[0][1]}\n\nMove (quickly ) inland.\n", 15, 7),
-        (7, "# Grants\n\nWhat is Hazard Mitigation?\nIt lowers risk.\n", 11, 4),
-        (8, "\n", 0, 1),
-    ],
-)
-
-
-@query(f"SELECT id, rtrim(text, chr(10)) || chr(10) AS text, in_lines, length(rtrim(text, chr(10)) || chr(10)) - length(replace(rtrim(text, chr(10)) || chr(10), chr(10), '')) AS out_lines FROM {CLEANED.sql}")
+@query()
 def clean_scrapes(spark, sf_dir):
-    """All three cleaners against texts worked out by hand."""
-    ids = RAW.frame(spark).select("id", "source")
+    """All documents as scrapes, cleaned each in its dialect."""
+    ids = RAW.frame(spark, sf_dir).select("id", "source")
     out = None
     for dialect in ("ready", "cross", "emd"):
-        rows = L.clean_scrapes(RAW.frame(spark).where(F.col("dialect") == dialect).select("source", "text"), dialect)
+        rows = L.clean_scrapes(RAW.frame(spark, sf_dir).where(F.col("dialect") == dialect).select("source", "text"), dialect)
         out = rows if out is None else out.unionByName(rows)
     return out.join(ids, "source").select("id", "text", "in_lines", F.col("out_lines").cast("long").alias("out_lines"))
 
 
+#: Documents as cleaned texts: paragraphs of their sentences, and lines before and after.
+CLEANED = Derived(
+    "documents",
+    id="doc_id",
+    text=f"'# ' || lang || {_BREAK} || replace(text, '. ', '.' || {_BREAK}) || chr(10)",
+    in_lines="CAST(length(text) - length(replace(text, chr(10), '')) + 9 AS INT)",
+    out_lines="CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT)",
+)
+
+
 @query(f"SELECT CAST(sum(in_lines) AS BIGINT) AS in_lines, CAST(sum(out_lines) AS BIGINT) AS out_lines, round(100 * (1 - sum(out_lines) / greatest(sum(in_lines), 1)), 6) AS shrink_percent FROM {CLEANED.sql}")
 def shrinkage(spark, sf_dir):
-    return L.shrinkage(CLEANED.frame(spark))
+    return L.shrinkage(CLEANED.frame(spark, sf_dir))
 
 
 @query(f"SELECT id, CAST(len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip_sql('p')} <> '')) AS INTEGER) AS paragraphs FROM {CLEANED.sql} WHERE len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip_sql('p')} <> '')) < 5")
 def thin_files(spark, sf_dir):
-    return L.thin_files(CLEANED.frame(spark).withColumn("source", F.col("id"))).withColumnRenamed("source", "id")
+    return L.thin_files(CLEANED.frame(spark, sf_dir).withColumn("source", F.col("id"))).withColumnRenamed("source", "id")
 
 
-BLANKS = Inline("id long, lines array<string>", [(1, ["", " ", "a", "", "\t", "b", "c", "", ""]), (2, ["a"]), (3, ["", ""]), (4, ["a", "", "b"])])
+_SPARSE = f"chr(10) || replace(replace(text, '. ', '.' || {_BREAK} || ' ' || {_BREAK}), ', ', ',' || chr(10) || chr(9) || chr(10)) || {_BREAK}"
+#: Documents' lines with runs of blank ones between sentences, before and after.
+BLANKS = Derived("documents", id="doc_id", lines=(f"split({_SPARSE}, chr(10))", f"string_split({_SPARSE}, chr(10))"))
 
 
 @query(
@@ -339,27 +334,34 @@ BLANKS = Inline("id long, lines array<string>", [(1, ["", " ", "a", "", "\t", "b
     SELECT i.id, coalesce(string_agg(CASE WHEN blank THEN '' ELSE line END, '|' ORDER BY k), '') AS lines FROM {BLANKS.sql} i LEFT JOIN n ON n.id = i.id AND k BETWEEN a AND b AND NOT (blank AND before) GROUP BY i.id"""
 )
 def collapse_blank_lines(spark, sf_dir):
-    return BLANKS.frame(spark).select("id", F.array_join(L.collapse_blank_lines(F.col("lines")), "|").alias("lines"))
+    return BLANKS.frame(spark, sf_dir).select("id", F.array_join(L.collapse_blank_lines(F.col("lines")), "|").alias("lines"))
 
 
 _E1, _E2 = C.EMD_SECTIONS["wa_emd_tsunami.txt"][0]
-SECTIONS = Inline("source string, line_no int, line string", [("wa_emd_tsunami.txt", i, x) for i, x in enumerate(["top", _E1, "a", "b", _E2, "mid", _E1, "again"])] + [("wa_emd_hazard_mitigation_grants.txt", i, x) for i, x in enumerate(["x", "Resources", "y", "z"])] + [("other.txt", 0, _E1), ("other.txt", 1, "stays")])
+_MARKED = f"'top' || chr(10) || replace(replace(text, ', ', ',' || chr(10) || '{_E1}' || chr(10)), '. ', '.' || chr(10) || '{_E2}' || chr(10)) || chr(10) || 'Resources' || chr(10) || 'end'"
+#: Documents as files of which two have blocks to skip.
+SECTIONS = Derived("documents", id="doc_id", source="CASE doc_id % 3 WHEN 0 THEN 'wa_emd_tsunami.txt' WHEN 1 THEN 'wa_emd_hazard_mitigation_grants.txt' ELSE 'other.txt' END", lines=(f"split({_MARKED}, chr(10))", f"string_split({_MARKED}, chr(10))"))
 
 
 @query(
-    f"""WITH l AS (SELECT * FROM {SECTIONS.sql}),
-    s AS (SELECT source, min(line_no) AS a FROM l WHERE (source = 'wa_emd_tsunami.txt' AND line = '{_E1}') OR (source = 'wa_emd_hazard_mitigation_grants.txt' AND line = 'Resources') GROUP BY source),
-    r AS (SELECT s.source, a, coalesce(min(line_no), 1000000) AS b FROM s LEFT JOIN l ON l.source = s.source AND line_no > a AND line = '{_E2}' GROUP BY ALL)
-    SELECT l.source, string_agg(line, '|' ORDER BY line_no) AS lines FROM l LEFT JOIN r ON r.source = l.source WHERE r.a IS NULL OR line_no < a OR line_no >= b GROUP BY l.source"""
+    f"""WITH l AS (SELECT id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM {SECTIONS.sql}),
+    s AS (SELECT id, min(line_no) AS a FROM l WHERE (source = 'wa_emd_tsunami.txt' AND line = '{_E1}') OR (source = 'wa_emd_hazard_mitigation_grants.txt' AND line = 'Resources') GROUP BY id),
+    r AS (SELECT s.id, a, coalesce(min(line_no), 1000000) AS b FROM s LEFT JOIN l ON l.id = s.id AND line_no > a AND line = '{_E2}' AND source = 'wa_emd_tsunami.txt' GROUP BY ALL)
+    SELECT l.id, md5(string_agg(line, '|' ORDER BY line_no)) AS lines FROM l LEFT JOIN r ON r.id = l.id WHERE r.a IS NULL OR line_no < a OR line_no >= b GROUP BY l.id"""
 )
 def skip_sections(spark, sf_dir):
-    files = SECTIONS.frame(spark).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"].alias("lines"))
-    return files.select("source", F.array_join(L.skip_sections(F.col("lines"), L.sections_of(F.col("source"))), "|").alias("lines"))
+    kept = L.skip_sections(F.col("lines"), L.sections_of(F.col("source")))
+    return SECTIONS.frame(spark, sf_dir).select("id", F.md5(F.array_join(kept, "|").cast("binary")).alias("lines"))
 
 
 # --- sources ----------------------------------------------------------------------------------------------------------
 
-SIDECARS = Inline("source string, text string", [("a.md", "<!-- page: 3 -->\nFirst block\n---\nSecond  block\n\n\n\nend\n---  \n   \n---\n<!-- PAGE: 12 --> Third <!-- page: 4 -->"), ("b.md", ""), ("c.md", "only")])
+#: Documents as sidecars: a block for each sentence, some with a mark of their page.
+SIDECARS = Derived(
+    "documents",
+    source="'s' || doc_id || '.md'",
+    text=f"CASE doc_id % 4 WHEN 0 THEN '' ELSE '<!-- page: ' || (doc_id % 9 + 1) || ' -->' END || replace(replace(text, ', ', '  ' || chr(10) || {_BREAK}), '. ', '.' || chr(10) || '---' || chr(10) || '<!-- PAGE: 12 --> ') || chr(10) || '---  ' || chr(10) || '   ' || chr(10) || '---' || chr(10)",
+)
 
 
 @query(
@@ -369,33 +371,34 @@ SIDECARS = Inline("source string, text string", [("a.md", "<!-- page: 3 -->\nFir
     SELECT * FROM c WHERE text <> ''"""
 )
 def sidecar_blocks(spark, sf_dir):
-    return S.sidecar_blocks(SIDECARS.frame(spark), normal_form=False)
+    return S.sidecar_blocks(SIDECARS.frame(spark, sf_dir), normal_form=False)
 
 
-PDFS = Inline("source string, text string", [("a", "pdf a"), ("b", "pdf b"), ("d", "pdf d")])
-SIDES = Inline("source string, text string", [("b", "side b"), ("c", "side c"), ("b", "side b again")])
+#: All documents as files, and those with a label as sidecars.
+PDFS = Derived("documents", source="'f' || doc_id", text="lang")
+SIDES = Derived("labels", source="'f' || doc_id", text="'side'")
 
 
 @query(f"SELECT source, text FROM {PDFS.sql} WHERE source NOT IN (SELECT source FROM {SIDES.sql})")
 def source_precedence_anti(spark, sf_dir):
-    return S.without_sidecar(PDFS.frame(spark), SIDES.frame(spark))
+    return S.without_sidecar(PDFS.frame(spark, sf_dir), SIDES.frame(spark, sf_dir))
 
 
-FOLDERS = Inline("source string, text string, rank int", [("A.txt", "first", 0), ("a.TXT", "second", 1), ("b.txt", "only", 1), ("C.txt", "late", 1), ("c.txt", "early", 0)])
+#: Documents as files of several folders, whose names differ in case only.
+FOLDERS = Derived("documents", source="CASE doc_id % 2 WHEN 0 THEN 'File' || (doc_id % 97) || '.TXT' ELSE 'file' || (doc_id % 97) || '.txt' END", text="'text of ' || doc_id", rank="CAST((doc_id * 7919) % 100003 AS INT)")
 
 
 @query(f"SELECT lower(source) AS source, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(source) ORDER BY rank, source) AS k FROM {FOLDERS.sql}) WHERE k = 1")
 def multi_folder_first(spark, sf_dir):
-    return S.first_of(FOLDERS.frame(spark))
+    return S.first_of(FOLDERS.frame(spark, sf_dir))
 
 
-GEO = Inline(
-    "kind string, json string",
-    [
-        ("shelter", '{"features": [{"geometry": {"coordinates": [-122.3, 47.6]}, "properties": {"OBJECTID": 1, "NAME": "Hall", "ADDRESS": "1 Main St"}}, {"geometry": {"coordinates": [-122.4, 47.7]}, "properties": {"OBJECTID": 2, "NAME": "Gym", "ADDRESS": null}}]}'),
-        ("hospital", '{"features": [{"geometry": {"coordinates": [-121.5, 48.0]}, "properties": {"OBJECTID": 9, "NAME": "Clinic", "ADDRESS": "2 Oak Ave"}}]}'),
-    ],
-)
+def _feature(key: str, address: str) -> str:
+    return f"""'{{"geometry": {{"coordinates": [-' || (s_suppkey % 180) || '.5, ' || (s_suppkey % 90) || '.25]}}, "properties": {{"OBJECTID": ' || ({key}) || ', "NAME": "' || s_name || '", "ADDRESS": {address}}}}}'"""
+
+
+#: Suppliers as layers of two features each.
+GEO = Derived("supplier", kind="CASE s_nationkey % 2 WHEN 0 THEN 'shelter' ELSE 'hospital' END", json=f"""'{{"features": [' || {_feature("s_suppkey", "null")} || ', ' || {_feature("s_suppkey + 1000000", '"1 Main St"')} || ']}}'""")
 
 
 @query(
@@ -403,17 +406,40 @@ GEO = Inline(
     CAST(f ->> '$.geometry.coordinates[1]' AS DOUBLE) AS lat, CAST(f ->> '$.geometry.coordinates[0]' AS DOUBLE) AS lng FROM (SELECT kind, unnest(CAST(CAST(json AS JSON) -> '$.features' AS JSON[])) AS f FROM {GEO.sql})"""
 )
 def geojson_points(spark, sf_dir):
-    return S.geojson_points(GEO.frame(spark))
+    return S.geojson_points(GEO.frame(spark, sf_dir))
 
 
 # --- layout -----------------------------------------------------------------------------------------------------------
 
-WORDS = Inline(
-    "page int, text string, x0 double, x1 double, top double, page_left double, page_right double",
-    [(1, "left", 50.0, 90.0, 10.0, 0.0, 600.0), (1, "column", 100.0, 200.0, 12.0, 0.0, 600.0), (1, "right", 300.0, 360.0, 10.0, 0.0, 600.0), (1, "side", 352.0, 450.0, 11.0, 0.0, 600.0),
-     (1, "second", 60.0, 200.0, 30.0, 0.0, 600.0), (1, "7", 560.0, 580.0, 30.0, 0.0, 600.0), (1, "gap", 92.0, 104.0, 30.0, 0.0, 600.0),
-     (2, "one", 10.0, 40.0, 0.0, 0.0, 600.0), (2, "two", 45.0, 80.0, 2.0, 0.0, 600.0), (2, "three", 85.0, 120.0, 4.0, 0.0, 600.0), (2, "below", 10.0, 50.0, 10.0, 0.0, 600.0)],
-)
+class _Words(Derived):
+    """Documents' words laid out as pages of 400 in two columns, five to a line, with tops that differ a little within a line."""
+
+    def __init__(self) -> None:
+        nth = "CAST(pos AS INT) % 400"
+        row, place, column = f"CAST(floor(({nth}) / 5) AS INT) % 40", f"({nth}) % 5", f"CAST(floor(({nth}) / 200) AS INT)"
+        left = f"CAST({column} * 300 + 40 + ({place}) * 44 AS DOUBLE)"
+        super().__init__(
+            "documents",
+            page="CAST(doc_id * 1000 + floor(pos / 400) AS INT)",
+            text="word",
+            x0=left,
+            x1=f"{left} + 36.0 - CAST(pos AS INT) % 3",
+            top=f"CAST(({row}) * 12 + ({place}) % 3 AS DOUBLE)",
+            page_left="CAST(0.0 AS DOUBLE)",
+            page_right="CAST(600.0 AS DOUBLE)",
+        )
+
+    def frame(self, spark, sf_dir):
+        words = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "posexplode(regexp_extract_all(text, '[^ \\\\n\\\\r\\\\t]+', 0)) AS (pos, word)")
+        return words.selectExpr(*self._expressions(0))
+
+    @property
+    def sql(self):
+        words = "(SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\n\\r\\t]+') AS w FROM documents))"
+        return f"(SELECT {', '.join(self._expressions(1))} FROM {words})"
+
+
+WORDS = _Words()
 
 
 def lines_sql(words: str, by: str) -> str:
@@ -424,7 +450,7 @@ def lines_sql(words: str, by: str) -> str:
 
 @query(f"SELECT * FROM {lines_sql(WORDS.sql, 'page')}")
 def pdf_lines(spark, sf_dir):
-    return P.lines_of_words(WORDS.frame(spark), ["page"])
+    return P.lines_of_words(WORDS.frame(spark, sf_dir), ["page"])
 
 
 COLUMNS = f"""(WITH bins AS (SELECT DISTINCT page, page_left, unnest(generate_series(greatest(0, CAST(trunc((x0 - page_left) / 4.0) AS BIGINT)), least(greatest(1, CAST(trunc((page_right - page_left) / 4.0) AS BIGINT) + 1) - 1, CAST(trunc((x1 - page_left) / 4.0) AS BIGINT)))) AS bin FROM {WORDS.sql}),
@@ -435,7 +461,7 @@ COLUMNS = f"""(WITH bins AS (SELECT DISTINCT page, page_left, unnest(generate_se
 
 @query(f"SELECT * FROM {COLUMNS}")
 def pdf_columns(spark, sf_dir):
-    return P.column_ranges(WORDS.frame(spark), ["page"])
+    return P.column_ranges(WORDS.frame(spark, sf_dir), ["page"])
 
 
 @query(
@@ -443,7 +469,7 @@ def pdf_columns(spark, sf_dir):
     w AS (SELECT w.*, 1 AS column_no FROM {WORDS.sql} w LEFT JOIN n USING (page) WHERE coalesce(k, 0) <= 1
       UNION ALL SELECT w.*, column_no FROM {WORDS.sql} w JOIN n USING (page) JOIN c ON c.page = w.page AND x0 >= x_start AND x0 < x_end WHERE k > 1),
     p AS (SELECT page, column_no, string_agg(line, chr(10) ORDER BY line_no) AS part FROM {lines_sql("w", "page, column_no")} GROUP BY page, column_no)
-    SELECT page, string_agg(part, chr(10) || chr(10) ORDER BY column_no) AS text FROM p GROUP BY page"""
+    SELECT page, md5(string_agg(part, chr(10) || chr(10) ORDER BY column_no)) AS text FROM p GROUP BY page"""
 )
 def page_texts(spark, sf_dir):
-    return P.page_texts(WORDS.frame(spark), ["page"])
+    return P.page_texts(WORDS.frame(spark, sf_dir), ["page"]).select("page", F.md5(F.col("text").cast("binary")).alias("text"))

@@ -82,8 +82,10 @@ def _cut_open_tail(lines: Column, flags: Column, until: Column) -> Column:
 
 def collapse_blank_lines(lines: Column) -> Column:
     """Runs of blank lines become one empty line, and none stand first or last."""
-    blank = F.transform(lines, T.is_blank)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.get(blank, i), x).when((i > 0) & F.coalesce(F.get(blank, i - 1), F.lit(False)), F.lit(None)).otherwise("")), lambda x: x.isNotNull())
+    none = F.lit(None).cast("string")
+    # each line with the one before it; the pair past the last line has no line
+    kept = F.zip_with(lines, F.concat(F.array(none), lines), lambda x, before: F.when(~T.is_blank(x), x).when(x.isNotNull() & ~F.coalesce(T.is_blank(before), F.lit(False)), ""))
+    kept = F.filter(kept, lambda x: x.isNotNull())
     first = F.when(F.get(kept, F.lit(0)) == "", 2).otherwise(1)
     kept = F.slice(kept, first, F.size(kept))
     return F.when(F.get(kept, F.size(kept) - 1) == "", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from lodestone import catalog
-from lodestone.catalog import fixtures, search, texts  # noqa: F401
+from lodestone.catalog import derived, search, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
