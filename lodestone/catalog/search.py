@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as C
 from lodestone.catalog import query, tokens_sql
 from lodestone.functions import text as T
+from lodestone.operators import dense as D
 from lodestone.operators import evaluation as E
 from lodestone.operators import generation as G
 from lodestone.operators import index as I
@@ -51,12 +52,23 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), ((F.col("label") + 1) % 10).cast("string").alias("tag"))
 
 
-_indexes: dict[tuple[str, str], I.Index] = {}
+def _state(spark: SparkSession, sf_dir: str, *names: str) -> tuple[str, ...]:
+    """Names this session, a folder and its tables' files with their sizes and times: another state of the files has another key."""
+    files = None
+    for name in names:
+        own = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        files = own if files is None else files.unionByName(own)
+    seen = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    return (spark.sparkContext.applicationId, sf_dir, str(seen))
+
+
+_indexes: dict[tuple[str, ...], I.Index] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
-    """The index of a folder's tables, written once in a session and then read by each search, as a saved index would be."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of a folder's tables, written once in a session for each state of its files and then read by each search, as a
+    saved index would be."""
+    key = _state(spark, sf_dir, "documents", "embeddings")
     if key not in _indexes:
         _indexes[key] = I.build_index(chunks(spark, sf_dir), vectors(spark, sf_dir).select("id", "embedding"), workspace(spark, "index"))
     return _indexes[key]
@@ -197,6 +209,31 @@ def dense_overfetch_filter(spark, sf_dir):
     return _ranked(S.dense_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), mode="overfetch"))
 
 
+_lists: dict[tuple[str, ...], D.Lists] = {}
+
+
+def lists_of(spark: SparkSession, sf_dir: str) -> D.Lists:
+    """The inverted lists of a folder's embeddings, built once in a session for each state of its files."""
+    key = _state(spark, sf_dir, "embeddings")
+    if key not in _lists:
+        _lists[key] = D.build_lists(vectors(spark, sf_dir), workspace(spark, "lists"))
+    return _lists[key]
+
+
+@query()
+def dense_lists_topk(spark, sf_dir):
+    """The best of the lists nearest to each query; of the exact best, most are among them (see dense_lists_recall)."""
+    return _ranked(D.lists_topk(vector_queries(spark, sf_dir), lists_of(spark, sf_dir)))
+
+
+@query()
+def dense_lists_recall(spark, sf_dir):
+    """What share of the exact best 15 the lists find for each query, and what share of all vectors was scored for all."""
+    q, lists = vector_queries(spark, sf_dir), lists_of(spark, sf_dir)
+    found = D.recall_of(D.lists_topk(q, lists), D.dense_topk(q, vectors(spark, sf_dir)))
+    return found.select("query_id", F.round("recall", 6).alias("recall"), F.lit(round(D.scored_share(q, lists), 6)).alias("scored_share"))
+
+
 @query(
     f"""WITH p AS (SELECT doc_id AS id FROM documents WHERE len({tokens_sql("text")}) > 0)
     SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM p) AS posting_ids,

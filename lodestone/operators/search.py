@@ -1,4 +1,4 @@
-"""Dense and keyword search, rank fusion, reranking and the confidence gate, for many queries at once.
+"""Keyword search, rank fusion with dense search, reranking and the confidence gate, for many queries at once.
 
 Queries are a table (query_id, text, tag, qvec; tag and qvec may be null).  Ranks count from 0.  Scores are rounded to nine
 places before ranking, and ties go to the lower id.
@@ -6,81 +6,14 @@ places before ranking, and ties go to the lower id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions import text as T
+from lodestone.operators.dense import PLACES, dense_topk, top
 from lodestone.operators.index import Index
 
-PLACES = 9
-
-
-def top(scored: DataFrame, k: int, order: list[Column], by: str = "query_id") -> DataFrame:
-    """The first k rows of each query, with a rank from 0.  The filter is on row_number itself, so that Spark prunes before the shuffle."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).withColumn("rank", F.col("_rn") - 1).drop("_rn")
-
-
-def _in_blocks(rows: DataFrame, key: str, columns: list[str], size: int, name: str) -> DataFrame:
-    n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct(*columns)).alias(name)).select(name)
-
-
-def _block_scores(k: int, filtered: bool):
-    """The best k of a block of vectors for each query of a block; all that tie with the last stay."""
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for vs, qs in zip(batch.column(0), batch.column(1)):
-                v, q = vs.values, qs.values
-                vectors, queries = (np.stack(x.field(i).to_numpy(zero_copy_only=False)).astype(float) for x, i in ((v, 1), (q, 1)))
-                scores = np.round(queries @ vectors.T, PLACES) + 0.0
-                ids, query_ids = v.field(0).to_numpy(), q.field(0).to_numpy()
-                if filtered:
-                    tags, wanted = np.array(v.field(2).to_pylist(), object), np.array(q.field(2).to_pylist(), object)
-                    scores = np.where((wanted[:, None] == None) | (wanted[:, None] == tags[None, :]), scores, -np.inf)  # noqa: E711
-                for i, row in enumerate(scores):
-                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    keep = np.flatnonzero((row >= least) & (row > -np.inf))
-                    for column, values in zip(out, ([query_ids[i]] * len(keep), ids[keep], row[keep])):
-                        column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "id", "score"])
-
-    return best
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = C.DENSE_TOP_K, *, mode: str = "all", overfetch: int = C.OVERFETCH, query_block: int = 256, vector_block: int = 2048) -> DataFrame:
-    """query_id, id, score, rank: the exact k largest inner products.
-
-    mode: all (tags play no part), prefilter (only vectors with the query's tag, if it has one) or overfetch (the best
-    overfetch * k of all, then only those with the tag; fewer than k may be left).  vectors has id, embedding and, for
-    these, tag.  Blocks of queries meet blocks of vectors in one matrix product each, and only the best of a block go on.
-    """
-    q = queries.where(F.col("qvec").isNotNull())
-    reach = k
-    if mode == "overfetch":
-        reach = F.when(F.col("tag").isNull(), k).otherwise(overfetch * k)
-    with_tag = mode == "prefilter"
-    q_cols, v_cols = ["query_id", "qvec"], ["id", "embedding"]
-    if with_tag:
-        q_cols, v_cols = [*q_cols, "tag"], [*v_cols, "tag"]
-    vb = _in_blocks(vectors.where(F.col("embedding").isNotNull()), "id", v_cols, vector_block, "v")
-    qb = _in_blocks(q, "query_id", q_cols, query_block, "q")
-    found = vb.crossJoin(qb).mapInArrow(_block_scores(k if mode != "overfetch" else overfetch * k, with_tag), "query_id long, id long, score double")
-    order = [F.desc("score"), F.asc("id")]
-    if mode != "overfetch":
-        return top(found, reach, order)
-    ranked = top(found, overfetch * k, order).join(q.select("query_id", F.col("tag").alias("_want")), "query_id").join(vectors.select("id", "tag"), "id")
-    near = ranked.where(F.col("_want").isNull() | (F.col("_want") == F.col("tag"))).drop("rank", "_want", "tag")
-    return top(near, k, order)
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, tag, term, qtf: a query's tokens with their number."""
     return queries.select("query_id", "tag", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "tag", "term").agg(F.count("*").alias("qtf"))
