@@ -16,6 +16,7 @@ from lodestone.operators import dense as D
 from lodestone.operators import evaluation as E
 from lodestone.operators import generation as G
 from lodestone.operators import index as I
+from lodestone.operators import phrases as P
 from lodestone.operators import search as S
 from lodestone.operators.parsing import known_tags
 from lodestone.plans.retrieve import retrieve
@@ -476,3 +477,15 @@ def confidence_bucket(spark, sf_dir):
 def pandas_udf_embed(spark, sf_dir):
     """Unit vectors of all documents by the default embedder."""
     return I.embed_chunks(chunks(spark, sf_dir)).select("id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm"))
+
+
+@query("SELECT doc_id AS id, item_id AS phrase_id, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS n FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
+def passages_in_documents(spark, sf_dir):
+    """Every benchmark passage that a document has."""
+    return P.find_phrases(chunks(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase")))
+
+
+@query(f"SELECT doc_id AS id, CAST({SAFETY} AS BIGINT) AS safety FROM documents")
+def safety_by_automaton(spark, sf_dir):
+    """The safety score of every document, all phrases in one pass."""
+    return chunks(spark, sf_dir).select("id", P.phrase_totals(C.SAFETY_PHRASES)(F.lower("text")).alias("safety"))
