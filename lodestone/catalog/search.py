@@ -17,6 +17,7 @@ from lodestone.operators import evaluation as E
 from lodestone.operators import generation as G
 from lodestone.operators import index as I
 from lodestone.operators import phrases as P
+from lodestone.operators import pruned as R
 from lodestone.operators import search as S
 from lodestone.operators.parsing import known_tags
 from lodestone.plans.retrieve import retrieve
@@ -489,3 +490,26 @@ def passages_in_documents(spark, sf_dir):
 def safety_by_automaton(spark, sf_dir):
     """The safety score of every document, all phrases in one pass."""
     return chunks(spark, sf_dir).select("id", P.phrase_totals(C.SAFETY_PHRASES)(F.lower("text")).alias("safety"))
+
+
+_blocked: dict[tuple[str, ...], R.BlockedIndex] = {}
+
+
+def blocks_of(spark: SparkSession, sf_dir: str) -> R.BlockedIndex:
+    """The blocked postings of a folder's documents, built once in a session for each state of its files."""
+    key = _state(spark, sf_dir, "documents", "embeddings")
+    if key not in _blocked:
+        _blocked[key] = R.build_blocks(index_of(spark, sf_dir), workspace(spark, "blocks"))
+    return _blocked[key]
+
+
+@query(f"WITH {LEXICAL}, {bm25_sql('sparse', False)} {RANKED} sparse")
+def bm25_pruned_topk(spark, sf_dir):
+    """The rows of bm25_topk, from a part of the postings (see bm25_postings_read)."""
+    return _ranked(R.pruned_topk(items(spark, sf_dir), blocks_of(spark, sf_dir), workspace(spark, "pruned")).found)
+
+
+@query()
+def bm25_postings_read(spark, sf_dir):
+    """How many postings each pass of bm25_pruned_topk takes, and how many of the queries' terms there are."""
+    return R.pruned_topk(items(spark, sf_dir), blocks_of(spark, sf_dir), workspace(spark, "pruned")).reads
