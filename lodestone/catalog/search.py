@@ -187,8 +187,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {LEXICAL}, {bm25_sql('sparse', True)} {RANKED} sparse")
 def bm25_filtered_topk(spark, sf_dir):
-    index = index_of(spark, sf_dir)
-    return _ranked(S.bm25_topk(items(spark, sf_dir), index, tags=index.chunks.select("id", F.col("disaster_type").alias("tag"))))
+    return _ranked(S.bm25_topk(items(spark, sf_dir), index_of(spark, sf_dir), filtered=True))
 
 
 @query(f"WITH {dense_sql('dense', VQ, VECS)} {RANKED} dense")

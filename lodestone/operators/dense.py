@@ -129,7 +129,12 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = C.DENSE_TOP_K, *
     reach = overfetch * k if mode == "overfetch" else k
     with_tag = mode == "prefilter"
     rows = vectors.where(F.col("embedding").isNotNull()).select("id", "embedding", *(["tag"] if with_tag else []))
-    found = _united([rows.mapInArrow(_search_block(ids, block, reach, tags, None), _FOUND) for ids, block, tags in _blocks(queries, with_tag, query_block)], vectors)
+    found = []
+    for ids, block, tags in _blocks(queries, with_tag, query_block):
+        wanted = set(tags.tolist()) if with_tag else {None}
+        some = rows if None in wanted or len(wanted) > 1000 else rows.where(F.col("tag").isin(sorted(wanted)))
+        found.append(some.mapInArrow(_search_block(ids, block, reach, tags, None), _FOUND))
+    found = _united(found, vectors)
     order = [F.desc("score"), F.asc("id")]
     if mode != "overfetch":
         return top(found, reach, order)

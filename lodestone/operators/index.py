@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
@@ -15,11 +15,25 @@ from lodestone.functions import text as T
 from lodestone.tables import materialize
 
 
-def postings(chunks: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """term, id, tf, dl: how often a chunk has a term, and its length in tokens.  Chunks without tokens have no rows."""
-    t = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("_t"))
-    exploded = t.select("id", F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
-    return exploded.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+#: The key of rows without a tag, and of vectors whose chunk isn't there.
+NO_TAG, NO_CHUNK = "none", "absent"
+
+
+def tag_key(tag: Column) -> Column:
+    """A tag as postings and vectors are partitioned by it; never null."""
+    return F.coalesce(F.concat(F.lit("t:"), tag), F.lit(NO_TAG))
+
+
+def postings(chunks: DataFrame, *, id_col: str = "id", text_col: str = "text", tag_col: str = "disaster_type") -> DataFrame:
+    """term, id, tf, dl, tag_key: how often a chunk has a term, its length in tokens and its tag.  Chunks without tokens have no rows."""
+    t = chunks.select(F.col(id_col).alias("id"), tag_key(F.col(tag_col)).alias("tag_key"), T.tokens(F.col(text_col)).alias("_t"))
+    exploded = t.select("id", "tag_key", F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
+    return exploded.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("tag_key").alias("tag_key"))
+
+
+def tag_stats(chunks: DataFrame) -> DataFrame:
+    """tag, n: the tags and how many chunks have each."""
+    return chunks.groupBy(F.col("disaster_type").alias("tag")).agg(F.count("*").alias("n"))
 
 
 def corpus_stats(chunks: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -37,42 +51,57 @@ def term_stats(posts: DataFrame, corpus: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
+    """Tables; postings and vectors have their chunk's tag as tag_key, and are partitioned by it where they are written."""
+
     chunks: DataFrame
     posts: DataFrame
     terms: DataFrame
     corpus: DataFrame
     vectors: DataFrame
+    tags: DataFrame
 
 
 def build_index(chunks: DataFrame, vectors: DataFrame, folder: str | None = None) -> Index:
-    """The lexical tables of chunks (id, text, source, page, disaster_type), and given vectors (id, embedding).
+    """The tables of chunks (id, text, source, page, disaster_type) and given vectors (id, embedding).
 
-    With a folder postings and statistics are written there first, so that searches read them instead of the texts.
+    With a folder all but the chunks are written there first, so that searches read them instead of the texts.
     """
-    posts, corpus = postings(chunks), corpus_stats(chunks)
+    posts, corpus, tags = postings(chunks), corpus_stats(chunks), tag_stats(chunks)
+    keys = chunks.select("id", tag_key(F.col("disaster_type")).alias("tag_key"))
+    vectors = vectors.select("id", "embedding").join(keys, "id", "left").withColumn("tag_key", F.coalesce("tag_key", F.lit(NO_CHUNK)))
     if folder:
-        posts, corpus = materialize(posts, f"{folder}/posts"), materialize(corpus, f"{folder}/corpus")
+        posts, vectors = (materialize(d, f"{folder}/{n}", ("tag_key",)) for n, d in (("posts", posts), ("vectors", vectors)))
+        corpus, tags = materialize(corpus, f"{folder}/corpus"), materialize(tags, f"{folder}/tags")
     terms = term_stats(posts, corpus)
     if folder:
         terms = materialize(terms, f"{folder}/terms")
-    return Index(chunks, posts, terms, corpus, vectors)
+    return Index(chunks, posts, terms, corpus, vectors, tags)
 
 
 def save_index(index: Index, path: str) -> None:
-    """Parquet tables; postings are in the order of term and id, so that a query's terms prune row groups and a common
-    word's postings are spread over as many files as they need."""
-    for name in ("chunks", "terms", "corpus", "vectors"):
+    """Parquet tables, with the counts of their alignment.
+
+    Postings and vectors are partitioned by tag; in a partition postings are in the order of term and id, so that a query's terms
+    prune row groups and a common word's postings are spread over as many files as they need.
+    """
+    for name in ("chunks", "terms", "corpus", "tags"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    index.posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/posts")
+    index.vectors.write.mode("overwrite").partitionBy("tag_key").parquet(f"{path}/vectors")
+    order = ["tag_key", "term", "id"]
+    index.posts.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("tag_key").parquet(f"{path}/posts")
+    read = index.chunks.sparkSession.read.parquet
+    alignment(*(read(f"{path}/{n}").select("id").distinct() if n == "posts" else read(f"{path}/{n}").select("id") for n in ("chunks", "vectors", "posts"))).write.mode("overwrite").parquet(f"{path}/alignment")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    """The saved tables; raises if chunks and vectors don't match one to one."""
-    index = Index(*(spark.read.parquet(f"{path}/{n}") for n in ("chunks", "posts", "terms", "corpus", "vectors")))
-    found = alignment(index.chunks.select("id"), index.vectors.select("id"), index.posts.select("id").distinct()).first()
+    """The saved tables; raises if chunks and vectors didn't match one to one when they were saved."""
+    found = spark.read.parquet(f"{path}/alignment").first()
     if found["chunks_without_vector"] or found["vectors_without_chunk"] or found["postings_without_chunk"]:
         raise ValueError(f"the index tables don't match: {found.asDict()}")
-    return index
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("chunks", "terms", "corpus", "tags")}
+    for name, columns in (("posts", "term string, id long, tf long, dl long"), ("vectors", "id long, embedding array<float>")):
+        tables[name] = spark.read.schema(f"{columns}, tag_key string").parquet(f"{path}/{name}")  # keys that look like numbers stay strings
+    return Index(**tables)
 
 
 def alignment(chunk_ids: DataFrame, vector_ids: DataFrame, posting_ids: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as C
 from lodestone.functions import text as T
 from lodestone.operators.dense import PLACES, dense_topk, top
-from lodestone.operators.index import Index
+from lodestone.operators.index import NO_CHUNK, NO_TAG, Index, tag_key, tag_stats
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, tag, term, qtf: a query's tokens with their number."""
@@ -23,26 +23,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
 BROADCAST_TERMS = 100_000
 
 
-def bm25_scores(queries: DataFrame, index: Index, *, tags: DataFrame | None = None) -> DataFrame:
-    """query_id, id, score of chunks that share a term with the query; with tags (id, tag) only those with the query's tag, if it has one.
+#: Up to so many tags a query without one is asked for each of them, so that all joins are on term and tag.
+FEW_TAGS = 1000
+
+
+def bm25_scores(queries: DataFrame, index: Index, *, filtered: bool = False) -> DataFrame:
+    """query_id, id, score of chunks that share a term with the query; filtered: only those with the query's tag, if it has one.
 
     The queries' terms are counted first, which reads the queries only.  So long as they are few, postings meet them where
-    they are read, and a common word's postings stay spread over the tasks; else both are shuffled by term.
+    they are read, and a common word's postings stay spread over the tasks; else both are shuffled by term.  With tags, postings
+    are joined on their partition too, and partitions of tags that no query has aren't read.
     """
-    terms = query_terms(queries)
+    terms, on = query_terms(queries), ["term"]
+    if filtered:
+        tags = [r["tag"] for r in index.tags.limit(FEW_TAGS + 1).collect()]
+        if len(tags) <= FEW_TAGS:
+            every = F.array(*[tag_key(F.lit(t).cast("string")) for t in tags]).cast("array<string>")
+            terms = terms.withColumn("tag_key", F.explode(F.when(F.col("tag").isNull(), every).otherwise(F.array(tag_key(F.col("tag"))))))
+            on = ["term", "tag_key"]
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    weighed = index.terms.join(F.broadcast(terms) if few else terms, "term").drop("df")  # no more rows than terms
-    hits = index.posts.join(F.broadcast(weighed) if few else weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # corpus is one row
-    if tags is not None:
-        hits = hits.join(tags.select("id", F.col("tag").alias("_tag")), "id").where(F.col("tag").isNull() | (F.col("tag") == F.col("_tag")))
+    weighed = index.terms.where("df > 0").join(F.broadcast(terms) if few else terms, "term").drop("df")  # no more rows than terms
+    hits = index.posts.join(F.broadcast(weighed) if few else weighed, on).crossJoin(F.broadcast(index.corpus.select("avgdl")))  # corpus is one row
+    if filtered and on == ["term"]:
+        hits = hits.where(F.col("tag").isNull() | (tag_key(F.col("tag")) == F.col("tag_key")))
     k1, b = C.BM25_K1, C.BM25_B
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), PLACES).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, index: Index, k: int = C.BM25_TOP_K, *, tags: DataFrame | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, index: Index, k: int = C.BM25_TOP_K, *, filtered: bool = False) -> DataFrame:
     """query_id, id, score, rank of the k best chunks with a positive score."""
-    return top(bm25_scores(queries, index, tags=tags).where("score > 0"), k, [F.desc("score"), F.asc("id")])
+    return top(bm25_scores(queries, index, filtered=filtered).where("score > 0"), k, [F.desc("score"), F.asc("id")])
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = C.RRF_K) -> DataFrame:
@@ -59,9 +70,8 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = C.RRF_K) -> DataFrame:
 
 def candidates(queries: DataFrame, index: Index, *, mode: str = "prefilter", dense_k: int = C.DENSE_TOP_K, sparse_k: int = C.BM25_TOP_K) -> DataFrame:
     """The fused list of both searches, with the queries' tags as a filter."""
-    tags = index.chunks.select("id", F.col("disaster_type").alias("tag"))
-    vectors = index.vectors.join(tags, "id")
-    return rrf(dense_topk(queries, vectors, dense_k, mode=mode), bm25_topk(queries, index, sparse_k, tags=tags))
+    vectors = index.vectors.where(F.col("tag_key") != NO_CHUNK).select("id", "embedding", "tag_key", F.when(F.col("tag_key") != NO_TAG, F.expr("substring(tag_key, 3)")).alias("tag"))
+    return rrf(dense_topk(queries, vectors, dense_k, mode=mode), bm25_topk(queries, index, sparse_k, filtered=True))
 
 
 def coverage(query: Column, text: Column) -> Column:
@@ -86,13 +96,12 @@ def gate_state(told: DataFrame, *keep: str, threshold: float = C.CONFIDENCE_THRE
     return told.select("query_id", F.when(~empty, F.col("top_score")).alias("top_score"), (empty | low).alias("gated"), message.alias("message"), *keep)
 
 
-def with_tag_counts(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, tag, _n: how many chunks have the query's tag, or null."""
-    tags = chunks.groupBy(F.col("disaster_type").alias("tag")).agg(F.count("*").alias("_n"))
-    return queries.select("query_id", "tag").join(tags, "tag", "left")
+def with_tag_counts(queries: DataFrame, tags: DataFrame) -> DataFrame:
+    """query_id, tag, _n: how many chunks have the query's tag, or null; tags has tag and n."""
+    return queries.select("query_id", "tag").join(tags.select("tag", F.col("n").alias("_n")), "tag", "left")
 
 
 def gate(queries: DataFrame, reranked: DataFrame, chunks: DataFrame, *, threshold: float = C.CONFIDENCE_THRESHOLD) -> DataFrame:
     """One row per query: query_id, top_score (null if nothing was scored), gated, message."""
     best = reranked.groupBy("query_id").agg(F.max("score").alias("top_score"))
-    return gate_state(with_tag_counts(queries, chunks).join(best, "query_id", "left"), threshold=threshold)
+    return gate_state(with_tag_counts(queries, tag_stats(chunks)).join(best, "query_id", "left"), threshold=threshold)

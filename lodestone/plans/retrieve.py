@@ -44,7 +44,7 @@ def retrieve(queries: DataFrame, index: Index, *, top_k: int = C.FINAL_TOP_K, mo
     ranked = S.rerank(fused, queries, index.chunks, score)
     columns = ["final_rank", *(c for c in ranked.columns if c not in ("query_id", "final_rank"))]
     best = ranked.where(F.col("final_rank") < max(1, top_k)).groupBy("query_id").agg(F.max("score").alias("top_score"), F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
-    found = S.gate_state(S.with_tag_counts(queries, index.chunks).join(best, "query_id", "left"), "rows")
+    found = S.gate_state(S.with_tag_counts(queries, index.tags).join(best, "query_id", "left"), "rows")
     none = F.array().cast(best.schema["rows"].dataType)
     return Retrieval(found.withColumn("rows", F.when(F.col("gated"), none).otherwise(F.slice("rows", F.lit(1), F.lit(top_k)))))
 
