@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
-from lodestone.catalog import Derived, query, strip_sql
+from lodestone.catalog import ORACLES, Derived, query, strip_sql, tokens_sql
 from lodestone.functions import text as T
+from lodestone.operators import chunking as K
 from lodestone.operators import cleaning as L
 from lodestone.operators import evaluation as E
 from lodestone.operators import generation as G
@@ -15,6 +16,9 @@ from lodestone.operators import layout as P
 from lodestone.operators import parsing as Q
 from lodestone.operators.tagging import tag_of
 from lodestone.sources import files as S
+from lodestone.streaming.frames import EVENTS as EVENTS_OF_STREAMS
+from lodestone.streaming.frames import assembled_events
+from lodestone.tables import workspace
 
 # --- parsing ----------------------------------------------------------------------------------------------------------
 
@@ -186,6 +190,20 @@ def sse_parse(spark, sf_dir):
     return G.parse_sse(STREAMS.frame(spark, sf_dir))
 
 
+@query(ORACLES["sse_parse"])
+def sse_stream_parse(spark, sf_dir):
+    """The same streams cut into pieces of seven bytes, as they arrive in two parts, with a restart of the query in between."""
+    at = workspace(spark, "pieces")
+    body = F.encode("body", "UTF-8")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("body"), F.lit(1)) - 1) / 7)), lambda k: F.substring(body, (k * 7 + 1).cast("int"), F.lit(7)))
+    pieces = STREAMS.frame(spark, sf_dir).select("stream_id", F.posexplode(cut).alias("seq", "piece")).withColumn("seq", F.col("seq").cast("long"))
+    for part in (0, 1):  # a stream's pieces are dealt out by hash, so that many come before those that precede them
+        pieces.where(F.pmod(F.xxhash64("stream_id", "seq"), F.lit(2)) == part).write.mode("append").parquet(f"{at}/in")
+        events = assembled_events(spark.readStream.schema(pieces.schema).parquet(f"{at}/in"))
+        events.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema(EVENTS_OF_STREAMS).parquet(f"{at}/out")
+
+
 BODIES = Derived("conversations", request_id=_ID, body=f"""CASE ({_ID}) % 6 WHEN 0 THEN '{{"query": " ' || {_FLAT} || ' "}}' WHEN 1 THEN '{{"query": "  "}}' WHEN 2 THEN '{{}}' WHEN 3 THEN {_FLAT} WHEN 4 THEN '{{"query": "' || {_FLAT} ELSE '{{"query": "x", "y": 1}}' END""")
 
 
@@ -374,6 +392,26 @@ def sidecar_blocks(spark, sf_dir):
     return S.sidecar_blocks(SIDECARS.frame(spark, sf_dir), normal_form=False)
 
 
+#: Documents as hand-made blocks: some repeat others of their source, some have an anchor phrase.
+BLOCKS = Derived(
+    "documents",
+    source="source || '.pdf'",
+    block_no="CAST(doc_id AS INT)",
+    page="CAST(doc_id % 7 + 1 AS INT)",
+    text="CASE doc_id % 5 WHEN 0 THEN 'Drop and cover in ' || lang WHEN 1 THEN 'DROP and cover, in ' || lang || '!' ELSE text END",
+)
+
+
+@query(
+    f"""SELECT source, block_no, page, md5(text) AS text, {_tag_sql()} AS disaster_type
+    FROM (SELECT *, row_number() OVER (PARTITION BY source, array_to_string({tokens_sql("text")}, ' ') ORDER BY block_no) AS nth FROM {BLOCKS.sql}) WHERE nth = 1"""
+)
+def sidecar_emit(spark, sf_dir):
+    """A chunk for each block, the first of a source's equal ones."""
+    out = K.chunk_blocks(BLOCKS.frame(spark, sf_dir))
+    return out.select("source", "block_no", "page", F.md5(F.col("text").cast("binary")).alias("text"), "disaster_type")
+
+
 #: All documents as files, and those with a label as sidecars.
 PDFS = Derived("documents", source="'f' || doc_id", text="lang")
 SIDES = Derived("labels", source="'f' || doc_id", text="'side'")
@@ -409,6 +447,27 @@ def geojson_points(spark, sf_dir):
     return S.geojson_points(GEO.frame(spark, sf_dir))
 
 
+#: Customers as one feature each: points, lines, areas, or without geometry.
+SHAPES = Derived(
+    "customer",
+    kind="CASE c_nationkey % 2 WHEN 0 THEN 'zone' ELSE 'route' END",
+    json="""'{"features": [{"geometry": ' || CASE c_custkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN '{"type": "Point", "coordinates": [-' || (c_custkey % 180) || '.5,' || (c_custkey % 90) || '.25]}'
+  WHEN 2 THEN '{"type": "LineString", "coordinates": [[' || (c_custkey % 180) || '.5,1.0],[-2.5,' || (c_custkey % 90) || '.0]]}' ELSE '{"type": "Polygon", "coordinates": [[[0.0,0.5],[4.0,0.5],[4.0,' || (c_custkey % 90 + 1) || '.0],[0.0,0.5]]]}' END
+  || ', "properties": {"OBJECTID": "' || c_custkey || '", "NAME": "' || c_name || '"}}]}'""",
+)
+
+
+@query(
+    f"""WITH f AS (SELECT kind, unnest(CAST(CAST(json AS JSON) -> '$.features' AS JSON[])) AS f FROM {SHAPES.sql}),
+    g AS (SELECT *, list_transform(regexp_extract_all(CAST(f -> '$.geometry.coordinates' AS VARCHAR), '-?[0-9]+[.][0-9]+'), lambda x: CAST(x AS DOUBLE)) AS xy FROM f)
+    SELECT kind, CAST(f ->> '$.properties.OBJECTID' AS BIGINT) AS object_id, f ->> '$.properties.NAME' AS name, f ->> '$.geometry.type' AS geometry_type, CAST(len(xy) / 2 AS INTEGER) AS n_positions,
+      list_min(list_filter(xy, lambda x, i: i % 2 = 1)) AS west, list_min(list_filter(xy, lambda x, i: i % 2 = 0)) AS south, list_max(list_filter(xy, lambda x, i: i % 2 = 1)) AS east, list_max(list_filter(xy, lambda x, i: i % 2 = 0)) AS north FROM g"""
+)
+def geojson_features(spark, sf_dir):
+    """The extent of features of any geometry."""
+    return S.geojson_features(SHAPES.frame(spark, sf_dir)).drop("coordinates")
+
+
 # --- layout -----------------------------------------------------------------------------------------------------------
 
 class _Words(Derived):

@@ -512,3 +512,39 @@ def bm25_pruned_topk(spark, sf_dir):
 def bm25_postings_read(spark, sf_dir):
     """How many postings each pass of bm25_pruned_topk takes, and how many of the queries' terms there are."""
     return R.pruned_topk(items(spark, sf_dir), blocks_of(spark, sf_dir), workspace(spark, "pruned")).reads
+
+
+# --- sketches, samples ------------------------------------------------------------------------------------------------
+
+
+def _within(quartiles: DataFrame, counted: DataFrame, *by: str) -> DataFrame:
+    """by, n and whether each quartile has its rank, by counting all rows below and up to it; ties may reach over it."""
+    joined = counted.join(F.broadcast(quartiles), list(by)) if by else counted.crossJoin(F.broadcast(quartiles))  # a row per source, or one
+    rows = joined.groupBy(*by, "n").agg(*[F.avg(F.when(test(F.col("_k"), F.col(q)), 1.0).otherwise(0.0)).alias(f"{q}_{name}") for q in ("q1", "median", "q3") for name, test in (("below", lambda a, b: a < b), ("upto", lambda a, b: a <= b))])
+    good = lambda q, share: (F.col(f"{q}_below") <= share + E.RANK_ERROR) & (F.col(f"{q}_upto") >= share - E.RANK_ERROR)
+    return rows.select(*by, "n", (good("q1", 0.25) & good("median", 0.5) & good("q3", 0.75)).alias("within"))
+
+
+def _lengths(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return E.length_sketches(c), c.select("source", T.token_count(F.col("text")).cast("long").alias("_k"))
+
+
+@query("SELECT source, count(*) AS n, TRUE AS within FROM documents GROUP BY source")
+def sketched_quartiles_by_source(spark, sf_dir):
+    """Whether the sketched quartiles of every source's lengths keep to their error in rank."""
+    sketches, counted = _lengths(spark, sf_dir)
+    return _within(E.sketched_quartiles(sketches), counted, "source")
+
+
+@query("SELECT count(*) AS n, TRUE AS within FROM documents")
+def sketched_quartiles_merged(spark, sf_dir):
+    """The same of the sources' sketches merged into one."""
+    sketches, counted = _lengths(spark, sf_dir)
+    return _within(E.sketched_quartiles(E.merged_sketches(sketches)), counted)
+
+
+@query()
+def seeded_sample(spark, sf_dir):
+    """A hundred documents in a seeded order."""
+    return E.sampled(chunks(spark, sf_dir).select("id", "source"), 100)

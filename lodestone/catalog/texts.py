@@ -152,6 +152,26 @@ def chunk_emit(spark, sf_dir):
     return out.select("source", "page", "section_no", "piece_no", F.md5(F.col("text").cast("binary")).alias("text"), "disaster_type")
 
 
+def _pieces(spark, sf_dir):
+    return K.folded_pieces(pages(spark, sf_dir), split=K.token_windows, separator=LINE)
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT id AS page, CAST(part_no AS INTEGER) AS section_no, CAST(piece_no AS INTEGER) AS piece_no, md5(text) AS text FROM pieces")
+def tail_fold(spark, sf_dir):
+    """All pieces after folding, before any is dropped."""
+    return _pieces(spark, sf_dir).select("page", "section_no", "piece_no", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNKS}, normed AS (SELECT source, array_to_string({tokens_sql("p.text")}, ' ') AS norm, len({tokens_sql("p.text")}) < {C.MIN_MEANINGFUL_TOKENS} AS few FROM pieces p JOIN documents d ON d.doc_id = p.id),
+    each AS (SELECT source, norm, bool_and(few) AS few, count(*) AS n FROM normed GROUP BY source, norm)
+    SELECT source, CAST(sum(n) AS BIGINT) AS pieces, count(*) FILTER (NOT few) AS chunks, count(*) FILTER (few) AS short, CAST(sum(n - 1) AS BIGINT) AS repeated FROM each GROUP BY source"""
+)
+def chunk_report(spark, sf_dir):
+    """What becomes of each source's pieces."""
+    return K.chunk_report(_pieces(spark, sf_dir))
+
+
 @query()
 def chunk_emit_recursive(spark, sf_dir):
     """The chunks of all documents with the recursive splitter."""
@@ -213,3 +233,13 @@ def clean_nfkc(spark, sf_dir):
 @query("SELECT doc_id AS id, coalesce(CASE WHEN contains(lower(text), 'flood') THEN 'flood' END, 'none') AS tag FROM documents")
 def phrase_tag(spark, sf_dir):
     return chunks(spark, sf_dir).select("id", F.coalesce(T.first_tag(F.col("text"), {"flood": ("flood",)}), F.lit("none")).alias("tag"))
+
+
+@query()
+def tokenizer_windows_300_30(spark, sf_dir):
+    """Windows of 300 ids of a public tokenizer, 30 of them shared, over all documents."""
+    import public_tokenizers
+
+    cut = K.tokenizer_windows(public_tokenizers.path("word_bpe_49k.json"))(F.col("text"))
+    pieces = chunks(spark, sf_dir).select("id", F.posexplode(cut).alias("piece_no", "w"))
+    return pieces.select("id", "piece_no", "w.start", "w.end", "w.n", F.md5(F.col("w.text").cast("binary")).alias("piece"))

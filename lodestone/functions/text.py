@@ -26,6 +26,11 @@ def nfkc(c: Column) -> Column:
     return normalize(c)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once; inside lambdas Spark would work it out wherever it stands."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")
 
@@ -120,8 +125,8 @@ def is_heading(block: Column) -> Column:
 
 def heading_line(line: Column, n: Column) -> Column:
     """Whether a stripped line with n tokens looks like a heading; null doesn't."""
-    alpha = F.regexp_extract_all(line, F.lit(r"[A-Za-z][A-Za-z'-]*"), F.lit(0))
-    titled = F.size(F.filter(alpha, lambda w: w.rlike(r"^[A-Z]"))) / F.size(alpha)
+    words = F.regexp_extract_all(line, F.lit(r"[A-Za-z][A-Za-z'-]*"), F.lit(0))
+    titled = let(words, lambda alpha: (F.size(alpha) > 0) & (F.size(F.filter(alpha, lambda w: w.rlike(r"^[A-Z]"))) >= C.HEADING_TITLE_SHARE * F.size(alpha)))
     return (
         F.when(line.isNull(), False)
         .when(line.rlike(r"^#{1,6}\s+\S"), True)
@@ -130,8 +135,7 @@ def heading_line(line: Column, n: Column) -> Column:
         .when(line.rlike(r"[.!]$"), False)
         .when(line.rlike(r"[:?]$"), True)
         .when(line.rlike(r"^\d+\.\s+\S") & (n <= C.NUMBERED_HEADING_MAX_WORDS), True)
-        .when(F.size(alpha) == 0, False)
-        .otherwise(titled >= C.HEADING_TITLE_SHARE)
+        .otherwise(titled)
     )
 
 

@@ -7,6 +7,7 @@ batches, in time that grows with the document's length: only norms, counts and h
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -17,6 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from tokenizers import Tokenizer
 
 from lodestone import constants as C
 from lodestone.functions import text as T
@@ -162,9 +164,46 @@ def kept_sections(least: int = C.MIN_SECTION_TOKENS, glue: str = "\n\n"):
 
 def token_windows(text: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
     """Windows of `size` tokens, `overlap` of which each shares with the next; texts without tokens have none."""
-    t, stride = T.tokens(text), size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(t) - size) / stride)).cast("int")
-    return F.when(F.size(t) == 0, F.array().cast(_STRINGS)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(t, i * stride + 1, F.lit(size)), " ")))
+    stride = size - overlap
+
+    def cut(t: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(t) - size) / stride)).cast("int")
+        return F.when(F.size(t) == 0, F.array().cast(_STRINGS)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(t, i * stride + 1, F.lit(size)), " ")))
+
+    return T.let(T.tokens(text), cut)
+
+
+@functools.lru_cache(maxsize=4)
+def _tokenizer(path: str) -> Tokenizer:
+    """A tokenizer of a worker, read once; strings of special tokens in a text are ordinary text."""
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
+def windows_of(offsets: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int, int]]:
+    """First and past-the-last character, and number of ids, of windows over a text's ids; the last one ends with the last id."""
+    n, stride = len(offsets), size - overlap
+    count = 1 + max(0, -(-(n - size) // stride)) if n else 0
+    return [(offsets[k * stride][0], offsets[min(n, k * stride + size) - 1][1], min(n, k * stride + size) - k * stride) for k in range(count)]
+
+
+def tokenizer_windows(path: str, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP):
+    """Windows of `size` ids of a tokenizer file, `overlap` of which each shares with the next: start, end (in characters), n, text.
+
+    A text is encoded once, and windows are cut from it at the places of their ids, so that their texts are parts of it as it was
+    written.  Null texts and texts without ids have none.
+    """
+
+    @F.arrow_udf("array<struct<start: int, end: int, n: int, text: string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        encode, out = _tokenizer(path).encode, []
+        for text in texts.to_pylist():
+            spans = windows_of(encode(text, add_special_tokens=False).offsets, size, overlap) if text else []
+            out.append([{"start": a, "end": b, "n": n, "text": text[a:b]} for a, b, n in spans])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n", pa.int32()), ("text", pa.string())])))
+
+    return _once(cut)
 
 
 _TOKEN = regex.compile(T.TOKEN)
@@ -220,21 +259,52 @@ def recursive_pieces(size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, l
     return pieces
 
 
-def fold_tails(pieces: Column, least: int = C.MIN_SECTION_TOKENS, separator: str = PARAGRAPH) -> Column:
-    """Pieces without leading paragraphs that the piece before has; short ones join the piece before."""
-    state = F.array().cast(_STRINGS)
+def described_pieces(pieces: Column, separator: str = PARAGRAPH) -> Column:
+    """Stripped pieces that aren't empty: piece, and blocks with text, norm and n (tokens) of each paragraph."""
+    bare = F.filter(F.transform(pieces, T.strip), lambda p: p != "")
+    tokens = lambda p: F.transform(T.split_blocks(p, separator), lambda b: F.struct(b.alias("text"), T.tokens(b).alias("tokens")))
+    return F.transform(
+        bare,
+        lambda p: F.struct(p.alias("piece"), F.transform(tokens(p), lambda b: F.struct(b["text"].alias("text"), F.array_join(b["tokens"], " ").alias("norm"), F.size(b["tokens"]).alias("n"))).alias("blocks")),
+    )
+
+
+def folded_texts(pieces: list[dict], least: int) -> list[str]:
+    """The texts of described pieces without leading paragraphs that the piece before has; short ones join the piece before."""
+    out: list[list[str]] = []  # parts of each text
+    known: set[str] = set()  # norms of the last one
+    for piece in pieces:
+        blocks = piece["blocks"]
+        if not out:
+            out.append([piece["piece"]])
+            known = {b["norm"] for b in blocks}
+            continue
+        first = next((i for i, b in enumerate(blocks) if not b["norm"] or b["norm"] not in known), None)
+        if first is None:
+            continue
+        rest = blocks[first:]
+        text, norms = "\n\n".join(b["text"] for b in rest), {b["norm"] for b in rest}
+        if sum(b["n"] for b in rest) < least:
+            out[-1].append(text)
+            known |= norms
+        else:
+            out.append([text])
+            known = norms
+    return ["\n\n".join(parts) for parts in out]
+
+
+def _fold_rows(least: int):
+    """Rows whose last column is described pieces as a row for each folded text, with its number."""
 
-    def step(out: Column, piece: Column) -> Column:
-        before = F.get(out, F.size(out) - 1)
-        known = F.transform(T.split_blocks(F.coalesce(before, F.lit("")), separator), T.normal)
-        paragraphs = T.split_blocks(piece, separator)
-        new = F.transform(paragraphs, lambda p: (T.normal(p) == "") | ~F.array_contains(known, T.normal(p)))
-        at = F.coalesce(F.array_position(new, True), F.lit(0)).cast("int")
-        rest = F.when(at == 0, "").otherwise(F.array_join(F.slice(paragraphs, F.greatest(at, F.lit(1)), F.size(paragraphs)), "\n\n"))
-        joined = F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.concat(before, F.lit("\n\n"), rest))
-        return F.when(F.size(out) == 0, F.array(piece)).when(rest == "", out).when(T.token_count(rest) < least, joined).otherwise(F.array_append(out, rest))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folded = [folded_texts(p or [], least) for p in batch.column(batch.num_columns - 1).to_pylist()]
+            of = pa.array([i for i, own in enumerate(folded) for _ in own], pa.int64())
+            kept = [column.take(of) for column in batch.columns[:-1]]
+            numbers, texts = [n for own in folded for n in range(len(own))], [t for own in folded for t in own]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "piece_no", "text"])
 
-    return F.aggregate(F.filter(F.transform(pieces, T.strip), lambda p: p != ""), state, step)
+    return run
 
 
 def section_texts(pages: DataFrame, *, text_col: str = "text", separator: str = PARAGRAPH) -> DataFrame:
@@ -258,9 +328,9 @@ def folded_pieces(pages: DataFrame, *, split: Callable[[Column], Column] | None
     split = split or recursive_pieces()
     cut = section_texts(pages.select("source", "page", "text", *keep), separator=separator)
     cut = cut.select("source", "page", *keep, F.posexplode("sections").alias("section_no", "section"))
-    cut = cut.withColumn("_pieces", split(F.col("section"))).withColumn("_pieces", fold_tails(F.col("_pieces"), separator=separator))
-    # outer, as the filter that is inferred for the other kind would fold once more for itself
-    return cut.select("source", "page", "section_no", F.posexplode_outer("_pieces").alias("piece_no", "text"), *keep).where(F.col("text").isNotNull())
+    cut = cut.withColumn("_pieces", described_pieces(split(F.col("section")), separator)).drop("section")
+    out = StructType([*cut.schema.fields[:-1], StructField("piece_no", IntegerType()), StructField("text", StringType())])
+    return cut.mapInArrow(_fold_rows(C.MIN_SECTION_TOKENS), out).select("source", "page", "section_no", "piece_no", "text", *keep)
 
 
 def chunks_of(pieces: DataFrame) -> DataFrame:

@@ -76,6 +76,27 @@ def length_summary(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.round(F.avg(n), 6).alias("mean"), F.round(F.median(n), 6).alias("median"), F.round(F.avg(odd), 6).alias("odd_share"))
 
 
+#: Size of a sketch of lengths, and the error in rank that its quantiles keep to (three times what one has in all but 1 % of cases).
+SKETCH_SIZE, RANK_ERROR = 1024, 0.01
+
+
+def length_sketches(chunks: DataFrame, by: str = "source", k: int = SKETCH_SIZE) -> DataFrame:
+    """by, n, lengths: for each value of a column a sketch of its chunks' token counts, which can be stored and merged."""
+    counted = chunks.select(by, F.coalesce(T.token_count(F.col("text")), F.lit(0)).cast("long").alias("_n"))
+    return counted.groupBy(by).agg(F.count("*").alias("n"), F.kll_sketch_agg_bigint("_n", k).alias("lengths"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """n, lengths of all sketches together, or for each value of some columns."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("lengths").alias("lengths"))
+
+
+def sketched_quartiles(sketches: DataFrame) -> DataFrame:
+    """The sketches' other columns with q1, median, q3: token counts whose ranks are within RANK_ERROR of one, two and three quarters."""
+    at = lambda share: F.kll_sketch_get_quantile_bigint("lengths", F.lit(share))
+    return sketches.select(*[c for c in sketches.columns if c != "lengths"], at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+
+
 def phrase_hits(chunks: DataFrame, phrases: tuple[str, ...] = C.CRITICAL_PHRASES) -> DataFrame:
     """phrase, n: chunks that have each phrase whole."""
     low = F.lower("text")
