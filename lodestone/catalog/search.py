@@ -19,6 +19,7 @@ from lodestone.operators import index as I
 from lodestone.operators import phrases as P
 from lodestone.operators import pruned as R
 from lodestone.operators import search as S
+from lodestone.operators import segments as X
 from lodestone.operators.parsing import known_tags
 from lodestone.plans.retrieve import retrieve
 from lodestone.tables import spread, workspace
@@ -156,18 +157,34 @@ def tokenize_stats(spark, sf_dir):
 
 #: The statistics alone: a document's distinct terms, no postings, lengths or queries.
 TERM_STATS = f"""
-WITH t AS MATERIALIZED (SELECT unnest(list_distinct({tokens_sql("text")})) AS term FROM documents),
-dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM t GROUP BY term),
-raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, (SELECT count(*) AS n FROM documents) c)
-SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raws, (SELECT avg(raw) AS mean FROM raws) m
+WITH t AS (SELECT unnest(list_distinct({tokens_sql("text")})) AS term FROM documents),
+d AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d CROSS JOIN (SELECT count(*) AS n FROM documents) c),
+i AS (SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM r CROSS JOIN (SELECT avg(raw) AS mean FROM r) m)
 """
 
 
-@query(TERM_STATS)
+@query(f"{TERM_STATS} SELECT term, df, idf FROM i")
 def term_df_idf(spark, sf_dir):
     return index_of(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"{TERM_STATS} SELECT df, count(*) AS terms, CAST(sum(length(term)) AS BIGINT) AS letters, min(term) AS first, max(term) AS last, max(idf) AS idf FROM i GROUP BY df")
+def idf_by_df(spark, sf_dir):
+    """The term statistics, a row for each number of documents."""
+    t = index_of(spark, sf_dir).terms
+    return t.groupBy("df").agg(F.count("*").alias("terms"), F.sum(F.length("term")).alias("letters"), F.min("term").alias("first"), F.max("term").alias("last"), F.round(F.max("idf"), 6).alias("idf"))
+
+
+@query(f"WITH {LEXICAL} SELECT (SELECT count(*) FROM posts) AS postings, (SELECT count(*) FROM dfs) AS terms, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT lang) FROM documents) AS tags")
+def index_build(spark, sf_dir):
+    """The rows of a whole index, built anew and written at each call."""
+    c = chunks(spark, sf_dir)
+    index = I.build_index(c, vectors(spark, sf_dir).select("id", "embedding"), workspace(spark, "index"))
+    rows = [d.agg(F.count("*").alias(n)) for n, d in (("postings", index.posts), ("terms", index.terms), ("vectors", index.vectors), ("tags", index.tags))]
+    return rows[0].crossJoin(rows[1]).crossJoin(rows[2]).crossJoin(rows[3])  # one row each
+
+
 @query(f"WITH {LEXICAL} SELECT n, round(avgdl, 6) AS avgdl FROM corpus")
 def doc_length_stats(spark, sf_dir):
     return I.corpus_stats(chunks(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
@@ -548,3 +565,20 @@ def sketched_quartiles_merged(spark, sf_dir):
 def seeded_sample(spark, sf_dir):
     """A hundred documents in a seeded order."""
     return E.sampled(chunks(spark, sf_dir).select("id", "source"), 100)
+
+
+# --- segments ---------------------------------------------------------------------------------------------------------
+
+#: Documents that are left when a third of the even ones is deleted.
+_LEFT = "(SELECT * FROM documents WHERE NOT (doc_id % 2 = 0 AND doc_id % 6 = 4))"
+
+
+@query(f"WITH {LEXICAL.replace('FROM documents', f'FROM {_LEFT}')}, {bm25_sql('sparse', False)} {RANKED} sparse")
+def segmented_topk(spark, sf_dir):
+    """The search over an index of two segments, even and odd documents, with a third of the even ones deleted."""
+    at, c, v = workspace(spark, "segments"), chunks(spark, sf_dir), vectors(spark, sf_dir).select("id", "embedding")
+    for k in (0, 1):
+        half = F.col("id") % 2 == k
+        X.append_segment(c.where(half), v.where(half), at, k)
+    X.delete_chunks(c.where((F.col("id") % 2 == 0) & (F.col("id") % 6 == 4)).select("id"), at, upto=1, batch=0)
+    return _ranked(S.bm25_topk(items(spark, sf_dir), X.load_segments(spark, at)))

@@ -104,9 +104,9 @@ def merged_positions(parts: list[list[int]], counts: list[int], least: int) -> l
 def _by_document(paragraphs: pa.ListArray) -> Iterator[tuple[list[str], list[str], list[int], list[bool]]]:
     """text, norm, n and heading of each document's described paragraphs."""
     ends = paragraphs.offsets.to_pylist()
-    fields = [paragraphs.values.field(i).to_pylist() for i in range(4)]
-    for i, (begin, end) in enumerate(zip(ends, ends[1:])):
-        yield tuple(f[begin:end] if paragraphs[i].is_valid else [] for f in fields)
+    fields = [paragraphs.values.field(i) for i in range(4)]
+    for i, (begin, end) in enumerate(zip(ends, ends[1:])):  # one document at a time as Python objects
+        yield tuple(f.slice(begin, end - begin).to_pylist() if paragraphs[i].is_valid else [] for f in fields)
 
 
 _DESCRIBED = ArrayType(StructType([StructField("text", StringType()), StructField("norm", StringType()), StructField("n", IntegerType()), StructField("heading", BooleanType())]))
@@ -260,12 +260,12 @@ def recursive_pieces(size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, l
 
 
 def described_pieces(pieces: Column, separator: str = PARAGRAPH) -> Column:
-    """Stripped pieces that aren't empty: piece, and blocks with text, norm and n (tokens) of each paragraph."""
+    """Stripped pieces that aren't empty: piece (of the first alone, which stays as it is), and blocks with text, norm and n (tokens) of each paragraph."""
     bare = F.filter(F.transform(pieces, T.strip), lambda p: p != "")
     tokens = lambda p: F.transform(T.split_blocks(p, separator), lambda b: F.struct(b.alias("text"), T.tokens(b).alias("tokens")))
     return F.transform(
         bare,
-        lambda p: F.struct(p.alias("piece"), F.transform(tokens(p), lambda b: F.struct(b["text"].alias("text"), F.array_join(b["tokens"], " ").alias("norm"), F.size(b["tokens"]).alias("n"))).alias("blocks")),
+        lambda p, i: F.struct(F.when(i == 0, p).alias("piece"), F.transform(tokens(p), lambda b: F.struct(b["text"].alias("text"), F.array_join(b["tokens"], " ").alias("norm"), F.size(b["tokens"]).alias("n"))).alias("blocks")),
     )
 
 
@@ -297,12 +297,14 @@ def _fold_rows(least: int):
     """Rows whose last column is described pieces as a row for each folded text, with its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            folded = [folded_texts(p or [], least) for p in batch.column(batch.num_columns - 1).to_pylist()]
-            of = pa.array([i for i, own in enumerate(folded) for _ in own], pa.int64())
-            kept = [column.take(of) for column in batch.columns[:-1]]
-            numbers, texts = [n for own in folded for n in range(len(own))], [t for own in folded for t in own]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "piece_no", "text"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 200):  # so that few rows are Python objects at a time
+                batch = whole.slice(begin, 200)
+                folded = [folded_texts(p or [], least) for p in batch.column(batch.num_columns - 1).to_pylist()]
+                of = pa.array([i for i, own in enumerate(folded) for _ in own], pa.int64())
+                kept = [column.take(of) for column in batch.columns[:-1]]
+                numbers, texts = [n for own in folded for n in range(len(own))], [t for own in folded for t in own]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "piece_no", "text"])
 
     return run
 

@@ -42,8 +42,12 @@ def corpus_stats(chunks: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def term_stats(posts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """term, df, idf.  A negative idf becomes epsilon times the mean of all, negative ones included."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    """term, df, idf of postings; see term_weights."""
+    return term_weights(posts.groupBy("term").agg(F.count("*").alias("df")), corpus)
+
+
+def term_weights(df: DataFrame, corpus: DataFrame) -> DataFrame:
+    """term, df, idf of counts (term, df).  A negative idf becomes epsilon times the mean of all, negative ones included."""
     raw = df.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row, as is corpus
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, C.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
