@@ -14,6 +14,8 @@ from lodestone import constants as C
 TOKEN = r"[\p{L}\p{N}_]+"
 #: White space as Python's str.strip sees it.
 _SPACE = r"[\s\p{Z}]"
+#: The same as characters: ASCII white space and all separators of Unicode.
+SPACES = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def nfkc(c: Column) -> Column:
@@ -32,7 +34,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
-from tokenizers import Tokenizer
+from tokenizers import Encoding, Tokenizer
 
 from lodestone import constants as C
 from lodestone.functions import text as T
@@ -181,11 +181,16 @@ def _tokenizer(path: str) -> Tokenizer:
     return out
 
 
-def windows_of(offsets: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int, int]]:
+def windows_of(encoded: Encoding, size: int, overlap: int) -> list[tuple[int, int, int]]:
     """First and past-the-last character, and number of ids, of windows over a text's ids; the last one ends with the last id."""
-    n, stride = len(offsets), size - overlap
-    count = 1 + max(0, -(-(n - size) // stride)) if n else 0
-    return [(offsets[k * stride][0], offsets[min(n, k * stride + size) - 1][1], min(n, k * stride + size) - k * stride) for k in range(count)]
+    n, stride = len(encoded), size - overlap
+    out = []
+    for begin in range(0, max(1, n - overlap) if n else 0, stride):
+        end = min(n, begin + size)
+        out.append((encoded.token_to_chars(begin)[0], encoded.token_to_chars(end - 1)[1], end - begin))
+        if end == n:
+            break
+    return out
 
 
 def tokenizer_windows(path: str, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP):
@@ -199,7 +204,7 @@ def tokenizer_windows(path: str, size: int = C.CHUNK_SIZE, overlap: int = C.CHUN
     def cut(texts: pa.Array) -> pa.Array:
         encode, out = _tokenizer(path).encode, []
         for text in texts.to_pylist():
-            spans = windows_of(encode(text, add_special_tokens=False).offsets, size, overlap) if text else []
+            spans = windows_of(encode(text, add_special_tokens=False), size, overlap) if text else []
             out.append([{"start": a, "end": b, "n": n, "text": text[a:b]} for a, b, n in spans])
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n", pa.int32()), ("text", pa.string())])))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +27,27 @@ def tag_key(tag: Column) -> Column:
     return F.coalesce(F.concat(F.lit("t:"), tag), F.lit(NO_TAG))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For chunks (id, tag_key, tokens) a row per chunk and term; a few hundred chunks are counted at a time."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 256):
+            batch = whole.slice(begin, 256)
+            lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = batch.column(2).flatten().dictionary_encode()
+            n = max(1, len(words.dictionary))
+            keys, tf = np.unique(np.repeat(np.arange(batch.num_rows), lengths) * n + words.indices.to_numpy(), return_counts=True)
+            of = pa.array(keys // n)
+            columns = [words.dictionary.take(pa.array(keys % n)), batch.column(0).take(of), pa.array(tf, pa.int64()), pa.array(lengths).take(of), batch.column(1).take(of)]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "tf", "dl", "tag_key"])
+
+
 def postings(chunks: DataFrame, *, id_col: str = "id", text_col: str = "text", tag_col: str = "disaster_type") -> DataFrame:
-    """term, id, tf, dl, tag_key: how often a chunk has a term, its length in tokens and its tag.  Chunks without tokens have no rows."""
-    t = chunks.select(F.col(id_col).alias("id"), tag_key(F.col(tag_col)).alias("tag_key"), T.tokens(F.col(text_col)).alias("_t"))
-    exploded = t.select("id", "tag_key", F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
-    return exploded.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("tag_key").alias("tag_key"))
+    """term, id, tf, dl, tag_key: how often a chunk has a term, its length in tokens and its tag.  Chunks without tokens have no rows.
+
+    Ids are unique, so a chunk's terms are counted where the chunk is, and nothing is shuffled.
+    """
+    t = chunks.select(F.col(id_col).cast("long").alias("id"), tag_key(F.col(tag_col)).alias("tag_key"), T.tokens(F.col(text_col)).alias("_t")).where(F.size("_t") > 0)
+    return t.mapInArrow(_counted, "term string, id long, tf long, dl long, tag_key string")
 
 
 def tag_stats(chunks: DataFrame) -> DataFrame:
