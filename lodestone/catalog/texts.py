@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
-from lodestone.catalog import query, strip_sql, tokens_sql
+from lodestone.catalog import ORACLES, query, strip_sql, tokens_sql
 from lodestone.catalog.search import chunks
 from lodestone.functions import text as T
 from lodestone.operators import chunking as K
 from lodestone.operators import cleaning as L
+from lodestone.operators import table_function
 from lodestone.tables import consecutive_ids
 
 LINE = "\n"
@@ -243,3 +244,19 @@ def tokenizer_windows_300_30(spark, sf_dir):
     cut = K.tokenizer_windows(public_tokenizers.path("word_bpe_49k.json"))(F.col("text"))
     pieces = chunks(spark, sf_dir).select("id", F.posexplode(cut).alias("piece_no", "w"))
     return pieces.select("id", "piece_no", "w.start", "w.end", "w.n", F.md5(F.col("w.text").cast("binary")).alias("piece"))
+
+
+@query(ORACLES["chunk_emit"])
+def chunk_table_function(spark, sf_dir):
+    """The rows of chunk_emit by one SQL statement over the documents."""
+    table_function.register(spark)
+    chunks(spark, sf_dir).select(F.col("id").alias("doc_id"), "source", "text").createOrReplaceTempView("documents_to_chunk")
+    anchors = " OR ".join(f"contains(lower(text), '{p}')" for p in C.OVERRIDE_PHRASES["earthquake"])
+    return spark.sql(
+        f"""SELECT source, page, section_no, piece_no, md5(CAST(text AS BINARY)) AS text, CASE WHEN {anchors} THEN 'earthquake' ELSE 'general' END AS disaster_type
+        FROM (
+          SELECT d.source, c.doc_id AS page, c.section_no, c.piece_no, c.text, row_number() OVER (PARTITION BY d.source, xxhash64(c.norm), c.norm ORDER BY c.doc_id, c.section_no, c.piece_no) AS nth
+          FROM chunk_documents(TABLE(SELECT doc_id, text FROM documents_to_chunk) PARTITION BY (doc_id), 300, 30) c JOIN documents_to_chunk d ON d.doc_id = c.doc_id
+          WHERE c.tokens >= {C.MIN_MEANINGFUL_TOKENS})
+        WHERE nth = 1"""
+    )
