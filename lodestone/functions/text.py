@@ -29,7 +29,11 @@ def nfkc(c: Column) -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """body(value), with the value worked out once; inside lambdas Spark would work it out wherever it stands."""
+    """body(value), with the value worked out once; inside lambdas Spark would work it out wherever it stands.
+
+    Where a Python function is applied to the result, the body must not use the variable of an outer lambda inside a lambda of its
+    own: Spark 4.1 then leaves the function unplanned ("Cannot evaluate expression").
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -101,14 +105,15 @@ def basename(c: Column) -> Column:
 
 def is_paragraph(c: Column) -> Column:
     """Many words, or a closing mark."""
-    s = strip(c)
-    return (s != "") & ((word_count(s) >= C.PARAGRAPH_MIN_WORDS) | ends_with(s))
+    return let(strip(c), lambda s: (s != "") & ((word_count(s) >= C.PARAGRAPH_MIN_WORDS) | ends_with(s)))
 
 
 def is_link_fragment(c: Column) -> Column:
-    s = strip(c)
-    short = (word_count(s) < C.LINK_FRAGMENT_MAX_WORDS) & ~ends_with(s)
-    return (s != "") & (s.isin(*C.LINK_EXACT) | any_of([s.contains(m) for m in C.LINK_MARKERS]) | short)
+    def rule(s: Column) -> Column:
+        short = (word_count(s) < C.LINK_FRAGMENT_MAX_WORDS) & ~ends_with(s)
+        return (s != "") & (s.isin(*C.LINK_EXACT) | any_of([s.contains(m) for m in C.LINK_MARKERS]) | short)
+
+    return let(strip(c), rule)
 
 
 def only_line(block: Column) -> Column:

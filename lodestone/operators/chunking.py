@@ -101,10 +101,10 @@ def merged_positions(parts: list[list[int]], counts: list[int], least: int) -> l
     return out
 
 
-def _by_document(paragraphs: pa.ListArray) -> Iterator[tuple[list[str], list[str], list[int], list[bool]]]:
-    """text, norm, n and heading of each document's described paragraphs."""
+def _by_document(paragraphs: pa.ListArray) -> Iterator[tuple[list, ...]]:
+    """The fields of each document's paragraphs, each as a list."""
     ends = paragraphs.offsets.to_pylist()
-    fields = [paragraphs.values.field(i) for i in range(4)]
+    fields = paragraphs.values.flatten()
     for i, (begin, end) in enumerate(zip(ends, ends[1:])):  # one document at a time as Python objects
         yield tuple(f.slice(begin, end - begin).to_pylist() if paragraphs[i].is_valid else [] for f in fields)
 
@@ -144,20 +144,21 @@ def sections(paragraphs: Column, glue: str = "\n\n") -> Column:
     return _once(opened)(paragraphs)
 
 
-def kept_sections(least: int = C.MIN_SECTION_TOKENS, glue: str = "\n\n"):
-    """Described paragraphs as merged sections of those that stay, in one go: dedupe_paragraphs, sections, and sections joined until they have `least` tokens.
+def kept_sections(least: int = C.MIN_SECTION_TOKENS):
+    """Norms, counts and headings of paragraphs as positions by section, in one go: those that stay of dedupe_paragraphs, cut into
+    sections, and sections joined until they have `least` tokens.
 
     Tokens don't cross paragraphs, so a section has as many as its paragraphs together.
     """
 
-    @F.arrow_udf(ArrayType(StringType()))
+    @F.arrow_udf(ArrayType(ArrayType(IntegerType())))
     def cut(paragraphs: pa.Array) -> pa.Array:
         out = []
-        for texts, norms, counts, headings in _by_document(paragraphs):
+        for norms, counts, headings in _by_document(paragraphs):
             kept = kept_positions(norms, counts, headings)
-            texts, counts = [texts[i] for i in kept], [counts[i] for i in kept]
-            out.append(_joined(texts, merged_positions(section_positions([headings[i] for i in kept]), counts, least), glue))
-        return pa.array(out, pa.list_(pa.string()))
+            parts = merged_positions(section_positions([headings[i] for i in kept]), [counts[i] for i in kept], least)
+            out.append([[kept[i] for i in part] for part in parts])
+        return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
     return _once(cut)
 
@@ -317,7 +318,10 @@ def _fold_rows(least: int):
 def section_texts(pages: DataFrame, *, text_col: str = "text", separator: str = PARAGRAPH) -> DataFrame:
     """pages with sections: an array of merged sections of the deduplicated text."""
     step = pages.withColumn("_paragraphs", described(T.split_blocks(F.coalesce(F.col(text_col), F.lit("")), separator)))
-    return step.withColumn("sections", kept_sections()(F.col("_paragraphs"))).drop("_paragraphs")
+    bare = F.transform("_paragraphs", lambda p: F.struct(p["norm"].alias("norm"), p["n"].alias("n"), p["heading"].alias("heading")))  # texts stay here
+    step = step.withColumn("_positions", kept_sections()(bare))
+    texts = lambda part: F.array_join(F.transform(part, lambda i: F.get(F.col("_paragraphs"), i)["text"]), "\n\n")
+    return step.withColumn("sections", F.transform("_positions", texts)).drop("_paragraphs", "_positions")
 
 
 def drop_repeats(pieces: DataFrame, by: list[str], order: list[str], *, text_col: str = "text") -> DataFrame:

@@ -54,17 +54,20 @@ def strip_top_contents(lines: Column) -> Column:
 def cut_trailing_links(lines: Column) -> Column:
     """Without the trailing run of link titles: if the last non-blank line is a link fragment and no paragraph, all after the
     last line before it that ends a sentence; blank lines between that and the first cut line stay."""
-    flags = F.transform(lines, lambda x: F.when(T.is_blank(x), 0).when(T.ends_with(T.strip(x)), 1).otherwise(2))
+    flags = _flags(lines)
     last = _last_at(flags, lambda f: f > 0)
-    bottom = F.get(lines, last - 1)
-    enters = (last > 0) & ~T.is_paragraph(bottom) & T.is_link_fragment(bottom)
+    enters = (last > 0) & T.let(F.get(lines, last - 1), lambda bottom: ~T.is_paragraph(bottom) & T.is_link_fragment(bottom))
     return F.when(enters, _cut_open_tail(lines, flags, last - 1)).otherwise(lines)
 
 
 def cut_trailing_chrome(lines: Column) -> Column:
     """Without the trailing lines that end no sentence; blank lines above the first of them stay."""
-    flags = F.transform(lines, lambda x: F.when(T.is_blank(x), 0).when(T.ends_with(T.strip(x)), 1).otherwise(2))
-    return _cut_open_tail(lines, flags, F.size(lines))
+    return _cut_open_tail(lines, _flags(lines), F.size(lines))
+
+
+def _flags(lines: Column) -> Column:
+    """0 for blank lines, 1 for those that end a sentence, 2 for others."""
+    return F.transform(lines, lambda x: T.let(T.strip(x), lambda bare: F.when(bare == "", 0).when(T.ends_with(bare), 1).otherwise(2)))
 
 
 def _last_at(flags: Column, test) -> Column:
@@ -85,10 +88,14 @@ def collapse_blank_lines(lines: Column) -> Column:
     none = F.lit(None).cast("string")
     # each line with the one before it; the pair past the last line has no line
     kept = F.zip_with(lines, F.concat(F.array(none), lines), lambda x, before: F.when(~T.is_blank(x), x).when(x.isNotNull() & ~F.coalesce(T.is_blank(before), F.lit(False)), ""))
-    kept = F.filter(kept, lambda x: x.isNotNull())
-    first = F.when(F.get(kept, F.lit(0)) == "", 2).otherwise(1)
-    kept = F.slice(kept, first, F.size(kept))
-    return F.when(F.get(kept, F.size(kept) - 1) == "", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+
+
+    def bare_ends(kept: Column) -> Column:
+        first = F.when(F.get(kept, F.lit(0)) == "", 2).otherwise(1)
+        n = F.size(kept) - F.when(F.get(kept, F.size(kept) - 1) == "", 1).otherwise(0)
+        return F.slice(kept, first, F.greatest(n - first + 1, F.lit(0)))
+
+    return T.let(F.filter(kept, lambda x: x.isNotNull()), bare_ends)
 
 
 def skip_sections(lines: Column, sections: Column) -> Column:
@@ -124,18 +131,20 @@ def sections_of(source: Column) -> Column:
 
 
 def ready_line_dropped(line: Column) -> Column:
-    s = T.strip(line)
-    return s.isin(*C.READY_NOISE) | line.rlike(C.URL_LINE) | s.rlike(C.READY_LAST_UPDATED) | line.rlike(C.READY_BOILERPLATE)
+    return line.rlike(C.URL_LINE) | line.rlike(C.READY_BOILERPLATE) | T.let(T.strip(line), lambda s: s.isin(*C.READY_NOISE) | s.rlike(C.READY_LAST_UPDATED))
 
 
 def cross_line(line: Column) -> Column:
     """A line of the cross dialect; null if it is page chrome."""
-    s = T.markdown_links_to_text(T.strip(line))
-    drop = s.rlike(C.URL_LINE) | s.isin(*C.CROSS_NOISE) | T.any_of([s.startswith(p) for p in C.CROSS_DROP_PREFIXES] + [s.contains(p) for p in C.CROSS_DROP_CONTAINS])
-    out = s
-    for old, new in C.CROSS_REWRITES:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.when(s == "", s).when(~drop, T.strip(F.regexp_replace(out, C.CROSS_SHOP, "")))
+
+    def rule(s: Column) -> Column:
+        drop = s.rlike(C.URL_LINE) | s.isin(*C.CROSS_NOISE) | T.any_of([s.startswith(p) for p in C.CROSS_DROP_PREFIXES] + [s.contains(p) for p in C.CROSS_DROP_CONTAINS])
+        out = s
+        for old, new in C.CROSS_REWRITES:
+            out = F.replace(out, F.lit(old), F.lit(new))
+        return F.when(s == "", s).when(~drop, T.strip(F.regexp_replace(out, C.CROSS_SHOP, "")))
+
+    return T.let(T.markdown_links_to_text(T.strip(line)), rule)
 
 
 def line_spacing(line: Column) -> Column:
@@ -154,12 +163,15 @@ def strip_annotations(line: Column) -> Column:
 
 def emd_line(line: Column) -> Column:
     """A line of the emd dialect; null if it is page chrome; known captions become sentences."""
-    s = strip_annotations(line)
-    drop = s.rlike(C.URL_LINE) | s.isin(*C.EMD_NOISE) | T.any_of([s.startswith(p) for p in C.EMD_DROP_PREFIXES])
-    out = F.when(s == "", s).when(drop, F.lit(None).cast("string"))
-    for prefix, sentence in C.EMD_CAPTIONS:
-        out = out.when(s.startswith(prefix), sentence)
-    return out.otherwise(s)
+
+    def rule(s: Column) -> Column:
+        drop = s.rlike(C.URL_LINE) | s.isin(*C.EMD_NOISE) | T.any_of([s.startswith(p) for p in C.EMD_DROP_PREFIXES])
+        out = F.when(s == "", s).when(drop, F.lit(None).cast("string"))
+        for prefix, sentence in C.EMD_CAPTIONS:
+            out = out.when(s.startswith(prefix), sentence)
+        return out.otherwise(s)
+
+    return T.let(strip_annotations(line), rule)
 
 
 def _present(lines: Column) -> Column:
