@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.index import Index, build_index, term_weights
+from lodestone.operators.index import BY_CHUNK, Index, build_index, exploded, term_weights
 
 _CHUNKS = "id long, text string, source string, page int, disaster_type string, dl long, segment int"
-_POSTS = "term string, id long, tf long, dl long, segment int, tag_key string"
+_BY_CHUNK = "id long, dl long, terms array<string>, tfs array<int>, segment int, tag_key string"
 _VECTORS = "id long, embedding array<float>, segment int, tag_key string"
 _DFS = "term string, df long, segment int"
 _TOTALS = "n long, tokens long, segment int"
@@ -45,10 +45,10 @@ def append_segment(chunks: DataFrame, vectors: DataFrame, path: str, segment: in
     index = build_index(chunks, vectors)
     write = lambda d, name, *by: d.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}/segment={segment}")
     write(rows, "chunks")
-    write(index.posts.repartitionByRange("tag_key", "term", "id").sortWithinPartitions("tag_key", "term", "id"), "posts", "tag_key")
+    write(index.by_chunk, "by_chunk", "tag_key")
     write(index.vectors, "vectors", "tag_key")
-    written = spark.read.parquet(f"{path}/posts/segment={segment}") if not rows.isEmpty() and not index.posts.isEmpty() else index.posts
-    write(written.groupBy("term").agg(F.count("*").alias("df")), "dfs")
+    written = _read(spark, f"{path}/by_chunk/segment={segment}", BY_CHUNK)
+    write(exploded(written).groupBy("term").agg(F.count("*").alias("df")), "dfs")
     write(spark.read.schema(_CHUNKS).parquet(f"{path}/chunks/segment={segment}").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")), "totals")
 
 
@@ -63,19 +63,20 @@ def load_segments(spark: SparkSession, path: str) -> Index:
     few = gone.limit(FEW_DELETED + 1).count() <= FEW_DELETED
     dead: Column = (F.col("id") == F.col("_gone")) & (F.col("segment") <= F.col("_upto"))
     listed = F.broadcast(gone) if few else gone
-    chunks, posts, vectors = (_read(spark, f"{path}/{n}", s) for n, s in (("chunks", _CHUNKS), ("posts", _POSTS), ("vectors", _VECTORS)))
+    chunks, by_chunk, vectors = (_read(spark, f"{path}/{n}", s) for n, s in (("chunks", _CHUNKS), ("by_chunk", _BY_CHUNK), ("vectors", _VECTORS)))
     live = lambda d: d.join(listed, dead, "left_anti")
     lost = lambda d: d.join(listed, dead, "left_semi")
     total = _read(spark, f"{path}/totals", _TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     less = lost(chunks.select("id", "segment", "dl")).agg(F.count("*").alias("_n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("_tokens"))
     n, tokens = F.col("n") - F.col("_n"), F.col("tokens") - F.col("_tokens")
     corpus = total.crossJoin(less).select(n.alias("n"), F.when(n > 0, tokens / n).alias("avgdl"))  # one row each
-    minus = lost(posts.select("term", "id", "segment")).groupBy("term").agg(F.count("*").alias("_df"))
+    minus = lost(by_chunk.select("id", "segment", "terms")).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
     dfs = _read(spark, f"{path}/dfs", _DFS).groupBy("term").agg(F.sum("df").alias("df")).join(minus, "term", "left")
     dfs = dfs.select("term", (F.col("df") - F.coalesce("_df", F.lit(0))).alias("df")).where("df > 0")
     rows = live(chunks).drop("segment", "dl")
     tags = rows.groupBy(F.col("disaster_type").alias("tag")).agg(F.count("*").alias("n"))
-    return Index(rows, live(posts).drop("segment"), term_weights(dfs, corpus), corpus, live(vectors).drop("segment"), tags)
+    by_chunk = live(by_chunk).drop("segment")
+    return Index(rows, exploded(by_chunk), term_weights(dfs, corpus), corpus, live(vectors).drop("segment"), tags, by_chunk)
 
 
 def merge_segments(spark: SparkSession, path: str, out: str) -> None:
