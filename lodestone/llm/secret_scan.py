@@ -4,14 +4,16 @@ A candidate is a run of characters that secrets consist of, or a part of one tha
 characters with a digit or with capitals after small letters, or of 6 or more after a key word or a separator.  Long ones
 are scored in overlapping windows over their whole length.  The network (one convolution over
 the characters of the candidate and its surroundings, maxima over both parts, one hidden layer) is written in numpy and
-trained on labelled findings: a bounded, seeded sample of the corpus's candidates, labelled by whether a base finding
-covers them, and a seeded set of made-up ones.  Base findings miss secrets, so a first network, of base findings and made-up
+trained on labelled findings: all distinct candidates of the corpus, labelled by whether a base finding
+covers them, and a seeded set of made-up ones.  If they are many, shards of them train side by side where they lie, and the
+networks are averaged round by round.  Base findings miss secrets, so a first network, of base findings and made-up
 ones alone, sets aside the candidates of the corpus that look like secrets without being covered.  A third of the findings, none of whose values the network was trained on,
 calibrates its scores (Platt) and sets the threshold: the highest that still finds the wanted share of the secrets.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
 import random
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_of
+from lodestone.llm.common import materialize, text_of, workspace
 
 #: Fixed values of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -167,29 +169,53 @@ class CharCNN:
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the highest threshold with at least this recall; one half without secrets."""
-        z = self.forward(x)[0]
-        spread = float(z.std()) or 1.0
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        self.calibrate_scores(self.logits(x), y, np.ones(len(y)), recall)
+
+    def calibrate_scores(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float) -> None:
+        """Platt scaling of scores that n findings each have, by Newton steps, then the highest threshold with at least this recall; one
+        half without secrets."""
+        total, secrets = n.sum(), (n * y).sum()
+        spread = float(np.sqrt((n * (z - (n * z).sum() / total) ** 2).sum() / total)) if total else 1.0
+        spread = spread or 1.0
+        target = np.where(y > 0, (secrets + 1) / (secrets + 2), 1 / (total - secrets + 2))
         design = np.stack([z / spread, np.ones_like(z)], 1)
-        loss = lambda t: float((np.logaddexp(0, design @ t) - target * (design @ t)).sum() + 5e-4 * (t @ t))
+        loss = lambda t: float((n * (np.logaddexp(0, design @ t) - target * (design @ t))).sum() + 5e-4 * (t @ t))
         theta = np.array([1.0, 0.0])
         for _ in range(30):
             q = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-            hessian = (design * (q * (1 - q))[:, None]).T @ design + 1e-3 * np.eye(2)
-            step = np.linalg.solve(hessian, design.T @ (q - target) + 1e-3 * theta)
+            hessian = (design * (n * q * (1 - q))[:, None]).T @ design + 1e-3 * np.eye(2)
+            step = np.linalg.solve(hessian, design.T @ (n * (q - target)) + 1e-3 * theta)
             while loss(theta - step) > loss(theta) and np.abs(step).max() > 1e-9:  # else it can run away where the classes are apart
                 step = step / 2
             theta = theta - step
         theta = theta / (spread, 1)
         self.scale, self.shift = float(max(theta[0], 1e-3)), float(theta[1])
-        positive = np.sort(self.probability(x)[y > 0])
-        self.threshold = float(positive[math.floor((1 - recall) * len(positive))]) if len(positive) else 0.5
+        order = np.flatnonzero(y > 0)[np.argsort(z[y > 0], kind="stable")]
+        at = np.searchsorted(np.cumsum(n[order]), math.floor((1 - recall) * secrets), side="right")
+        self.threshold = float(self._odds(z[order])[at]) if len(order) else 0.5
 
-    def probability(self, x: np.ndarray, chunk: int = 2048) -> np.ndarray:
-        z = np.concatenate([self.forward(x[i : i + chunk])[0] for i in range(0, len(x), chunk)]) if len(x) else np.zeros(0)
+    def logits(self, x: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        return np.concatenate([self.forward(x[i : i + chunk])[0] for i in range(0, len(x), chunk)]) if len(x) else np.zeros(0)
+
+    def _odds(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -60, 60)))
 
+    def averaged(self, weights: list[tuple[int, bytes]]) -> CharCNN:
+        """A copy whose weights are the mean of those that flat() gave, each counted as often as its number says."""
+        out, at = copy.deepcopy(self), 0
+        total = sum(n for n, _ in weights)
+        mean = sum(n / total * np.frombuffer(w) for n, w in weights) if total else np.frombuffer(self.flat())
+        for k, v in self.p.items():
+            out.p[k] = mean[at : at + v.size].reshape(v.shape).copy()
+            at += v.size
+        return out
+
+    def flat(self) -> bytes:
+        return np.concatenate([v.ravel() for v in self.p.values()]).tobytes()
+
+    def probability(self, x: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        return self._odds(self.logits(x, chunk))
+
 
 WORDS = """about above account action address after again against always another answer archive article because before between
 branch building business change children class client common company content control country course default different
@@ -290,30 +316,105 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(labels, pa.int32()), pa.array(values, pa.int64())], names=["window", "label", "value"])
 
 
+#: Most shards that train side by side; the driver gets a network (130 kB) from each and sends back their mean.
+SHARDS = 64
+#: How often the shards' networks are averaged, and how often each passes over its shard in between.
+ROUNDS, EPOCHS = 4, 3
+#: Scores are counted by steps of this part of one for calibration.
+STEPS = 1000
+
+
 def train_model(docs: DataFrame, *, text_col: str = "text", max_findings: int = 3000, synthetic: int = 3000, recall: float = 0.97, seed: int = 42) -> CharCNN:
-    """Fits the network to max_findings labelled candidates of the corpus, the first distinct ones in a seeded order, and the made-up ones."""
+    """Fits the network to all distinct labelled candidates of the corpus and the made-up ones, and calibrates it on a third of both.
+
+    Up to max_findings candidates are fitted at the driver; more of them in shards of about that many, where they lie.
+    """
     found = docs.select(text_of(text_col)).mapInArrow(_labelled, "window string, label int, value long").groupBy("window").agg(F.max("label").alias("label"), F.min("value").alias("value"))
-    rows = found.orderBy(F.xxhash64("window", F.lit(seed)), "window").limit(max_findings).collect()
-    rng = random.Random(seed)
+    found = materialize(found, workspace(docs.sparkSession, "secrets") + "/windows")
+    own = made_up(synthetic, seed)
+    random.Random(seed).shuffle(own)
+    n = found.count()
+    return _fit_all(found, own, recall, seed) if n <= max_findings else _fit_in_shards(found, min(SHARDS, -(-n // max_findings)), own, recall, seed)
+
+
+def _sides(rows: list[tuple[str, int, int]]) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """Pairs of window and label to train on and to calibrate with; all windows of a value go to one side."""
     third, rest = [], []
-    for r in rows:  # all windows of a value go to one side
-        (rest if r["value"] % 3 else third).append((r["window"], r["label"]))
+    for window_, label, value in rows:
+        (rest if value % 3 else third).append((window_, label))
     rest += [("\0" * BEFORE + w[BEFORE:], y) for w, y in rest if y and any(runs(w[BEFORE : BEFORE + INSIDE]))]  # the value alone must do as well, if it is a candidate
-    own = made_up(synthetic, seed)
-    rng.shuffle(own)
+    return rest, third
+
+
+def _fit_all(found: DataFrame, own: list[tuple[str, int]], recall: float, seed: int) -> CharCNN:
+    """The network of candidates that are few."""
+    few = [tuple(r) for r in found.orderBy(F.xxhash64("window", F.lit(seed)), "window").select("window", "label", "value").collect()]
+    rest, third = _sides(few)
+    at = len(own) // 3
     if any(not y for _, y in rest + third):
         first = CharCNN(seed=seed)
-        first.train(*_arrays([p for p in rest if p[1]] + own[synthetic // 3 :]), seed=seed)
+        first.train(*_arrays([p for p in rest if p[1]] + own[at:]), seed=seed)
         third, rest = (_without_doubtful(first, pairs) for pairs in (third, rest))
-    third += own[: synthetic // 3]
-    rest += own[synthetic // 3 :]
-    rng.shuffle(rest)
+    third += own[:at]
+    rest += own[at:]
+    random.Random(seed).shuffle(rest)
     model = CharCNN(seed=seed)
     model.train(*_arrays(rest), seed=seed)
     model.calibrate(*_arrays(third), recall)
     return model
 
 
+def _fit_in_shards(found: DataFrame, shards: int, own: list[tuple[str, int]], recall: float, seed: int) -> CharCNN:
+    """The network of any number of candidates: from one of made-up ones, each shard goes on with its candidates and the made-up ones;
+    their mean begins the next round, at a lower rate.  The scores of the third are counted by small steps, rounded down."""
+    at = len(own) // 3
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("window", F.lit(seed)), F.lit(shards))).repartition(shards, "shard")  # else AQE puts small shards into one task
+    start = CharCNN(seed=seed)
+    start.train(*_arrays(own[at:]), seed=seed)
+
+    def trained(first: CharCNN | None) -> CharCNN:
+        model = start
+        for turn in range(ROUNDS):
+            fitted = dealt.groupBy("shard").applyInArrow(_round(model, first, own[at:], 0.004 / (turn + 1), seed + turn), "n long, weights binary")
+            model = model.averaged(sorted((r["n"], bytes(r["weights"])) for r in fitted.collect()))  # SHARDS rows at most
+        return model
+
+    first = trained(None)
+    model = trained(first)
+    counts = found.where("value % 3 = 0").mapInArrow(_scores(model, first), "step long, label int").groupBy("step", "label").count().collect()  # a row per step
+    z, y, n = (np.array([r[k] for r in counts], float) for k in ("step", "label", "count"))
+    x, labels = _arrays(own[:at])
+    model.calibrate_scores(np.r_[z / STEPS, model.logits(x)], np.r_[y, labels], np.r_[n, np.ones(len(x))], recall)
+    return model
+
+
+def _round(model: CharCNN, first: CharCNN | None, own: list[tuple[str, int]], rate: float, seed: int):
+    """What a shard (window, label, value) makes of the network, and from how many pairs; without a first network, of secrets alone."""
+
+    def fit(shard: pa.Table) -> pa.Table:
+        pairs, _ = _sides(sorted(zip(*(shard[c].to_pylist() for c in ("window", "label", "value")))))
+        pairs = [p for p in pairs if p[1]] if first is None else _without_doubtful(first, pairs)
+        pairs += own
+        random.Random(seed).shuffle(pairs)
+        mine = copy.deepcopy(model)
+        mine.train(*_arrays(pairs), epochs=EPOCHS, rate=rate, seed=seed)
+        return pa.table({"n": pa.array([len(pairs)], pa.int64()), "weights": pa.array([mine.flat()], pa.binary())})
+
+    return fit
+
+
+def _scores(model: CharCNN, first: CharCNN):
+    """Windows (window, label) without the doubtful ones as steps of their scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = _without_doubtful(first, list(zip(batch.column("window").to_pylist(), batch.column("label").to_pylist())))
+            z = model.logits(encode([w for w, _ in pairs]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(z * STEPS).astype(np.int64)), pa.array([y for _, y in pairs], pa.int32())], names=["step", "label"])
+
+    return run
+
+
 def _without_doubtful(model: CharCNN, pairs: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """Pairs without the candidates that no base finding covers but the model takes for secrets.
 
