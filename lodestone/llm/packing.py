@@ -7,6 +7,8 @@ is packed on its own.
 
 from __future__ import annotations
 
+import json
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,18 +28,52 @@ LONG = 100
 _words: dict[str, WordIds] = {}
 
 
+#: Of the normalizer and pre-tokenizer that WordIds knows by heart: what makes a lower-case word of letters one input of the model.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 characters as the byte-level letters of their UTF-8 bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _treats_letters_alone(tokenizer) -> bool:
+    """Whether a tokenizer passes lower-case words of Latin-1 letters to its model as they are, and marks at the end of a word by themselves."""
+    d = json.loads(tokenizer.to_str())
+    steps = (d["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}]
+    return (
+        (d["normalizer"] or {}).get("normalizers") == _NORMAL
+        and len(steps) == 2
+        and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": _SPLIT}, "Removed", True)
+        and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False)
+        and d["model"]["type"] == "BPE"
+        and not d["model"].get("dropout")
+        and not d["truncation"]
+        and not d["padding"]
+        and all("<|" in t["content"] for t in d["added_tokens"])
+    )
+
+
 class WordIds(dict):
     """The ids of a word as little-endian 32-bit integers, from a tokenizer that drops white space, lower-cases and treats words alone.
 
     A word's ASCII capitals, and a full stop or comma after an ASCII letter, make no difference to the ids of the rest, so
-    such words are led back to others.  Words over LONG bytes are not held.  When `most` words are held they become the older half; a word in use comes back
-    from there, and the others are forgotten when the next half is full.
+    such words are led back to others.  If the tokenizer's file says so, other marks after a letter and Latin-1 capitals are led back too, and
+    words of lower-case letters go to the model itself, without the patterns.  Words over LONG bytes are not held.  When `most` words are
+    held they become the older half; a word in use comes back from there, and the others are forgotten when the next half is full.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
+        self.model = self.tokenizer.model if _treats_letters_alone(self.tokenizer) else None
 
     def __missing__(self, word: bytes) -> bytes:
         out = self.older.get(word)
@@ -46,8 +82,10 @@ class WordIds(dict):
                 out = self[word[:-1]] + self[word[-1:]]
             elif (lower := word.lower()) != word and b"<|" not in word:  # special tokens have "<|" and keep their case
                 out = self[lower]
+            elif self.model is None or b"<|" in word:
+                out = self.encoded(word.decode())
             else:
-                out = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+                out = self.by_model(word)
         if len(word) > LONG:
             return out
         if len(self) >= self.most:
@@ -56,6 +94,21 @@ class WordIds(dict):
         self[word] = out
         return out
 
+    def encoded(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def by_model(self, word: bytes) -> bytes:
+        """The ids of a word without ASCII capitals and special tokens."""
+        text = word.decode()
+        bare = text if text.isalpha() else text.rstrip(string.punctuation)
+        if not bare.isalpha() or max(bare) > "\xff":
+            return self.encoded(text)
+        if bare != text:
+            return self[bare.encode()] + self[text[len(bare) :].encode()]
+        if (lower := text.lower()) != text:
+            return self[lower.encode()]
+        return array("I", [t.id for t in self.model.tokenize(text.translate(_BYTE_LETTERS))]).tobytes()
+
 
 def word_ids(path: str) -> WordIds:
     """One cache for each Python worker."""

@@ -730,6 +730,23 @@ def test_long_words_are_not_held():
     assert scores[word] == 1.0 and word not in scores and scores[b"trees"] == 2.0 and b"trees" in scores
 
 
+def test_words_of_letters_go_to_the_model_with_equal_ids():
+    ids = WordIds(Q.tokenizer_path())
+    words = "tree Tree, TREE!!! ñandú Ñandú. ÉTÉ,!! straße%%% ªº µ Ünter".split()
+    odd = "don't 'll they'll, a1b2 x_y ² İstanbul Σίσυφος e\u0301te\u0301 \u0301 中日. ﬁn ÿ> a\u0338 <|endoftext|> <|ENDOFTEXT|>!! tree\x1c é\xa0".split(" ")
+    real, seen = ids.tokenizer, []
+
+    class Counted:
+        def encode(self, word, **how):
+            seen.append(word)
+            return real.encode(word, **how)
+
+    ids.tokenizer = Counted()
+    for word in [*words, *odd]:
+        assert ids[word.encode()] == np.array(real.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+    assert not {w.rstrip(".,!%").lower() for w in words} & set(seen) and "don't" in seen
+
+
 def test_training_sample_is_bounded(spark):
     docs = spark.createDataFrame([row(i, "fine day. " * (1 if i else 500)) for i in range(60)], SCHEMA)
     marks = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, toxic int")
