@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.batches import giving_back
 from lodestone.tables import materialize, workspace
 
 __all__ = ["HEAVY", "WORD", "giving_back", "join_skewed", "materialize", "numbered", "shuffle_partitions", "text_of", "workspace"]
@@ -26,20 +23,6 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run, which when a task's batches are through returns freed memory to the system: Python workers live on, and so
-    would hold what their largest task took."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
-
-    return whole
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with columns c0, c1, ..., which clash with no other name; toDF(*docs.columns) brings the names back."""
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

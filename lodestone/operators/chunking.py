@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +20,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 from tokenizers import Encoding, Tokenizer
 
 from lodestone import constants as C
+from lodestone.batches import SLICE, by_slices, give_back
 from lodestone.functions import text as T
 from lodestone.operators.tagging import tag_of
 
@@ -104,9 +104,9 @@ def merged_positions(parts: list[list[int]], counts: list[int], least: int) -> l
 def _by_document(paragraphs: pa.ListArray) -> Iterator[tuple[list, ...]]:
     """The fields of each document's paragraphs, each as a list."""
     ends = paragraphs.offsets.to_pylist()
-    fields = paragraphs.values.flatten()
+    fields = paragraphs.values.slice(ends[0], ends[-1] - ends[0]).flatten()
     for i, (begin, end) in enumerate(zip(ends, ends[1:])):  # one document at a time as Python objects
-        yield tuple(f.slice(begin, end - begin).to_pylist() if paragraphs[i].is_valid else [] for f in fields)
+        yield tuple(f.slice(begin - ends[0], end - begin).to_pylist() if paragraphs[i].is_valid else [] for f in fields)
 
 
 _DESCRIBED = ArrayType(StructType([StructField("text", StringType()), StructField("norm", StringType()), StructField("n", IntegerType()), StructField("heading", BooleanType())]))
@@ -117,7 +117,6 @@ def _once(f):
     return f.asNondeterministic()
 
 
-@F.arrow_udf(_DESCRIBED)
 def _kept(paragraphs: pa.Array) -> pa.Array:
     begins = paragraphs.offsets.to_pylist()
     kept = [kept_positions(*rest) for _, *rest in _by_document(paragraphs)]
@@ -131,17 +130,16 @@ def _joined(texts: list[str], groups: list[list[int]], glue: str) -> list[str]:
 
 def dedupe_paragraphs(paragraphs: Column) -> Column:
     """Of described paragraphs those that stay: 8 tokens or more repeat none that stayed, and unless a heading stand in none that stayed with 12 or more."""
-    return _once(_kept)(paragraphs)
+    return _once(F.arrow_udf(by_slices(_kept), _DESCRIBED))(paragraphs)
 
 
 def sections(paragraphs: Column, glue: str = "\n\n") -> Column:
     """Described paragraphs as sections; a heading opens one unless it stands first."""
 
-    @F.arrow_udf(ArrayType(StringType()))
     def opened(paragraphs: pa.Array) -> pa.Array:
         return pa.array([_joined(texts, section_positions(headings), glue) for texts, _, _, headings in _by_document(paragraphs)], pa.list_(pa.string()))
 
-    return _once(opened)(paragraphs)
+    return _once(F.arrow_udf(by_slices(opened), ArrayType(StringType())))(paragraphs)
 
 
 def kept_sections(least: int = C.MIN_SECTION_TOKENS):
@@ -151,7 +149,6 @@ def kept_sections(least: int = C.MIN_SECTION_TOKENS):
     Tokens don't cross paragraphs, so a section has as many as its paragraphs together.
     """
 
-    @F.arrow_udf(ArrayType(ArrayType(IntegerType())))
     def cut(paragraphs: pa.Array) -> pa.Array:
         out = []
         for norms, counts, headings in _by_document(paragraphs):
@@ -160,7 +157,7 @@ def kept_sections(least: int = C.MIN_SECTION_TOKENS):
             out.append([[kept[i] for i in part] for part in parts])
         return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
-    return _once(cut)
+    return _once(F.arrow_udf(by_slices(cut), ArrayType(ArrayType(IntegerType()))))
 
 
 def token_windows(text: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
@@ -256,13 +253,12 @@ def split_recursively(text: str, size: int, overlap: int, length: Callable[[str]
 
 
 def recursive_pieces(size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, length: Callable[[str], int] = count_tokens):
-    """The recursive splitter as a pandas UDF; length may be any token counter."""
+    """The recursive splitter over Arrow batches; length may be any token counter."""
 
-    @F.pandas_udf(_STRINGS)
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else split_recursively(t, size, overlap, length))
+    def pieces(texts: pa.Array) -> pa.Array:
+        return pa.array([[] if t is None else split_recursively(t, size, overlap, length) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return pieces
+    return F.arrow_udf(by_slices(pieces), _STRINGS)
 
 
 def described_pieces(pieces: Column, separator: str = PARAGRAPH) -> Column:
@@ -304,22 +300,24 @@ def _fold_rows(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 200):  # so that few rows are Python objects at a time
-                batch = whole.slice(begin, 200)
+            for begin in range(0, whole.num_rows, SLICE):  # so that few rows are Python objects at a time
+                batch = whole.slice(begin, SLICE)
                 folded = [folded_texts(p or [], least) for p in batch.column(batch.num_columns - 1).to_pylist()]
                 of = pa.array([i for i, own in enumerate(folded) for _ in own], pa.int64())
                 kept = [column.take(of) for column in batch.columns[:-1]]
                 numbers, texts = [n for own in folded for n in range(len(own))], [t for own in folded for t in own]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "piece_no", "text"])
+            del whole, batch
+            give_back()
 
     return run
 
 
-def section_texts(pages: DataFrame, *, text_col: str = "text", separator: str = PARAGRAPH) -> DataFrame:
-    """pages with sections: an array of merged sections of the deduplicated text."""
+def section_texts(pages: DataFrame, *, text_col: str = "text", separator: str = PARAGRAPH, least: int = C.MIN_SECTION_TOKENS) -> DataFrame:
+    """pages with sections: an array of sections of the deduplicated text, merged until they have `least` tokens."""
     step = pages.withColumn("_paragraphs", described(T.split_blocks(F.coalesce(F.col(text_col), F.lit("")), separator)))
     bare = F.transform("_paragraphs", lambda p: F.struct(p["norm"].alias("norm"), p["n"].alias("n"), p["heading"].alias("heading")))  # texts stay here
-    step = step.withColumn("_positions", kept_sections()(bare))
+    step = step.withColumn("_positions", kept_sections(least)(bare))
     texts = lambda part: F.array_join(F.transform(part, lambda i: F.get(F.col("_paragraphs"), i)["text"]), "\n\n")
     return step.withColumn("sections", F.transform("_positions", texts)).drop("_paragraphs", "_positions")
 
