@@ -89,8 +89,7 @@ sections AS (SELECT id, section_no, string_agg(line, chr(10) || chr(10) ORDER BY
 
 @query(f"WITH {SECTIONED} SELECT id, CAST(section_no AS BIGINT) AS section_no, md5(section) AS section FROM sections")
 def section_ids(spark, sf_dir):
-    d = pages(spark, sf_dir).withColumn("_d", K.described(T.split_blocks(F.col("text"), LINE))).withColumn("_k", K.dedupe_paragraphs(F.col("_d")))
-    d = d.select("id", F.posexplode(K.sections(F.col("_k"))).alias("section_no", "section"))
+    d = K.section_texts(pages(spark, sf_dir), separator=LINE, least=0).select("id", F.posexplode("sections").alias("section_no", "section"))
     return d.select("id", F.col("section_no").cast("long").alias("section_no"), F.md5(F.col("section").cast("binary")).alias("section"))
 
 
