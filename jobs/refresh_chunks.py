@@ -18,13 +18,14 @@ import logging
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobs.settings import command_line, configuration
 from lodestone import constants as C
 from lodestone.functions import text as T
 from lodestone.operators import chunking as K
+from lodestone.operators.tagging import tag_of
 
 log = logging.getLogger("jobs.refresh_chunks")
 
@@ -63,6 +64,8 @@ BROADCAST_KEYS = 200_000
 
 def not_published(chunks: DataFrame, earlier: DataFrame) -> DataFrame:
     """The chunks (source, key, ...) whose source hasn't published their key yet."""
+    if earlier.isEmpty():
+        return chunks
     keys = chunks.select("source", "key").distinct()
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key"))
@@ -70,6 +73,11 @@ def not_published(chunks: DataFrame, earlier: DataFrame) -> DataFrame:
     return chunks.join(known, same, "left_anti")  # known has no more rows than the chunks
 
 
+def keyed(pieces: DataFrame) -> DataFrame:
+    """pieces with n (tokens) and key (of the tokens), each text taken apart once."""
+    return pieces.withColumn("_tokens", T.tokens(F.col("text"))).withColumn("n", F.size("_tokens")).withColumn("key", F.sha2(F.array_join("_tokens", " "), 256)).drop("_tokens")
+
+
 def publish(batch: DataFrame, number: int, out: str, *, id: str = "doc_id", text: str = "text", source: str = "source", tag: str = "lang", separator: str = "\n", window: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> None:
     """Publishes a batch of documents under its number.
 
@@ -79,16 +87,18 @@ def publish(batch: DataFrame, number: int, out: str, *, id: str = "doc_id", text
     spark = batch.sparkSession
     pages = batch.select(F.col(source).cast("string").alias("source"), F.col(id).cast("long").alias("page"), F.col(text).cast("string").alias("text"), F.col(tag).cast("string").alias("_tag"))
     pieces = K.folded_pieces(pages.where("page IS NOT NULL"), split=lambda c: K.token_windows(c, window, overlap), separator=separator, keep=("_tag",))
-    pieces = pieces.persist(StorageLevel.DISK_ONLY)  # for chunks and report
+    pieces = keyed(pieces).persist(StorageLevel.DISK_ONLY)  # for chunks and report
     try:
-        key = F.sha2(T.normal(F.col("text")), 256)
         earlier = published_chunks(spark, out, tag).where(F.col("batch") < number)
-        fresh = not_published(K.chunks_of(pieces).withColumn("key", key), earlier)
+        long_enough = pieces.where(F.col("n") >= C.MIN_MEANINGFUL_TOKENS).drop("n")
+        firsts = Window.partitionBy("source", "key").orderBy("page", "section_no", "piece_no")
+        chunks = long_enough.withColumn("_rn", F.row_number().over(firsts)).where("_rn = 1").drop("_rn")
+        fresh = not_published(chunks.withColumn("disaster_type", tag_of(F.col("source"), F.col("text"))), earlier)
         _overwrite(fresh.withColumn("batch", F.lit(number)).withColumnRenamed("_tag", tag), f"{out}/chunks", "batch", tag)
         mine = published_chunks(spark, out, tag).where(F.col("batch") == number)
         counts = [
             pages.groupBy("source").agg(F.count("*").alias("documents")),
-            pieces.groupBy("source").agg(F.count("*").alias("pieces"), F.count_if(T.token_count(F.col("text")) < C.MIN_MEANINGFUL_TOKENS).alias("short")),
+            pieces.groupBy("source").agg(F.count("*").alias("pieces"), F.count_if(F.col("n") < C.MIN_MEANINGFUL_TOKENS).alias("short")),
             mine.groupBy("source").agg(F.count("*").alias("published")),
         ]
         named = [c.withColumnRenamed("source", f"_s{i}") for i, c in enumerate(counts)]
