@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
+from lodestone.batches import giving_back
 from lodestone.tables import materialize
 
 PLACES = 9
 #: Queries in a block; with their vectors they are what a task gets besides its own rows.
 QUERY_BLOCK = 4096
+#: Vectors that are scored at a time, which with the queries of a block bounds the matrices of a task.
+STEP = 128
 
 
 def top(scored: DataFrame, k: int | Column, order: list[Column], by: str = "query_id") -> DataFrame:
@@ -83,8 +86,8 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(query_ids[self.at]), pa.array(self.ids), pa.array(self.scores)], names=["query_id", "id", "score"])
 
 
-def _search_block(query_ids: np.ndarray, queries: np.ndarray, k: int, tags: np.ndarray | None, probes: dict[int, np.ndarray] | None, step: int = 512):
-    """A function over batches of vectors (id, embedding, and tag or list where those are given)."""
+def _search_block(query_ids: np.ndarray, queries: np.ndarray, k: int, tags: np.ndarray | None, probes: dict[int, np.ndarray] | None, step: int = STEP):
+    """A function over batches of vectors (id, embedding, and tag or list where those are given), `step` of which are scored at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(queries), k)
@@ -105,7 +108,7 @@ def _search_block(query_ids: np.ndarray, queries: np.ndarray, k: int, tags: np.n
                 best.offer(ids, queries @ vectors.T, None, allowed)
         yield best.found(query_ids)
 
-    return run
+    return giving_back(run)
 
 
 _FOUND = "query_id long, id long, score double"
