@@ -140,8 +140,6 @@ def test_command_line(spark, tmp_path):
 
 def test_first_batch_is_joined_with_nothing(spark):
     """Without published chunks there is no join; pieces with equal tokens have equal keys, and their numbers of tokens."""
-    from jobs import refresh_chunks as R
-
     pieces = spark.createDataFrame([("s", "One, two!"), ("s", "one TWO"), ("s", ""), ("t", "three")], "source string, text string")
     rows = R.keyed(pieces)
     assert [r.n for r in rows.collect()] == [2, 2, 0, 1] and len({r.key for r in rows.collect()}) == 3
