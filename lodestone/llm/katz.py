@@ -19,6 +19,9 @@ with the blocks that have them.  A block sends an owner one row for an order, so
 
 Blocks stay where they are: they are written in buckets by their number, and only answers are shuffled to them.  Words are
 known by 64-bit hashes until owners number them; two words with one hash would count as one.
+
+What a task holds for a block is places in it, of four bytes, and counts; word numbers are looked up for some n-grams at a time, and the
+owners' sums become two numbers for a context as they are read.
 """
 
 from __future__ import annotations
@@ -33,11 +36,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, shuffle_partitions, text_of, workspace
+from lodestone.batches import give_back
+from lodestone.llm.common import giving_back, materialize, shuffle_partitions, text_of, workspace
 
 K = 5  # counts up to K are discounted
 START = np.uint64((1 << 64) - 1)  # the number of the context before the first token
 END = b" "  # no word has a space
+PIECE = 1 << 18  # n-grams whose word numbers or probabilities are worked out at a time
 _press, _expand = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
 
@@ -133,7 +138,7 @@ def _blocks(block_tokens: int):
         if parts:
             yield out()
 
-    return run
+    return giving_back(run)
 
 
 PARTS = 6
@@ -158,14 +163,25 @@ def _slices(owner: np.ndarray, owners: int) -> tuple[np.ndarray, list[tuple[int,
     return order, list(zip(who.tolist(), begin.tolist(), [*begin[1:].tolist(), len(owner)]))
 
 
+def _places(n: int) -> type:
+    """The type of numbers below n."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def _pieces(n: int) -> Iterator[slice]:
+    return (slice(i, i + PIECE) for i in range(0, n, PIECE))
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each key the rank of its value, and for each value, in order, the place of one such key."""
     order = np.argsort(keys)
     ranked = keys[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(keys)]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return rank, order[new]
+    del ranked
+    kind = _places(len(keys))
+    rank = np.empty(len(keys), kind)
+    rank[order] = np.cumsum(new, dtype=kind) - kind(1)
+    return rank, order[new].astype(kind)
 
 
 def joint(columns: list[np.ndarray]) -> np.ndarray:
@@ -182,7 +198,7 @@ def joint(columns: list[np.ndarray]) -> np.ndarray:
     rank = distinct(columns[0])[0]
     for c in columns[1:]:
         own, at = distinct(c)
-        rank = distinct(rank * len(at) + own)[0]
+        rank = distinct(rank.astype(np.int64) * len(at) + own)[0]
     return rank.astype(np.uint64)
 
 
@@ -211,7 +227,7 @@ def _deal_words(owners: int):
                 order, parts = _slices((hashes % np.uint64(owners)).astype(np.int32), owners)
                 yield _rows([(o, r["block"], pack(hashes[order[i:j]]), pack(narrow(n[order[i:j]]))) for o, i, j in parts], DEAL_HEAD)
 
-    return run
+    return giving_back(run)
 
 
 def _own_words(owners: int):
@@ -233,7 +249,7 @@ def _own_words(owners: int):
                 rows.append(("words", block, owner, None, pack(narrow(number[at[i:j]])), pack(narrow(n[at[i:j]]))))
             yield _rows(rows, ANSWER_HEAD)
 
-    return run
+    return giving_back(run)
 
 
 def _count_counts(n: np.ndarray) -> list[int]:
@@ -248,11 +264,10 @@ def _bounds(sizes: list[int]) -> list[tuple[int, int]]:
 class _Level:
     """The distinct n-grams of one order in a block, by context and then word, both in the order of their numbers."""
 
-    def __init__(self, gram: np.ndarray, context: np.ndarray, word: np.ndarray, lower: np.ndarray, numbers: list[np.ndarray]) -> None:
+    def __init__(self, gram: np.ndarray, context: np.ndarray, word: np.ndarray, lower: np.ndarray, n: np.ndarray) -> None:
         """gram: the n-gram that ends at each token, or -1; context, word, lower: of each n-gram the index of its first words and
-        of its last words among those of the order below, and its last word; numbers: the columns of its word numbers."""
-        self.gram, self.context, self.word, self.lower, self.numbers = gram, context, word, lower, numbers
-        self.n = np.zeros(len(word), np.uint64)
+        of its last words among those of the order below, and its last word; n: its count in all training texts."""
+        self.gram, self.context, self.word, self.lower, self.n = gram, context, word, lower, n
 
 
 class _Block:
@@ -268,71 +283,109 @@ class _Block:
         size = len(order)
         number, n = (np.concatenate([unpack(r[k]).astype(np.uint64) for r in answers]) for k in (1, 2))
         place = np.argsort(number)  # words in the order of their numbers
-        rank = np.empty(size, np.int64)
+        self.kind = _places(max(size, int(self.lengths.sum())) + 1)
+        rank = np.empty(size, self.kind)
         rank[order[place]] = np.arange(size)
         body = rank[unpack(block["body"])]
-        words = _Level(body, np.zeros(size, np.int64), np.arange(size), np.zeros(size, np.int64), [np.append(number[place], START)])
-        words.n = np.append(n[place], np.uint64(documents))  # the last one is the context of first tokens
+        self.number = np.append(number[place], START)  # of each word; the last one is the context of first tokens
+        self.counts = np.uint32 if max(tokens, documents) < 1 << 32 else np.uint64
+        none = np.zeros(size, self.kind)
+        words = _Level(body, none, np.arange(size, dtype=self.kind), none, np.append(n[place], np.uint64(documents)).astype(self.counts))
         self.size, self.levels, self.sums = size, [words], []
 
+    def numbers(self, order: int, which: np.ndarray) -> list[np.ndarray]:
+        """The columns of the word numbers of some n-grams of this order."""
+        out = []
+        for level in reversed(self.levels[1:order]):
+            out.append(self.number[level.word[which]])
+            which = level.context[which]
+        return [self.number[which], *reversed(out)]
+
     def grow(self) -> _Level:
         """Adds the next order."""
         below, size = self.levels[-1], self.size
         first = len(self.levels) == 1
         body = self.levels[0].gram
-        context = np.empty(len(body), np.int64)
+        context = np.empty(len(body), self.kind)
         context[1:], context[self.first] = below.gram[:-1], size if first else -1
-        there = np.flatnonzero(context >= 0)
-        rank, at = distinct(context[there] * size + body[there])
-        gram = np.full(len(body), -1)
+        there = np.flatnonzero(context >= 0).astype(self.kind)
+        key = context[there].astype(np.int64)
+        key *= size
+        key += body[there]
+        rank, at = distinct(key)
+        del key
+        gram = np.full(len(body), -1, self.kind)
         gram[there] = rank
         at = there[at]
-        numbers = [c[context[at]] for c in below.numbers] + [self.levels[0].numbers[0][body[at]]]
-        self.levels.append(_Level(gram, context[at], body[at], below.gram[at], numbers))
+        self.levels.append(_Level(gram, context[at], body[at], below.gram[at], np.zeros(len(at), self.counts)))
         return self.levels[-1]
 
     def dealt(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """The highest order's n-grams whose context was seen, by owner, context and word; the owners of their parts."""
         level, below = self.levels[-1], self.levels[-2]
-        which = np.flatnonzero(below.n[level.context] > 0)
-        with np.errstate(over="ignore"):
-            mixed = (level.numbers[-1][which] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % splits(below.n[level.context[which]], self.owners, self.tokens)
-            for c in level.numbers[:-1]:
-                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + c[which]
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        order, parts = _slices(((mixed >> np.uint64(32)) % np.uint64(self.owners)).astype(np.int32), self.owners)
+        which = np.flatnonzero(below.n[level.context] > 0).astype(self.kind)
+        owner = np.empty(len(which), np.int32)
+        for s in _pieces(len(which)):
+            some = which[s]
+            numbers = self.numbers(len(self.levels), some)
+            with np.errstate(over="ignore"):
+                mixed = (numbers[-1] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % splits(below.n[level.context[some]], self.owners, self.tokens)
+                for c in numbers[:-1]:
+                    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + c
+                mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            owner[s] = (mixed >> np.uint64(32)) % np.uint64(self.owners)
+        order, parts = _slices(owner, self.owners)
         return which[order], parts
 
-    def learn(self, told: list[dict]) -> None:
-        """Takes the owners' answers for the highest order, and keeps the sums of contexts whose weight is needed."""
+    def learn(self, told: list[dict], discount: tuple[np.ndarray, np.ndarray] | None) -> None:
+        """Takes the owners' answers for the highest order; with the discounts of the order below and of this one it keeps, of contexts
+        whose weight is needed, what is left for words not seen there, and what the order below gives to those that were."""
         level, below = self.levels[-1], self.levels[-2]
         rows = {r["owner"]: r for r in told if r["kind"] == "grams"}
         which, parts = self.dealt()
         plain = np.zeros(len(below.n), bool)
-        at, sums = [np.zeros(0, np.int64)], [np.zeros((0, SUMS), np.int64)]
+        at, left, mass = [np.zeros(0, self.kind)], [np.zeros(0)], [np.zeros(0)]
         for o, i, j in parts:
             r, g = rows[o], which[i:j]
             n = unpack(r["p0"])
             level.n[g] = n
+            if discount is None:
+                continue
             contexts, begin = _runs(level.context[g])
             plain[contexts] = np.unpackbits(unpack(r["p1"]), count=len(contexts)).astype(bool)
             at.append(contexts[np.logical_or.reduceat(n == 0, begin)])
-            sums.append(unpack(r["p2"]).astype(np.int64).reshape(SUMS, -1).T)
-        context, sums = np.concatenate(at), np.concatenate(sums)
-        split = np.flatnonzero(splits(below.n, self.owners, self.tokens) > 1)
+            for kept, more in zip((left, mass), _left_and_mass(unpack(r["p2"]).reshape(SUMS, -1).T, *discount)):
+                kept.append(more)
+        if discount is None:
+            return
+        del which, parts
+        context, left, mass = np.concatenate(at), np.concatenate(left), np.concatenate(mass)
+        split = np.concatenate([np.zeros(0, int), *(s.start + np.flatnonzero(splits(below.n[s], self.owners, self.tokens) > 1) for s in _pieces(len(below.n)))])
         whole = {r["p0"]: r["sums"] for r in told if r["kind"] == "shared"}
-        shared = [(c, whole[key]) for c in split.tolist() if (key := _key(below.numbers, c)) in whole]
-        keep = ~np.isin(context, [c for c, _ in shared])
-        context = np.concatenate([context[keep], np.array([c for c, _ in shared], np.int64)])
-        sums = np.concatenate([sums[keep], np.array([x for _, x in shared], np.int64).reshape(-1, SUMS)])
-        for c, x in shared:
-            plain[c] = not any(x[1 + K :])
-        self.sums.append((plain, context, sums))
+        names = self.numbers(len(self.levels) - 1, split)
+        shared = [(c, whole[key]) for i, c in enumerate(split.tolist()) if (key := _key(names, i)) in whole]
+        if shared:
+            own = [c for c, _ in shared]
+            keep = ~np.isin(context, own)
+            more = _left_and_mass(np.array([x for _, x in shared], np.int64), *discount)
+            context, left, mass = np.concatenate([context[keep], np.array(own, self.kind)]), np.concatenate([left[keep], more[0]]), np.concatenate([mass[keep], more[1]])
+            for c, x in shared:
+                plain[c] = not any(x[1 + K :])
+        self.sums.append((plain, context, left, mass))
 
 
 SUMS = 1 + 2 * K  # the counts of (h', w) over K added up, how many are 1 to K, how many counts of (h, w) are 1 to K
 
 
+def _left_and_mass(sums: np.ndarray, lower: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From contexts' sums and the discounts of the order below and of this one: what the context leaves to words not seen after it,
+    and the discounted counts that the order below has of those seen."""
+    r = np.arange(1, K + 1)
+    left = (sums[:, 1 + K :] * (1 - own[1:]) * r).sum(1)
+    # a context without discounted followers leaves one occurrence to others
+    return np.where(left > 0, left, 1.0), sums[:, 0] + (sums[:, 1 : 1 + K] * lower[1:] * r).sum(1)
+
+
 def _key(numbers: list[np.ndarray], i: int) -> bytes:
     """A context's word numbers as bytes."""
     return b"".join(int(c[i]).to_bytes(8, "little") for c in numbers)
@@ -349,8 +402,8 @@ def splits(n: np.ndarray, owners: int, tokens: int) -> np.ndarray:
     return (np.uint64(1) + n.astype(np.uint64) * np.uint64(4 * owners) // np.uint64(max(1, tokens))).astype(np.uint64)
 
 
-def _blocks_with_answers(owners: int, tokens: int, documents: int, orders: int):
-    """Blocks from rows of a block and its answers, whose kinds end with the order."""
+def _blocks_with_answers(owners: int, tokens: int, documents: int, orders: int, d: list[np.ndarray] | None = None):
+    """Blocks from rows of a block and its answers, whose kinds end with the order; d has the discounts of all orders, if weights are needed."""
 
     def of(blocks: pa.Table, answers: pa.Table) -> Iterator[tuple[dict, _Block]]:
         told: dict[int, list[dict]] = {}
@@ -361,7 +414,7 @@ def _blocks_with_answers(owners: int, tokens: int, documents: int, orders: int):
             b = _Block(r, told[1], owners, tokens, documents)
             for order in range(2, orders + 1):
                 b.grow()
-                b.learn(told.get(order, []))
+                b.learn(told.get(order, []), (d[order - 2], d[order - 1]) if d else None)
             yield r, b
 
     return of
@@ -375,16 +428,17 @@ def _deal(owners: int, tokens: int, documents: int, order: int):
         rows = []
         for r, b in known(blocks, answers):
             level, below = b.grow(), b.levels[-2]
-            there = level.gram >= 0
-            learn = np.repeat(b.train, b.lengths) & there
-            count = np.bincount(level.gram[learn], minlength=len(level.n))
+            count = narrow(np.bincount(level.gram[np.repeat(b.train, b.lengths) & (level.gram >= 0)], minlength=len(level.n)))
             which, parts = b.dealt()
             for o, i, j in parts:
                 g = which[i:j]
                 contexts, begin = _runs(level.context[g])
                 runs = np.diff(np.append(begin, len(g)))
-                rows.append((o, r["block"], pack(beside([c[contexts] for c in below.numbers])), pack(narrow(runs)), pack(narrow(below.n[contexts])), pack(narrow(level.numbers[-1][g])), pack(narrow(count[g])), pack(narrow(below.n[level.lower[g]]))))
-        return pa.Table.from_batches([_rows(rows, DEAL_HEAD)])
+                rows.append((o, r["block"], pack(beside(b.numbers(order - 1, contexts))), pack(narrow(runs)), pack(narrow(below.n[contexts])), pack(narrow(b.number[level.word[g]])), pack(narrow(count[g])), pack(narrow(below.n[level.lower[g]]))))
+        out = pa.Table.from_batches([_rows(rows, DEAL_HEAD)])
+        rows = r = b = level = below = count = which = parts = g = contexts = None  # before memory is given back
+        give_back()
+        return out
 
     return run
 
@@ -399,44 +453,53 @@ def _own(order: int, owners: int, tokens: int):
                 dealt.setdefault(r["owner"], []).append((r["block"], apart(unpack(r["p0"]), order - 1), *(unpack(r[f"p{i}"]) for i in range(1, PARTS))))
         for owner in list(dealt):
             parts = dealt.pop(owner)
+            sizes = [len(p[4]) for p in parts]
             numbers = [np.concatenate(c) for c in zip(*(p[1] for p in parts))]
             of_context, at = distinct(joint(numbers))
             contexts = len(at)
             numbers = [c[at] for c in numbers]
-            total = np.concatenate([p[3].astype(np.uint64) for p in parts])[at]
-            context = np.repeat(of_context, np.concatenate([p[2].astype(np.int64) for p in parts]))
-            word = np.concatenate([p[4].astype(np.uint64) for p in parts])
+            runs = [p[2].astype(np.int64) for p in parts]
+            total = np.concatenate([p[3] for p in parts])[at]
+            word, count, lower = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
+            blocks = [p[0] for p in parts]
+            del parts
+            context = np.repeat(of_context, np.concatenate(runs))
             most = int(word.max(initial=0)) + 1
+            key = context.astype(np.int64)
             if contexts * most >= 1 << 63:
                 rank, place = distinct(word)
-                gram, at = distinct(context * len(place) + rank)
+                key = key * len(place) + rank
             else:
-                gram, at = distinct(context * most + word.astype(np.int64))
-            n = np.bincount(gram, np.concatenate([p[5] for p in parts]), len(at)).astype(np.int64)
-            own, lower, word = context[at], np.concatenate([p[6].astype(np.int64) for p in parts])[at], word[at]
+                key *= most
+                key += word.astype(np.int64)
+            gram, at = distinct(key)
+            del key
+            n = np.bincount(gram, count, len(at)).astype(np.int64)
+            own, lower, word = context[at], lower[at].astype(np.int64), word[at]
+            del count, context, at
             known = n > 0
             o, low, c = own[known], lower[known], n[known]
-            sums = np.zeros((contexts, SUMS), np.int64)
-            sums[:, 0] = np.bincount(o[low > K], low[low > K], contexts)
-            sums[:, 1 : 1 + K] = np.bincount(o * (K + 1) + np.where(low <= K, low, 0), minlength=contexts * (K + 1)).reshape(-1, K + 1)[:, 1:]
-            sums[:, 1 + K :] = np.bincount(o * (K + 1) + np.where(c <= K, c, 0), minlength=contexts * (K + 1)).reshape(-1, K + 1)[:, 1:]
+            del own, lower
+            # columns of SUMS; how many are 1 to K is at most the number of words
+            sums = [np.bincount(o[low > K], low[low > K], contexts).astype(np.int64)]
+            sums += [np.bincount(o[x == i], minlength=contexts).astype(_places(len(o))) for x in (low, c) for i in range(1, K + 1)]
             rows = [
                 ("table", None, owner, None, pack(beside(numbers)), pack(narrow(total)), pack(narrow(np.bincount(o, minlength=contexts))), pack(narrow(word[known])), pack(narrow(c))),
                 ("stats", None, owner, _count_counts(n)),
             ]
+            del o, low, c, known, word
+            n = narrow(n)
             shared = splits(total, owners, tokens) > 1
-            rows += [("shared", None, owner, sums[k].tolist(), _key(numbers, k)) for k in np.flatnonzero(shared).tolist()]
-            plain = sums[:, 1 + K :].sum(1) == 0
-            ends = np.cumsum([len(p[2]) for p in parts])
-            for p, (i, j), (a, b) in zip(parts, _bounds([len(p[4]) for p in parts]), zip(ends - [len(p[2]) for p in parts], ends)):
+            rows += [("shared", None, owner, [int(x[k]) for x in sums], _key(numbers, k)) for k in np.flatnonzero(shared).tolist()]
+            plain = ~np.any([x > 0 for x in sums[1 + K :]], axis=0)
+            for block, run_of, (i, j), (a, b) in zip(blocks, runs, _bounds(sizes), _bounds([len(x) for x in runs])):
                 here, answer = of_context[a:b], n[gram[i:j]]
-                begin = np.cumsum(p[2].astype(np.int64)) - p[2]
-                bare = np.logical_or.reduceat(answer == 0, begin)
-                rows.append(("grams", p[0], owner, None, pack(narrow(answer)), pack(np.packbits(plain[here])), pack(narrow(sums[here[bare]].T.reshape(-1)))))
-                rows += [("asks", p[0], owner, None, _key(numbers, k)) for k in here[shared[here]].tolist()]
+                bare = np.logical_or.reduceat(answer == 0, np.cumsum(run_of) - run_of)
+                rows.append(("grams", block, owner, None, pack(narrow(answer)), pack(np.packbits(plain[here])), pack(narrow(np.concatenate([x[here[bare]] for x in sums])))))
+                rows += [("asks", block, owner, None, _key(numbers, k)) for k in here[shared[here]].tolist()]
             yield _rows(rows, ANSWER_HEAD)
 
-    return run
+    return giving_back(run)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -445,24 +508,23 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _probabilities(b: _Block, unigrams: Unigrams, d: list[np.ndarray]) -> list[np.ndarray]:
     """For each order the probability of each of its n-grams, from single words up; d has the discounts from order 2 on."""
     out = [unigrams.p(b.levels[0].n[: b.size])]
-    divisor, lower_d = None, unigrams.d
-    r = np.arange(1, K + 1)
-    for (plain, context, sums), level, below, own in zip(b.sums, b.levels[1:], b.levels, d):
+    divisor = None
+    for (plain, context, left, mass), level, below, own in zip(b.sums, b.levels[1:], b.levels, d):
         total = np.maximum(below.n.astype(float), 1) + plain
         alpha = np.ones(len(below.n))  # of contexts that were not seen
-        left = (sums[:, 1 + K :] * (1 - own[1:]) * r).sum(1)
-        left = np.where(left > 0, left, 1.0)  # a context without discounted followers leaves one occurrence to others
-        mass = (sums[:, 0] + (sums[:, 1 : 1 + K] * lower_d[1:] * r).sum(1)) / (unigrams.total if divisor is None else divisor[below.lower[context]])
-        alpha[context] = left / total[context] / (1 - mass)
-        n = level.n.astype(float)
-        out.append(np.where(n > 0, discounted(n, own) / total[level.context], alpha[level.context] * out[-1][level.lower]))
-        divisor, lower_d = total, own
+        alpha[context] = left / total[context] / (1 - mass / (unigrams.total if divisor is None else divisor[below.lower[context]]))
+        p = np.empty(len(level.n))
+        for s in _pieces(len(p)):
+            n, at = level.n[s].astype(float), level.context[s]
+            p[s] = np.where(n > 0, discounted(n, own) / total[at], alpha[at] * out[-1][level.lower[s]])
+        out.append(p)
+        divisor = total
     return out
 
 
 def _evaluate(owners: int, unigrams: Unigrams, vocabulary: int, documents: int, d: list[np.ndarray]):
     """Scores a block's documents, given the answers for its words and n-grams of all orders."""
-    known = _blocks_with_answers(owners, unigrams.tokens, documents, len(d) + 1)
+    known = _blocks_with_answers(owners, unigrams.tokens, documents, len(d) + 1, [unigrams.d, *d])
 
     def run(key, blocks, answers):
         tables = []
@@ -470,9 +532,11 @@ def _evaluate(owners: int, unigrams: Unigrams, vocabulary: int, documents: int,
             p = _probabilities(b, unigrams, d)
             logs = np.zeros(len(b.levels[0].gram))
             for level, own in zip(b.levels, p):
-                there = level.gram >= 0  # the highest order that a token has context for decides
                 with np.errstate(divide="ignore"):
-                    logs[there] = np.log10(own)[level.gram[there]]
+                    np.log10(own, out=own)
+                for s in _pieces(len(logs)):
+                    there = level.gram[s] >= 0  # the highest order that a token has context for decides
+                    logs[s][there] = own[level.gram[s][there]]
             n = b.levels[0].n[: b.size].astype(float)
             base = np.log10((n + 0.5) / (unigrams.tokens + 0.5 * (vocabulary + 1)))
             body = b.levels[0].gram
@@ -490,6 +554,8 @@ def _evaluate(owners: int, unigrams: Unigrams, vocabulary: int, documents: int,
                     }
                 )
             )
+        p = own = level = logs = n = base = body = add = r = b = None  # before memory is given back
+        give_back()
         return pa.concat_tables(tables) if tables else pa.table({n: pa.array([], t) for n, t in EMPTY})
 
     return run

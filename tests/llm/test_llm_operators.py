@@ -8,13 +8,16 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lodestone.llm import katz
 from lodestone.llm import queries as Q
 from lodestone.llm.common import join_skewed
 from lodestone.llm.exact_dedup import ExtendibleHash, distinct_documents, exact_dedup, grow_directory
@@ -663,6 +666,40 @@ def test_katz_without_training_rows(spark):
     assert len(got) == 4 and all(r.score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in got)
 
 
+def test_katz_memory_of_a_block():
+    """Peak of a block's evaluation, in bytes a token, with all its answers."""
+    r = np.random.default_rng(5)
+    body = (r.pareto(0.8, 200_000) * 20).astype(np.int64) % 60_000
+    texts = [" ".join(f"w{x}" for x in body[i : i + 500]) for i in range(0, len(body), 500)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode() for t in texts]), pa.array(range(len(texts))), pa.array([i % 5 != 1 for i in range(len(texts))])], names=["doc_id", "text", "row", "train"])
+    blocks = pa.Table.from_batches(list(katz._blocks(10**9)(iter([docs]))))
+    owners, documents = 4, sum(i % 5 != 1 for i in range(len(texts)))
+
+    def own(dealt, run, kind):
+        found = []
+        for o in range(owners):
+            found += [x for b in run(iter(dealt.filter(pa.array([v == o for v in dealt["owner"].to_pylist()])).to_batches())) for x in b.to_pylist()]
+        stats = [sum(x) for x in zip(*(x["sums"] for x in found if x["kind"] == "stats"))]
+        head = ["kind", "block", "owner", "sums", *[f"p{i}" for i in range(katz.PARTS)]]
+        kept = [x | {"kind": kind} for x in found if x["kind"] == kind.split("-")[0]]
+        return pa.table({h: pa.array([x[h] for x in kept], t) for h, t in zip(head, [t for _, t in katz.ANSWER_HEAD] + [pa.binary()] * katz.PARTS)}), [0, *stats]
+
+    answers, (*counts, vocabulary, tokens) = own(pa.Table.from_batches(list(katz._deal_words(owners)(iter(blocks.to_batches())))), katz._own_words(owners), "words-1")
+    d = []
+    for order in (2, 3):
+        more, stats = own(katz._deal(owners, tokens, documents, order)(None, blocks, answers), katz._own(order, owners, tokens), f"grams-{order}")
+        answers = pa.concat_tables([answers, more])
+        d.append(discounts(np.array(stats, float)))
+    tracemalloc.start()
+    try:
+        scored = katz._evaluate(owners, Unigrams(tokens, np.array(counts, float)), vocabulary, documents, d)(None, blocks, answers)
+        most = tracemalloc.get_traced_memory()[1] / 200_400
+    finally:
+        tracemalloc.stop()
+    assert scored.num_rows == len(texts) and np.isfinite(scored["score"].to_numpy()).all()
+    assert most < 115
+
+
 # --- packing ----------------------------------------------------------------------------------------------------------
 
 
