@@ -2,7 +2,9 @@
 
 import json
 import random
+import types
 
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tokenizers import Tokenizer
 from lodestone.operators import chunking as K
 from lodestone.operators import evaluation as E
 from lodestone.operators import generation as G
-from lodestone.streaming.frames import EVENTS, Assembly, assembled_events, event_of
+from lodestone.streaming.frames import EVENTS, Assembly, _assemble, assembled_events, event_of
 
 draw = random.Random(17)
 
@@ -52,6 +54,15 @@ def test_odd_lines():
     assert event_of(b"data") is event_of(b": x") is event_of(b"") is None
 
 
+def test_events_are_one_block():
+    """A stream's frame has objects only, as columns of several kinds cost most of the time that a stream takes."""
+    whole = b'data: {"type": "meta", "gated": true, "top_score": 0.5}\n: x\ndata: {"type": "done"}\n'
+    pieces = pd.DataFrame({"seq": [0, 1], "piece": [whole[:9], whole[9:]]})
+    (frame,) = _assemble(None)((7,), iter([pieces]), types.SimpleNamespace(hasTimedOut=False, exists=False, update=lambda _: None))
+    assert frame.values.tolist() == [[7, 0, "meta", None, True, 0.5], [7, 2, "done", None, None, None]]
+    assert set(frame.dtypes) == {pd.Series([None], dtype=object).dtype} and list(frame) == [f.split()[0] for f in EVENTS.split(", ")]
+
+
 def test_stream_with_restarts(spark, tmp_path):
     """The events of a stream in pieces, over three runs of the query, are those of the whole bodies."""
     bodies = [(i, body(draw.randint(0, 6))) for i in range(25)]
